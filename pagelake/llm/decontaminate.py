@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,16 +175,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
         index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part.collect()]))  # about max_items rows
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
-            for pdf in batches:
-                rows = []
-                for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    for k, found in ix.matches(text, threshold, overlap, ngram).items():
-                        rows.append((d, ix.ids[k], *found))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, schema)
+            for rows in batches:
+                found = [(d, ix.ids[k], *x) for d, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) for k, x in ix.matches(text, threshold, overlap, ngram).items()]
+                cols = list(zip(*found, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, schema)
         out = got if out is None else out.unionAll(got)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap")

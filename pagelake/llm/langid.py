@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +86,11 @@ def identify(docs: DataFrame, profiles: DataFrame, doc_grams: int = DOC_GRAMS, s
     for r in table:
         place[row[r["lang"]], at[r["gram"]]] = r["rank"]
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
             out, scores = [], []
-            for text in pdf["text"]:
-                codes = gram_codes(text) if isinstance(text, str) else np.empty(0, np.uint32)
+            for text in rows.column(1).to_pylist():
+                codes = gram_codes(text or "")
                 if not len(codes) or not langs:
                     out.append(UNKNOWN)
                     scores.append(0.0)
@@ -103,9 +104,9 @@ def identify(docs: DataFrame, profiles: DataFrame, doc_grams: int = DOC_GRAMS, s
                 best = int(far.argmin())
                 out.append(langs[best])
                 scores.append(1.0 - float(far[best]) / (size * len(top)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": out, "score": scores})
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
