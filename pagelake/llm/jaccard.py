@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .classes import class_texts
 from .components import components
 from .hashing import gram_hashes, mix64, word_hashes
 from .util import drop_scratch, scratch
@@ -38,7 +39,6 @@ FREQUENT = 1 << 18
 #: Entries of one list that one task takes.
 LIST_ROWS = 20_000
 TILE_ROWS = 4096
-_BITS = 1 << 24
 _GRAIN = 1024
 
 
@@ -251,39 +251,15 @@ def _across(threshold: int):
     return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cls, z): a compressed text for each wanted class, found by its first document.
-
-    A bit array of fixed size keeps most other documents out of the shuffle; it may let some
-    through, never hold a wanted one back.
-    """
-    need = scratch(wanted.join(reps, "cls"), "need")
-    bit = F.pmod(F.xxhash64("rep"), F.lit(_BITS)) + 1  # buckets begin at 1, so do the bits
-    marks = need.select((F.bitmap_bucket_number(bit)).alias("k"), F.bitmap_bit_position(bit).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()  # at most _BITS bits
-    bits = {r["k"]: np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little") for r in marks}
-    flat = np.zeros(_BITS + (1 << 16), bool)
-    for k, m in bits.items():
-        flat[(k - 1) * len(m) : k * len(m)] = m
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flat))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.unpackbits(shared.value).astype(bool)
-        pack = zstandard.ZstdCompressor(level=1)
-        for pdf in batches:
-            texts = pdf.loc[on[pdf["at"].to_numpy()], "text"].tolist()
-            if texts:
-                yield pd.DataFrame({"cls": [set_class(s) for s in _sets(texts)], "z": [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts]})
-
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("at")
-    got = docs.where(F.col("text").isNotNull()).select(at, "text").mapInPandas(run, "cls long, z binary")
-    return got.join(need.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("z").alias("z"))
+def _classes(texts: list[str]) -> list[int]:
+    return [set_class(s) for s in _sets(texts)]
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold, by their whole texts."""
     pairs = scratch(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = scratch(_texts(docs, wanted, reps), "texts")
+    texts = scratch(class_texts(docs, wanted, reps, _classes), "texts")
     # a leader's pairs may be a large share of all: so many of them to a task
     many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 500).select(F.col("a").alias("k"), F.ceil(F.col("c") / 500).cast("long").alias("salts"))
     dealt = pairs.join(many, F.col("a") == F.col("k"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard, langid, line_dedup, mixing, secrets, token_store
-from .util import scratch, table
+from . import decontaminate, html_extract, jaccard, langid, line_dedup, mixing, secrets, substring_dedup, token_store
+from .util import table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_token_ids, op4_mixing, op5_decontamination, op6_secret_scan, op7_line_dedup, op9_language_id, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_token_ids, op4_mixing, op5_decontamination, op6_secret_scan, op7_line_dedup, op9_language_id, op10_html_extraction)}
 ORACLE_SQL = {"op4_mixing": mixing.mix_sql(), "op6_secret_scan": secrets.scan_sql(), "op7_line_dedup": line_dedup.dedup_sql()}
