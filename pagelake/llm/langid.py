@@ -8,7 +8,7 @@ profile's length. The nearest profile wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,6 +78,30 @@ def identify(docs: DataFrame, profiles: DataFrame, doc_grams: int = DOC_GRAMS, s
     distances go to the alphabetically first language. The profiles are `size` rows a language, so
     what is sent to the tasks is bounded by the number of languages.
     """
+    guess = _guesser(profiles, doc_grams, size)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [guess(t) for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, profiles: DataFrame, least: float, doc_grams: int = DOC_GRAMS, size: int = PROFILE_SIZE) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a score of at least `least`."""
+    guess, at = _guesser(profiles, doc_grams, size), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [guess(t) for t in rows.column(at).to_pylist()]
+            yield rows.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _guesser(profiles: DataFrame, doc_grams: int, size: int) -> Callable[[str | None], tuple[str, float]]:
+    """A function of a text that gives its language and score."""
     table = profiles.orderBy("lang", "rank").collect()
     langs = sorted({r["lang"] for r in table})
     known = np.array(sorted({r["gram"] for r in table}), dtype=np.uint32)
@@ -86,27 +110,19 @@ def identify(docs: DataFrame, profiles: DataFrame, doc_grams: int = DOC_GRAMS, s
     for r in table:
         place[row[r["lang"]], at[r["gram"]]] = r["rank"]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            out, scores = [], []
-            for text in rows.column(1).to_pylist():
-                codes = gram_codes(text or "")
-                if not len(codes) or not langs:
-                    out.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                g, n = np.unique(codes, return_counts=True)
-                top = g[np.argsort(-n, kind="stable")[:doc_grams]]
-                i = np.minimum(np.searchsorted(known, top), len(known) - 1)
-                found = known[i] == top
-                p = place[:, np.where(found, i, len(known))]
-                far = np.where(p < 0, size, np.minimum(np.abs(p - np.arange(len(top))), size)).sum(axis=1)
-                best = int(far.argmin())
-                out.append(langs[best])
-                scores.append(1.0 - float(far[best]) / (size * len(top)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    def guess(text: str | None) -> tuple[str, float]:
+        codes = gram_codes(text or "")
+        if not len(codes) or not langs:
+            return UNKNOWN, 0.0
+        g, n = np.unique(codes, return_counts=True)
+        top = g[np.argsort(-n, kind="stable")[:doc_grams]]
+        i = np.minimum(np.searchsorted(known, top), len(known) - 1)
+        p = place[:, np.where(known[i] == top, i, len(known))]
+        far = np.where(p < 0, size, np.minimum(np.abs(p - np.arange(len(top))), size)).sum(axis=1)
+        best = int(far.argmin())
+        return langs[best], 1.0 - float(far[best]) / (size * len(top))
+
+    return guess
 
 
 def held_out(doc_id: str = "doc_id"):

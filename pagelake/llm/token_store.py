@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import shared_dir
+from .util import scratch_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -159,6 +158,6 @@ def digest(tokens: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write to the shared folder, read the files back, and return their digest."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/pagelake-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
     return digest(read_tokens(spark, path))

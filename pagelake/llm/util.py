@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths of the scratch tables made within the current scope, if there is one.
+_made: list[str] | None = None
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the paths of the scratch tables made inside."""
+    global _made
+    before, _made = _made, []
+    try:
+        yield _made
+    finally:
+        _made = before
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for f in paths:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
+    return path
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/pagelake-" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(conf).delete(p, True)
+    delete_paths(df.sparkSession, sorted({x.rpartition("/")[0] for x in df.inputFiles() if "/pagelake-" in x}))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
