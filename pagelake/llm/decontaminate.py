@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 4
 THRESHOLD = 0.5
 OVERLAP = 0.6
 NGRAM = 4
 #: Items in one index; a larger benchmark is searched slice by slice, so that what is sent stays bounded.
 MAX_ITEMS = 20_000
+#: Cells up to which the block maxima are kept as a matrix.
+DENSE = 1 << 24
 _WORD = re.compile(r"\w+")
 
 
@@ -81,50 +83,63 @@ class ItemIndex:
         self.docs = [np.array([k for k, _ in p], np.int32) for p in posts.values()]
         self.impact = [np.array([x for _, x in p]) for p in posts.values()]
         self.most = np.array([x.max() for x in self.impact] + [0.0])  # the last one: words of no item
-        self.blocks: list[dict[int, float]] = []
+        blocks = -(-n // BLOCK)
+        self.tops: list[tuple[np.ndarray, np.ndarray]] = []  # by term: the blocks it is in, and its most there
         for d, x in zip(self.docs, self.impact, strict=True):
-            top: dict[int, float] = {}
-            for k, v in zip(d // BLOCK, x, strict=True):
-                top[int(k)] = max(top.get(int(k), 0.0), float(v))
-            self.blocks.append(top)
-
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All items that score at least `least` for these distinct terms: WAND with block maxima."""
-        at = [[0, t] for t in terms]
-        out = []
-        end = len(self.ids)
-        doc = lambda x: int(self.docs[x[1]][x[0]]) if x[0] < len(self.docs[x[1]]) else end
-
-        def seek(x: list[int], k: int) -> None:
-            x[0] += int(np.searchsorted(self.docs[x[1]][x[0] :], k))
+            at = np.flatnonzero(np.concatenate(([True], d[1:] // BLOCK != d[:-1] // BLOCK)))
+            self.tops.append((d[at] // BLOCK, np.maximum.reduceat(x, at)))
+        self.n_blocks = blocks
+        self.lists: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(blocks)]  # by block and term
+        for t, (d, x) in enumerate(zip(self.docs, self.impact, strict=True)):
+            for k, v in zip(d.tolist(), x.tolist(), strict=True):
+                items, impacts, top = self.lists[k // BLOCK].get(t, ([], [], 0.0))
+                self.lists[k // BLOCK][t] = ([*items, k], [*impacts, v], max(top, v))
+        self.dense = np.zeros((len(self.docs) + 1, blocks), np.float32) if (len(self.docs) + 1) * blocks <= DENSE else None
+        if self.dense is not None:
+            for t, (k, v) in enumerate(self.tops):
+                self.dense[t, k] = np.nextafter(v.astype(np.float32), np.float32(2))  # rounded up: a bound
+
+    def live_blocks(self, terms: np.ndarray, least: float) -> np.ndarray:
+        """Blocks of items that can reach `least` with these distinct terms, by the sum of their maxima."""
+        if self.dense is not None:
+            bound = self.dense[terms].sum(axis=0)
+        else:
+            tops = [self.tops[t] for t in terms if t < len(self.tops)]
+            bound = np.bincount(np.concatenate([k for k, _ in tops]), np.concatenate([v for _, v in tops]), self.n_blocks) if tops else np.zeros(self.n_blocks)
+        return np.flatnonzero(bound >= least - 1e-5)
+
+    def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """All items that score at least `least` for these distinct terms: WAND, skipping dead blocks."""
+        out: list[tuple[int, float]] = []
+        names = terms.tolist()
+        for block in self.live_blocks(terms, least).tolist():
+            have = self.lists[block].get
+            out += self._wand([[i, v, 0, top] for i, v, top in filter(None, map(have, names))], least)
+        return out
 
+    @staticmethod
+    def _wand(lists: list[list], least: float) -> list[tuple[int, float]]:
+        """Document-at-a-time search of one block: the pivot is the first item that the lists' maxima can lift to `least`."""
+        out = []
         while True:
-            at = sorted((x for x in at if doc(x) < end), key=doc)
-            total, pivot = 0.0, -1
-            for i, x in enumerate(at):
-                total += self.most[x[1]]
-                if total >= least:
-                    pivot = i
+            lists = sorted((x for x in lists if x[2] < len(x[0])), key=lambda x: x[0][x[2]])
+            total, pivot = 0.0, None
+            for x in lists:
+                total += x[3]
+                if total >= least - 1e-9:
+                    pivot = x[0][x[2]]
                     break
-            if pivot < 0:
+            if pivot is None:
                 return out
-            k = doc(at[pivot])
-            while pivot + 1 < len(at) and doc(at[pivot + 1]) == k:
-                pivot += 1
-            block = k // BLOCK
-            if sum(self.blocks[x[1]].get(block, 0.0) for x in at[: pivot + 1]) < least:
-                after = min([(block + 1) * BLOCK, *(doc(x) for x in at[pivot + 1 :])])  # no item before it can reach the bound
-                for x in at[: pivot + 1]:
-                    seek(x, max(after, k + 1))
-                continue
-            for x in at[: pivot + 1]:
-                seek(x, k)
-            score = sum(float(self.impact[x[1]][x[0]]) for x in at if doc(x) == k)
-            if score >= least:
-                out.append((k, score))
-            for x in at:
-                if doc(x) == k:
-                    x[0] += 1
+            score = 0.0
+            for x in lists:
+                while x[2] < len(x[0]) and x[0][x[2]] < pivot:
+                    x[2] += 1
+                if x[2] < len(x[0]) and x[0][x[2]] == pivot:
+                    score += x[1][x[2]]
+                    x[2] += 1
+            if score >= least - 1e-9:
+                out.append((pivot, score))
 
     def matches(self, text: str, threshold: float, overlap: float, ngram: int) -> dict[int, tuple[float, float, float]]:
         """Item number -> (score, question overlap, answer overlap) of the best verified passage."""
@@ -143,7 +158,7 @@ class ItemIndex:
             own = np.unique(t[lo : lo + 2 * step])
             if self.most[own].sum() < threshold:
                 continue
-            found = self.search([int(x) for x in own if x < none], threshold)
+            found = self.search(own, threshold)
             if not found:
                 continue
             passage = w[lo : lo + 2 * step]
