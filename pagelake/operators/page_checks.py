@@ -254,10 +254,10 @@ def hreflang() -> Column:
     some = lambda f: F.exists(tags, f)
     is_self = lambda t: same_url(t["href"], F.col("url"))
     html_lang = F.lower(F.coalesce("lang", F.lit("")))
-    own = F.try_element_at(F.filter(tags, is_self), F.lit(1))["lang"]
+    clash = some(lambda t: is_self(t) & ~F.lower(t["lang"]).isin("x-default") & (F.lower(t["lang"]) != html_lang))
     found = _list(
         _f(~F.array_contains(low, "x-default"), "hreflang.no_xdefault", "low"), _f(~some(is_self), "hreflang.no_self_reference", "high"),
-        _f((html_lang != "") & (F.lower(own) != "x-default") & (F.substring_index(F.lower(own), "-", 1) != F.substring_index(html_lang, "-", 1)), "hreflang.lang_mismatch", "high"),
+        _f((html_lang != "") & clash, "hreflang.lang_mismatch", "high"),
         _f(some(lambda t: (t["href"] != "") & ~t["href"].rlike("(?i)^https?://")), "hreflang.relative_url", "high"),
         _f(some(lambda t: ~t["lang"].rlike(_BCP47)), "hreflang.malformed_code", "high"), _f(F.size(F.array_distinct(low)) < F.size(low), "hreflang.duplicate_code", "high"),
         _f(some(lambda t: t["href"] == ""), "hreflang.missing_href", "high"),
