@@ -18,6 +18,7 @@ Documents with the same words are one class, entered once by its least doc_id.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,46 +67,55 @@ def anchors(words: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, np
 
 
 def _index(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(doc_id, n_words, cls, sha, heads): heads are the anchors' prefixes, null where the task already gave that class."""
+    """(doc_id, n_words, cls, sha, heads, times): the anchors' prefixes and how often each occurs, null where the task already gave that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
-            ns, classes, heads = [], [], []
+            ns, classes, heads, times = [], [], [], []
             for d, w in zip(rows.column(0).to_pylist(), word_hashes(raw), strict=True):
                 c = sequence_class(w)
                 ns.append(len(w))
                 classes.append(c)
                 if len(w) < length or d is None or c in seen:
                     heads.append(None)
+                    times.append(None)
                     continue
                 seen.add(c)
-                heads.append(np.unique(anchors(w, length, prefix)[0]).view(np.int64))
+                h, n = np.unique(anchors(w, length, prefix)[0], return_counts=True)
+                heads.append(h.view(np.int64))
+                times.append(n.astype(np.int64))
             sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in raw]
-            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(sha, pa.string()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "cls", "sha", "heads"])
+            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(sha, pa.string()), pa.array(heads, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "cls", "sha", "heads", "times"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, cls long, sha string, heads array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, cls long, sha string, heads array<long>, times array<long>")
 
 
 def _suffixes(length: int, prefix: int):
-    """Candidate documents -> for each anchor with a shared prefix, the words that its windows need."""
+    """Candidate documents -> for each anchor with a shared prefix, the words that its windows need.
+
+    Anchors of a document with the same words are one row with all their places.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("head", "salt", "salts", "cls", "rep", "at", "n", "ctx")}
+            out: dict[str, list] = {k: [] for k in ("head", "salt", "salts", "cls", "rep", "at", "n", "ctx")}  # at: all places
             raw = [unpack.decompress(z) for z in pdf["z"]]
             for cls, rep, heads, salts, w in zip(pdf["cls"], pdf["rep"], pdf["heads"], pdf["salts"], word_hashes(raw), strict=True):
                 h, lo, hi = anchors(w, length, prefix)
                 deal = dict(zip(heads.tolist(), salts.tolist(), strict=True))
-                own = (cls ^ (cls >> 31)) & 0x7FFFFFFF
+                places: dict[tuple[int, bytes], list[int]] = {}
                 for x, a, b in zip(h.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    s = deal.get(x)
-                    if s is not None:
-                        for k, v in zip(out, (x, own % s, s, cls, rep, a, b - a + 1, w[a : b + length].tobytes()), strict=True):
-                            out[k].append(v)
+                    if x in deal:
+                        places.setdefault((x, w[a : b + length].tobytes()), []).append(a)
+                for (x, ctx), at in places.items():
+                    s = deal[x]
+                    own = zlib.crc32(b"%d %d" % (cls, at[0]))
+                    for k, v in zip(out, (x, own % s, s, cls, rep, at, len(ctx) // 8 - length + 1, ctx), strict=True):
+                        out[k].append(v)
             yield pd.DataFrame(out)
 
     return run
@@ -143,25 +153,38 @@ def _trees(length: int):
         # groups of one prefix are apart by content; those of one prefix dealt out must be told apart by their salt
         salt = g["salt"].to_numpy()[row]
         node = _names(node, salt - salt.min(initial=0)) if salt.any() else node
-        rep, cls, at = g["rep"].to_numpy()[row], g["cls"].to_numpy()[row], g["at"].to_numpy()[row] + offset
+        rep, cls = g["rep"].to_numpy()[row], g["cls"].to_numpy()[row]
+        flat, many = np.concatenate(g["at"].to_numpy()).astype(np.int64), g["at"].str.len().to_numpy()
+        begin = np.cumsum(many) - many
+
+        def places(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """All places of the chosen windows, and which window each is of."""
+            k = np.flatnonzero(chosen)
+            n = many[row[k]]
+            at = np.arange(n.sum()) + np.repeat(begin[row[k]] - np.cumsum(n) + n, n)
+            k = np.repeat(k, n)
+            return flat[at] + offset[k], k
+
         least = np.full(int(node.max(initial=0)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, rep)
         marked = rep > least[node]
-        c, p = cls[marked], at[marked]
+        p, k = places(marked)
+        c = cls[k]
         order = np.lexsort((p, c))
         c, p = c[order], p[order]
         head = np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] > p[:-1] + 1))) if len(c) else np.empty(0, bool)
         first, last = np.flatnonzero(head), np.concatenate((np.flatnonzero(head)[1:] - 1, [len(c) - 1])) if len(c) else np.empty(0, np.int64)
         open_ = ~marked & (g["salts"].to_numpy()[row] > 1)
-        s = starts[open_]
+        at, k = places(open_)
+        s = starts[k]
         key = np.empty(len(s), np.uint64)
         for i in range(0, len(s), 50_000):  # the longest prefix: all words of the window
             w = words[s[i : i + 50_000, None] + np.arange(length)]
             key[i : i + 50_000] = gram_hashes_rows(w)
         return pd.DataFrame({
             "kind": np.repeat([0, 1], [len(first), len(s)]).astype(np.int32),
-            "cls": np.concatenate((c[first], cls[open_])), "first": np.concatenate((p[first], at[open_])).astype(np.int32), "last": np.concatenate((p[last], at[open_])).astype(np.int32),
-            "key": np.concatenate((np.zeros(len(first), np.int64), key.view(np.int64))), "rep": np.concatenate((np.zeros(len(first), np.int64), rep[open_])),
+            "cls": np.concatenate((c[first], cls[k])), "first": np.concatenate((p[first], at)).astype(np.int32), "last": np.concatenate((p[last], at)).astype(np.int32),
+            "key": np.concatenate((np.zeros(len(first), np.int64), key.view(np.int64))), "rep": np.concatenate((np.zeros(len(first), np.int64), rep[k])),
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +251,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, with_text
     """
     index = scratch(_index(docs, length, prefix), "words")
     reps = index.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    entries = index.where(F.col("heads").isNotNull()).select("cls", F.explode("heads").alias("head"))
+    entries = index.where(F.col("heads").isNotNull()).select("cls", F.explode(F.arrays_zip("heads", "times")).alias("x")).select("cls", F.col("x.heads").alias("head"), F.col("x.times").alias("times"))
     # a class may be entered by several tasks: it is one document still
-    shared = entries.groupBy("head").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    shared = entries.groupBy("head").agg(F.sum("times").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     shared = scratch(shared.select("head", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("salts")), "prefixes")
     lists = entries.join(shared, "head").groupBy("cls").agg(F.array_distinct(F.collect_list(F.struct("head", "salts"))).alias("x"))
     lists = scratch(lists.join(reps, "cls").select("cls", "rep", F.col("x.head").alias("heads"), F.col("x.salts").alias("salts")), "candidates")
     texts = scratch(class_texts(docs, lists.select("cls"), reps, _classes), "texts")
-    suffixes = lists.join(texts, "cls").select("cls", "rep", "heads", "salts", "z").mapInPandas(_suffixes(length, prefix), "head long, salt long, salts int, cls long, rep long, at int, n int, ctx binary")
+    suffixes = lists.join(texts, "cls").select("cls", "rep", "heads", "salts", "z").mapInPandas(_suffixes(length, prefix), "head long, salt long, salts int, cls long, rep long, at array<int>, n int, ctx binary")
     groups = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
     found = scratch(groups.mapInPandas(_trees(length), "kind int, cls long, first int, last int, key long, rep long"), "marks")
 
@@ -248,7 +271,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, with_text
     if not with_text:
         cut = cut.drop("kept")
 
-    out = index.drop("heads").join(reps.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").drop("c")
+    out = index.drop("heads", "times").join(reps.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").drop("c")
     out = out.join(cut, F.col("cls") == F.col("k"), "left")
     copy = F.col("doc_id") > F.col("rep")  # a later document of the same words loses all of them
     own = F.col("doc_id").isNotNull() & F.col("k").isNotNull()
