@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from .constants import FIGURE_KINDS, INVISIBLE, STATISTIC_BODY, WS
 STATISTIC = r"(?i)(?<![\w.])" + STATISTIC_BODY
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often it is used, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Words between white space; none for an empty or null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda x: x != "")
@@ -27,9 +34,12 @@ def collapse(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 8) -> Column:
     """Distinct runs of n words; a shorter text is one shingle, an empty one has none."""
-    w = words(text)
-    run = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(run)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        run = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(run)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bind(words(text), of)
 
 
 def statistics(text: Column) -> Column:
@@ -44,8 +54,8 @@ def figure_kind(token: Column) -> Column:
     return out.otherwise("other")
 
 
-def syllables(word: Column) -> Column:
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+def syllables(w: Column) -> Column:
+    """Syllables of a word of lower-case letters."""
     n = F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))
     n = n - F.when(w.endswith("e") & ~w.rlike("(le|ee|ye)$") & (n > 1), 1).otherwise(0)
     return F.when(w == "", 0).otherwise(F.greatest(n, F.lit(1)))
@@ -53,18 +63,22 @@ def syllables(word: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """struct(n_words, sentences, syllables, words_per_sentence, flesch); flesch is null without words or sentences."""
-    w = F.regexp_extract_all(text, F.lit("[A-Za-z']+"), F.lit(0))
-    n = F.size(w)
-    parts = F.split(text, r"[.!?]+(?=\s|$)", -1)
-    sentences = F.size(F.filter(parts, lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != ""))
-    syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
-    ok = (n > 0) & (sentences > 0)
-    wps, spw = n / sentences, syl / n
-    return F.struct(
-        n.cast("long").alias("n_words"), sentences.cast("long").alias("sentences"), syl.cast("long").alias("syllables"),
-        F.when(ok, F.round(wps, 1)).alias("words_per_sentence"),
-        F.when(ok, F.round(F.lit(206.835) - F.lit(1.015) * wps - F.lit(84.6) * spw, 1)).alias("flesch"),
-    )
+    parts = F.filter(F.split(text, r"[.!?]+(?=\s|$)", -1), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
+
+    def of(x: Column) -> Column:
+        n, sentences, syl = x["n"], x["s"], x["y"]
+        ok = (n > 0) & (sentences > 0)
+        wps, spw = n / sentences, syl / n
+        return F.struct(
+            n.cast("long").alias("n_words"), sentences.cast("long").alias("sentences"), syl.cast("long").alias("syllables"),
+            F.when(ok, F.round(wps, 1)).alias("words_per_sentence"),
+            F.when(ok, F.round(F.lit(206.835) - F.lit(1.015) * wps - F.lit(84.6) * spw, 1)).alias("flesch"),
+        )
+
+    def count(w: Column) -> Column:
+        return F.struct(F.size(w).alias("n"), F.size(parts).alias("s"), F.aggregate(w, F.lit(0), lambda a, x: a + bind(F.regexp_replace(F.lower(x), "[^a-z]", ""), syllables)).alias("y"))
+
+    return bind(bind(F.regexp_extract_all(text, F.lit("[A-Za-z']+"), F.lit(0)), count), of)
 
 
 def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:

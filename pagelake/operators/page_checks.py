@@ -169,8 +169,8 @@ def forms() -> Column:
 @register("asai", lambda: html_200() & F.col("rendered_text").isNotNull())
 def asai() -> Column:
     raw, full = T.word_count(F.col("body_text")), T.word_count(F.col("rendered_text"))
-    a, r = T.shingles(F.col("body_text")), T.shingles(F.col("rendered_text"))
-    share = F.round(F.size(F.array_except(r, a)) / F.greatest(F.size(r), F.lit(1)), 3)
+    a = T.shingles(F.col("body_text"))
+    share = T.bind(T.shingles(F.col("rendered_text")), lambda r: F.round(F.size(F.array_except(r, a)) / F.greatest(F.size(r), F.lit(1)), 3))
     return _first(
         _f((raw < 20) & (full < 20), "asai.empty", "high"), _f((raw < 50) & (full >= 200), "asai.js_required", "critical"), _f(share >= 0.5, "asai.mostly_js", "critical"),
         _f(share >= 0.2, "asai.partly_js", "high"), _f(share > 0.02, "asai.some_js", "low"), _f(F.lit(True), "asai.server_rendered", "info"),
@@ -402,8 +402,8 @@ def clutter() -> Column:
     brand = F.concat(site, F.filter(F.split(U.host(F.col("url")), r"\."), lambda x: ~x.isin(*_LABELS)))
     terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), lambda t: ~t.isin(*_COMMON) & ~F.array_contains(brand, t))
     tokens = F.regexp_extract_all(F.lower("body_text"), F.lit("[a-z]{4,}"), F.lit(0))
-    count = lambda t: F.size(F.filter(tokens, lambda x: x == t))
-    stuffed = (n >= 200) & F.exists(F.array_distinct(terms), lambda t: (count(t) >= 10) & (count(t) / n > 0.035))
+    often = lambda k: F.exists(F.array_distinct(terms), lambda t: T.bind(F.size(F.filter(k, lambda x: x == t)), lambda c: (c >= 10) & (c / n > 0.035)))
+    stuffed = (n >= 200) & T.bind(tokens, often)
     return _list(
         _f((n < 400) & (calls >= 5), "clutter.cta_overload", "low"), _f((ratio > 0.6) & (F.col("article_words") < 400), "clutter.boilerplate", "low"),
         _f(stuffed, "clutter.keyword_stuffing", "high"), _f(F.col("popups") >= 3, "clutter.interstitials", "low"),

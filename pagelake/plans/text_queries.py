@@ -72,11 +72,13 @@ def figure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def front_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = T.words(F.col("text"))
-    cut = F.greatest(F.lit(1), F.floor(F.size(w) * 3 / 10).cast("int"))
-    head = F.size(T.statistics(F.array_join(F.slice(w, 1, cut), " "))).cast("long")
-    tail = F.size(T.statistics(F.array_join(F.slice(w, cut + 1, 1000000000), " "))).cast("long")
-    return _figures(spark, sf_dir).select("o_orderkey", head.alias("head"), tail.alias("tail"))
+    def of(w):
+        cut = F.greatest(F.lit(1), F.floor(F.size(w) * 3 / 10).cast("int"))
+        head = F.size(T.statistics(F.array_join(F.slice(w, 1, cut), " "))).cast("long")
+        tail = F.size(T.statistics(F.array_join(F.slice(w, cut + 1, 1000000000), " "))).cast("long")
+        return F.struct(head.alias("head"), tail.alias("tail"))
+
+    return _figures(spark, sf_dir).select("o_orderkey", T.bind(T.words(F.col("text")), of).alias("x")).select("o_orderkey", "x.head", "x.tail")
 
 
 def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +88,9 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The term of four letters or more that a document repeats most, where it is over 3.5 % of its words."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
-    n = d.where("words >= 200").groupBy("doc_id", "words", "term").agg(F.count("*").alias("n")).where("n >= 10 AND n / words > 0.035")
+    d = _t(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("terms"))
+    d = d.where("words >= 200").select("doc_id", "words", F.explode("terms").alias("term"))  # counted before, not after, the explode
+    n = d.groupBy("doc_id", "words", "term").agg(F.count("*").alias("n")).where("n >= 10 AND n / words > 0.035")
     best = n.groupBy("doc_id", "words").agg(F.max(F.struct(F.col("n"), F.col("term"))).alias("b"))
     return best.select("doc_id", "b.term", F.col("b.n").alias("n"), F.round(F.col("b.n") / F.col("words"), 4).alias("density"))
 
