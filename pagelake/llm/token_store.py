@@ -25,11 +25,24 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Entries of a task's cache from a chunk of text to its ids; beyond it starts anew.
-CACHE = 400_000
+CACHE = 1_200_000
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 _SPECIAL = "<|"
 
 
+class _Numbers(dict):
+    """Chunk -> number; a chunk not seen before gets the next one and is noted in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        i = self[chunk] = len(self)
+        self.new.append(chunk)
+        return i
+
+
 class ChunkEncoder:
     """Encodes whole texts through a cache of chunks, giving exactly the tokenizer's ids.
 
@@ -44,21 +57,19 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool = [np.empty(0, np.int32)]
+        self.at = _Numbers()
         self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        ids = self._whole(chunks)
-        for c in chunks:
-            self.at[c] = len(self.at)
+    def _learn(self) -> None:
+        """Encode the chunks that were numbered since the last time."""
+        ids = self._whole(self.at.new)
+        self.at.new = []
         n = np.array([len(x) for x in ids], dtype=np.int64)
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
         self.length = np.concatenate((self.length, n))
@@ -78,21 +89,29 @@ class ChunkEncoder:
         whole += [i for i, c in cut if c is None]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        cut = [(i, c) for i, c in cut if c is not None]
-        if cut:
-            if len(self.at) > CACHE:
-                self._clear()
-            new = dict.fromkeys(x for _, c in cut for x in c if x not in self.at)
-            if new:
-                self._learn(list(new))
-            for i, c in cut:
-                k = np.fromiter(map(self.at.__getitem__, c), dtype=np.int64, count=len(c))
-                n = self.length[k]
-                ends = np.cumsum(n)
-                out[i] = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)]
+        if len(self.at) > CACHE:
+            self._clear()
+        number = self.at.__getitem__
+        numbered = [(i, np.fromiter(map(number, c), dtype=np.int64, count=len(c))) for i, c in cut if c is not None]
+        if self.at.new:
+            self._learn()
+        for i, k in numbered:
+            n = self.length[k]
+            ends = np.cumsum(n)
+            out[i] = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)]
         return out  # type: ignore[return-value]
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder for that file; its cache lives as long as the worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode docs(doc_id, text, ...) and write them in ascending doc_id order.
 
@@ -106,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, ChunkEncoder(tokenizer)
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
