@@ -9,23 +9,25 @@ so a range of doc_id, or the metadata columns alone, can be read without the res
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .util import scratch_path
 
+SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Entries of a task's cache from a chunk of text to its ids; beyond it starts anew.
-CACHE = 1_200_000
+#: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
+CACHE, KEPT = 900_000, 400_000
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 _SPECIAL = "<|"
 
@@ -33,8 +35,8 @@ _SPECIAL = "<|"
 class _Numbers(dict):
     """Chunk -> number; a chunk not seen before gets the next one and is noted in `new`."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, *known: Iterable[tuple[str, int]]) -> None:
+        super().__init__(*known)
         self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
@@ -57,11 +59,13 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
-
-    def _clear(self) -> None:
         self.at = _Numbers()
-        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0  # of flat
+
+    def _shrink(self) -> None:
+        self.at = _Numbers(itertools.islice(self.at.items(), KEPT))
+        self.used = int(self.start[len(self.at) - 1] + self.length[len(self.at) - 1])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,11 +73,15 @@ class ChunkEncoder:
     def _learn(self) -> None:
         """Encode the chunks that were numbered since the last time."""
         ids = self._whole(self.at.new)
-        self.at.new = []
         n = np.array([len(x) for x in ids], dtype=np.int64)
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
-        self.length = np.concatenate((self.length, n))
-        self.flat = np.concatenate((self.flat, *ids))
+        lo, hi, end = len(self.at) - len(ids), len(self.at), self.used + int(n.sum())
+        if hi > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.empty(max(hi - len(x), len(x)), np.int64))) for x in (self.start, self.length))
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(max(end - len(self.flat), len(self.flat)), np.int32)))
+        self.start[lo:hi], self.length[lo:hi] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : end] = np.concatenate(ids)
+        self.used, self.at.new = end, []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -90,7 +98,7 @@ class ChunkEncoder:
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         if len(self.at) > CACHE:
-            self._clear()
+            self._shrink()
         number = self.at.__getitem__
         numbered = [(i, np.fromiter(map(number, c), dtype=np.int64, count=len(c))) for i, c in cut if c is not None]
         if self.at.new:
@@ -151,13 +159,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     Asking for some columns or a range of doc_id reads only those columns, row groups and pages.
     """
-    from pyspark.sql import Window
+    df = spark.read.schema(SCHEMA).parquet(path)
+    return df.join(_bases(df), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+
 
-    df = spark.read.schema("doc_id long, part int, at long, n_tokens long, ids array<int>").parquet(path)
+def _bases(df: DataFrame) -> DataFrame:
+    """(part, base): ids before each file range; a row a range."""
     parts = df.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file range
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return df.join(parts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +175,15 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = b.column(3)
         flat, offs = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
         offs = offs - offs[0]
-        crc = [zlib.crc32(flat[lo:hi].tobytes()) for lo, hi in zip(offs[:-1], offs[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        crc = [zlib.crc32(flat[lo:hi]) for lo, hi in zip(offs[:-1], offs[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, type=pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
 
-def digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what read_tokens gives."""
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the files; the ids themselves are read where they lie and not moved."""
+    df = spark.read.schema(SCHEMA).parquet(path)
+    crc = df.select("doc_id", "part", "at", "ids").mapInArrow(_crc, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    return crc.join(_bases(df), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -179,4 +191,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
-    return digest(read_tokens(spark, path))
+    return digest(spark, path)
