@@ -9,11 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows in an Arrow batch, unless the session sets another number than Spark's own: pages and documents are long.
+BATCH_ROWS = "1024"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the session's Python files, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
