@@ -15,6 +15,7 @@ one entry; of links only their number and a spanning forest leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ RECALL = 0.995
 _SEED = 7
 
 
+@lru_cache(maxsize=64)
 def directions(dim: int) -> np.ndarray:
     a = np.random.RandomState(_SEED).standard_normal((dim, SORTED + COUNTED))
     return a / np.linalg.norm(a, axis=0)
