@@ -40,6 +40,8 @@ FREQUENT = 1 << 18
 LIST_ROWS = 20_000
 TILE_ROWS = 4096
 _GRAIN = 1024
+#: Bits of a set's signature: the parity of its tokens by hash. Signatures differ in no more bits than sets in tokens.
+SIGNATURE = 512
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -63,6 +65,10 @@ def set_class(s: np.ndarray) -> int:
     return int(mix64(x).view(np.int64)[0])
 
 
+def signature(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
@@ -109,7 +115,7 @@ def frequent_tokens(docs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def _index(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """(doc_id, n, cls, prefix): the prefix in global order; null where the task already gave that class."""
+    """(doc_id, n, cls, prefix, sig): the prefix in global order and the signature; null where the task already gave that class."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # FREQUENT rows at most
 
@@ -117,15 +123,17 @@ def _index(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
         known, rank = shared.value
         seen: set[int] = set()
         for rows in batches:
-            ns, classes, heads = [], [], []
+            ns, classes, heads, sigs = [], [], [], []
             for s in _sets(rows.column(1).to_pylist()):
                 c = set_class(s)
                 ns.append(len(s))
                 classes.append(c)
                 if not len(s) or c in seen:
                     heads.append(None)
+                    sigs.append(None)
                     continue
                 seen.add(c)
+                sigs.append(signature(s))
                 p = prefix_length(len(s), threshold)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -134,10 +142,10 @@ def _index(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
                     late = late[np.argsort(rank[i[last]])]
                     s = np.concatenate((s[~last], late))
                 heads.append(s[:p].view(np.int64))
-            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls", "prefix"])
+            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls", "prefix", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>, sig binary")
 
 
 def _fits(n1, p1, n2, p2, t: int):
@@ -217,7 +225,10 @@ def _leaders(threshold: int):
 
 
 def _across(threshold: int):
-    """Entries of long lists with their components -> pairs between different components, block by block."""
+    """Entries of long lists with their components -> pairs between different components, block by block.
+
+    Pairs whose signatures differ in more bits than the threshold allows tokens cannot be linked.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _runs(batches, ["token", "tile"]):
@@ -227,6 +238,7 @@ def _across(threshold: int):
                 if (comp == comp[0]).all():
                     continue
                 rest = n - pos
+                sig = np.frombuffer(b"".join(g["sig"]), np.uint64).reshape(len(g), -1)
                 blocks = [slice(i, min(i + _GRAIN, len(n))) for i in range(0, len(n), _GRAIN)]
                 a, b = [], []
                 for i, x in enumerate(blocks):
@@ -242,6 +254,11 @@ def _across(threshold: int):
                         if x is y:
                             ok = np.triu(ok, 1)
                         i1, i2 = np.nonzero(ok)
+                        apart = np.zeros(len(i1), np.int64)
+                        for k in range(sig.shape[1]):
+                            apart += np.bitwise_count(sig[x, k][i1] ^ sig[y, k][i2])
+                        near = (100 + threshold) * apart <= (100 - threshold) * (n[x][i1] + n[y][i2])
+                        i1, i2 = i1[near], i2[near]
                         a.append(cls[x][i1])
                         b.append(cls[y][i2])
                 pa, pb = _unique_pairs(a, b)
@@ -320,10 +337,12 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = scratch(rows, "lists")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
     rows = rows.join(mixed, F.col("token") == F.col("k"))
+    sigs = index.where(F.col("sig").isNotNull()).groupBy("cls").agg(F.first("sig").alias("sig"))
+    rows = rows.join(sigs, "cls")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
+    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", "sig", (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
     rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
     more = scratch(rows.mapInPandas(_across(threshold), "a long, b long"), "across")
     if not more.isEmpty():

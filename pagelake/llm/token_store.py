@@ -27,7 +27,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
-CACHE, KEPT = 900_000, 400_000
+CACHE, KEPT = 500_000, 250_000
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 _SPECIAL = "<|"
 
