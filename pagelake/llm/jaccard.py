@@ -9,7 +9,7 @@ by size and cut into blocks, and blocks whose sizes or positions rule out the ne
 passed over whole.
 
 Skipping of answers: sets that are equal are one class. In a long list every set is first compared
-with a leader of like size only. A set found highly similar takes over its leader's component, and
+with a few leaders of like size only. A set found highly similar takes over its leader's component, and
 of the list only pairs between different components are still compared; all others' answers follow
 from those already computed. Components, sizes and membership are exact.
 """
@@ -34,6 +34,8 @@ SHINGLE = 5
 THRESHOLD = 80  # per cent
 #: Lists up to this length give all their pairs, longer ones go by leaders first.
 SHORT = 6
+#: Leaders of a long list, in each range of sizes.
+LEADERS = 4
 #: Tokens ordered last as frequent: so many at most. Any choice gives the same result.
 FREQUENT = 1 << 18
 #: Entries of one list that one task takes.
@@ -210,12 +212,15 @@ def _leaders(threshold: int):
             for lo, length in zip(head[far], size[far], strict=True):
                 hi, at = lo + length, lo
                 long.append(np.arange(lo, hi))
-                while at < hi:  # a leader for each range of sizes that can be linked to it
+                while at < hi:  # leaders for each range of sizes that can be linked; by class, so lists agree on them
                     end = lo + int(np.searchsorted(n[lo:hi], n[at] * 100 // threshold, "right"))
-                    y = np.arange(at + 1, end)
-                    y = y[_fits(n[at], pos[at], n[y], pos[y], threshold)]
-                    a.append(np.full(len(y), cls[at]))
-                    b.append(cls[y])
+                    own = np.arange(at, end)
+                    chosen = own[np.argsort(cls[at:end])[:LEADERS]]
+                    for k, lead in enumerate(chosen):
+                        y = own[~np.isin(own, chosen[: k + 1])]
+                        y = y[_fits(n[lead], pos[lead], n[y], pos[y], threshold)]
+                        a.append(np.full(len(y), cls[lead]))
+                        b.append(cls[y])
                     at = max(end, at + 1)
             pa, pb = _unique_pairs(a, b)
             k = np.concatenate(long) if long else np.empty(0, np.int64)
