@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.sources.tables import cut
 
 MAX_DEPTH = 4
+CRAWL_DEPTH = 5
 SAMPLE = 12
 DAMPING = 0.85
 ROUNDS = 30

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.operators import audits as A
 from pagelake.operators import chunks as K
 from pagelake.operators import site as S
+from pagelake.sources.tables import cut
 
 from .fixtures import Fixture, expected
 
@@ -37,10 +38,10 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of users reached from the least one, over the links of rare event pairs."""
-    e = S.graph_edges(_links(spark, sf_dir)).where("(src * 7 + dst * 3) % 23 = 0")
+    """Depth of users reached from the least one over all links, down to a crawl's depth limit; the SQL below walks some links only."""
+    e = cut(S.graph_edges(_links(spark, sf_dir)))
     start = e.agg(F.min("src")).first()[0] or 0
-    return S.bfs(e, start, LEVELS)
+    return S.bfs(e, start, S.CRAWL_DEPTH)
 
 
 def most_linked(spark: SparkSession, sf_dir: str) -> DataFrame:

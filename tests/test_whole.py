@@ -1,8 +1,9 @@
 """Queries do the whole job: counts, walks and ranks against plain versions over small inputs."""
 
+import datetime
 from collections import Counter
 
-from pagelake.plans import page_queries
+from pagelake.plans import page_queries, site_queries
 
 
 def pages_dir(spark, path, pages):
@@ -21,3 +22,20 @@ def test_finding_summary_counts_every_check(spark, tmp_path):
     assert {p: (r.critical, r.high, r.low, r.info) for p, r in got.items()} == {p: tuple(c[s] for s in ("critical", "high", "low", "info")) for p, c in want.items()}
     assert all(r.faults == r.critical + r.high + r.low for r in got.values())
     assert got[0].critical == 3  # no title, noindex, insecure form
+
+
+def events_dir(spark, path, users):
+    """Users that act one after another on one day: a link from each to the next."""
+    t = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t + datetime.timedelta(seconds=i), u) for i, u in enumerate(users)], "event_id long, ts timestamp, user_id long").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_crawl_bfs_walks_all_links(spark, tmp_path):
+    users = [1, 2, 3, 4, 5, 6, 7, 8, 1, 20, 21, 3, 9, 9, 20, 7]
+    edges = {(a, b) for a, b in zip(users, users[1:], strict=False) if a != b}
+    want, front = {1: 0}, {1}
+    for d in range(1, 6):
+        front = {b for a, b in edges if a in front} - set(want)
+        want |= dict.fromkeys(front, d)
+    assert {r.node: r.depth for r in site_queries.crawl_bfs(spark, events_dir(spark, tmp_path / "sf", users)).collect()} == want
