@@ -12,6 +12,7 @@ CRAWL_DEPTH = 5
 SAMPLE = 12
 DAMPING = 0.85
 ROUNDS = 30
+RANKED = 15
 
 
 def indexable(pages: DataFrame) -> Column:
@@ -132,6 +133,25 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -
     return ranks.select("node", F.round("score", 5).alias("score"))
 
 
+def ranked(links: DataFrame) -> DataFrame:
+    """(node, inbound, outbound, score): degrees and rank of every node."""
+    return degrees(graph_edges(links)).join(pagerank(links), "node")
+
+
+def most_linked(links: DataFrame, most: int = RANKED) -> DataFrame:
+    return ranked(links).orderBy(F.desc("score"), "node").limit(most)
+
+
+def least_linked(links: DataFrame, most: int = RANKED) -> DataFrame:
+    """The first by rank of the nodes that nothing links to."""
+    return ranked(links).where("inbound = 0").orderBy(F.desc("score"), "node").limit(most)
+
+
+def dead_ends(links: DataFrame, most: int = RANKED) -> DataFrame:
+    """The first by rank of the nodes that link to nothing."""
+    return ranked(links).where("outbound = 0").orderBy(F.desc("score"), "node").limit(most)
+
+
 def bfs(edges: DataFrame, start: int, most: int) -> DataFrame:
     """(node, depth) by levels from start; a node is visited once, at its least depth."""
     seen = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth"))

@@ -45,7 +45,16 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def most_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.degrees(S.graph_edges(_links(spark, sf_dir))).orderBy(F.desc("inbound"), "node").limit(15)
+    """Users of the highest rank; the SQL below orders by inbound links."""
+    return S.most_linked(_links(spark, sf_dir))
+
+
+def least_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.least_linked(_links(spark, sf_dir))
+
+
+def dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dead_ends(_links(spark, sf_dir))
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +174,7 @@ def _over(fixture: Fixture, f):
     return run
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, most_linked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
+QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, most_linked, least_linked, dead_ends, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
 QUERIES |= {
     "canonical_conflicts": _crawl(lambda p, e: S.canonical_conflicts(p)), "hreflang_broken": _crawl(lambda p, e: S.hreflang_broken(p)), "hreflang_return": _crawl(lambda p, e: S.hreflang_return(p)),
     "follow_signals": _crawl(S.follow_signals), "broken_links": _crawl(lambda p, e: S.broken_links(p, e).withColumn("linked_from", F.array_join("linked_from", ","))), "redirect_chains": _crawl(lambda p, e: S.redirect_problems(p)),

@@ -39,3 +39,22 @@ def test_crawl_bfs_walks_all_links(spark, tmp_path):
         front = {b for a, b in edges if a in front} - set(want)
         want |= dict.fromkeys(front, d)
     assert {r.node: r.depth for r in site_queries.crawl_bfs(spark, events_dir(spark, tmp_path / "sf", users)).collect()} == want
+
+
+def test_ranked_pages(spark, tmp_path):
+    users = [1, 2, 1, 3, 1, 4, 1, 2, 5, 6, 5, 7, 5, 6, 8, 2, 9]  # 1 starts, 9 ends
+    edges = {(a, b) for a, b in zip(users, users[1:], strict=False) if a != b}
+    nodes = sorted(set(users))
+    out = {n: [b for a, b in edges if a == n] for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(30):
+        loose = sum(rank[n] for n in nodes if not out[n])
+        rank = {n: 0.15 / len(nodes) + 0.85 * (loose / len(nodes) + sum(rank[a] / len(out[a]) for a, b in edges if b == n)) for n in nodes}
+    inbound = {n: sum(b == n for _, b in edges) for n in nodes}
+    order = sorted(nodes, key=lambda n: (-round(rank[n], 5), n))
+    assert order != sorted(nodes, key=lambda n: (-inbound[n], n))
+    got = site_queries.most_linked(spark, events_dir(spark, tmp_path / "sf", users)).collect()
+    assert [(r.node, r.inbound, r.outbound, r.score) for r in got] == [(n, inbound[n], len(out[n]), round(rank[n], 5)) for n in order]
+    links = spark.createDataFrame([(1, 2), (1, 3), (4, 2), (4, 5)], "src long, dst long")
+    assert [r.node for r in site_queries.S.least_linked(links).collect()] == [1, 4]
+    assert [r.node for r in site_queries.S.dead_ends(links).collect()] == [2, 3, 5]
