@@ -57,6 +57,11 @@ def dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dead_ends(_links(spark, sf_dir))
 
 
+def pages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all pages; page_chunks has the odd cases."""
+    return K.page_chunks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that no order points to."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("url"))
@@ -174,7 +179,7 @@ def _over(fixture: Fixture, f):
     return run
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, most_linked, least_linked, dead_ends, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
+QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
 QUERIES |= {
     "canonical_conflicts": _crawl(lambda p, e: S.canonical_conflicts(p)), "hreflang_broken": _crawl(lambda p, e: S.hreflang_broken(p)), "hreflang_return": _crawl(lambda p, e: S.hreflang_return(p)),
     "follow_signals": _crawl(S.follow_signals), "broken_links": _crawl(lambda p, e: S.broken_links(p, e).withColumn("linked_from", F.array_join("linked_from", ","))), "redirect_chains": _crawl(lambda p, e: S.redirect_problems(p)),

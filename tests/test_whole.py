@@ -4,6 +4,7 @@ import datetime
 from collections import Counter
 
 from pagelake.plans import page_queries, site_queries
+from pagelake.plans.registry import QUERIES
 
 
 def pages_dir(spark, path, pages):
@@ -58,3 +59,15 @@ def test_ranked_pages(spark, tmp_path):
     links = spark.createDataFrame([(1, 2), (1, 3), (4, 2), (4, 5)], "src long, dst long")
     assert [r.node for r in site_queries.S.least_linked(links).collect()] == [1, 4]
     assert [r.node for r in site_queries.S.dead_ends(links).collect()] == [2, 3, 5]
+
+
+def test_pages_are_chunked(spark, tmp_path):
+    """Whole pages: every word of long, nested and unclosed ones is in a span, in page order."""
+    w = [f"w{i}" for i in range(1000)]
+    pages = ["<h1>Long</h1>" + "".join(f"<p>{' '.join(w[i : i + 50])}</p>" for i in range(0, 1000, 50)), "<div>" * 200 + f"<p>{' '.join(w[:30])}</p>", f"<h1>Open<p>{' '.join(w[:20])}<p>{' '.join(w[20:40])}"]
+    got = {}
+    for r in sorted(QUERIES["pages_chunked"](spark, pages_dir(spark, tmp_path / "sf", pages)).collect(), key=lambda r: (r.page_id, r.ord)):
+        assert r.stop - r.start == len(r.text) and len(r.text.split()) <= 220
+        got.setdefault(r.page_id, []).extend(r.text.split())
+    assert got[0] == w and got[1] == w[:30]
+    assert [x for x in got[2] if x != "Open"] == w[:40]
