@@ -12,12 +12,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import drop_scratch, scratch
+
 K1, B = 1.2, 0.75
 BLOCK = 4
 THRESHOLD = 0.5
@@ -59,20 +62,32 @@ def coverage(part: list[str], grams: set[tuple[str, ...]], n: int) -> float:
     return float(hit.mean())
 
 
+class Statistics(NamedTuple):
+    """Of all items with words: how many, their words, the longest's words, and items by word."""
+
+    n: int
+    total: int
+    longest: int
+    df: dict[str, int]
+
+
 class ItemIndex:
-    """Postings of normalised impacts, with the maximum of each block of item numbers."""
+    """Postings of normalised impacts, with the maximum of each block of item numbers.
+
+    Items that are a slice of a benchmark need the statistics of all of it.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None) -> None:
         items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0])) if words(t)]
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
         bags = [Counter(words(t)) for _, t in items]
-        df = Counter(t for b in bags for t in b)
-        n = len(items)
-        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         lens = [sum(b.values()) for b in bags]
-        mean = sum(lens) / max(1, n)
-        self.longest = max(lens, default=1)
+        of_all = of_all or Statistics(len(items), sum(lens), max(lens, default=1), Counter(t for b in bags for t in b))
+        n = of_all.n
+        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in of_all.df.items()}
+        mean = of_all.total / max(1, n)
+        self.longest = of_all.longest
         posts: dict[str, list[tuple[int, float]]] = {}
         for k, b in enumerate(bags):
             raw = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * lens[k] / mean)) for t, c in b.items()}
@@ -83,7 +98,7 @@ class ItemIndex:
         self.docs = [np.array([k for k, _ in p], np.int32) for p in posts.values()]
         self.impact = [np.array([x for _, x in p]) for p in posts.values()]
         self.most = np.array([x.max() for x in self.impact] + [0.0])  # the last one: words of no item
-        blocks = -(-n // BLOCK)
+        blocks = -(-len(items) // BLOCK)
         self.tops: list[tuple[np.ndarray, np.ndarray]] = []  # by term: the blocks it is in, and its most there
         for d, x in zip(self.docs, self.impact, strict=True):
             at = np.flatnonzero(np.concatenate(([True], d[1:] // BLOCK != d[:-1] // BLOCK)))
@@ -175,6 +190,30 @@ class ItemIndex:
         return out
 
 
+def _word_counts(items: DataFrame) -> DataFrame:
+    """(term, items, n, total, longest): a row of counts by word and batch, and one with a null term for the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            bags = [w for w in map(words, rows.column(0).to_pylist()) if w]
+            df = Counter(t for w in bags for t in set(w))
+            lens = [len(w) for w in bags]
+            zeros = [0] * len(df)
+            cols = [[*df, None], [*df.values(), 0], [*zeros, len(lens)], [*zeros, sum(lens)], [*zeros, max(lens, default=0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["term", "items", "n", "total", "longest"])
+
+    parts = items.select("text").mapInArrow(run, "term string, items long, n long, total long, longest long")
+    return parts.groupBy("term").agg(F.sum("items").alias("items"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest"))
+
+
+def _slice_statistics(counts: DataFrame, part: DataFrame) -> Statistics:
+    """The statistics of all items, by word for those of the slice only."""
+    own = _word_counts(part).select(F.col("term").alias("own"))
+    got = counts.join(own, F.col("term").eqNullSafe(F.col("own")), "left_semi").collect()  # as many as the slice has words
+    all_ = next(r for r in got if r["term"] is None)
+    return Statistics(all_["n"], all_["total"], max(1, all_["longest"]), {r["term"]: r["items"] for r in got if r["term"] is not None})
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every verified pair.
 
@@ -185,10 +224,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     slices = max(1, math.ceil(items.count() / max_items))
+    counts = None if slices == 1 else scratch(_word_counts(items), "item-words")
     out = None
     for s in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part.collect()]))  # about max_items rows
+        rows = [(r["item_id"], r["text"]) for r in part.collect()]  # about max_items rows
+        if not rows and slices > 1:
+            continue
+        index = spark.sparkContext.broadcast(ItemIndex(rows, None if slices == 1 else _slice_statistics(counts, part)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
@@ -200,5 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, schema)
         out = got if out is None else out.unionAll(got)
+    if counts is not None:
+        drop_scratch(counts)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap")
