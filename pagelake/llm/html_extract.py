@@ -4,7 +4,8 @@ Each paragraph gives points for its length and its commas to its ancestors (all
 to the next, then less); a container's points are discounted by the share of its text that is link
 text. The best container and those siblings that score or read like it are kept. Inside what is kept
 only boilerplate subtrees (menus, page headers and footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are left out.
+scripts, styles, reader comments) are left out. Forms and elements that only their names mark are
+doubtful: they stay if they hold the page's article or most of its text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SKIP = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "canvas", "object", "audio", "video", "math", "dialog", "menu", "input", "label", "fieldset"} | _RAW
+_SKIP = {"nav", "footer", "aside", "head", "button", "select", "svg", "canvas", "object", "audio", "video", "math", "dialog", "menu", "input", "label", "fieldset"} | _RAW
 _SKIP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 #: Words of class and id that mark boilerplate, matched as whole words of the attribute.
 _BAD = re.compile(
@@ -34,6 +35,10 @@ _BAD = re.compile(
     r"toc|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Names that a part of the text may have too: it stays inside an article if it reads like prose.
+_EITHER = {"side", "discussion", "legal", "overlay", "skip"}
+#: A name that says how a wrapper is laid out, not what it holds.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|page|post|story|text|hentry|blog)(?=$|[\s_-])", re.I)
 #: start tag -> open elements that it closes, up to the boundary elements
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -41,18 +46,19 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "bad", "good", "score", "chars", "links")
+    __slots__ = ("tag", "up", "kids", "bad", "good", "score", "chars", "links", "doubt")
 
-    def __init__(self, tag: str, up: _Node | None, bad: bool = False, good: int = 0) -> None:
-        self.tag, self.up, self.kids, self.bad, self.good = tag, up, [], bad, good
+    def __init__(self, tag: str, up: _Node | None, bad: bool = False, good: int = 0, doubt: int = 0) -> None:
+        self.tag, self.up, self.kids, self.bad, self.good, self.doubt = tag, up, [], bad, good, doubt
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
-def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int]:
-    """Whether the element is boilerplate, and the weight its names give it."""
+def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int, int]:
+    """Whether the element is boilerplate, the weight its names give it, and whether it may be boilerplate (2: by its kind or name; 1: by a name of _EITHER)."""
+    doubt = 2 if tag == "form" else 0
     bad = tag in _SKIP or (tag == "header" and not article)
     if not attrs or attrs.isspace() or tag in ("html", "body"):
-        return bad, 0
+        return bad, 0, doubt
     named, good = "", 0
     for m in _ATTR.finditer(attrs):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -63,10 +69,11 @@ def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int]:
         elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             bad = True
     if named and tag not in ("article", "main") and tag not in _HEADINGS:
-        bad |= bool(_BAD.search(named))
+        marks = {m[0].strip(" \t\r\n\f_-").lower() for m in _BAD.finditer(_LAYOUT.sub(" ", named))}
+        doubt = max(doubt, 0 if not marks else 1 if marks <= _EITHER else 2)
     if named and _GOOD.search(named):
         good = 25
-    return bad, good
+    return bad, good, doubt
 
 
 def _parse(page: str) -> _Node:
@@ -127,8 +134,8 @@ def _parse(page: str) -> _Node:
                 node = last.up
         if tag == "body" and node.tag == "head":
             node = node.up
-        bad, good = _marks(tag, m[3], article > 0)
-        new = _Node(tag, node, bad, good)
+        bad, good, doubt = _marks(tag, m[3], article > 0)
+        new = _Node(tag, node, bad, good, doubt)
         node.kids.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -149,6 +156,47 @@ def _walk(root: _Node) -> list[_Node]:
     return out
 
 
+def _settle(root: _Node) -> None:
+    """Decides on the doubtful elements: those that stay have no doubt left, the others are boilerplate."""
+    order = _walk(root)
+    if not any(x.doubt for x in order):
+        return
+    own = {id(x): sum(len(k.strip()) for k in x.kids if isinstance(k, str)) for x in order}
+    size, links, arts = dict(own), {id(x): own[id(x)] if x.tag == "a" else 0 for x in order}, dict.fromkeys(own, 0)
+    for x in reversed(order):
+        k = id(x)
+        if x.tag in ("article", "main") and size[k] - links[k] >= 25:
+            arts[k] += 1
+        if x.up is not None:
+            up = id(x.up)
+            size[up] += size[k]
+            links[up] += size[k] if x.tag == "a" else links[k]
+            arts[up] += arts[k]
+    plain = {k: size[k] - links[k] for k in size}
+    while True:
+        # articles that no doubtful element holds, and the outermost doubtful elements
+        free, outer, stack = False, [], [(root, False)]
+        while stack:
+            x, inside = stack.pop()
+            if x.bad:
+                continue
+            if x.doubt == 1 and inside and plain[id(x)] >= max(25, 0.75 * size[id(x)]):
+                x.doubt = 0
+            if x.doubt:
+                outer.append(x)
+                continue
+            free |= x.tag in ("article", "main") and plain[id(x)] >= 25
+            inside |= x.tag in ("article", "main") or x.good > 0
+            stack.extend((k, inside) for k in reversed(x.kids) if not isinstance(k, str))
+        stay = [] if free else [x for x in outer if arts[id(x)] or 2 * plain[id(x)] > plain[id(root)]]
+        for x in stay:
+            x.doubt = 0
+        if not stay:
+            for x in outer:
+                x.bad = True
+            return
+
+
 def _score(root: _Node) -> _Node:
     """The best container. Fills score, chars (text length) and links (link text length)."""
     order = _walk(root)
@@ -189,6 +237,7 @@ def _score(root: _Node) -> _Node:
 
 def _kept(root: _Node) -> list[_Node]:
     """The best container and the siblings kept with it."""
+    _settle(root)
     best = _score(root)
     while best.up is not None and best.tag in ("p", "li", "td", "tr", "tbody", "ul", "ol", "dl", "dd", "table", "blockquote", "pre"):
         best = best.up  # a list or a table is part of an article, not one

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagelake.llm import decontaminate
+from pagelake.llm import decontaminate, html_extract
 
 
 def test_slices_of_a_benchmark_score_as_all_of_it(spark):
@@ -24,3 +24,22 @@ def test_slices_of_a_benchmark_score_as_all_of_it(spark):
         cut = run(n)
         assert cut.keys() == whole.keys()
         assert all(cut[k] == pytest.approx(whole[k]) for k in whole)
+
+
+PROSE = ["The river was high, and the bridge, which was old, had to be closed for the week.", "People walked round by the mill, through the fields, and over the other, newer bridge.", "In the end, after long rain, the water fell, and all was as it had been before."]
+PARAS = "".join(f"<p>{x}</p>" for x in PROSE)
+ALL = "\n\n".join(PROSE)
+COMMENTS = "<div id=comments><ol class=commentlist><li><article class=comment-body><p>I liked this, really, very much, and so did my friends, all of them.</p></article></li></ol></div>"
+SHARE = "<div class=share-links>Share this, please, with all of your friends, and their friends too.</div>"
+SHELLS = {
+    "has": f"<div class='content has-sidebar'><article>{PARAS}</article></div>", "no": f"<div class=no-comments>{PARAS}</div>", "with": f"<div class=with-side-menu><main>{PARAS}</main></div>",
+    "form": f"<form action='/go'><input name=q><div>{PARAS}</div></form>", "wrapper": f"<div class=widget><article>{PARAS}</article></div>", "most": f"<div id=header><div>{PARAS}</div></div>",
+    "nested": f"<form><div class='page banner'><article>{PARAS}</article>{COMMENTS}</div></form>",
+    "section": f"<article><p>{PROSE[0]}</p><section id=discussion><p>{PROSE[1]}</p></section><p class=side>{PROSE[2]}</p></article>",
+    "comments": f"<article>{PARAS}{COMMENTS}{SHARE}</article>", "after": f"<article>{PARAS}</article>{COMMENTS}", "box": f"<article>{PARAS}<form><p>Write your name here, and your address, and we will send you letters.</p></form></article>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHELLS))
+def test_names_do_not_cut_the_main_text(name):
+    assert html_extract.main_text(f"<html><body><nav><a href=/>Home</a></nav>{SHELLS[name]}</body></html>") == ALL
