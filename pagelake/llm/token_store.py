@@ -26,10 +26,11 @@ SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Bytes of input for one file of tokens.
+FILE_BYTES = 128 << 20
 #: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
 CACHE, KEPT = 500_000, 250_000
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-_SPECIAL = "<|"
 
 
 class _Numbers(dict):
@@ -50,7 +51,8 @@ class ChunkEncoder:
 
     The byte-level pre-tokenizer always begins a piece at a single space or line feed between two
     other characters, and no merge crosses pieces; so a text cut there encodes chunk by chunk. A
-    text with other white space, doubled white space or white space at its ends is encoded whole.
+    text with other white space, doubled white space or white space at its ends is encoded whole,
+    and so is one that holds the string of an added token, which the tokenizer gives that token's id.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +60,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.at = _Numbers()
         self.flat, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0  # of flat
@@ -89,7 +92,7 @@ class ChunkEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.empty(0, np.int32)
-            elif _ODD.search(t) or _SPECIAL in t:
+            elif _ODD.search(t) or (self.added and self.added.search(t)):
                 whole.append(i)
             else:
                 # "\n" becomes a chunk of its own, other chunks keep the space before them
@@ -120,14 +123,21 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def _input_bytes(docs: DataFrame) -> int:
+    """Bytes of the files that docs reads, as the optimizer knows them; 0 if it does not."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode docs(doc_id, text, ...) and write them in ascending doc_id order.
 
     A null text is an empty one: only the end id. Rows that share a doc_id stay separate, next to
-    each other. Ranges of doc_id are cut by sampled quantiles, so files are alike in rows.
+    each other, null ids first. Ranges of doc_id are cut by sampled quantiles, so files are alike in
+    rows; their number follows the bytes of the input, and is the session's shuffle partitions at least.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _input_bytes(docs) // FILE_BYTES)
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

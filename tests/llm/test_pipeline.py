@@ -17,7 +17,6 @@ def test_pipeline(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = pipeline.run(spark, SF).collect()
     kept = {d: r for d, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}
