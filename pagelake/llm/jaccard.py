@@ -10,8 +10,10 @@ passed over whole.
 
 Skipping of answers: sets that are equal are one class. In a long list every set is first compared
 with a few leaders of like size only. A set found highly similar takes over its leader's component, and
-of the list only pairs between different components are still compared; all others' answers follow
-from those already computed. Components, sizes and membership are exact.
+of the list only pairs between different components are still open. Their answers are derived from the
+leaders' computed ones: a set m meets x in at most as many tokens as its leader does, and |m - leader|
+more. What these bounds leave open is bounded by signatures, and what is left is verified by the whole
+sets. Components, sizes and membership are exact.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classes import class_texts
+from .classes import class_texts, find_classes, row_key
 from .components import components
 from .hashing import gram_hashes, mix64, word_hashes
 from .util import drop_scratch, scratch
@@ -42,8 +44,11 @@ FREQUENT = 1 << 18
 LIST_ROWS = 20_000
 TILE_ROWS = 4096
 _GRAIN = 1024
-#: Bits of a set's signature: the parity of its tokens by hash. Signatures differ in no more bits than sets in tokens.
-SIGNATURE = 512
+#: Bits of a set's signature, the parity of its tokens by hash: a power of two near the set's size, within these bounds.
+#: Signatures differ in no more bits than sets in tokens.
+SIGNATURE = (512, 1 << 17)
+#: Bits that the signatures of a list's entries are folded to.
+FOLDED = 512
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -58,17 +63,37 @@ def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield shingle_set(w)
 
 
-def set_class(s: np.ndarray) -> int:
+def set_class(s: np.ndarray, step: int = 0x9E3779B97F4A7C15) -> int:
     """One number for a set; equal sets have equal numbers."""
     if not len(s):
         return 0
-    at = np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(step)
     x = np.array([np.add.reduce(mix64(s ^ at)) + np.uint64(len(s))], np.uint64)
     return int(mix64(x).view(np.int64)[0])
 
 
+def _hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two independent numbers: sets that agree in both are taken as equal."""
+    return set_class(s), set_class(s, 0xD1B54A32D192ED03)
+
+
 def signature(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+    bits = min(max(1 << max(len(s) - 1, 0).bit_length(), SIGNATURE[0]), SIGNATURE[1])
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sig: bytes, size: int) -> bytes:
+    """A signature brought down to `size` bytes, each half added to the other."""
+    while len(sig) > size:
+        half = len(sig) // 2
+        sig = (int.from_bytes(sig[:half], "little") ^ int.from_bytes(sig[half:], "little")).to_bytes(half, "little")
+    return sig
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ: at most as many as their sets differ in tokens."""
+    size = min(len(a), len(b))
+    return (int.from_bytes(fold(a, size), "little") ^ int.from_bytes(fold(b, size), "little")).bit_count()
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -85,7 +110,7 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for s in _sets(pdf["text"].tolist()):
-            if (c := set_class(s)) in seen:
+            if (c := _hashes(s)) in seen:
                 continue
             seen.add(c)
             held.append(s)
@@ -105,29 +130,32 @@ def frequent_tokens(docs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
     cut, total = None, 0
     for r in levels:
         total += r["tokens"]
-        if total > most:
+        if total > most and cut is not None:
             break
         cut = r["level"]
-    if cut is None:
+    if cut is None or not most:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    got = count.where(level >= cut).toPandas()
+    got = count.where(level >= cut)
+    if total > most and cut == levels[0]["level"]:  # one level alone is too many
+        got = got.orderBy(F.desc("n"), "token").limit(most)
+    got = got.toPandas()  # `most` rows at most
     drop_scratch(count)
     got = got.sort_values(["n", "token"])
     return got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
 
 
 def _index(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """(doc_id, n, cls, prefix, sig): the prefix in global order and the signature; null where the task already gave that class."""
+    """(doc_id, rk, n, h, chk, prefix, sig): the prefix in global order and the signature; null where the task already gave that class."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # FREQUENT rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for rows in batches:
             ns, classes, heads, sigs = [], [], [], []
             for s in _sets(rows.column(1).to_pylist()):
-                c = set_class(s)
+                c = _hashes(s)
                 ns.append(len(s))
                 classes.append(c)
                 if not len(s) or c in seen:
@@ -144,10 +172,11 @@ def _index(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
                     late = late[np.argsort(rank[i[last]])]
                     s = np.concatenate((s[~last], late))
                 heads.append(s[:p].view(np.int64))
-            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls", "prefix", "sig"])
+            h, chk = zip(*classes, strict=True) if classes else ((), ())
+            cols = [rows.column(0), rows.column(2), pa.array(ns, pa.int64()), pa.array(h, pa.int64()), pa.array(chk, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "n", "h", "chk", "prefix", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>, sig binary")
+    return row_key(docs).mapInArrow(run, "doc_id long, rk long, n long, h long, chk long, prefix array<long>, sig binary")
 
 
 def _fits(n1, p1, n2, p2, t: int):
@@ -188,7 +217,10 @@ def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _leaders(threshold: int):
-    """Sorted index entries -> candidate pairs (kind 0: a, b) and the entries of long lists (kind 1: a = token, b = class, n, pos)."""
+    """Sorted index entries -> candidate pairs (kind 0: a, b) and the entries of long lists (kind 1: a = token, b = class, n, pos, leads).
+
+    leads are the leaders of the entry's range of sizes, of which the entry itself may be one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _runs(batches, ["token", "salt"]):
@@ -199,7 +231,7 @@ def _leaders(threshold: int):
             head = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))))
             size = np.diff(np.concatenate((head, [len(token)])))
             whole = salt[head] == 0  # a dealt-out list counts as long, however few of its entries are here
-            a, b, long = [], [], []
+            a, b, long, leads = [], [], [], []
             for length in range(2, SHORT + 1):
                 at = head[whole & (size == length)]
                 for i in range(length):
@@ -216,23 +248,42 @@ def _leaders(threshold: int):
                     end = lo + int(np.searchsorted(n[lo:hi], n[at] * 100 // threshold, "right"))
                     own = np.arange(at, end)
                     chosen = own[np.argsort(cls[at:end])[:LEADERS]]
+                    leads.extend([cls[chosen]] * (end - at))
                     for k, lead in enumerate(chosen):
                         y = own[~np.isin(own, chosen[: k + 1])]
                         y = y[_fits(n[lead], pos[lead], n[y], pos[y], threshold)]
                         a.append(np.full(len(y), cls[lead]))
                         b.append(cls[y])
                     at = max(end, at + 1)
-            pa, pb = _unique_pairs(a, b)
+            first, second = _unique_pairs(a, b)
             k = np.concatenate(long) if long else np.empty(0, np.int64)
-            yield pd.DataFrame({"kind": np.repeat([0, 1], [len(pa), len(k)]).astype(np.int32), "a": np.concatenate((pa, token[k])), "b": np.concatenate((pb, cls[k])), "n": np.concatenate((np.zeros(len(pa), np.int64), n[k])), "pos": np.concatenate((np.zeros(len(pa), np.int64), pos[k]))})
+            none = np.zeros(len(first), np.int64)
+            yield pd.DataFrame({
+                "kind": np.repeat([0, 1], [len(first), len(k)]).astype(np.int32), "a": np.concatenate((first, token[k])), "b": np.concatenate((second, cls[k])),
+                "n": np.concatenate((none, n[k])), "pos": np.concatenate((none, pos[k])), "leads": pd.Series([None] * len(first) + leads, dtype=object),
+            })
 
     return run
 
 
+def _bounds(leads: list[np.ndarray], known: list[np.ndarray], sure: list[np.ndarray], n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each leader: (most tokens that each set shares with it, most tokens of each set that it lacks); infinite where unknown."""
+    out = {}
+    for i, (own, both, exact) in enumerate(zip(leads, known, sure, strict=True)):
+        for lead, k, x in zip(own, both, exact, strict=True):
+            if k >= 0:
+                most, rest = out.setdefault(lead, (np.full(len(n), np.inf), np.full(len(n), np.inf)))
+                most[i] = k
+                if x:
+                    rest[i] = n[i] - k
+    return list(out.values())
+
+
 def _across(threshold: int):
     """Entries of long lists with their components -> pairs between different components, block by block.
 
-    Pairs whose signatures differ in more bits than the threshold allows tokens cannot be linked.
+    Left out are pairs that the leaders' answers rule out, and those whose signatures differ in more
+    bits than the threshold allows tokens.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +294,8 @@ def _across(threshold: int):
                 if (comp == comp[0]).all():
                     continue
                 rest = n - pos
-                sig = np.frombuffer(b"".join(g["sig"]), np.uint64).reshape(len(g), -1)
+                bounds = _bounds(g["leads"].tolist(), g["known"].tolist(), g["sure"].tolist(), n)
+                sig = np.frombuffer(b"".join(fold(x, FOLDED // 8) for x in g["sig"]), np.uint64).reshape(len(g), -1)
                 blocks = [slice(i, min(i + _GRAIN, len(n))) for i in range(0, len(n), _GRAIN)]
                 a, b = [], []
                 for i, x in enumerate(blocks):
@@ -259,32 +311,51 @@ def _across(threshold: int):
                         if x is y:
                             ok = np.triu(ok, 1)
                         i1, i2 = np.nonzero(ok)
-                        apart = np.zeros(len(i1), np.int64)
+                        total = n[x][i1] + n[y][i2]
+                        for most, lack in bounds:
+                            both = np.minimum(most[x][i1] + lack[y][i2], lack[x][i1] + most[y][i2])
+                            near = (100 + threshold) * both >= threshold * total
+                            i1, i2, total = i1[near], i2[near], total[near]
+                        bits = np.zeros(len(i1), np.int64)
                         for k in range(sig.shape[1]):
-                            apart += np.bitwise_count(sig[x, k][i1] ^ sig[y, k][i2])
-                        near = (100 + threshold) * apart <= (100 - threshold) * (n[x][i1] + n[y][i2])
-                        i1, i2 = i1[near], i2[near]
-                        a.append(cls[x][i1])
-                        b.append(cls[y][i2])
-                pa, pb = _unique_pairs(a, b)
-                if len(pa):
-                    yield pd.DataFrame({"a": pa, "b": pb})
+                            bits += np.bitwise_count(sig[x, k][i1] ^ sig[y, k][i2])
+                        near = (100 + threshold) * bits <= (100 - threshold) * total
+                        a.append(cls[x][i1[near]])
+                        b.append(cls[y][i2[near]])
+                first, second = _unique_pairs(a, b)
+                if len(first):
+                    yield pd.DataFrame({"a": first, "b": second})
 
     return run
 
 
-def _classes(texts: list[str]) -> list[int]:
-    return [set_class(s) for s in _sets(texts)]
+def _classes(texts: list[str]) -> list[tuple[int, int]]:
+    return [_hashes(s) for s in _sets(texts)]
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, sa, nb, sb) -> (a, b, na, nb, most): how many tokens the sets share at most, by their signatures."""
+    for rows in batches:
+        na, nb = (rows.column(i).to_numpy() for i in (2, 4))
+        bits = np.fromiter(map(apart, rows.column(3).to_pylist(), rows.column(5).to_pylist()), np.int64, rows.num_rows)
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(4), pa.array((na + nb - bits) // 2)], names=["a", "b", "na", "nb", "most"])
+
 
+def _answers(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, reps: DataFrame, clashes: DataFrame | None, threshold: int) -> DataFrame:
+    """(a, b, na, nb, both, sure) for pairs(a, b) of classes: the tokens they share, or, if not sure, a bound that rules out a link.
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, by their whole texts."""
-    pairs = scratch(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = scratch(class_texts(docs, wanted, reps, _classes), "texts")
+    Only pairs that their signatures leave open move the whole texts.
+    """
+    of = lambda k: sigs.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    both = scratch(both.mapInArrow(_bounded, "a long, b long, na long, nb long, most long"), "bounded")
+    may = F.expr(f"{100 + threshold} * most >= {threshold} * (na + nb)")
+    open_ = both.where(may)
+    wanted = open_.select(F.col("a").alias("cls")).unionAll(open_.select(F.col("b").alias("cls"))).distinct()
+    texts = scratch(class_texts(docs, wanted, reps, clashes, _classes), "texts")
     # a leader's pairs may be a large share of all: so many of them to a task
-    many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 500).select(F.col("a").alias("k"), F.ceil(F.col("c") / 500).cast("long").alias("salts"))
-    dealt = pairs.join(many, F.col("a") == F.col("k"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
+    many = open_.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 500).select(F.col("a").alias("k"), F.ceil(F.col("c") / 500).cast("long").alias("salts"))
+    dealt = open_.join(many, F.col("a") == F.col("k"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
     dealt = scratch(dealt, "dealt")
     right = dealt.join(texts, F.col("b") == F.col("cls")).select("a", "salt", F.lit(1).alias("side"), "b", "z")
     left = dealt.select("a", "salt").distinct().join(texts, F.col("a") == F.col("cls")).select("a", "salt", F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), "z")  # no null: pandas would turn b to doubles
@@ -293,23 +364,27 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: int)
         unpack = zstandard.ZstdDecompressor()
         own, key = np.empty(0, np.uint64), None
         for pdf in batches:
-            a, b = [], []
+            out = []
             raw = [unpack.decompress(z).lower() for z in pdf["z"]]
             for x, y, side, w in zip(pdf["a"], pdf["b"], pdf["side"], word_hashes(raw), strict=True):
                 s = shingle_set(w)
                 if side == 0:
                     own, key = s, x
                 elif key == x:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= threshold * (len(own) + len(s) - both):
-                        a.append(x)
-                        b.append(int(y))
-            if a:
-                yield pd.DataFrame({"a": a, "b": b})
-
-    schema = "a long, b long"
+                    out.append((x, int(y), len(own), len(s), len(np.intersect1d(own, s, assume_unique=True))))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b", "na", "nb", "both"])
+
     sides = left.unionAll(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
-    return scratch(sides.mapInPandas(run, schema), "links")
+    sure = sides.mapInPandas(run, "a long, b long, na long, nb long, both long").withColumn("sure", F.lit(True))
+    out = scratch(sure.unionAll(both.where(~may).select("a", "b", "na", "nb", F.col("most").alias("both"), F.lit(False).alias("sure"))), "answers")
+    for x in (both, texts, dealt):
+        drop_scratch(x)
+    return out
+
+
+def _links(answers: DataFrame, threshold: int) -> DataFrame:
+    return answers.where(F.expr(f"sure AND {100 + threshold} * both >= {threshold} * (na + nb)")).select("a", "b")
 
 
 def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -317,12 +392,17 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Links are sets with 100 * |a & b| >= threshold * |a | b|. A document without words (or a null
     text) has an empty set, links with nothing and is its own component. Repeated texts are one
-    class; rows that share a doc_id count as one node. class_id tells equal sets apart from linked ones.
+    class; rows that share a doc_id count as one node each. A row with a null doc_id links by its text
+    like others; its component is the least id of the group, null if no row of the group has one.
+    class_id tells equal sets apart from linked ones.
     """
     spark = docs.sparkSession
     frequent, counts = frequent_tokens(docs)
-    index = scratch(_index(docs, frequent, threshold), "index")
-    reps = index.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    whole = scratch(_index(docs, frequent, threshold), "index")
+    index, reps, clashes = find_classes(whole)
+    sets = index.where("n > 0")
+    reps = reps.join(sets.select("cls").distinct(), "cls", "left_semi") if clashes is not None else reps.where("cls <> 0")  # the empty set has the hash 0
+    sigs = scratch(index.where(F.col("sig").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     entries = index.where(F.col("prefix").isNotNull()).select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
     hot = [(int(t), int(-(-c // LIST_ROWS))) for t, c in zip(frequent.view(np.int64), counts, strict=True) if c > LIST_ROWS]
     if hot:
@@ -332,26 +412,33 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         entries = entries.withColumn("salt", F.lit(0).cast("long"))
     entries = entries.select("token", "salt", "cls", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
     entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "cls")
-    found = scratch(entries.mapInPandas(_leaders(threshold), "kind int, a long, b long, n long, pos long"), "found")
-    links = _verify(found.where("kind = 0").select("a", "b"), docs, reps, threshold)
-    first = scratch(components(links), "first")
+    found = scratch(entries.mapInPandas(_leaders(threshold), "kind int, a long, b long, n long, pos long, leads array<long>"), "found")
+    index = scratch(index.select("doc_id", "n", "cls"), "documents")
+    drop_scratch(whole)
+    answers = _answers(found.where("kind = 0").select("a", "b"), sigs, docs, reps, clashes, threshold)
+    first = scratch(components(_links(answers, threshold)), "first")
 
     # what is left: long lists that hold several components
-    rows = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos")
-    rows = rows.join(first, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+    rows = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos", "leads")
+    rows = rows.join(first, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", "leads", F.coalesce("component", "cls").alias("comp"))
     rows = scratch(rows, "lists")
+    drop_scratch(found)
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(mixed, F.col("token") == F.col("k"))
-    sigs = index.where(F.col("sig").isNotNull()).groupBy("cls").agg(F.first("sig").alias("sig"))
-    rows = rows.join(sigs, "cls")
+    rows = rows.join(mixed, F.col("token") == F.col("k")).drop("k")
+    # the leaders' answers about each entry, LEADERS at most; a leader shares all its tokens with itself
+    told = rows.withColumn("lead", F.explode("leads")).drop("leads").join(answers.select("a", "b", "both", "sure"), (F.col("lead") == F.col("a")) & (F.col("cls") == F.col("b")), "left")
+    itself = F.col("lead") == F.col("cls")
+    told = told.withColumn("known", F.when(itself, F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))).withColumn("sure", itself | F.coalesce("sure", F.lit(False)))
+    rows = told.groupBy("token", "cls", "n", "pos", "comp", "blocks").agg(F.collect_list(F.struct("lead", "known", "sure")).alias("told"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", "sig", (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
+    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", F.col("told.lead").alias("leads"), F.col("told.known").alias("known"), F.col("told.sure").alias("sure"), (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
+    rows = rows.join(sigs.select(F.col("cls").alias("k"), "sig"), F.col("cls") == F.col("k")).drop("k")
     rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
     more = scratch(rows.mapInPandas(_across(threshold), "a long, b long"), "across")
     if not more.isEmpty():
-        late = _verify(more, docs, reps, threshold)
+        late = _links(_answers(more, sigs, docs, reps, clashes, threshold), threshold)
         links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)
         first = scratch(components(links), "both")
 

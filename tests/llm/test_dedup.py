@@ -81,6 +81,19 @@ def test_jaccard_odd_rows(spark):
     rows = jaccard.join_components(frame(spark, {5: "a b c d e f"}, [(5, "a b c d e f"), (None, "a b c d e f"), (7, None)])).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 5), (5, 5), (5, 5), (7, 7)]
     assert jaccard.join_components(frame(spark, {})).collect() == []
+    near, far = " ".join(f"n{i}" for i in range(60)), " ".join(f"m{i}" for i in range(60))
+    data = [(5, near), (None, near), (None, near + " x"), (None, far), (None, far + " y"), (9, "long " * 30_000 + near), (8, "LONG " * 30_000 + near)]
+    rows = jaccard.join_components(frame(spark, {}, data)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 0), (0, 5), (0, 5), (5, 5), (8, 5), (9, 5)]
+
+
+def test_jaccard_classes_of_one_hash(spark, monkeypatch):
+    """Sets whose first hash agrees stay apart by their second."""
+    plain = jaccard.set_class
+    monkeypatch.setattr(jaccard, "_hashes", lambda s: (plain(s) % 5, plain(s, 0xD1B54A32D192ED03)) if len(s) else (0, 0))
+    docs = corpus(4, 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(frame(spark, docs)).collect()}
+    assert got == plain_jaccard(docs)
 
 
 def test_components_of_a_long_path(spark):
