@@ -30,7 +30,23 @@ PAGE_BYTES = 256 << 10
 FILE_BYTES = 128 << 20
 #: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
 CACHE, KEPT = 500_000, 250_000
-_ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: Bytes of the unknown chunks that the tokenizer gets as one text.
+JOINED = 1 << 14
+#: White space besides the space and the line feed, and what the others begin with in UTF-8.
+_OTHER = re.compile(r"[^\S \n]")
+_OTHER_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_OTHER_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+_DOUBLED = ("  ", " \n", "\n ", "\n\n")
+
+
+def odd_space(t: str) -> bool:
+    """Whether a text (not empty) has other white space than single spaces and line feeds between two other characters."""
+    if t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _DOUBLED) or any(x in t for x in _OTHER_ASCII):
+        return True
+    if t.isascii():
+        return False
+    raw = t.encode("utf-8", "surrogatepass")
+    return any(x in raw for x in _OTHER_BYTES) and _OTHER.search(t) is not None
 
 
 class _Numbers(dict):
@@ -60,8 +76,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        vocab = self.tok.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each token: its name has a character for each
+        self.bytes[list(vocab.values())] = [len(t) for t in vocab]
         self.at = _Numbers()
         self.flat, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0  # of flat
@@ -74,16 +92,30 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        """Encode the chunks that were numbered since the last time."""
-        ids = self._whole(self.at.new)
-        n = np.array([len(x) for x in ids], dtype=np.int64)
-        lo, hi, end = len(self.at) - len(ids), len(self.at), self.used + int(n.sum())
+        """Encode the chunks that were numbered since the last time.
+
+        They are put together to texts, a line feed before each chunk that does not begin with a space,
+        as chunks do not touch each other; the tokens' bytes tell where each chunk ends.
+        """
+        new = self.at.new
+        lead = np.array([c[0] not in " \n" for c in new])
+        parts = [f"\n{c}" if x else c for c, x in zip(new, lead.tolist(), strict=True)]
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in parts])
+        cuts = np.flatnonzero(np.diff(ends // JOINED, prepend=-1, append=-1))
+        flat = np.concatenate(self._whole(["".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+        last = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
+        first = np.concatenate(([0], last[:-1])) + lead  # without the line feed put before it
+        n = last - first
+        keep = np.ones(len(flat), bool)
+        keep[first[lead] - 1] = False
+        flat = flat[keep]
+        lo, hi, end = len(self.at) - len(new), len(self.at), self.used + len(flat)
         if hi > len(self.start):
             self.start, self.length = (np.concatenate((x, np.empty(max(hi - len(x), len(x)), np.int64))) for x in (self.start, self.length))
         if end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(end - len(self.flat), len(self.flat)), np.int32)))
         self.start[lo:hi], self.length[lo:hi] = self.used + np.cumsum(n) - n, n
-        self.flat[self.used : end] = np.concatenate(ids)
+        self.flat[self.used : end] = flat
         self.used, self.at.new = end, []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -92,7 +124,7 @@ class ChunkEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.empty(0, np.int32)
-            elif _ODD.search(t) or (self.added and self.added.search(t)):
+            elif odd_space(t) or any(x in t for x in self.added):
                 whole.append(i)
             else:
                 # "\n" becomes a chunk of its own, other chunks keep the space before them
