@@ -21,20 +21,20 @@ def row_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
 
 
-def find_classes(index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def find_classes(index: DataFrame, has: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """index(doc_id, rk, h, chk, ...) -> (index with cls, reps(cls, rep, rk), clashes).
 
     h and chk are two independent 64-bit hashes; rows that agree in both are a class. Its name cls is
     h, or, if classes of different chk share an h, a number made of both; clashes holds those h.
-    rep is the least doc_id, null ids left out; rk is the key of one of the rows.
+    reps are of the rows that satisfy `has`: rep is the least doc_id, null ids left out, rk the key of one of the rows.
     """
-    per = index.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+    per = index.where(has).groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
     per = scratch(per, "classes")
     clashes = per.where("lo <> hi").select(F.col("h").alias("clash"))
     if clashes.isEmpty():
         return index.withColumnRenamed("h", "cls").drop("chk"), per.select(F.col("h").alias("cls"), "rep", "rk"), None
     index = name_classes(index, clashes).drop("h", "chk")
-    return index, index.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk")), clashes
+    return index, scratch(index.where(has).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk")), "named"), clashes
 
 
 def name_classes(df: DataFrame, clashes: DataFrame | None) -> DataFrame:

@@ -399,9 +399,7 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     frequent, counts = frequent_tokens(docs)
     whole = scratch(_index(docs, frequent, threshold), "index")
-    index, reps, clashes = find_classes(whole)
-    sets = index.where("n > 0")
-    reps = reps.join(sets.select("cls").distinct(), "cls", "left_semi") if clashes is not None else reps.where("cls <> 0")  # the empty set has the hash 0
+    index, reps, clashes = find_classes(whole, "n > 0")
     sigs = scratch(index.where(F.col("sig").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     entries = index.where(F.col("prefix").isNotNull()).select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
     hot = [(int(t), int(-(-c // LIST_ROWS))) for t, c in zip(frequent.view(np.int64), counts, strict=True) if c > LIST_ROWS]

@@ -2,21 +2,25 @@
 
 A passage counts as repeated if `length` consecutive words also occur in a document with a smaller
 doc_id. Suffixes are sampled at anchors: in each window of `length` words the anchor is the start of
-the k-word prefix with the least hash, so equal windows have equal anchors. Then
+the shortest prefix with the least hash, among the places that leave room for the longest prefix; so
+equal windows have equal anchors and share the longest prefix from there. Then
 
 1. prefixes are counted; one that occurs in a single document has no node deep enough and goes;
-2. suffixes with the remaining prefixes are dealt out, with the words around them, into groups that
-   fit in memory: a frequent prefix is dealt out to several groups, and what these leave open is
-   grouped again by a longer prefix, the window's own words;
-3. each group builds its subtree, as a suffix array named by prefix doubling; suffixes that share a
-   node of depth `length` carry the same passage, and all but those of the least doc_id are marked;
-4. marks become word spans, and the other words are kept.
+2. a prefix with more suffixes than a group may hold is split by further words, prefix by prefix,
+   until each group fits in memory; only documents with such a prefix are looked at again;
+3. each group builds its subtree, as a suffix array with the lengths of common prefixes; the internal
+   nodes of depth `length` and more are the repeats, and the windows under a node are marked but for
+   those of its least doc_id;
+4. what even the longest prefix does not split is one passage in very many documents: there the node
+   of depth `length` is the window itself, and its least doc_id comes from salted partial minima;
+5. marks become word spans, and the other words are kept.
 
 Documents with the same words are one class, entered once by its least doc_id.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -28,94 +32,136 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classes import class_texts
+from .classes import class_texts, find_classes, row_key
 from .hashing import gram_hashes, mix64, word_hashes
 from .util import scratch
 
 LENGTH = 50
-PREFIX = 8
-#: Suffixes of one prefix in one group.
+#: Lengths of prefixes, in words: the first is tried first, the others where more suffixes share it than a group holds.
+PREFIXES = (8, 16, 24)
+#: Suffixes in one group.
 GROUP_ROWS = 4000
 #: Words that a task puts into one suffix array.
 GROUP_WORDS = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def sequence_class(words: np.ndarray) -> int:
+def sequence_class(words: np.ndarray, step: int = 0x9E3779B97F4A7C15) -> int:
     """One number for a sequence of words."""
-    at = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(step)
     x = np.array([np.add.reduce(mix64(words ^ mix64(at))) + np.uint64(len(words))], np.uint64)
     return int(mix64(x).view(np.int64)[0])
 
 
-def _classes(texts: list[str]) -> list[int]:
-    return [sequence_class(w) for w in word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])]
+def _hashes(words: np.ndarray) -> tuple[int, int]:
+    """Two independent numbers: sequences that agree in both are taken as equal."""
+    return sequence_class(words), sequence_class(words, 0xD1B54A32D192ED03)
 
 
-def anchors(words: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hash, first window, last window) of each anchor; a window is named by its first word."""
-    grams = gram_hashes(words, prefix)
-    span = length - prefix + 1
+def _classes(texts: list[str]) -> list[tuple[int, int]]:
+    return [_hashes(w) for w in word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])]
+
+
+def anchors(words: np.ndarray, length: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window) of each anchor; a window is named by its first word."""
+    grams = gram_hashes(words, prefixes[0])[: max(len(words) - prefixes[-1] + 1, 0)]
+    span = length - prefixes[-1] + 1
     if len(grams) < span:
         e = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), e, e
+        return e, e, e
     # leftmost minimum of each span, by blocks: the view is not copied
     views = np.lib.stride_tricks.sliding_window_view(grams, span)
     at = np.concatenate([views[i : i + 65536].argmin(axis=1) for i in range(0, len(views), 65536)]) + np.arange(len(views))
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[first]], first, np.concatenate((first[1:], [len(at)])) - 1
+    return at[first], first, np.concatenate((first[1:], [len(at)])) - 1
+
 
+def heads(words: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the n words from each place."""
+    return gram_hashes(words, n)[places].view(np.int64)
 
-def _index(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(doc_id, n_words, cls, sha, heads, times): the anchors' prefixes and how often each occurs, null where the task already gave that class."""
+
+def _index(docs: DataFrame, length: int, prefixes: tuple[int, ...]) -> DataFrame:
+    """(doc_id, rk, n_words, h, chk, sha, heads, times): the anchors' first prefixes and how often each occurs, null where the task already gave that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for rows in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
-            ns, classes, heads, times = [], [], [], []
+            ns, classes, first, times = [], [], [], []
             for d, w in zip(rows.column(0).to_pylist(), word_hashes(raw), strict=True):
-                c = sequence_class(w)
+                c = _hashes(w)
                 ns.append(len(w))
                 classes.append(c)
                 if len(w) < length or d is None or c in seen:
-                    heads.append(None)
+                    first.append(None)
                     times.append(None)
                     continue
                 seen.add(c)
-                h, n = np.unique(anchors(w, length, prefix)[0], return_counts=True)
-                heads.append(h.view(np.int64))
+                h, n = np.unique(heads(w, anchors(w, length, prefixes)[0], prefixes[0]), return_counts=True)
+                first.append(h)
                 times.append(n.astype(np.int64))
             sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in raw]
-            cols = [rows.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(sha, pa.string()), pa.array(heads, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "cls", "sha", "heads", "times"])
+            h, chk = zip(*classes, strict=True) if classes else ((), ())
+            cols = [rows.column(0), rows.column(2), pa.array(ns, pa.int64()), pa.array(h, pa.int64()), pa.array(chk, pa.int64()), pa.array(sha, pa.string()), pa.array(first, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "n_words", "h", "chk", "sha", "heads", "times"])
+
+    return row_key(docs).mapInArrow(run, "doc_id long, rk long, n_words long, h long, chk long, sha string, heads array<long>, times array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, cls long, sha string, heads array<long>, times array<long>")
 
+def _longer(length: int, prefixes: tuple[int, ...], level: int):
+    """Documents with their crowded prefixes of one level -> the prefixes of the next level that these split into."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for pdf in batches:
+            out: dict[str, list] = {"cls": [], "head": [], "times": []}
+            for cls, crowded, w in zip(pdf["cls"], pdf["heads"], word_hashes([unpack.decompress(z) for z in pdf["z"]]), strict=True):
+                at = anchors(w, length, prefixes)[0]
+                at = at[np.isin(heads(w, at, prefixes[level]), crowded)]
+                h, n = np.unique(heads(w, at, prefixes[level + 1]), return_counts=True)
+                for k, v in zip(out, ([cls] * len(h), h.tolist(), n.tolist()), strict=True):
+                    out[k] += v
+            yield pd.DataFrame(out)
 
-def _suffixes(length: int, prefix: int):
+    return run
+
+
+def _suffixes(length: int, prefixes: tuple[int, ...]):
     """Candidate documents -> for each anchor with a shared prefix, the words that its windows need.
 
-    Anchors of a document with the same words are one row with all their places.
+    Anchors of a document with the same words are one row with all their places (kind 0). Where even
+    the longest prefix is crowded, each window is a row by its own words (kind 1: head and low are its key).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("head", "salt", "salts", "cls", "rep", "at", "n", "ctx")}  # at: all places
+            out: dict[str, list] = {k: [] for k in ("kind", "head", "low", "salt", "cls", "rep", "at", "n", "ctx")}  # at: all places
             raw = [unpack.decompress(z) for z in pdf["z"]]
-            for cls, rep, heads, salts, w in zip(pdf["cls"], pdf["rep"], pdf["heads"], pdf["salts"], word_hashes(raw), strict=True):
-                h, lo, hi = anchors(w, length, prefix)
-                deal = dict(zip(heads.tolist(), salts.tolist(), strict=True))
+            for cls, rep, levels, dealt, salts, w in zip(pdf["cls"], pdf["rep"], pdf["levels"], pdf["heads"], pdf["salts"], word_hashes(raw), strict=True):
+                at, lo, hi = anchors(w, length, prefixes)
+                open_ = np.ones(len(at), bool)
                 places: dict[tuple[int, bytes], list[int]] = {}
-                for x, a, b in zip(h.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    if x in deal:
-                        places.setdefault((x, w[a : b + length].tobytes()), []).append(a)
-                for (x, ctx), at in places.items():
-                    s = deal[x]
-                    own = zlib.crc32(b"%d %d" % (cls, at[0]))
-                    for k, v in zip(out, (x, own % s, s, cls, rep, at, len(ctx) // 8 - length + 1, ctx), strict=True):
-                        out[k].append(v)
+                for level, n in enumerate(prefixes):
+                    mine = levels == level
+                    if not mine.any():
+                        continue
+                    h = heads(w, at, n)
+                    deal = dict(zip(dealt[mine].tolist(), salts[mine].tolist(), strict=True))
+                    for i in np.flatnonzero(open_ & np.isin(h, dealt[mine])).tolist():
+                        open_[i] = False
+                        a, b, s = int(lo[i]), int(hi[i]), deal[int(h[i])]
+                        if not s:
+                            places.setdefault((int(h[i]), w[a : b + length].tobytes()), []).append(a)
+                            continue
+                        v = np.lib.stride_tricks.sliding_window_view(w[a : b + length], length)
+                        for k, key in enumerate(zip(gram_hashes_rows(v).view(np.int64).tolist(), gram_hashes_rows(v, 0xD1B54A32D192ED03).view(np.int64).tolist(), strict=True)):
+                            for c, x in zip(out, (1, *key, zlib.crc32(b"%d" % cls) % s, cls, rep, [a + k], 1, b""), strict=True):
+                                out[c].append(x)
+                for (x, ctx), own in places.items():
+                    for c, v in zip(out, (0, x, 0, 0, cls, rep, own, len(ctx) // 8 - length + 1, ctx), strict=True):
+                        out[c].append(v)
             yield pd.DataFrame(out)
 
     return run
@@ -125,21 +171,46 @@ def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each start the node of that depth it hangs under: equal numbers, equal `depth` words.
+def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the starts in the order of their next `depth` words, and how many of these each shares with the one before it.
 
-    Suffixes are named by their first 1, 2, 4, ... words (prefix doubling), the last step overlapping.
+    Words are named by their first 1, 2, 4, ... words (prefix doubling); the names give both the order and,
+    from the longest to the shortest, the common prefixes.
     """
-    name = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have * 2 <= depth:
-        name = _names(name[:-have], name[have:])
-        have *= 2
-    return _names(name[starts], name[starts + depth - have])
+    names = [np.unique(words, return_inverse=True)[1].astype(np.int64)]
+    while 2 << (len(names) - 1) <= depth:
+        have = 1 << (len(names) - 1)
+        names.append(_names(names[-1][:-have], names[-1][have:]))
+    have = 1 << (len(names) - 1)
+    order = np.argsort(_names(names[-1][starts], names[-1][starts + depth - have]), kind="stable")
+    x, y = starts[order[:-1]], starts[order[1:]]
+    common = np.zeros(max(len(order) - 1, 0), np.int64)
+    alive = np.ones(len(common), bool)
+    done = 0
+    while done < depth and len(common):  # greedy: as long steps as fit into what is left
+        step = min(len(names) - 1, (depth - done).bit_length() - 1)
+        same = alive & (names[step][x + done] == names[step][y + done])
+        common[same] += 1 << step
+        for k in range(step - 1, -1, -1):  # those that end here: by shorter steps
+            ends = alive & ~same
+            at = common[ends]
+            more = names[k][x[ends] + at] == names[k][y[ends] + at]
+            common[np.flatnonzero(ends)[more]] += 1 << k
+        alive &= same
+        done += 1 << step
+    return order, np.concatenate((np.zeros(min(len(order), 1), np.int64), common))
+
+
+def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """For each start the internal node of that depth or more it hangs under, the leaves of a node by one number."""
+    order, common = suffix_array(words, starts, depth)
+    node = np.empty(len(starts), np.int64)
+    node[order] = np.cumsum(common < depth) - 1
+    return node
 
 
 def _trees(length: int):
-    """Suffix groups -> marked windows (kind 0: cls, first, last) and windows left open (kind 1: key, cls, rep, first)."""
+    """Suffix groups -> marked windows (cls, first, last)."""
 
     def build(rows: list[pd.DataFrame]) -> pd.DataFrame | None:
         g = pd.concat(rows, ignore_index=True)
@@ -150,9 +221,6 @@ def _trees(length: int):
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = np.repeat(np.cumsum(size) - size, n) + offset
         node = deep_nodes(words, starts, length)
-        # groups of one prefix are apart by content; those of one prefix dealt out must be told apart by their salt
-        salt = g["salt"].to_numpy()[row]
-        node = _names(node, salt - salt.min(initial=0)) if salt.any() else node
         rep, cls = g["rep"].to_numpy()[row], g["cls"].to_numpy()[row]
         flat, many = np.concatenate(g["at"].to_numpy()).astype(np.int64), g["at"].str.len().to_numpy()
         begin = np.cumsum(many) - many
@@ -174,18 +242,7 @@ def _trees(length: int):
         c, p = c[order], p[order]
         head = np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] > p[:-1] + 1))) if len(c) else np.empty(0, bool)
         first, last = np.flatnonzero(head), np.concatenate((np.flatnonzero(head)[1:] - 1, [len(c) - 1])) if len(c) else np.empty(0, np.int64)
-        open_ = ~marked & (g["salts"].to_numpy()[row] > 1)
-        at, k = places(open_)
-        s = starts[k]
-        key = np.empty(len(s), np.uint64)
-        for i in range(0, len(s), 50_000):  # the longest prefix: all words of the window
-            w = words[s[i : i + 50_000, None] + np.arange(length)]
-            key[i : i + 50_000] = gram_hashes_rows(w)
-        return pd.DataFrame({
-            "kind": np.repeat([0, 1], [len(first), len(s)]).astype(np.int32),
-            "cls": np.concatenate((c[first], cls[k])), "first": np.concatenate((p[first], at)).astype(np.int32), "last": np.concatenate((p[last], at)).astype(np.int32),
-            "key": np.concatenate((np.zeros(len(first), np.int64), key.view(np.int64))), "rep": np.concatenate((np.zeros(len(first), np.int64), rep[k])),
-        })
+        return pd.DataFrame({"cls": c[first], "first": p[first].astype(np.int32), "last": p[last].astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -193,9 +250,9 @@ def _trees(length: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            key = pdf[["head", "salt"]].to_numpy()
+            key = pdf["head"].to_numpy()
             words = np.cumsum(pdf["ctx"].str.len().to_numpy() // 8)
-            new = np.flatnonzero(np.concatenate(([last is None or bool((key[0] != last).any())], (key[1:] != key[:-1]).any(axis=1))))
+            new = np.flatnonzero(np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1])))
             lo = 0
             for cut in new:  # only between groups
                 if size + words[cut - 1] * (cut > 0) - (words[lo - 1] if lo else 0) >= GROUP_WORDS:
@@ -213,11 +270,11 @@ def _trees(length: int):
     return run
 
 
-def gram_hashes_rows(w: np.ndarray) -> np.ndarray:
+def gram_hashes_rows(w: np.ndarray, step: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """One hash for each row of words."""
     out = w[:, 0].copy()
     for k in range(1, w.shape[1]):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + w[:, k]
+        out = out * np.uint64(step) + w[:, k]
     return mix64(out)
 
 
@@ -242,30 +299,52 @@ def _cut(length: int):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, with_text: bool = False) -> DataFrame:
+def _counted(entries: DataFrame) -> DataFrame:
+    """entries(cls, head, times) -> (head, c) of the prefixes that occur in two classes or more. A class may be entered by several tasks: it is one document still."""
+    per = entries.groupBy("head").agg(F.sum("times").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    return scratch(per.where("lo <> hi").select("head", "c"), "prefixes")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, prefixes: tuple[int, ...] = PREFIXES, with_text: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_words, n_removed, kept_sha256, spans), one row for each row of docs.
 
     spans are the removed words as [start, end). Null and empty texts have no words. Rows that share
     a doc_id do not remove each other's words; a null doc_id is in no order, so nothing is removed
     from such a row nor because of it. with_text adds kept_text of the documents that were cut.
+    `prefixes` rise and the last is at most `length`.
     """
-    index = scratch(_index(docs, length, prefix), "words")
-    reps = index.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    index = scratch(_index(docs, length, prefixes), "words")
+    index, reps, clashes = find_classes(index, f"n_words >= {length} AND doc_id IS NOT NULL")
     entries = index.where(F.col("heads").isNotNull()).select("cls", F.explode(F.arrays_zip("heads", "times")).alias("x")).select("cls", F.col("x.heads").alias("head"), F.col("x.times").alias("times"))
-    # a class may be entered by several tasks: it is one document still
-    shared = entries.groupBy("head").agg(F.sum("times").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    shared = scratch(shared.select("head", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("salts")), "prefixes")
-    lists = entries.join(shared, "head").groupBy("cls").agg(F.array_distinct(F.collect_list(F.struct("head", "salts"))).alias("x"))
-    lists = scratch(lists.join(reps, "cls").select("cls", "rep", F.col("x.head").alias("heads"), F.col("x.salts").alias("salts")), "candidates")
-    texts = scratch(class_texts(docs, lists.select("cls"), reps, _classes), "texts")
-    suffixes = lists.join(texts, "cls").select("cls", "rep", "heads", "salts", "z").mapInPandas(_suffixes(length, prefix), "head long, salt long, salts int, cls long, rep long, at array<int>, n int, ctx binary")
-    groups = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
-    found = scratch(groups.mapInPandas(_trees(length), "kind int, cls long, first int, last int, key long, rep long"), "marks")
-
-    left = found.where("kind = 1").select("key", "cls", "rep", "first")
-    least = left.groupBy("key").agg(F.min("rep").alias("least")).withColumnRenamed("key", "k")
-    late = left.join(least, F.col("key") == F.col("k")).where("rep > least").select("cls", "first", F.col("first").alias("last"))
-    marks = found.where("kind = 0").select("cls", "first", "last").unionAll(late)
+    shared = _counted(entries)
+    mine = scratch(entries.join(shared, "head").select("cls", "head", "c").distinct(), "candidates")
+    texts = scratch(class_texts(docs, mine.select("cls").distinct(), reps, clashes, _classes), "texts")
+    dealt = []
+    for level in range(len(prefixes)):
+        fits = mine.where(F.col("c") <= GROUP_ROWS)
+        dealt.append(fits.select("cls", F.lit(level).alias("level"), "head", F.lit(0).alias("salts")))
+        crowded = mine.where(F.col("c") > GROUP_ROWS)
+        if level == len(prefixes) - 1:
+            dealt.append(crowded.select("cls", F.lit(level).alias("level"), "head", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("salts")))
+        elif crowded.isEmpty():
+            break
+        else:
+            some = crowded.groupBy("cls").agg(F.collect_list("head").alias("heads")).join(texts, "cls")
+            entries = scratch(some.select("cls", "heads", "z").mapInPandas(_longer(length, prefixes, level), "cls long, head long, times long"), "longer")
+            mine = scratch(entries.join(_counted(entries), "head").select("cls", "head", "c"), "crowded")
+    lists = functools.reduce(DataFrame.unionAll, dealt).groupBy("cls").agg(F.collect_list(F.struct("level", "head", "salts")).alias("x"))  # a document's own anchors
+    lists = lists.join(reps.select("cls", "rep"), "cls").join(texts, "cls").select("cls", "rep", F.col("x.level").alias("levels"), F.col("x.head").alias("heads"), F.col("x.salts").alias("salts"), "z")
+    suffixes = scratch(lists.mapInPandas(_suffixes(length, prefixes), "kind int, head long, low long, salt int, cls long, rep long, at array<int>, n int, ctx binary"), "suffixes")
+    groups = suffixes.where("kind = 0").select("head", "cls", "rep", "at", "n", "ctx").repartition("head").sortWithinPartitions("head")
+    found = scratch(groups.mapInPandas(_trees(length), "cls long, first int, last int"), "marks")
+
+    # windows of crowded passages: no key's rows meet in one task, only its salted minima do
+    left = suffixes.where("kind = 1").select("head", "low", "salt", "cls", "rep", F.col("at")[0].alias("first"))
+    minima = scratch(left.groupBy("head", "low", "salt").agg(F.min("rep").alias("own")), "minima")
+    least = minima.groupBy("head", "low").agg(F.min("own").alias("least"))
+    minima = minima.drop("own").join(least, ["head", "low"])
+    late = left.join(minima, ["head", "low", "salt"]).where("rep > least").select("cls", "first", F.col("first").alias("last"))
+    marks = found.unionAll(late)
     marks = marks.groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("m")).select("cls", F.col("m.first").alias("first"), F.col("m.last").alias("last"))
     cut = marks.join(texts, "cls").mapInPandas(_cut(length), "k long, removed long, cut_sha string, spans array<struct<start:int,end:int>>, kept string")
     if not with_text:

@@ -49,10 +49,27 @@ def test_substring_dedup(spark, monkeypatch, group_rows):
     monkeypatch.setattr(substring_dedup, "GROUP_ROWS", group_rows)
     docs = corpus()
     docs[1000], docs[1001] = None, ""
+    docs[1002] = "long " * 40_000 + docs[1]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, docs)).collect()}
     assert got == plain_substring(docs)
 
 
+def test_suffix_array():
+    r = np.random.RandomState(2)
+    for depth in (3, 8, 21):
+        w = r.randint(0, 3, 400).astype(np.uint64)
+        starts = np.arange(len(w) - depth + 1)
+        order, common = substring_dedup.suffix_array(w, starts, depth)
+        sorted_ = [tuple(w[s : s + depth]) for s in starts[order]]
+        names = np.unique(w, return_inverse=True)[1]
+        assert sorted_ == sorted(tuple(w[s : s + depth]) for s in starts) and len(names) == len(w)
+        for k in range(1, len(order)):
+            a, b = sorted_[k - 1], sorted_[k]
+            assert common[k] == next((i for i in range(depth) if a[i] != b[i]), depth)
+        node = substring_dedup.deep_nodes(w, starts, depth)
+        assert len({(n, tuple(w[s : s + depth])) for n, s in zip(node, starts, strict=True)}) == len(set(node)) == len(set(sorted_))
+
+
 def test_substring_dedup_odd_rows(spark):
     t = " ".join(f"x{i}" for i in range(80))
     rows = substring_dedup.dedup(frame(spark, {1: t}, [(1, t), (None, t), (2, t + " y"), (3, "é " * 60)]), with_text=True).collect()
@@ -89,8 +106,10 @@ def test_jaccard_odd_rows(spark):
 
 def test_jaccard_classes_of_one_hash(spark, monkeypatch):
     """Sets whose first hash agrees stay apart by their second."""
-    plain = jaccard.set_class
-    monkeypatch.setattr(jaccard, "_hashes", lambda s: (plain(s) % 5, plain(s, 0xD1B54A32D192ED03)) if len(s) else (0, 0))
+    plain, sets = jaccard.set_class, jaccard._sets
+    weak = lambda s: (plain(s) % 5, plain(s, 0xD1B54A32D192ED03)) if len(s) else (0, 0)
+    monkeypatch.setattr(jaccard, "_hashes", weak)
+    monkeypatch.setattr(jaccard, "_classes", lambda texts: [weak(s) for s in sets(texts)])
     docs = corpus(4, 40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(frame(spark, docs)).collect()}
     assert got == plain_jaccard(docs)
