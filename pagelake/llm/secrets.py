@@ -4,12 +4,18 @@ Each rule's regex is turned into a Boolean query over trigrams (an OR of clauses
 trigrams that any match must contain). The index posts, for the trigrams that rules ask for, the
 documents that contain them; a rule's postings are intersected per clause, and only candidates are
 verified with the regex itself. A rule without a mandatory trigram scans every document in full.
+
+The index is built for the trigrams of the rules at hand, not kept for others: postings of all trigrams
+of a text are several times the text, those of the rules a small part of it. A bitmap of the candidates'
+ids, of bounded size, parts the documents into those that may be candidates, whose texts meet the
+candidates in a join, and the others, which stay where they lie.
 Everything on the executors is DataFrame functions; only the rules are analysed in Python.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as _c
 from re import _parser as _p
@@ -17,7 +23,11 @@ from re import _parser as _p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import scratch
+
 _MAX_SET = 256
+#: Bits of the bitmap of candidates: 16 for each, within these bounds. Beyond the upper one more texts are moved, none is lost.
+_LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
 
 
 @dataclass(frozen=True)
@@ -162,37 +172,43 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 _SPAN = "struct<start:int,at:int,end:int,kind:string,ok:boolean>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(lens: Column) -> Column:
+    """The running sums of an array of ints before each element, in time n * sqrt(n): by sums of blocks."""
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def summed(v: Column) -> Column:
+        a, width = v["a"], v["w"]
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1), lambda b: total(F.slice(a, b * width + 1, width)))
+        starts = _let(blocks, lambda s: F.transform(s, lambda _, k: total(F.slice(s, F.lit(1), k))))
+        return _let(starts, lambda s: F.transform(a, lambda _, k: F.get(s, F.floor(k / width).cast("int")) + total(F.slice(a, (F.floor(k / width) * width + 1).cast("int"), k % width))))
+
+    return _let(F.struct(lens.alias("a"), F.greatest(F.ceil(F.sqrt(F.size(lens))), F.lit(1)).cast("int").alias("w")), summed)
+
+
 def _spans(i: int, rule: Rule) -> Column:
     """Array of the rule's spans: the pieces p between matches and the matches m alternate."""
     m, p, g = F.col(f"m{i}"), F.col(f"p{i}"), F.col(f"g{i}" if rule.group else f"m{i}")
-    lens = F.transform(m, lambda x, k: F.struct(F.length(F.element_at(p, k + 1)).alias("gap"), F.length(x).alias("len"), F.length(F.element_at(g, k + 1)).alias("got")))
+    lengths = F.struct(*(F.transform(a, lambda x: F.length(x)).alias(k) for k, a in (("m", m), ("p", F.slice(p, F.lit(1), F.size(m))), ("g", g))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        end = start + x["len"]
-        span = F.struct(start.alias("start"), F.lit(i).alias("at"), end.alias("end"), F.lit(rule.kind).alias("kind"), (x["got"] >= rule.least).alias("ok"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
+    def walked(v: Column) -> Column:
+        steps = F.zip_with(v["m"], v["p"], lambda x, y: x + y)
+        each = F.arrays_zip(_before(steps).alias("before"), v["m"].alias("m"), v["p"].alias("p"), v["g"].alias("g"))
+        return F.transform(each, lambda x: F.struct(
+            (x["before"] + x["p"]).alias("start"), F.lit(i).alias("at"), (x["before"] + x["p"] + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"), (x["g"] >= rule.least).alias("ok")))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    walked = F.aggregate(lens, start, step, lambda acc: acc["out"])
-    return F.when(F.size(m) > 0, F.filter(walked, lambda x: x["ok"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(F.size(m) > 0, F.filter(_let(lengths, walked), lambda x: x["ok"])).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, n_<kind> of the base kinds, base_sha256, spans).
-
-    One row for each row of docs. Null and empty texts have no spans and the hash of an empty text.
-    Spans are kind:start:end in code points, end exclusive, by start and then by the rules' order;
-    matches of a kind are leftmost and do not overlap. Rows that share a doc_id share candidates,
-    each is verified on its own text. A null doc_id is an id like others.
-    """
-    found = candidates(docs, rules).withColumnRenamed("doc_id", "cand_id")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = base.join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left").drop("cand_id")
-    df = df.withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+def _found(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """df(doc_id, text, kinds) -> the result of scan; rules without trigrams run everywhere, others where kinds names them."""
     for i, r in enumerate(rules):
-        indexed = bool(trigram_query(r.pattern))
-        wanted = F.array_contains("kinds", r.kind) if indexed else F.lit(True)
+        wanted = F.array_contains("kinds", r.kind) if trigram_query(r.pattern) else F.lit(True)
         # a pass that skips failing matches may only be used where a failing match hides no other
         runs = re.fullmatch(r"(\w*)\[[^\]]+\]\+", r.pattern) and r.least and not r.group
         rx = f"{r.pattern[:-1]}{{{r.least - len(re.match(r'[A-Za-z]*', r.pattern)[0])},}}" if runs else r.pattern
@@ -216,6 +232,31 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_<kind> of the base kinds, base_sha256, spans).
+
+    One row for each row of docs. Null and empty texts have no spans and the hash of an empty text.
+    Spans are kind:start:end in code points, end exclusive, by start and then by the rules' order;
+    matches of a kind are leftmost and do not overlap. Rows that share a doc_id share candidates,
+    each is verified on its own text. A null doc_id is an id like others.
+    """
+    found = scratch(candidates(docs, rules).withColumnRenamed("doc_id", "cand_id"), "candidates")
+    bits = min(max(1 << (16 * found.count()).bit_length(), _LEAST_BITS), _MOST_BITS)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  buckets begin at 1
+    marks = found.groupBy(F.bitmap_bucket_number(bit("cand_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("cand_id"))).alias("marks"))
+    marks = scratch(marks, "marks")  # _MOST_BITS bits at most
+
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = base.join(F.broadcast(marks), F.bitmap_bucket_number(bit("doc_id")) == F.col("bucket"), "left")
+    place = F.bitmap_bit_position(bit("doc_id"))
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.expr("getbit(byte, cast(place % 8 as int)) = 1"), F.lit(False))
+    base = base.withColumn("byte", byte).withColumn("place", place).withColumn("may", may).select("doc_id", "text", "may")
+    moved = base.where("may").drop("may").join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left").drop("cand_id")
+    none = F.array().cast("array<string>")
+    return _found(moved.withColumn("kinds", F.coalesce("kinds", none)), rules).unionAll(_found(base.where("NOT may").drop("may").withColumn("kinds", none), rules))
+
+
 def scan_sql(rules: tuple[Rule, ...] = RULES, docs: str = "documents") -> str:
     """The same result for DuckDB, by the full scan of every document."""
     def quoted(x: str) -> str:

@@ -1,6 +1,7 @@
 """Token files, mixing, decontamination, secrets, lines, languages and HTML, on small tables and odd rows."""
 
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -55,6 +56,12 @@ def test_secrets(spark):
     df = secrets.scan(frame(spark, SECRETS))
     cols, want = in_duckdb(SECRETS, secrets.scan_sql())
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(cols, want)
+    many = [(1, "0123456789abcdef" * 2 + " password=hunter22 ", "", ""), (2, ("0123456789abcdef" * 2 + " é ") * 20_000 + "token=abcdefgh", "", "")]
+    began = time.time()
+    two = {r.doc_id: r for r in secrets.scan(frame(spark, many)).collect()}
+    assert time.time() - began < 30 and two[2].n_hex == 20_000 and two[2].n_assign == 1
+    starts = [int(x.split(":")[1]) for x in two[2].spans.split(",")]
+    assert starts == [35 * i for i in range(20_001)]
     one = {r.doc_id: r for r in df.where("doc_id in (2, 6)").collect()}
     assert one[2].n_assign == 0 and one[6].n_assign == 2
     assert secrets.scan(frame(spark, [])).collect() == []
