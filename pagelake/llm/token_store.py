@@ -31,11 +31,13 @@ FILE_BYTES = 128 << 20
 #: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
 CACHE, KEPT = 500_000, 250_000
 #: Bytes of the unknown chunks that the tokenizer gets as one text.
-JOINED = 1 << 14
+JOINED = 1 << 11
 #: White space besides the space and the line feed, and what the others begin with in UTF-8.
 _OTHER = re.compile(r"[^\S \n]")
 _OTHER_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
 _OTHER_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+#: Marks a chunk that follows no space; texts that hold it are encoded whole.
+_BARE = "\x00"
 _DOUBLED = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -94,12 +96,12 @@ class ChunkEncoder:
     def _learn(self) -> None:
         """Encode the chunks that were numbered since the last time.
 
-        They are put together to texts, a line feed before each chunk that does not begin with a space,
-        as chunks do not touch each other; the tokens' bytes tell where each chunk ends.
+        They are put together to texts, a line feed before each chunk that follows no space, as chunks
+        do not touch each other; the tokens' bytes tell where each chunk ends.
         """
         new = self.at.new
-        lead = np.array([c[0] not in " \n" for c in new])
-        parts = [f"\n{c}" if x else c for c, x in zip(new, lead.tolist(), strict=True)]
+        lead = np.array([c[0] == _BARE for c in new])
+        parts = ["\n" + c[1:] if c[0] == _BARE else c if c == "\n" else " " + c for c in new]
         ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in parts])
         cuts = np.flatnonzero(np.diff(ends // JOINED, prepend=-1, append=-1))
         flat = np.concatenate(self._whole(["".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
@@ -118,31 +120,37 @@ class ChunkEncoder:
         self.flat[self.used : end] = flat
         self.used, self.at.new = end, []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole, cut = [], []
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many are of each)."""
+        whole, cut, chunks, many = [], [], [], []
         for i, t in enumerate(texts):
             if not t:
-                out[i] = np.empty(0, np.int32)
-            elif odd_space(t) or any(x in t for x in self.added):
+                continue
+            if odd_space(t) or _BARE in t or any(x in t for x in self.added):
                 whole.append(i)
-            else:
-                # "\n" becomes a chunk of its own, other chunks keep the space before them
-                cut.append((i, t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None))
-        whole += [i for i, c in cut if c is None]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                continue
+            # a chunk is what a space precedes; a line feed is one of its own, and marks the chunk after it
+            c = (_BARE + t.replace("\n", " \n " + _BARE) if "\n" in t else _BARE + t).split(" ")
+            cut.append(i)
+            many.append(len(c))
+            chunks += c
         if len(self.at) > CACHE:
             self._shrink()
-        number = self.at.__getitem__
-        numbered = [(i, np.fromiter(map(number, c), dtype=np.int64, count=len(c))) for i, c in cut if c is not None]
+        k = np.fromiter(map(self.at.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.at.new:
             self._learn()
-        for i, k in numbered:
-            n = self.length[k]
-            ends = np.cumsum(n)
-            out[i] = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)]
-        return out  # type: ignore[return-value]
+        n = self.length[k]
+        ends = np.cumsum(n)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)] if len(k) else np.empty(0, np.int32)
+        size = np.zeros(len(texts), np.int64)
+        if cut:
+            size[cut] = np.add.reduceat(n, np.cumsum(many) - many)
+        if whole:  # put between the others
+            out = np.split(ids, np.cumsum(size)[:-1])
+            for i, x in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+                out[i], size[i] = x, len(x)
+            ids = np.concatenate(out)
+        return ids, size
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -179,11 +187,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
-                ids = [np.append(x, np.int32(end_id)) for x in enc.encode(b.column(1).to_pylist())]
-                lens = np.array([len(x) for x in ids], dtype=np.int64)
+                flat, lens = enc.encode(b.column(1).to_pylist())
+                flat = np.insert(flat, np.cumsum(lens), np.int32(end_id))
+                lens += 1
                 offsets = np.concatenate(([0], np.cumsum(lens)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(lens), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))],
+                    [b.column(0), pa.array(np.full(len(lens), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(lens), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
                     names=["doc_id", "part", "at", "n_tokens", "ids"],
                 )
                 at += int(offsets[-1])
