@@ -18,6 +18,8 @@ sets. Components, sizes and membership are exact.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .classes import class_texts, find_classes, row_key
 from .components import components
-from .hashing import gram_hashes, mix64, word_hashes
+from .hashing import gram_hashes, word_hashes
 from .util import drop_scratch, scratch
 
 SHINGLE = 5
@@ -63,18 +65,9 @@ def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield shingle_set(w)
 
 
-def set_class(s: np.ndarray, step: int = 0x9E3779B97F4A7C15) -> int:
-    """One number for a set; equal sets have equal numbers."""
-    if not len(s):
-        return 0
-    at = np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(step)
-    x = np.array([np.add.reduce(mix64(s ^ at)) + np.uint64(len(s))], np.uint64)
-    return int(mix64(x).view(np.int64)[0])
-
-
 def _hashes(s: np.ndarray) -> tuple[int, int]:
-    """Two independent numbers: sets that agree in both are taken as equal."""
-    return set_class(s), set_class(s, 0xD1B54A32D192ED03)
+    """Two independent numbers of a set: sets that agree in both are taken as equal."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest()) if len(s) else (0, 0)
 
 
 def signature(s: np.ndarray) -> bytes:
