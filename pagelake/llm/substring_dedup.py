@@ -11,8 +11,9 @@ equal windows have equal anchors and share the longest prefix from there. Then
 3. each group builds its subtree, as a suffix array with the lengths of common prefixes; the internal
    nodes of depth `length` and more are the repeats, and the windows under a node are marked but for
    those of its least doc_id;
-4. what even the longest prefix does not split is one passage in very many documents: there the node
-   of depth `length` is the window itself, and its least doc_id comes from salted partial minima;
+4. what even the longest prefix does not split is one passage in very many documents: it is dealt out to
+   several groups, each marks all but its own least document, and what is left, a document a group and
+   window, is settled by the node of depth `length`, the window itself;
 5. marks become word spans, and the other words are kept.
 
 Documents with the same words are one class, entered once by its least doc_id.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ from .util import scratch
 
 LENGTH = 50
 #: Lengths of prefixes, in words: the first is tried first, the others where more suffixes share it than a group holds.
-PREFIXES = (8, 16, 24)
+PREFIXES = (8, 16)
 #: Suffixes in one group.
 GROUP_ROWS = 4000
 #: Words that a task puts into one suffix array.
@@ -46,20 +48,13 @@ GROUP_WORDS = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def sequence_class(words: np.ndarray, step: int = 0x9E3779B97F4A7C15) -> int:
-    """One number for a sequence of words."""
-    at = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(step)
-    x = np.array([np.add.reduce(mix64(words ^ mix64(at))) + np.uint64(len(words))], np.uint64)
-    return int(mix64(x).view(np.int64)[0])
-
-
-def _hashes(words: np.ndarray) -> tuple[int, int]:
-    """Two independent numbers: sequences that agree in both are taken as equal."""
-    return sequence_class(words), sequence_class(words, 0xD1B54A32D192ED03)
+def _class(sha: bytes) -> tuple[int, int]:
+    """Two independent numbers of a word sequence, from the hash of its words joined by one space."""
+    return struct.unpack("<qq", sha[:16])
 
 
 def _classes(texts: list[str]) -> list[tuple[int, int]]:
-    return [_hashes(w) for w in word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])]
+    return [_class(hashlib.sha256(b" ".join(t.encode("utf-8", "surrogatepass").split())).digest()) for t in texts]
 
 
 def anchors(words: np.ndarray, length: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,9 +83,10 @@ def _index(docs: DataFrame, length: int, prefixes: tuple[int, ...]) -> DataFrame
         seen: set[tuple[int, int]] = set()
         for rows in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
+            sha = [hashlib.sha256(b" ".join(t.split())).digest() for t in raw]
             ns, classes, first, times = [], [], [], []
-            for d, w in zip(rows.column(0).to_pylist(), word_hashes(raw), strict=True):
-                c = _hashes(w)
+            for d, x, w in zip(rows.column(0).to_pylist(), sha, word_hashes(raw), strict=True):
+                c = _class(x)
                 ns.append(len(w))
                 classes.append(c)
                 if len(w) < length or d is None or c in seen:
@@ -101,9 +97,8 @@ def _index(docs: DataFrame, length: int, prefixes: tuple[int, ...]) -> DataFrame
                 h, n = np.unique(heads(w, anchors(w, length, prefixes)[0], prefixes[0]), return_counts=True)
                 first.append(h)
                 times.append(n.astype(np.int64))
-            sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in raw]
             h, chk = zip(*classes, strict=True) if classes else ((), ())
-            cols = [rows.column(0), rows.column(2), pa.array(ns, pa.int64()), pa.array(h, pa.int64()), pa.array(chk, pa.int64()), pa.array(sha, pa.string()), pa.array(first, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            cols = [rows.column(0), rows.column(2), pa.array(ns, pa.int64()), pa.array(h, pa.int64()), pa.array(chk, pa.int64()), pa.array([x.hex() for x in sha], pa.string()), pa.array(first, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "n_words", "h", "chk", "sha", "heads", "times"])
 
     return row_key(docs).mapInArrow(run, "doc_id long, rk long, n_words long, h long, chk long, sha string, heads array<long>, times array<long>")
@@ -130,38 +125,43 @@ def _longer(length: int, prefixes: tuple[int, ...], level: int):
 def _suffixes(length: int, prefixes: tuple[int, ...]):
     """Candidate documents -> for each anchor with a shared prefix, the words that its windows need.
 
-    Anchors of a document with the same words are one row with all their places (kind 0). Where even
-    the longest prefix is crowded, each window is a row by its own words (kind 1: head and low are its key).
+    Anchors of a document with the same words are one row with all their places.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("kind", "head", "low", "salt", "cls", "rep", "at", "n", "ctx")}  # at: all places
+            out: dict[str, list] = {k: [] for k in ("head", "salt", "salts", "cls", "rep", "at", "n", "ctx")}  # at: all places
             raw = [unpack.decompress(z) for z in pdf["z"]]
             for cls, rep, levels, dealt, salts, w in zip(pdf["cls"], pdf["rep"], pdf["levels"], pdf["heads"], pdf["salts"], word_hashes(raw), strict=True):
                 at, lo, hi = anchors(w, length, prefixes)
-                open_ = np.ones(len(at), bool)
-                places: dict[tuple[int, bytes], list[int]] = {}
+                deal, share = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # the group's prefix, and how many groups it has
                 for level, n in enumerate(prefixes):
-                    mine = levels == level
-                    if not mine.any():
-                        continue
-                    h = heads(w, at, n)
-                    deal = dict(zip(dealt[mine].tolist(), salts[mine].tolist(), strict=True))
-                    for i in np.flatnonzero(open_ & np.isin(h, dealt[mine])).tolist():
-                        open_[i] = False
-                        a, b, s = int(lo[i]), int(hi[i]), deal[int(h[i])]
-                        if not s:
-                            places.setdefault((int(h[i]), w[a : b + length].tobytes()), []).append(a)
-                            continue
-                        v = np.lib.stride_tricks.sliding_window_view(w[a : b + length], length)
-                        for k, key in enumerate(zip(gram_hashes_rows(v).view(np.int64).tolist(), gram_hashes_rows(v, 0xD1B54A32D192ED03).view(np.int64).tolist(), strict=True)):
-                            for c, x in zip(out, (1, *key, zlib.crc32(b"%d" % cls) % s, cls, rep, [a + k], 1, b""), strict=True):
-                                out[c].append(x)
-                for (x, ctx), own in places.items():
-                    for c, v in zip(out, (0, x, 0, 0, cls, rep, own, len(ctx) // 8 - length + 1, ctx), strict=True):
-                        out[c].append(v)
+                    mine = np.flatnonzero(levels == level)
+                    if len(mine):
+                        mine = mine[np.argsort(dealt[mine])]
+                        h = heads(w, at, n)
+                        i = mine[np.minimum(np.searchsorted(dealt[mine], h), len(mine) - 1)]
+                        found = (share == 0) & (dealt[i] == h)
+                        deal[found], share[found] = h[found], salts[i[found]]
+                k = np.flatnonzero(share)
+                words = w.tobytes()
+                head, first = deal[k].tolist(), lo[k].tolist()
+                ctx = [words[8 * a : 8 * (b + length)] for a, b in zip(first, hi[k].tolist(), strict=True)]
+                places: dict[tuple[int, bytes], list[int]] = {}
+                for x, c, a in zip(head, ctx, first, strict=True):
+                    places.setdefault((x, c), []).append(a)
+                of = dict(zip(head, share[k].tolist(), strict=True))
+                own = zlib.crc32(b"%d" % cls)
+                rows = len(places)
+                out["head"] += [x for x, _ in places]
+                out["salts"] += [of[x] for x, _ in places]
+                out["salt"] += [(own + a[0]) % of[x] for (x, _), a in places.items()]
+                out["cls"] += [cls] * rows
+                out["rep"] += [rep] * rows
+                out["at"] += places.values()
+                out["n"] += [len(c) // 8 - length + 1 for _, c in places]
+                out["ctx"] += [c for _, c in places]
             yield pd.DataFrame(out)
 
     return run
@@ -210,7 +210,7 @@ def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _trees(length: int):
-    """Suffix groups -> marked windows (cls, first, last)."""
+    """Suffix groups -> marked windows (kind 0: cls, first, last) and windows left open (kind 1: key, low, cls, rep, first)."""
 
     def build(rows: list[pd.DataFrame]) -> pd.DataFrame | None:
         g = pd.concat(rows, ignore_index=True)
@@ -221,6 +221,9 @@ def _trees(length: int):
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = np.repeat(np.cumsum(size) - size, n) + offset
         node = deep_nodes(words, starts, length)
+        # groups of one prefix are apart by content; those of one prefix dealt out must be told apart by their salt
+        salt = g["salt"].to_numpy()[row].astype(np.int64)
+        node = _names(node, salt) if salt.any() else node
         rep, cls = g["rep"].to_numpy()[row], g["cls"].to_numpy()[row]
         flat, many = np.concatenate(g["at"].to_numpy()).astype(np.int64), g["at"].str.len().to_numpy()
         begin = np.cumsum(many) - many
@@ -242,7 +245,18 @@ def _trees(length: int):
         c, p = c[order], p[order]
         head = np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] > p[:-1] + 1))) if len(c) else np.empty(0, bool)
         first, last = np.flatnonzero(head), np.concatenate((np.flatnonzero(head)[1:] - 1, [len(c) - 1])) if len(c) else np.empty(0, np.int64)
-        return pd.DataFrame({"cls": c[first], "first": p[first].astype(np.int32), "last": p[last].astype(np.int32)})
+        at, k = places(~marked & (g["salts"].to_numpy()[row] > 1))
+        s = starts[k]
+        key = np.empty((2, len(s)), np.uint64)
+        for i in range(0, len(s), 50_000):  # the node itself: all words of the window
+            w = words[s[i : i + 50_000, None] + np.arange(length)]
+            key[0, i : i + 50_000], key[1, i : i + 50_000] = gram_hashes_rows(w), gram_hashes_rows(w, 0xD1B54A32D192ED03)
+        none = np.zeros(len(first), np.int64)
+        return pd.DataFrame({
+            "kind": np.repeat([0, 1], [len(first), len(s)]).astype(np.int32), "cls": np.concatenate((c[first], cls[k])), "rep": np.concatenate((none, rep[k])),
+            "first": np.concatenate((p[first], at)).astype(np.int32), "last": np.concatenate((p[last], at)).astype(np.int32),
+            "key": np.concatenate((none, key[0].view(np.int64))), "low": np.concatenate((none, key[1].view(np.int64))),
+        })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -250,9 +264,9 @@ def _trees(length: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            key = pdf["head"].to_numpy()
+            key = pdf[["head", "salt"]].to_numpy()
             words = np.cumsum(pdf["ctx"].str.len().to_numpy() // 8)
-            new = np.flatnonzero(np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1])))
+            new = np.flatnonzero(np.concatenate(([last is None or bool((key[0] != last).any())], (key[1:] != key[:-1]).any(axis=1))))
             lo = 0
             for cut in new:  # only between groups
                 if size + words[cut - 1] * (cut > 0) - (words[lo - 1] if lo else 0) >= GROUP_WORDS:
@@ -322,7 +336,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, prefixes: tuple[int, ...] = PRE
     dealt = []
     for level in range(len(prefixes)):
         fits = mine.where(F.col("c") <= GROUP_ROWS)
-        dealt.append(fits.select("cls", F.lit(level).alias("level"), "head", F.lit(0).alias("salts")))
+        dealt.append(fits.select("cls", F.lit(level).alias("level"), "head", F.lit(1).alias("salts")))
         crowded = mine.where(F.col("c") > GROUP_ROWS)
         if level == len(prefixes) - 1:
             dealt.append(crowded.select("cls", F.lit(level).alias("level"), "head", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("salts")))
@@ -334,17 +348,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, prefixes: tuple[int, ...] = PRE
             mine = scratch(entries.join(_counted(entries), "head").select("cls", "head", "c"), "crowded")
     lists = functools.reduce(DataFrame.unionAll, dealt).groupBy("cls").agg(F.collect_list(F.struct("level", "head", "salts")).alias("x"))  # a document's own anchors
     lists = lists.join(reps.select("cls", "rep"), "cls").join(texts, "cls").select("cls", "rep", F.col("x.level").alias("levels"), F.col("x.head").alias("heads"), F.col("x.salts").alias("salts"), "z")
-    suffixes = scratch(lists.mapInPandas(_suffixes(length, prefixes), "kind int, head long, low long, salt int, cls long, rep long, at array<int>, n int, ctx binary"), "suffixes")
-    groups = suffixes.where("kind = 0").select("head", "cls", "rep", "at", "n", "ctx").repartition("head").sortWithinPartitions("head")
-    found = scratch(groups.mapInPandas(_trees(length), "cls long, first int, last int"), "marks")
-
-    # windows of crowded passages: no key's rows meet in one task, only its salted minima do
-    left = suffixes.where("kind = 1").select("head", "low", "salt", "cls", "rep", F.col("at")[0].alias("first"))
-    minima = scratch(left.groupBy("head", "low", "salt").agg(F.min("rep").alias("own")), "minima")
-    least = minima.groupBy("head", "low").agg(F.min("own").alias("least"))
-    minima = minima.drop("own").join(least, ["head", "low"])
-    late = left.join(minima, ["head", "low", "salt"]).where("rep > least").select("cls", "first", F.col("first").alias("last"))
-    marks = found.unionAll(late)
+    suffixes = lists.mapInPandas(_suffixes(length, prefixes), "head long, salt long, salts int, cls long, rep long, at array<int>, n int, ctx binary")
+    groups = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
+    found = scratch(groups.mapInPandas(_trees(length), "kind int, cls long, rep long, first int, last int, key long, low long"), "marks")
+
+    left = found.where("kind = 1").select("key", "low", "cls", "rep", "first")
+    least = left.groupBy("key", "low").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
+    late = left.join(least, ["key", "low"]).where("rep > least").select("cls", "first", F.col("first").alias("last"))
+    marks = found.where("kind = 0").select("cls", "first", "last").unionAll(late)
     marks = marks.groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("m")).select("cls", F.col("m.first").alias("first"), F.col("m.last").alias("last"))
     cut = marks.join(texts, "cls").mapInPandas(_cut(length), "k long, removed long, cut_sha string, spans array<struct<start:int,end:int>>, kept string")
     if not with_text:
