@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import drop_scratch, scratch
+from .classes import row_key
+from .util import drop_scratch, free, kept_alone, scratch
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -218,7 +219,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, score, question_overlap, answer_overlap): every verified pair.
 
     Items without words are never found, null or empty texts have no passages. Rows of docs that
-    repeat a doc_id are searched each, and give one row a pair with the best score.
+    repeat a doc_id are searched each, and give one row a pair with the best score; a null doc_id is an
+    id like others. Of equal scores the greater overlaps are reported. Texts are searched whole, however long.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -247,3 +249,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         drop_scratch(counts)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
+    """The rows of docs, all columns, that hold no item. Each row goes by its own text, whatever ids others share with it or lack."""
+    def leaking() -> DataFrame:
+        keyed = row_key(docs).select(F.col("rk").alias("doc_id"), "text")
+        return find_leaks(keyed, benchmark, **how).select(F.col("doc_id").alias("leak")).distinct()
+
+    key, leak = free(docs, "row_key", "leak")
+    leaks = kept_alone(docs.sparkSession, leaking, "leaks").toDF(leak)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(leaks, F.col(key) == F.col(leak), "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .classes import class_texts, find_classes, row_key
 from .components import components
 from .hashing import gram_hashes, word_hashes
-from .util import drop_scratch, scratch
+from .util import drop_scratch, free, kept_alone, scratch
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -389,6 +389,36 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     like others; its component is the least id of the group, null if no row of the group has one.
     class_id tells equal sets apart from linked ones.
     """
+    return _grouped(docs, threshold).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of linked or equal texts stays.
+
+    It is the one of the least doc_id, ids before null; of rows with that id the one of the least row
+    key, and of rows with the same id and text any one. Rows without words are groups of their own.
+    """
+    spark = docs.sparkSession
+    own = F.col("n_shingles") == 0
+
+    def chosen() -> DataFrame:
+        rows = _grouped(docs, threshold)
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("best")
+        kept = rows.where(~own).groupBy("group_id").agg(best).select(F.col("best.rk").alias("kept"))
+        copies = rows.where(~own).groupBy("rk").agg(F.count("*").alias("copies"))
+        kept = kept.join(copies, F.col("kept") == F.col("rk")).select("kept", F.col("copies") > 1)
+        return kept.toDF("kept", "repeated").unionAll(rows.where(own).select("rk", F.lit(False)).distinct())
+
+    key, kept_key, repeated = free(docs, "row_key", "kept_key", "repeated")
+    kept = kept_alone(spark, chosen, "kept").toDF(kept_key, repeated)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, F.col(key) == F.col(kept_key))
+    if kept.where(F.col(repeated)).isEmpty():
+        return rows.select(*docs.columns)
+    return rows.where(~F.col(repeated)).select(*docs.columns).unionAll(rows.where(F.col(repeated)).dropDuplicates([key]).select(*docs.columns))
+
+
+def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, rk, n_shingles, component_id, class_id, group_id): group_id names a component whatever its rows' ids."""
     spark = docs.sparkSession
     frequent, counts = frequent_tokens(docs)
     whole = scratch(_index(docs, frequent, threshold), "index")
@@ -404,7 +434,7 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     entries = entries.select("token", "salt", "cls", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
     entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "cls")
     found = scratch(entries.mapInPandas(_leaders(threshold), "kind int, a long, b long, n long, pos long, leads array<long>"), "found")
-    index = scratch(index.select("doc_id", "n", "cls"), "documents")
+    index = scratch(index.select("doc_id", "rk", "n", "cls"), "documents")
     drop_scratch(whole)
     answers = _answers(found.where("kind = 0").select("a", "b"), sigs, docs, reps, clashes, threshold)
     first = scratch(components(_links(answers, threshold)), "first")
@@ -434,7 +464,7 @@ def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         first = scratch(components(links), "both")
 
     ids = first.join(reps, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = first.join(ids, "component").select(F.col("node").alias("named"), "component_id")
-    named = reps.join(named, F.col("cls") == F.col("named"), "left").select(F.col("cls").alias("k"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = index.select("doc_id", "n", "cls").join(named, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
+    named = first.join(ids, "component").select(F.col("node").alias("named"), "component", "component_id")
+    named = reps.join(named, F.col("cls") == F.col("named"), "left").select(F.col("cls").alias("k"), F.coalesce("component", "cls").alias("group_id"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = index.select("doc_id", "rk", "n", "cls").join(named, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), "group_id")

@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 PROFILE_SIZE = 400
 DOC_GRAMS = 300
 UNKNOWN = "und"
-_FOLD = 1021
+#: Bits of a letter within an n-gram's code: room for every code point.
+_BITS = np.uint64(21)
 _EDGE = 1
 _ALPHA: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """Code point -> small class: 0 for what is no letter, else 2.. (code points over 1020 are folded)."""
+    """Code point -> 0 for what is no letter, else the code point + 2."""
     global _ALPHA
     if _ALPHA is None:
-        _ALPHA = np.array([(i % _FOLD) + 2 if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint32)
+        _ALPHA = np.array([i + 2 if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint64)
     return _ALPHA
 
 
@@ -37,16 +38,16 @@ def gram_codes(text: str) -> np.ndarray:
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     c = _letter_table()[cps]
     if not c.any():
-        return np.empty(0, dtype=np.uint32)
-    c = np.concatenate(([0], c, [0])).astype(np.uint32)
+        return np.empty(0, dtype=np.uint64)
+    c = np.concatenate(([0], c, [0])).astype(np.uint64)
     keep = (c[1:] != 0) | (c[:-1] != 0)  # one mark for each run of other characters
     c = c[np.concatenate(([True], keep))]
     edge = c == 0
     c[edge] = _EDGE
     one = c[~edge]
-    pair = (c[:-1] << np.uint32(10)) | c[1:]
+    pair = (c[:-1] << _BITS) | c[1:]
     two = pair[~(edge[:-1] & edge[1:])]
-    three = ((c[:-2] << np.uint32(20)) | pair[1:])[~edge[1:-1]]
+    three = ((c[:-2] << (_BITS + _BITS)) | pair[1:])[~edge[1:-1]]
     return np.concatenate((one, two, three))
 
 
@@ -68,7 +69,8 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    return grams.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # a limit on the row number itself lets each task cut its groups before the shuffle
+    return grams.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, doc_grams: int = DOC_GRAMS, size: int = PROFILE_SIZE) -> DataFrame:
@@ -104,7 +106,7 @@ def _guesser(profiles: DataFrame, doc_grams: int, size: int) -> Callable[[str |
     """A function of a text that gives its language and score."""
     table = profiles.orderBy("lang", "rank").collect()
     langs = sorted({r["lang"] for r in table})
-    known = np.array(sorted({r["gram"] for r in table}), dtype=np.uint32)
+    known = np.array(sorted({r["gram"] for r in table}), dtype=np.uint64)
     place = np.full((len(langs), len(known) + 1), -1, dtype=np.int32)
     at, row = {g: i for i, g in enumerate(known.tolist())}, {x: i for i, x in enumerate(langs)}
     for r in table:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD_RX, scratch
+from .util import WORD_RX, free, scratch
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -139,18 +139,19 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     `mixed` is mix(docs). Rows are matched by doc_id; if some share one (or have none), rows of the
     same doc_id and size are numbered on both sides and matched in turn.
     """
-    m = mixed.select(F.col("doc_id").alias("m"), F.col("size").alias("words"), "taken")
-    on = F.col("doc_id").eqNullSafe(F.col("m"))
+    m, words, taken, size, turn, at, copy = free(docs, "of_id", "of_words", "words_taken", "words_here", "turn_there", "turn_here", "copy_number")
+    mixed = mixed.select(F.col("doc_id").alias(m), F.col("size").alias(words), F.col("taken").alias(taken))
+    on = F.col("doc_id").eqNullSafe(F.col(m))
     df = docs
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        df = docs.withColumn("words_", sizes(docs))
-        df = df.withColumn("turn_", F.row_number().over(Window.partitionBy("doc_id", "words_").orderBy(F.xxhash64("text"))))
-        m = m.withColumn("turn", F.row_number().over(Window.partitionBy("m", "words").orderBy("taken")))
-        on = on & (F.col("words_") == F.col("words")) & (F.col("turn_") == F.col("turn"))
-    df = df.join(m.where(F.col("taken") > 0), on)
-    df = df.withColumn("copy_", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("words")) - 1).cast("int"))))
-    rest = F.least(F.col("taken") - F.col("copy_") * F.col("words"), F.col("words"))
+        df = docs.withColumn(size, sizes(docs))
+        df = df.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", size).orderBy(F.xxhash64("text"))))
+        mixed = mixed.withColumn(turn, F.row_number().over(Window.partitionBy(m, words).orderBy(taken)))
+        on = on & (F.col(size) == F.col(words)) & (F.col(at) == F.col(turn))
+    df = df.join(mixed.where(F.col(taken) > 0), on)
+    df = df.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(words)) - 1).cast("int"))))
+    rest = F.least(F.col(taken) - F.col(copy) * F.col(words), F.col(words))
     parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD_RX), F.lit(0))
-    cut = F.when(rest == F.col("words"), F.col("text")).otherwise(F.array_join(F.slice(parts, 1, rest.cast("int")), ""))
+    cut = F.when(rest == F.col(words), F.col("text")).otherwise(F.array_join(F.slice(parts, 1, rest.cast("int")), ""))
     out = [cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return df.select(*out)

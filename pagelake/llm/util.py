@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,41 +22,56 @@ def words_of(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
+    Only a session on one machine may do without that setting; it gets a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='pagelake-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 #: Paths of the scratch tables made within the current scope, if there is one.
-_made: list[str] | None = None
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
 def scratch_scope() -> Iterator[list[str]]:
     """Collects the paths of the scratch tables made inside."""
-    global _made
-    before, _made = _made, []
+    token = _made.set([])
     try:
-        yield _made
+        yield _made.get()
     finally:
-        _made = before
+        _made.reset(token)
+
+
+def kept_alone(spark: SparkSession, body: Callable[[], DataFrame], name: str) -> DataFrame:
+    """body() as a scratch table; the scratch tables it was made from are deleted."""
+    with scratch_scope() as made:
+        out = body()
+        path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    delete_paths(spark, made)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for f in paths:
         p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
-    if _made is not None:
-        _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # what is left goes with the driver
     return path
 
 
@@ -72,5 +88,16 @@ def drop_scratch(df: DataFrame) -> None:
     delete_paths(df.sparkSession, sorted({x.rpartition("/")[0] for x in df.inputFiles() if "/pagelake-" in x}))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores after it as docs has columns of that name."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in have:
+            n += "_"
+        out.append(n)
+        have.add(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -160,6 +160,15 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_id_of_other_scripts(spark):
+    """Letters beyond the basic plane's start are told apart; columns named like the result's do not matter."""
+    data = [(1, "ўсе словы мовы", "", "be", 1.0, "x"), (2, "all of the words", "", "en", 1.0, "x"), (3, "日本語の文", "", "ja", 1.0, "x"), (4, "中文的句子", "", "zh", 1.0, "x"), (5, "long words of all " * 20_000, "", None, 1.0, "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, score double, lang_pred string")
+    p = langid.learn_profiles(docs)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, p).collect()} == {1: "be", 2: "en", 3: "ja", 4: "zh", 5: "en"}
+    assert [r["count"] for r in p.groupBy("lang").count().collect()] and p.where("gram < 0").count() == 0
+
+
 def test_language_id_odd_rows(spark):
     data = [(1, "the cat and the dog", "a", "en"), (2, "der hund und die katze", "a", "de"), (3, None, "a", "en"), (4, "123 !?", "a", "en"), (5, "the the", "a", None), (None, "und die", "a", "de")]
     p = langid.learn_profiles(frame(spark, data))

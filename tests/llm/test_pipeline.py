@@ -61,3 +61,68 @@ def test_stages_keep_the_columns(spark):
     out = pipeline.STAGES[0][1](spark, docs, SF)
     assert out.columns == docs.columns
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "source_mixing", "token_output"]
+
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, kept string, row_key long, leak long, taken long, words long, repeated int, score double"
+NEAR = " ".join(f"the word number {i} and" for i in range(40))
+OTHER = " ".join(f"some other {i} is here" for i in range(40))
+
+
+def odd(rows):
+    return [(d, t, lang, source, len(t or ""), "k", 1, 2, 3, 4, 5, 0.5) for d, t, lang, source in rows]
+
+
+ROWS = odd([
+    (5, NEAR, "en", "a"), (None, NEAR, "en", "a"), (None, NEAR + " x", "en", "b"), (7, NEAR + " y", "en", None), (7, OTHER, "en", "a"), (7, OTHER, "en", "a"), (None, OTHER + " z", "en", "a"), (None, "quite alone here", "en", "a"),
+    (8, None, "en", "a"), (9, "", "en", "a"), (10, "12 34 !?", None, "b"), (11, "long " * 30_000, "en", "b"), (12, "tiny", None, None),
+])
+
+
+def stage(name):
+    return dict(pipeline.STAGES)[name]
+
+
+@pytest.fixture
+def bench(spark, tmp_path):
+    spark.createDataFrame([(1, "What is the name of the town by the green river? It is called Quuxville on Water."), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_language_stage_odd_rows(spark, bench):
+    out = stage("language_id")(spark, spark.createDataFrame(ROWS, DDL), bench)
+    assert out.columns == [c.split()[0] for c in DDL.split(", ")]
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 0, 0, 5, 7, 7, 7, 11, 12]
+
+
+def test_jaccard_stage_odd_rows(spark, bench):
+    got = sorted((r.doc_id or 0, r.text) for r in stage("jaccard_join")(spark, spark.createDataFrame(ROWS, DDL), bench).select("doc_id", "text").collect() if r.text)
+    # of the first group the row of id 5 stays, of the second one row of id 7
+    assert got == [(0, "quite alone here"), (5, NEAR), (7, OTHER), (10, "12 34 !?"), (11, "long " * 30_000), (12, "tiny")]
+
+
+def test_decontamination_stage_odd_rows(spark, bench):
+    item = "What is the name of the town by the green river? It is called Quuxville on Water."
+    rows = odd([(None, "before " * 30 + item, "en", "a"), (None, "clean text", "en", "a"), (7, item, "en", "a"), (7, "clean too", "en", "a"), (8, None, "en", "a"), (9, "", "en", "a"), (10, "pad " * 40_000 + item, "en", "a")])
+    out = stage("decontamination")(spark, spark.createDataFrame(rows, DDL), bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "clean text"), (7, "clean too"), (8, ""), (9, "")]
+
+
+def test_mixing_stage_odd_rows(spark, bench):
+    docs = spark.createDataFrame(ROWS, DDL)
+    out = stage("source_mixing")(spark, docs, bench).collect()
+    size = lambda t: len((t or "").split())
+    total = sum(size(r[1]) for r in ROWS)
+    assert abs(sum(size(r.text) for r in out) - 1.5 * total) <= 3
+    assert {r.kept for r in out} == {"k"} and all(any((r[1] or "").startswith(x.text) for r in ROWS) for x in out)
+
+
+def test_token_stage_odd_rows(spark, bench):
+    out = sorted(stage("token_output")(spark, spark.createDataFrame(ROWS, DDL), bench).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == sorted((r[0] for r in ROWS), key=lambda d: (d is not None, d or 0))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_of_an_empty_table(spark, bench, name):
+    out = stage(name)(spark, spark.createDataFrame([], DDL), bench)
+    assert out.collect() == []
+    assert name == "token_output" or out.columns == [c.split()[0] for c in DDL.split(", ")]
