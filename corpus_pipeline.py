@@ -1,78 +1,62 @@
 """A training corpus from `documents`, in five stages, each one of the operators of pagelake.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is written as Parquet
-and read again as the next stage's docs. All but the last return the columns of docs. Stages must be
-called in that way: a stage deletes the scratch tables of the one before it.
+and read again as the next stage's docs. All but the last return the columns of docs. Decisions are
+taken row by row: rows that share a doc_id, or have none, are told apart by their texts. A stage
+leaves only the small table of its decisions behind, which goes with the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagelake.llm import decontaminate, jaccard, langid, mixing, token_store
 from pagelake.llm.queries import tokenizer_path
-from pagelake.llm.util import delete_paths, scratch, scratch_scope, table
+from pagelake.llm.util import kept_alone, scratch, table
 from pagelake.sources.ship import ship
 
 #: Below this score a text is like none of the languages. Clean texts of some words score well above it.
 LEAST_SCORE = 0.1
 
-_last: list[str] = []
-
-
-def _stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _last
-        ship(spark)
-        used = docs.inputFiles()
-        delete_paths(spark, [p for p in _last if not any(p.rpartition("/")[2] in f for f in used)])
-        with scratch_scope() as made:
-            out = body(spark, docs, sf_dir)
-        _last = made
-        return out
-
-    run.__name__, run.__doc__ = body.__name__, body.__doc__
-    return run
 
-
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the corpus; texts without letters or like no language go."""
+    """Documents in a language of the corpus; null and empty texts, those without letters or like no language go.
+
+    Languages are learned from the rows with a lang outside the held-out fold; without any, nothing stays.
+    """
+    ship(spark)
     profiles = langid.learn_profiles(docs.where(~langid.held_out()))
     return langid.keep_identified(docs, profiles, LEAST_SCORE)
 
 
-@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least doc_id, of each group of linked or equal documents."""
-    kept = jaccard.join_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = scratch(kept, "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    """One document, the one of the least doc_id, of each group of linked or equal texts.
+
+    Rows without an id link by their text and stay only where no row of their group has an id; of
+    repeated rows one stays. Rows without words are groups of their own.
+    """
+    ship(spark)
+    return jaccard.keep_one(docs)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaks = scratch(leaks.select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """Documents without a passage of the benchmark; null and empty texts have none. Each row goes by its own text."""
+    ship(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often, and the last copy as far, as the target weights of their sources ask."""
-    return mixing.apply_mix(docs, scratch(mixing.mix(docs), "mix"))
+    """The documents as often, and the last copy as far, as the target weights of their sources ask.
+
+    A null source is one like others; null and empty texts are never taken.
+    """
+    ship(spark)
+    return mixing.apply_mix(docs, kept_alone(spark, lambda: mixing.mix(docs), "mix"))
 
 
-@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The digest of the token files, read back: doc_id, start, n_tokens, ids_crc32; a null text is an empty one."""
+    ship(spark)
     return token_store.round_trip(docs, tokenizer_path())
 
 
