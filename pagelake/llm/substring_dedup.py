@@ -210,7 +210,7 @@ def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _trees(length: int):
-    """Suffix groups -> marked windows (kind 0: cls, first, last) and windows left open (kind 1: key, low, cls, rep, first)."""
+    """Suffix groups -> marked windows (kind 0: cls, first, last) and windows left open (kind 1: key, low, cls, rep, all places in cls)."""
 
     def build(rows: list[pd.DataFrame]) -> pd.DataFrame | None:
         g = pd.concat(rows, ignore_index=True)
@@ -245,17 +245,18 @@ def _trees(length: int):
         c, p = c[order], p[order]
         head = np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] > p[:-1] + 1))) if len(c) else np.empty(0, bool)
         first, last = np.flatnonzero(head), np.concatenate((np.flatnonzero(head)[1:] - 1, [len(c) - 1])) if len(c) else np.empty(0, np.int64)
-        at, k = places(~marked & (g["salts"].to_numpy()[row] > 1))
+        k = np.flatnonzero(~marked & (g["salts"].to_numpy()[row] > 1))
         s = starts[k]
         key = np.empty((2, len(s)), np.uint64)
         for i in range(0, len(s), 50_000):  # the node itself: all words of the window
             w = words[s[i : i + 50_000, None] + np.arange(length)]
             key[0, i : i + 50_000], key[1, i : i + 50_000] = gram_hashes_rows(w), gram_hashes_rows(w, 0xD1B54A32D192ED03)
         none = np.zeros(len(first), np.int64)
+        own = [flat[begin[r] : begin[r] + many[r]] + o for r, o in zip(row[k].tolist(), offset[k].tolist(), strict=True)]
         return pd.DataFrame({
             "kind": np.repeat([0, 1], [len(first), len(s)]).astype(np.int32), "cls": np.concatenate((c[first], cls[k])), "rep": np.concatenate((none, rep[k])),
-            "first": np.concatenate((p[first], at)).astype(np.int32), "last": np.concatenate((p[last], at)).astype(np.int32),
-            "key": np.concatenate((none, key[0].view(np.int64))), "low": np.concatenate((none, key[1].view(np.int64))),
+            "first": np.concatenate((p[first], np.zeros(len(s), np.int64))).astype(np.int32), "last": np.concatenate((p[last], np.zeros(len(s), np.int64))).astype(np.int32),
+            "key": np.concatenate((none, key[0].view(np.int64))), "low": np.concatenate((none, key[1].view(np.int64))), "places": pd.Series([None] * len(first) + own, dtype=object),
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,11 +351,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, prefixes: tuple[int, ...] = PRE
     lists = lists.join(reps.select("cls", "rep"), "cls").join(texts, "cls").select("cls", "rep", F.col("x.level").alias("levels"), F.col("x.head").alias("heads"), F.col("x.salts").alias("salts"), "z")
     suffixes = lists.mapInPandas(_suffixes(length, prefixes), "head long, salt long, salts int, cls long, rep long, at array<int>, n int, ctx binary")
     groups = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
-    found = scratch(groups.mapInPandas(_trees(length), "kind int, cls long, rep long, first int, last int, key long, low long"), "marks")
+    found = scratch(groups.mapInPandas(_trees(length), "kind int, cls long, rep long, first int, last int, key long, low long, places array<int>"), "marks")
 
-    left = found.where("kind = 1").select("key", "low", "cls", "rep", "first")
+    left = found.where("kind = 1").select("key", "low", "cls", "rep", "places")
     least = left.groupBy("key", "low").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
-    late = left.join(least, ["key", "low"]).where("rep > least").select("cls", "first", F.col("first").alias("last"))
+    late = left.join(least, ["key", "low"]).where("rep > least").select("cls", F.explode("places").alias("first")).select("cls", "first", F.col("first").alias("last"))
     marks = found.where("kind = 0").select("cls", "first", "last").unionAll(late)
     marks = marks.groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("m")).select("cls", F.col("m.first").alias("first"), F.col("m.last").alias("last"))
     cut = marks.join(texts, "cls").mapInPandas(_cut(length), "k long, removed long, cut_sha string, spans array<struct<start:int,end:int>>, kept string")
