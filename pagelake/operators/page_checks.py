@@ -389,7 +389,7 @@ def injection() -> Column:
 
 
 # Title words that no page is about, and host labels that name no brand.
-_COMMON = ("with", "from", "your", "that", "this", "have", "what", "will")
+TITLE_WORDS = ("with", "from", "your", "that", "this", "have", "what", "will")
 _LABELS = ("www", "com", "org", "net", "io", "dev", "app", "co", "ai", "xyz")
 
 
@@ -400,7 +400,7 @@ def clutter() -> Column:
     ratio = 1 - F.col("article_words") / n
     site = F.flatten(F.transform(F.filter("metas", lambda m: m["property"] == "og:site_name"), lambda m: F.regexp_extract_all(F.lower(m["content"]), F.lit("[a-z]{4,}"), F.lit(0))))
     brand = F.concat(site, F.filter(F.split(U.host(F.col("url")), r"\."), lambda x: ~x.isin(*_LABELS)))
-    terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), lambda t: ~t.isin(*_COMMON) & ~F.array_contains(brand, t))
+    terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), lambda t: ~t.isin(*TITLE_WORDS) & ~F.array_contains(brand, t))
     tokens = F.regexp_extract_all(F.lower("body_text"), F.lit("[a-z]{4,}"), F.lit(0))
     often = lambda k: F.exists(F.array_distinct(terms), lambda t: T.bind(F.size(F.filter(k, lambda x: x == t)), lambda c: (c >= 10) & (c / n > 0.035)))
     stuffed = (n >= 200) & T.bind(tokens, often)

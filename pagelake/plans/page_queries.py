@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import urls as U
-from pagelake.functions.constants import FILLER, HEDGES, WS
+from pagelake.functions.constants import CALLS, FILLER, HEDGES, INJECTIONS, WS
 from pagelake.functions.text import word_count
 from pagelake.operators import geo_score as G
 from pagelake.operators import page_checks as C
 
-from .text_queries import _found, _in, _SYL
+from .text_queries import _found, _in, _ODD, _SYL
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +79,8 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.findings(_prepared(spark, sf_dir)).select("page_id", "check", "code", "severity")
 
 
-_ORACLED = ("status", "title", "description", "headings", "canonical", "language", "viewport", "content", "url", "security", "links", "evidence", "chunk", "readability", "freshness", "social", "schema")
-
-
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all checks by page and severity; the SQL below knows the checks of _ORACLED only."""
+    """Findings of all checks by page and severity."""
     f = C.findings(_prepared(spark, sf_dir))
     n = lambda s: F.count_if(F.col("severity") == s)
     return f.groupBy("page_id").agg(n("critical").alias("critical"), n("high").alias("high"), n("low").alias("low"), n("info").alias("info"), F.count_if(F.col("severity") != "info").alias("faults"))
@@ -155,6 +152,36 @@ _CODES = {
 }
 
 
+# the longer checks
+PARAGRAPHS = "list_filter(list_transform(regexp_extract_all(body, '<p>((?:[^<]|</?b>|<br>)*)', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda y: len(string_split(y, ' ')) >= 12)"
+_LEAD = f"len(string_split(({PARAGRAPHS})[1], ' '))"
+_ASKS = "regexp_matches(html, '(?i)<h1>\\s*(how|what|why|when|where|who|is|are|can|should|does|do) ') OR regexp_matches(html, '<h1>[^<]*[?]\\s*</h1>')"
+_CUT = "greatest(1, len(w_all) * 3 // 10)"
+_says = lambda t: f"len(list_filter({_in(INJECTIONS)}, lambda p: contains(lower({t}), p))) > 0"
+_SECRET = _says("array_to_string(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), ' ')")
+_SOFT = "(length(text) - length(replace(text, chr(173), '')))"
+
+_TAGS = "regexp_matches(html, '[\\x{E0000}-\\x{E007F}]')"
+_CALLED = f"list_sum(list_transform({_in(CALLS)}, lambda p: (length(lower(text)) - length(replace(lower(text), p, ''))) // length(p)))"
+_ARTICLE = "len(list_filter(regexp_split_to_array(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+'), lambda x: x <> ''))"
+_TERMS = f"list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z]{{4,}}')), lambda t: NOT list_contains({_in(C.TITLE_WORDS)}, t) AND NOT list_contains(string_split(regexp_replace(netloc, ':\\d*$', ''), '.'), t))"
+_OFTEN = f"len(list_filter({_TERMS}, lambda t: len(list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: x = t)) >= 10 AND len(list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: x = t)) / words > 0.035)) > 0"
+_CODES |= {
+    "aeo": [
+        (f"words >= 50 AND {_LEAD} IS NULL", "aeo.no_lead", "high"), (f"words >= 50 AND ({_ASKS}) AND {_LEAD} > 80", "aeo.answer_buried", "high"), (f"words >= 50 AND NOT (({_ASKS}) AND {_LEAD} > 80) AND {_LEAD} > 120", "aeo.long_lead", "low"),
+        (f"words >= 50 AND len({_found(f'array_to_string(w_all[{_CUT} + 1:], chr(32))')}) >= 3 AND len({_found(f'array_to_string(w_all[1:{_CUT}], chr(32))')}) = 0", "aeo.not_front_loaded", "low"),
+    ],
+    "author": [(f"{x}regexp_matches(text[1:1500], '\\bby\\s+[A-Z][a-z]+\\s+[A-Z][a-z]+')", code, sev) for x, code, sev in (("", "author.present", "info"), ("NOT ", "author.missing", "low"))],
+    "injection": [
+        (f"{_TAGS} OR {_ODD} - {_SOFT} >= 20 OR {_SOFT} >= 50", "injection.invisible_unicode", "high"), (_SECRET, "injection.instructions", "high"), (f"{_says('text')} AND NOT ({_SECRET})", "injection.phrasing", "low"),
+        (f"NOT ({_TAGS} OR {_ODD} - {_SOFT} >= 20 OR {_SOFT} >= 50 OR {_SECRET} OR {_says('text')})", "injection.clean", "info"),
+    ],
+    "clutter": [
+        (f"words BETWEEN 80 AND 399 AND {_CALLED} >= 5", "clutter.cta_overload", "low"), (f"words >= 80 AND 1 - {_ARTICLE} / words > 0.6 AND {_ARTICLE} < 400", "clutter.boilerplate", "low"), (f"words >= 200 AND {_OFTEN}", "clutter.keyword_stuffing", "high"),
+    ],
+}
+
+
 def _union(*prefixes: str) -> str:
     return " UNION ALL ".join(f"SELECT page_id, '{code}' AS code, '{sev}' AS severity FROM f JOIN r USING (page_id) WHERE {when}" for p in prefixes for when, code, sev in _CODES[p])
 
@@ -176,8 +203,9 @@ ORACLE_SQL = {
     "links_dedup": f"WITH {_F}, {_LINK} SELECT page_id, link AS target, CAST(min(pos) AS BIGINT) AS pos FROM l GROUP BY page_id, link",
     "link_degrees": f"WITH {_F}, {_LINK} SELECT {_HOST} AS site, count(DISTINCT page_id) AS sources, count(DISTINCT link) AS targets, count(*) AS links FROM l GROUP BY 1",
     "dup_titles": f"WITH {_F} SELECT title, count(*) AS pages, min(page_id) AS first_page FROM f WHERE title <> '' GROUP BY title HAVING count(*) > 1",
-    "finding_summary": f"WITH {_F}, c AS ({_union(*_ORACLED)}) SELECT page_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity <> 'info') AS faults FROM c GROUP BY page_id",
+    "finding_summary": f"WITH {_F}, c AS ({_union(*_CODES)}) SELECT page_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity <> 'info') AS faults FROM c GROUP BY page_id",
     "geo_score": f"WITH {_F}, {_G} SELECT page_id, score, CAST(58 AS BIGINT) AS possible, CASE WHEN score >= 86 THEN 'excellent' WHEN score >= 68 THEN 'good' WHEN score >= 36 THEN 'foundation' ELSE 'critical' END AS band FROM g",
     "site_score": f"WITH {_F}, {_G} SELECT {_HOST} AS site, round(avg(score), 1) AS mean, min(score) AS least, max(score) AS most FROM g GROUP BY 1",
 }
+ORACLE_SQL["findings_all"] = f"WITH {_F} " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS \"check\", code, severity FROM ({_union(p)})" for p in _CODES)
 ORACLE_SQL |= {f"check_{p}": f"WITH {_F} {_union(p)}" for p in _CODES}

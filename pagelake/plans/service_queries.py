@@ -10,7 +10,7 @@ from pagelake.operators import services as V
 from pagelake.operators import site as S
 
 from .fixtures import Fixture, expected
-from .page_queries import _F, _prepared
+from .page_queries import _F, PARAGRAPHS, _prepared
 from .page_queries import geo_score as _score
 from .site_queries import ASKED, CRAWL, ROBOTS, SITEMAPS
 
@@ -80,9 +80,8 @@ QUERIES |= {
     "figure_excerpt": _over(TEXTS, lambda d: V.figure_excerpts(d, margin=3)), "readiness_level": _over(SIGNALS, G.readiness_level), "evidence_runs": _over(RUNS, V.evidence), "envelope_json": _over(ENVELOPES, V.envelope),
     "figures_table": _over(FIGURES, V.figures_table), "ai_prompts": _over(QUESTIONS, V.questions_without_brand),
 }
-_PAR = "list_filter(list_transform(regexp_extract_all(body, '<p>((?:[^<]|</?b>|<br>)*)', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda y: len(string_split(y, ' ')) >= 12)"
 ORACLE_SQL = {
-    "first_paragraph": f"WITH {_F}, p AS (SELECT page_id, {_PAR} AS p FROM f) SELECT page_id, p[1] AS lead, CAST(len(string_split(p[1], ' ')) AS BIGINT) AS words FROM p WHERE len(p) > 0",
+    "first_paragraph": f"WITH {_F}, p AS (SELECT page_id, {PARAGRAPHS} AS p FROM f) SELECT page_id, p[1] AS lead, CAST(len(string_split(p[1], ' ')) AS BIGINT) AS words FROM p WHERE len(p) > 0",
     "artifacts": "SELECT sha256(text) AS digest, min(doc_id) AS first, count(*) AS uses, CAST(octet_length(encode(any_value(text))) AS BIGINT) AS size, CASE WHEN octet_length(encode(any_value(text))) <= 262144 THEN to_base64(encode(any_value(text))) END AS inline FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "score_invariants": expected("in_range boolean, within_possible boolean, one_a_page boolean", [(True, True, True)]),
     "robots_findings": expected("site string, code string", [("s", "robots.ai_disallowed"), ("t", "robots.allowed"), ("u", "robots.allowed"), ("none", "robots.allowed")]),

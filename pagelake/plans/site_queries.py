@@ -12,7 +12,7 @@ from pagelake.sources.tables import cut
 
 from .fixtures import Fixture, expected
 
-ROUNDS, LEVELS = S.ROUNDS, 4
+ROUNDS, LEVELS = S.ROUNDS, S.CRAWL_DEPTH
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +38,14 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of users reached from the least one over all links, down to a crawl's depth limit; the SQL below walks some links only."""
+    """Depth of users reached from the least one over all links, down to a crawl's depth limit."""
     e = cut(S.graph_edges(_links(spark, sf_dir)))
     start = e.agg(F.min("src")).first()[0] or 0
     return S.bfs(e, start, S.CRAWL_DEPTH)
 
 
 def most_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of the highest rank; the SQL below orders by inbound links."""
+    """Users of the highest rank."""
     return S.most_linked(_links(spark, sf_dir))
 
 
@@ -204,13 +204,18 @@ def _pagerank_sql() -> str:
     )
 
 
-_B = ", ".join(f"b{i} AS (SELECT DISTINCT g.dst AS node FROM g JOIN b{i - 1} b ON g.src = b.node)" for i in range(1, LEVELS + 1))
+def _ranked_sql(which: str) -> str:
+    degrees = f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node"
+    return f"SELECT d.node, inbound, outbound, score FROM ({degrees}) d JOIN ({_pagerank_sql()}) p ON d.node = p.node WHERE {which} ORDER BY score DESC, node LIMIT {S.RANKED}"
+
+
+_B = ", ".join(f"b{i} AS MATERIALIZED (SELECT DISTINCT e.dst AS node FROM e JOIN b{i - 1} b ON e.src = b.node)" for i in range(1, LEVELS + 1))
 ORACLE_SQL = {
     "graph_edges": f"WITH {_LINKS} SELECT * FROM e",
     "graph_degrees": f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node",
-    "most_linked": f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node ORDER BY 2 DESC, 1 LIMIT 15",
+    "most_linked": _ranked_sql("true"), "least_linked": _ranked_sql("inbound = 0"), "dead_ends": _ranked_sql("outbound = 0"),
     "pagerank": _pagerank_sql(),
-    "crawl_bfs": f"WITH {_LINKS}, g AS MATERIALIZED (SELECT * FROM e WHERE (src * 7 + dst * 3) % 23 = 0), b0 AS (SELECT coalesce(min(src), 0) AS node FROM g), {_B} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (" + " UNION ALL ".join(f"SELECT node, {i} AS depth FROM b{i}" for i in range(LEVELS + 1)) + ") GROUP BY node",
+    "crawl_bfs": f"WITH {_LINKS}, b0 AS (SELECT coalesce(min(src), 0) AS node FROM e), {_B} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (" + " UNION ALL ".join(f"SELECT node, {i} AS depth FROM b{i}" for i in range(LEVELS + 1)) + ") GROUP BY node",
     "orphan_pages": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "audit_diff": f"WITH b AS (SELECT code, max(w) AS b FROM ({_audit_sql(1996)}) GROUP BY code), a AS (SELECT code, max(w) AS a FROM ({_audit_sql(1998)}) GROUP BY code) SELECT coalesce(b.code, a.code) AS code, CASE WHEN a IS NULL THEN 'fixed' WHEN b IS NULL THEN 'introduced' ELSE 'remaining' END AS change, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM b FULL JOIN a ON b.code = a.code",
     "compete_compare": f"WITH o AS (SELECT DISTINCT code FROM ({_audit_sql(1995)})), t AS (SELECT DISTINCT code FROM ({_audit_sql(1997)})) SELECT coalesce(o.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'ours' WHEN o.code IS NULL THEN 'theirs' ELSE 'both' END AS where_found FROM o FULL JOIN t ON o.code = t.code",
