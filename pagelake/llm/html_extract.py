@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "keygen"}
@@ -76,39 +78,95 @@ def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int, int]:
     return bad, good, doubt
 
 
+class _Tags:
+    """Markup of a page, front to back, in time linear in its length.
+
+    A tag ends at the first > outside quotes. What was looked for in vain is not looked for again: the
+    ends that do not come any more, and the quotes from which on no tag ends.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none, self.dead = page, {}, set()
+
+    def _find(self, what: str, at: int) -> int:
+        if at >= self.none.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none[what] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at `at`, or -1."""
+        seen = []
+        while at < self.none.get("stop", len(self.page) + 1):
+            m = _STOP.search(self.page, at)
+            if m is None:
+                self.none["stop"] = at
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            closing = self._find(m[0], m.end())
+            if closing < 0:
+                break
+            at = closing + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next piece of markup; no name: a comment, declaration or the like."""
+        page = self.page
+        while (i := self._find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = self._find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(page), "", "", ""
+            if page.startswith("<![CDATA[", i) and (end := self._find("]]>", i + 9)) >= 0:
+                return i, end + 3, "", "", page[i + 9 : end]
+            m = _NAME.match(page, i)
+            if m and (end := self._end(m.end())) >= 0:
+                return i, end + 1, m[1], m[2], page[m.end() : end]
+            if page[i + 1 : i + 2] in ("!", "?", "/") and (end := self._find(">", i)) >= 0:
+                return i, end + 1, "", "", ""
+            at = i + 1
+        return None
+
+
 def _parse(page: str) -> _Node:
+    tags, opened = _Tags(page), Counter()
     root = node = _Node("html", None)
-    at, article = 0, 0
-    n = len(page)
+    at, n = 0, len(page)
+
+    def leave(x: _Node) -> _Node:
+        opened[x.tag] -= 1
+        return x.up
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             node.kids.append(page[at:])
             break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end, slash, tag, attrs = found
+        if start > at:
+            node.kids.append(page[at:start])
+        at = end
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                node.kids.append(m[0][9:-3].replace("&", "&amp;"))
+            if attrs:  # of a CDATA section: plain text
+                node.kids.append(attrs.replace("&", "&amp;"))
             continue
         tag = tag.lower()
-        if m[1]:  # end tag: close up to the open element of that name, if there is one
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.up
-            if up is None or up is root:
+        if slash:  # end tag: close up to the open element of that name, if there is one
+            if not opened[tag]:
                 if tag == "br":
                     node.kids.append(" ")
                 elif tag == "p":
                     node.kids.append(_Node("p", node))
                 continue
-            while node is not up:
-                article -= node.tag in ("article", "main")
-                node = node.up
-            article -= node.tag in ("article", "main")
-            node = node.up
+            while node.tag != tag:
+                node = leave(node)
+            node = leave(node)
             continue
         if tag == "br":
             node.kids.append(" ")
@@ -116,33 +174,37 @@ def _parse(page: str) -> _Node:
         if tag == "html":
             continue
         if tag in _BLOCK:  # a block closes an open paragraph
-            up = node
+            up = node if opened["p"] else None
             while up is not None and up.tag not in ("p", "button", "table", "td", "th", "div", "section", "article", "main", "body", "li", "aside", "blockquote"):
                 up = up.up
             if up is not None and up.tag == "p":
-                node = up.up
+                while node is not up:
+                    node = leave(node)
+                node = leave(node)
             if tag in _HEADINGS and node.tag in _HEADINGS:
-                node = node.up
+                node = leave(node)
         if tag in _CLOSES:
             ends, stop = _CLOSES[tag]
-            up, last = node, None
+            up, last = node if any(opened[t] for t in ends) else None, None
             while up is not None and up.tag not in stop:
                 if up.tag in ends:
                     last = up
                 up = up.up
             if last is not None:
-                node = last.up
+                while node is not last:
+                    node = leave(node)
+                node = leave(node)
         if tag == "body" and node.tag == "head":
-            node = node.up
-        bad, good, doubt = _marks(tag, m[3], article > 0)
+            node = leave(node)
+        bad, good, doubt = _marks(tag, attrs, opened["article"] + opened["main"] > 0)
         new = _Node(tag, node, bad, good, doubt)
         node.kids.append(new)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in _VOID and not m[3].endswith("/"):
+            closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", closing.end()) + 1 or n if closing else n
+        elif tag not in _VOID and not attrs.endswith("/"):
             node = new
-            article += tag in ("article", "main")
+            opened[tag] += 1
     return root
 
 
@@ -185,7 +247,7 @@ def _settle(root: _Node) -> None:
             if x.doubt:
                 outer.append(x)
                 continue
-            free |= x.tag in ("article", "main") and plain[id(x)] >= 25
+            free |= x.tag in ("article", "main") and plain[id(x)] > 0
             inside |= x.tag in ("article", "main") or x.good > 0
             stack.extend((k, inside) for k in reversed(x.kids) if not isinstance(k, str))
         stay = [] if free else [x for x in outer if arts[id(x)] or 2 * plain[id(x)] > plain[id(root)]]

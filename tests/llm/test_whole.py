@@ -1,6 +1,7 @@
 """Operators lose nothing: the same answers for every way of cutting the work."""
 
 import random
+import time
 
 import pytest
 
@@ -43,3 +44,23 @@ SHELLS = {
 @pytest.mark.parametrize("name", sorted(SHELLS))
 def test_names_do_not_cut_the_main_text(name):
     assert html_extract.main_text(f"<html><body><nav><a href=/>Home</a></nav>{SHELLS[name]}</body></html>") == ALL
+
+
+HOSTILE = {
+    "open": "<a ", "quote": "<a b=\"", "mixed": "<a b='x' c", "end": "</a ", "cdata": "<![CDATA[", "comment": "<!--", "closed": "<div>x</span>", "rows": "<ul><span><li>x</li>", "heads": "<span><h2>x</h2>", "entity": "&amp", "script": "<script>", "turn": "<a b=\"'\" c='\"'",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_time_grows_with_the_page(name):
+    """A megabyte of one kind of broken markup takes seconds, and the article before it is found."""
+    piece = HOSTILE[name]
+    began = time.time()
+    text = html_extract.main_text(f"<html><body><article>{PARAS}</article>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+    assert text.startswith(ALL)
+
+
+def test_markup_by_quotes():
+    assert html_extract.main_text(f"<body><article class='a>b' title=\"x > y\">{PARAS}</article >") == ALL
+    assert html_extract.main_text("<p>Say 1 < 2, and <b x='>'>that</b> is <![CDATA[a & <b>]]> end<!-- > --> of it</p>") == "Say 1 < 2, and that is a & <b> end of it"
