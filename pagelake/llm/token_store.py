@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +33,12 @@ FILE_BYTES = 128 << 20
 CACHE, KEPT = 500_000, 250_000
 #: Bytes of the unknown chunks that the tokenizer gets as one text.
 JOINED = 1 << 11
-#: White space besides the space and the line feed, and what the others begin with in UTF-8.
-_OTHER = re.compile(r"[^\S \n]")
-_OTHER_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
-_OTHER_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 #: Marks a chunk that follows no space; texts that hold it are encoded whole.
 _BARE = "\x00"
-_DOUBLED = ("  ", " \n", "\n ", "\n\n")
-
-
-def odd_space(t: str) -> bool:
-    """Whether a text (not empty) has other white space than single spaces and line feeds between two other characters."""
-    if t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _DOUBLED) or any(x in t for x in _OTHER_ASCII):
-        return True
-    if t.isascii():
-        return False
-    raw = t.encode("utf-8", "surrogatepass")
-    return any(x in raw for x in _OTHER_BYTES) and _OTHER.search(t) is not None
+#: Other white space than single spaces and line feeds between two other characters, or the mark itself.
+_ODD = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4 << 20
 
 
 class _Numbers(dict):
@@ -78,7 +68,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())])
         vocab = self.tok.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each token: its name has a character for each
         self.bytes[list(vocab.values())] = [len(t) for t in vocab]
@@ -120,39 +110,46 @@ class ChunkEncoder:
         self.flat[self.used : end] = flat
         self.used, self.at.new = end, []
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, how many are of each)."""
-        whole, cut, chunks, many = [], [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if odd_space(t) or _BARE in t or any(x in t for x in self.added):
-                whole.append(i)
-                continue
-            # a chunk is what a space precedes; a line feed is one of its own, and marks the chunk after it
-            c = (_BARE + t.replace("\n", " \n " + _BARE) if "\n" in t else _BARE + t).split(" ")
-            cut.append(i)
-            many.append(len(c))
-            chunks += c
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many are of each). A null text is an empty one."""
+        empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0)
+        odd = pc.and_not(pc.fill_null(pc.match_substring_regex(texts, self.odd), False), empty)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = np.flatnonzero(~pc.or_(odd, empty).to_numpy(zero_copy_only=False))
+        # a chunk is what a space precedes; a line feed is one of its own, and marks the chunk after it
+        marked = pc.binary_join_element_wise(_BARE, pc.replace_substring(texts.take(pa.array(cut)), "\n", f" \n {_BARE}"), "")
+        lists = pc.split_pattern(marked, " ")
+        many, chunks = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
         if len(self.at) > CACHE:
             self._shrink()
-        k = np.fromiter(map(self.at.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        k = np.fromiter(map(self.at.__getitem__, chunks.dictionary.to_pylist()), dtype=np.int64, count=len(chunks.dictionary))
         if self.at.new:
             self._learn()
+        k = k[chunks.indices.to_numpy()]
         n = self.length[k]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)] if len(k) else np.empty(0, np.int32)
         size = np.zeros(len(texts), np.int64)
-        if cut:
+        if len(cut):
             size[cut] = np.add.reduceat(n, np.cumsum(many) - many)
-        if whole:  # put between the others
+        if len(whole):  # put between the others
             out = np.split(ids, np.cumsum(size)[:-1])
-            for i, x in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            for i, x in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
                 out[i], size[i] = x, len(x)
             ids = np.concatenate(out)
         return ids, size
 
 
+def _slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about SLICE_BYTES, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES)))
+        yield lo, hi
+        lo = hi
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -185,9 +182,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                b = big.slice(lo, 256)
-                flat, lens = enc.encode(b.column(1).to_pylist())
+            for lo, hi in _slices(big.column(1)):
+                b = big.slice(lo, hi - lo)
+                flat, lens = enc.encode(b.column(1))
                 flat = np.insert(flat, np.cumsum(lens), np.int32(end_id))
                 lens += 1
                 offsets = np.concatenate(([0], np.cumsum(lens)))
