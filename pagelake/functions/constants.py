@@ -83,6 +83,17 @@ SEVERITIES = {"critical": (0, 8), "high": (1, 4), "low": (2, 1), "info": (3, 0)}
 # Agents asked about in robots files.
 CITATION_BOTS = ("OAI-SearchBot", "ClaudeBot", "Claude-SearchBot", "PerplexityBot")
 
+OTHER_BOTS = (
+    "GPTBot", "Google-Extended", "CCBot", "anthropic-ai", "Applebot-Extended", "Bytespider", "Amazonbot", "meta-externalagent", "cohere-ai", "Diffbot",
+    "ImagesiftBot", "Omgilibot", "PetalBot", "YouBot", "Timpibot",
+)
+
+# Types of structured data that describe the page itself.
+PAGE_TYPES = (
+    "Article", "NewsArticle", "BlogPosting", "WebPage", "ItemPage", "CollectionPage", "AboutPage", "ContactPage", "ProfilePage", "QAPage", "FAQPage", "Product",
+    "Recipe", "HowTo", "Event", "JobPosting", "Course", "SoftwareApplication", "VideoObject", "Dataset",
+)
+
 # Properties that a type of structured data must and should have.
 SCHEMA_RULES = {
     "Article": (["headline"], ["author", "datePublished", "image", "dateModified"]),

@@ -6,6 +6,7 @@ below. All checks are then native expressions over them.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,9 +21,9 @@ lang string, base_href string, canonicals array<string>, headings array<struct<l
 links array<struct<href:string,text:string,rel:string,image:boolean>>,
 images array<struct<src:string,alt:string,width:string,height:string,loading:string>>, bare_pictures int,
 hreflangs array<struct<lang:string,href:string>>, jsonld array<string>, elements int,
-body_text string, content_words int, paragraphs array<string>, long_paragraphs int,
+body_text string, visible_text string, content_words int, paragraphs array<string>, long_paragraphs int,
 lists int, tables int, quotes int, forms array<string>, embeds int, tracks int, figures int, captions int,
-times array<string>, popups int, article_words int, comments array<string>, hidden array<string>, author_rel string
+times array<string>, popups int, article_words int, comments array<string>, hidden array<struct<deceptive:boolean,text:string>>, nodes array<struct<types:array<string>,props:array<string>,name:string,context:boolean>>, bad_blocks int, legacy boolean, author_rel string
 """
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,11 +33,21 @@ _BLOCK = set(
     "address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li "
     "main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSE = {"a": {"a"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP = {"ul", "ol", "dl", "table", "select"}
-# Styles that hide text from people only.
-_CONCEAL = re.compile(r"text-indent\s*:\s*-\d{4,}|font-size\s*:\s*0(?:px|em|rem|%)?\s*(?:[;\"']|$)|(?:left|top)\s*:\s*-\d{4,}px|color\s*:\s*(?:#fff(?:fff)?|white)[^;]*;[^\"']*background(?:-color)?\s*:\s*(?:#fff(?:fff)?|white)", re.I)
+# Styles that hide text from people only, and styles of parts that wait to be shown.
+_CONCEAL = tuple(re.compile(x, re.I) for x in (
+    r"text-indent\s*:\s*-\d{4,}",
+    r"font-size\s*:\s*0(?:px|em|rem|%)?\s*[;\"']?",
+    r"position\s*:\s*absolute[^\"']*?(?:left|top)\s*:\s*-\d{4,}",
+    r"(?:left|top)\s*:\s*-\d{4,}px",
+    r"color\s*:\s*(#fff(?:fff)?|white)[^;]*;[^\"']*background(?:-color)?\s*:\s*(#fff(?:fff)?|white)",
+))
+_WAITING = tuple(re.compile(x, re.I) for x in (r"display\s*:\s*none", r"visibility\s*:\s*hidden", r"opacity\s*:\s*0(?:\.0+)?\s*[;\"']?", r"transform\s*:\s*translate"))
+#: Characters of a hidden passage that are searched for instructions.
+_HIDDEN_CHARS = 200
 _POPUP = re.compile(r"modal|popup|interstitial|overlay|newsletter|cookie-wall", re.I)
+# Hosts of embedded videos.
 _VIDEO = ("youtube", "vimeo", "wistia", "loom")
 
 
@@ -131,6 +142,66 @@ def squeeze(s: str) -> str:
     return " ".join(s.split())
 
 
+def holders(inner: list[Element]) -> set[int]:
+    """The elements above the given ones; each is climbed to once."""
+    out: set[int] = set()
+    for e in inner:
+        while e.up is not None and id(e.up) not in out:
+            e = e.up
+            out.add(id(e))
+    return out
+
+
+def concealed(every: list[Element]) -> list[dict]:
+    """Outermost passages of prose that are styled out of sight, and whether no design has use for that."""
+    out, inside = [], set()
+    for e in every:
+        if e.up is not None and id(e.up) in inside:
+            inside.add(id(e))
+            continue
+        style = e.attrs.get("style", "")
+        trick = any(r.search(style) for r in _CONCEAL)
+        if not trick and "hidden" not in e.attrs and not any(r.search(style) for r in _WAITING):
+            continue
+        text = squeeze(text_of(e, " ", _SILENT))
+        total = len(text.split())
+        controls = sum(len(text_of(k, " ").split()) for k in walk(e) if k is not e and k.tag in ("a", "button", "option", "label"))
+        if total >= 15 and 2 * controls <= total and re.search(r"[.!?]", text):
+            out.append({"deceptive": trick, "text": text[:_HIDDEN_CHARS]})
+            inside.add(id(e))
+    return out
+
+
+def typed_nodes(x: object, context: bool = False) -> Iterator[tuple[dict, bool]]:
+    """Typed objects of JSON-LD at any depth, in order, and whether a context governs them."""
+    stack = [(x, context)]
+    while stack:
+        x, context = stack.pop()
+        if isinstance(x, list):
+            stack.extend((v, context) for v in reversed(x))
+        elif isinstance(x, dict):
+            context = context or x.get("@context") is not None
+            if "@type" in x:
+                yield x, context or "@context" in x
+            stack.extend((v, context) for k, v in reversed(x.items()) if k != "@type" and isinstance(v, (dict, list)))
+
+
+def linked_data(blocks: list[str]) -> tuple[list[dict], int]:
+    """(types, properties with a value, name, context) of each node of the blocks, and how many blocks do not parse."""
+    nodes, bad = [], 0
+    for raw in blocks:
+        try:
+            found = list(typed_nodes(json.loads(raw)))
+        except ValueError:
+            bad += 1
+            continue
+        for n, context in found:
+            t = n["@type"]
+            t = t if isinstance(t, list) else [t] if t else []
+            nodes.append({"types": [str(x).split("/")[-1] for x in t], "props": [k for k, v in n.items() if v], "name": str(n.get("headline") or n.get("name") or "").strip(), "context": context})
+    return nodes, bad
+
+
 def facts(html: str | None) -> dict:
     root, comments = parse(html or "")
     every = [e for e in walk(root) if e is not root]
@@ -149,14 +220,11 @@ def facts(html: str | None) -> dict:
     region = next((e for e in every if e.tag in ("article", "main")), None)
     rel = lambda e: e.attrs.get("rel", "").lower().split()
     videos = [e for e in get("video", "iframe") if e.tag == "video" or any(v in e.attrs.get("src", "").lower() for v in _VIDEO)]
-    hidden = []
-    for e in every:
-        if _CONCEAL.search(e.attrs.get("style", "")):
-            t = squeeze(text_of(e, " ", _SILENT))
-            words = t.split()
-            links = sum(len(text_of(k, " ").split()) for k in walk(e) if k.tag in ("a", "button", "option", "label"))
-            if len(words) >= 15 and links / len(words) <= 0.5 and re.search(r"[.!?]", t):
-                hidden.append(t)
+    hidden = concealed([e for e in walk(body) if e is not body])
+    pictured, captioned = holders(get("img", "svg", "picture", "video")), holders(get("figcaption"))
+    with_img = holders(get("img"))
+    scripts = [text_of(e) for e in get("script") if "ld+json" in e.attrs.get("type", "").lower()]
+    nodes, bad = linked_data(scripts)
     paragraphs = [squeeze(text_of(e, " ")) for e in walk(body) if e.tag in ("p", "li")]
     return {
         "titles": [text_of(e).strip() for e in get("title") if not in_head or id(e) in in_head],
@@ -166,20 +234,20 @@ def facts(html: str | None) -> dict:
         "base_href": next((e.attrs["href"].strip() for e in get("base") if "href" in e.attrs), None),
         "canonicals": [e.attrs.get("href", "").strip() for e in get("link") if "canonical" in rel(e)],
         "headings": [{"level": int(e.tag[1]), "text": squeeze(text_of(e, " "))} for e in get("h1", "h2", "h3", "h4", "h5", "h6")],
-        "links": [{"href": e.attrs["href"].strip(), "text": text_of(e).strip(), "rel": e.attrs.get("rel", "").lower(), "image": any(k.tag in ("img", "svg", "picture") for k in walk(e))} for e in get("a") if "href" in e.attrs],
-        "images": [{"src": next((e.attrs[k].strip() for k in ("src", "data-src", "data-lazy-src") if e.attrs.get(k, "").strip()), e.attrs.get("srcset", "").split(",")[0].split(" ")[0]), "alt": e.attrs.get("alt"), "width": e.attrs.get("width"), "height": e.attrs.get("height"), "loading": e.attrs.get("loading", "").lower()} for e in get("img")],
-        "bare_pictures": sum(all(k.tag != "img" for k in walk(e)) for e in get("picture")),
-        "hreflangs": [{"lang": e.attrs["hreflang"].strip(), "href": e.attrs.get("href", "").strip()} for e in get("link") if "alternate" in rel(e) and "hreflang" in e.attrs],
-        "jsonld": [text_of(e) for e in get("script") if "ld+json" in e.attrs.get("type", "").lower()],
+        "links": [{"href": e.attrs["href"].strip(), "text": text_of(e).strip(), "rel": e.attrs.get("rel", "").lower(), "image": id(e) in pictured} for e in get("a") if "href" in e.attrs],
+        "images": [{"src": next((e.attrs[k].strip() for k in ("src", "data-src", "data-lazy-src") if e.attrs.get(k, "").strip()), (e.attrs.get("srcset", "").strip() or e.attrs.get("data-srcset", "").strip()).split(",")[0].strip().split(" ")[0]), "alt": e.attrs.get("alt"), "width": e.attrs.get("width"), "height": e.attrs.get("height"), "loading": e.attrs.get("loading", "").lower()} for e in get("img")],
+        "bare_pictures": sum(id(e) not in with_img for e in get("picture")),
+        "hreflangs": [{"lang": e.attrs["hreflang"].strip(), "href": e.attrs.get("href", "").strip()} for e in get("link") if "alternate" in rel(e) and e.attrs.get("hreflang", "").strip()],
+        "jsonld": scripts, "nodes": nodes, "bad_blocks": bad, "legacy": any("itemtype" in e.attrs or "typeof" in e.attrs for e in every),
         "elements": len(every),
-        "body_text": body_text,
+        "body_text": body_text, "visible_text": squeeze(text_of(root, " ", _SILENT)),
         "content_words": len(prose.split()),
         "paragraphs": paragraphs,
         "long_paragraphs": sum(len(text_of(e, " ").split()) > 150 for e in walk(body) if e.tag == "p"),
         "lists": len(get("ul", "ol")), "tables": len(get("table")), "quotes": len(get("blockquote", "q", "cite")),
         "forms": [e.attrs.get("action", "").strip() for e in get("form")],
         "embeds": len(videos), "tracks": len(get("track")), "figures": len(get("figure")),
-        "captions": sum(any(k.tag == "figcaption" for k in walk(e)) for e in get("figure")),
+        "captions": sum(id(e) in captioned for e in get("figure")),
         "times": [e.attrs["datetime"] for e in get("time") if e.attrs.get("datetime")],
         "popups": sum(bool(_POPUP.search(e.attrs.get("class", "") + " " + e.attrs.get("id", ""))) for e in get("div", "section", "dialog")),
         "article_words": len(text_of(region, " ").split()) if region is not None else None,

@@ -107,3 +107,18 @@ def contains_norm(haystack: Column, needle: Column) -> Column:
     n, h = norm(needle), norm(haystack)
     w = F.split(n, " ")
     return (n != "") & (F.contains(h, n) | ((F.size(w) > 12) & F.contains(h, F.array_join(F.slice(w, 1, 12), " "))))
+
+
+def most_of_one_invisible(text: Column) -> tuple[Column, Column]:
+    """(most occurrences of one character without width, soft hyphens aside; soft hyphens)."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    soft = "\u00ad"
+    return F.greatest(*(count(c) for c in INVISIBLE if c != soft)), count(soft)
+
+
+def agrees(name: Column, title: Column) -> Column:
+    """One contains the other, or they share a third of the words of the shorter one."""
+    a, b = F.lower(F.trim(name)), F.lower(F.trim(title))
+    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
+    need = F.greatest(F.floor(F.least(F.size(x), F.size(y)) / 3), F.lit(1))
+    return F.contains(a, b) | F.contains(b, a) | (F.size(F.array_intersect(x, y)) >= need)

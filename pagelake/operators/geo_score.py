@@ -1,7 +1,7 @@
 """The readiness score: signals of a page with points, their sums by category, total and band.
 
-Signals of site files (robots, llms.txt, discovery endpoints) are left out unless such files were
-captured; what was not looked at is not 0 of so many points.
+A page alone gives 58 of 100 points. Signals of site files (robots, llms.txt, discovery files) make up
+the other 42; they are left out unless such files were captured: what was not looked at is not 0.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.functions import urls as U
+from pagelake.functions.constants import CITATION_BOTS, OTHER_BOTS
+
+from .site import robots_rules, robots_verdict
 
 # Hosts that describe known entities; bands of the total.
 KNOWLEDGE = ("wikipedia.org", "wikidata.org", "linkedin.com", "crunchbase.com", "github.com", "twitter.com", "x.com", "facebook.com")
@@ -18,14 +21,14 @@ BANDS = ((86, "excellent"), (68, "good"), (36, "foundation"))
 
 
 def _types() -> Column:
-    return F.flatten(F.transform("jsonld", lambda j: F.regexp_extract_all(j, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))))
+    return F.flatten(F.transform("nodes", lambda n: n["types"]))
 
 
 def signals() -> list[tuple[str, str, int, Column]]:
     """(category, key, points, whether earned)."""
     good = F.filter("jsonld", lambda j: F.try_parse_json(j).isNotNull())
     has_type = lambda *t: F.arrays_overlap(_types(), F.array(*(F.lit(x) for x in t)))
-    props = F.transform(good, lambda j: F.size(F.filter(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), lambda k: ~k.startswith("@"))))
+    props = F.transform("nodes", lambda n: F.size(F.filter(n["props"], lambda k: ~k.startswith("@"))))
     level = lambda *n: F.exists("headings", lambda h: h["level"].isin(*n))
     title = F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))
     desc = F.coalesce(F.try_element_at(F.col("descriptions"), F.lit(1)), F.lit(""))
@@ -45,7 +48,7 @@ def signals() -> list[tuple[str, str, int, Column]]:
     heads = F.array_join(F.transform(F.filter("headings", lambda h: h["level"] <= 3), lambda h: h["text"]), " ")
     fresh = F.coalesce(F.map_contains_key("headers", "last-modified"), F.lit(False)) | F.contains("html", F.lit('"dateModified"'))
     return [
-        ("schema", "schema_any_valid", 2, F.size(good) > 0), ("schema", "schema_richness", 3, F.exists(props, lambda p: p >= 5)),
+        ("schema", "schema_any_valid", 2, F.size("nodes") > 0), ("schema", "schema_richness", 3, F.exists(props, lambda p: p >= 5)),
         ("schema", "schema_faq", 3, has_type("FAQPage")), ("schema", "schema_article", 3, has_type("Article", "NewsArticle", "BlogPosting")),
         ("schema", "schema_organization", 3, has_type("Organization", "LocalBusiness", "Corporation")), ("schema", "schema_website", 2, has_type("WebSite")),
         ("meta", "meta_title", 5, title != ""), ("meta", "meta_description", 2, desc != ""), ("meta", "meta_canonical", 3, F.size("canonicals") > 0),
@@ -67,6 +70,47 @@ def geo_signals(facts: DataFrame) -> DataFrame:
     return facts.select("page_id", F.explode(rows).alias("s")).select("page_id", "s.*")
 
 
+#: Kinds of site files, and the points of each discovery file that is there (and is JSON where it must be).
+_DISCOVERY = (("ai_discovery_well_known", "well_known", 2, False), ("ai_discovery_summary", "summary", 2, True), ("ai_discovery_faq", "faq", 1, True), ("ai_discovery_service", "service", 1, True))
+
+
+def site_signals(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """(page_id, category, key, points, earned) of the files of each page's site.
+
+    pages(page_id, url); files(site, kind, body): site is scheme://host, kind one of robots, llms,
+    llms_full, well_known, summary, faq and service; a file that is not there has no row. Without a
+    robots file everyone is allowed in; with one, agents count by the rule for the page's own path.
+    """
+    root = F.concat(U.scheme(F.col("url")), F.lit("://"), U.netloc(F.col("url")))
+    p = pages.select("page_id", root.alias("site"), F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url"))).alias("path"))
+    body = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("body")))
+    per = files.groupBy("site").agg(*(body(k).alias(k) for k in ("robots", "llms", "llms_full", "well_known", "summary", "faq", "service")))
+    bots = F.array(*(F.struct(F.lit(b).alias("agent"), F.lit(b in CITATION_BOTS).alias("cites")) for b in (*CITATION_BOTS, *OTHER_BOTS)))
+    robots = files.where("kind = 'robots'")
+    asked = p.join(robots.select("site").distinct(), "site", "left_semi").select("site", "path").distinct().withColumn("b", F.explode(bots)).select("site", "path", "b.agent", "b.cites")
+    verdict = robots_verdict(robots_rules(robots), asked).join(asked, ["site", "agent", "path"])
+    allowed = verdict.groupBy("site", "path").agg(F.count_if(F.col("allowed") & F.col("cites")).alias("citing"), F.count_if(F.col("allowed")).alias("in_all"))
+    df = p.join(per, "site", "left").join(allowed, ["site", "path"], "left")
+    has = lambda k: F.coalesce(F.col(k), F.lit("")) != ""
+    llms = F.coalesce("llms", F.lit(""))
+    rx = lambda r: llms.rlike(r)
+    n = T.word_count(llms)
+    some = F.col("robots").isNotNull() & (F.col("citing") < len(CITATION_BOTS)) & (F.col("in_all") > 0)
+    open_ = F.col("robots").isNull() | (F.col("citing") == len(CITATION_BOTS))
+    there = F.col("llms").isNotNull()
+    row = lambda c, k, pts, earned: F.struct(F.lit(c).alias("category"), k.alias("key") if isinstance(k, Column) else F.lit(k).alias("key"), F.lit(pts).alias("points"), earned.cast("int").alias("earned"))
+    when = lambda c, pts: F.when(c, pts).otherwise(0)
+    rows = [
+        row("robots.txt", "robots_found", 5, when(F.col("robots").isNotNull(), 5)),
+        row("robots.txt", F.when(some, "robots_some_allowed").otherwise("robots_citation_ok"), 13, F.when(open_, 13).when(some, 10).otherwise(0)),
+        row("llms.txt", "llms_found", 5, when(there, 5)), row("llms.txt", "llms_h1", 2, when(rx(r"(?m)^#\s+\S"), 2)), row("llms.txt", "llms_blockquote", 1, when(rx(r"(?m)^>\s+\S"), 1)),
+        row("llms.txt", "llms_sections", 2, when(rx(r"(?m)^##\s+\S"), 2)), row("llms.txt", "llms_links", 2, when(rx(r"\]\((https?://[^)]+)\)"), 2)),
+        row("llms.txt", "llms_depth", 2, when(n >= 1000, 2)), row("llms.txt", "llms_depth_high", 2, when(n >= 5000, 2)), row("llms.txt", "llms_full", 2, when(there & has("llms_full"), 2)),
+        *(row("ai_discovery", key, pts, when(has(kind) & (F.try_parse_json(F.col(kind)).isNotNull() if parses else F.lit(True)), pts)) for key, kind, pts, parses in _DISCOVERY),
+    ]
+    return df.select("page_id", F.explode(F.array(*rows)).alias("s")).select("page_id", "s.*")
+
+
 def band(total: Column) -> Column:
     out = F.when(F.lit(False), "")
     for least, name in BANDS:

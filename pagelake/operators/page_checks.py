@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.functions import urls as U
-from pagelake.functions.constants import AUTHORITIES, CALLS, FILLER, HEDGES, INJECTIONS, SCHEMA_RULES, SEVERITIES
+from pagelake.functions.constants import AUTHORITIES, CALLS, FILLER, HEDGES, INJECTIONS, PAGE_TYPES, SCHEMA_RULES, SEVERITIES
 from pagelake.functions.facts import with_facts
 
 CHECKS: dict[str, tuple[Callable[[], Column], Callable[[], Column] | None]] = {}
@@ -64,48 +64,43 @@ def status() -> Column:
     rest = _list(
         _f((s >= 300) & (s < 400), "status.3xx", "high"), _f((s >= 400) & (s < 500), "status.4xx", "critical"), _f(s >= 500, "status.5xx", "critical"),
         _f(hops > 2, "redirect.chain", "high"), _f(F.size(F.array_distinct(urls)) < hops, "redirect.loop", "critical"),
-        _f(F.col("ttfb_ms") > 800, "ttfb.slow", "low"), _f(U.scheme(F.col("url")) == "http", "scheme.http", "high"),
+        _f(F.col("ttfb_ms") > 800, "ttfb.slow", "low"), _f(U.scheme(F.coalesce(F.try_element_at(urls, F.lit(1)), F.col("url"))) == "http", "scheme.http", "high"),
     )
     return F.when(gone, _first(_f(F.col("blocked_reason").isNotNull(), "fetch.blocked", "critical"), _f(F.lit(True), "fetch.failed", "critical"))).otherwise(rest)
 
 
 @register("title")
 def title() -> Column:
-    n = F.length(F.try_element_at(F.col("titles"), F.lit(1)))
-    empty = (_n("titles") == 0) | (n == 0)
-    return F.when(empty, _list(_f(F.lit(True), "title.empty", "critical"))).otherwise(
-        _list(_f(n < 20, "title.short", "low"), _f(n > 60, "title.long", "low"), _f(_n("titles") > 1, "title.multiple", "high"))
-    )
+    n = F.coalesce(F.length(F.try_element_at(F.col("titles"), F.lit(1))), F.lit(0))
+    return _list(_f(n == 0, "title.empty", "critical"), _f(n.between(1, 19), "title.short", "low"), _f(n > 60, "title.long", "low"), _f(_n("titles") > 1, "title.multiple", "high"))
 
 
 @register("description")
 def description() -> Column:
-    n = F.length(F.try_element_at(F.col("descriptions"), F.lit(1)))
-    empty = (_n("descriptions") == 0) | (n == 0)
-    return F.when(empty, _list(_f(F.lit(True), "description.empty", "high"))).otherwise(
-        _list(_f(n < 80, "description.short", "low"), _f(n > 160, "description.long", "low"), _f(_n("descriptions") > 1, "description.multiple", "high"))
-    )
+    n = F.coalesce(F.length(F.try_element_at(F.col("descriptions"), F.lit(1))), F.lit(0))
+    return _list(_f(n == 0, "description.empty", "high"), _f(n.between(1, 79), "description.short", "low"), _f(n > 160, "description.long", "low"), _f(_n("descriptions") > 1, "description.multiple", "high"))
 
 
 @register("headings")
 def headings() -> Column:
     levels = F.transform("headings", lambda h: h["level"])
-    first = F.filter("headings", lambda h: (h["level"] == 1) & (h["text"] != ""))
+    top = F.filter("headings", lambda h: h["level"] == 1)
+    told = F.exists(top, lambda h: h["text"] != "")
     skips = F.exists(F.arrays_zip(levels.alias("a"), F.slice(levels, 2, 100000).alias("b")), lambda x: F.coalesce(x["b"] > x["a"] + 1, F.lit(False)))
-    return _list(_f(F.size(first) == 0, "h1.missing", "high"), _f(F.size(F.filter("headings", lambda h: h["level"] == 1)) > 1, "h1.multiple", "low"), _f(skips, "headings.order", "low"))
+    return _list(_f(~told, "h1.missing", "high"), _f(told & (F.size(top) > 1), "h1.multiple", "low"), _f(skips, "headings.order", "low"))
 
 
 @register("canonical")
 def canonical() -> Column:
     own = F.try_element_at(F.col("canonicals"), F.lit(1))
-    header = F.regexp_extract(F.coalesce(F.try_element_at(F.col("headers"), F.lit("link")), F.lit("")), r'<([^>]+)>\s*;\s*rel="?canonical"?', 1)
-    bare = lambda c: F.rtrim(F.lit("/"), c)
-    absolute = own.rlike("(?i)^https?://")
-    return F.when((_n("canonicals") == 0) | (own == ""), _list(_f(header == "", "canonical.missing", "low"))).otherwise(
+    header = F.trim(F.regexp_extract(F.coalesce(F.try_element_at(F.col("headers"), F.lit("link")), F.lit("")), r'(?i)<([^>]+)>\s*;\s*rel\s*=\s*"?canonical"?', 1))
+    href = F.coalesce(own, header)
+    place = lambda h: F.rtrim(U.join(F.col("url"), h), F.lit("/"))
+    return F.when(own.isNull() & (header == ""), _list(_f(F.lit(True), "canonical.missing", "low"))).otherwise(
         _list(
-            _f(_n("canonicals") > 1, "canonical.multiple", "high"), _f(~absolute, "canonical.relative", "high"),
-            _f((header != "") & (bare(header) != bare(own)), "canonical.mismatch", "high"),
-            _f(absolute & (bare(own) != bare(F.col("url"))), "canonical.other", "info"),
+            _f(_n("canonicals") > 1, "canonical.multiple", "high"), _f((href != "") & ~href.rlike("^https?://"), "canonical.relative", "high"),
+            _f((header != "") & (place(header) != place(own)), "canonical.mismatch", "high"),
+            _f(place(href) != F.rtrim(F.col("url"), F.lit("/")), "canonical.other", "info"),
         )
     )
 
@@ -117,7 +112,7 @@ def indexability() -> Column:
     all_ = F.transform(F.concat(tags, header), lambda x: F.lower(F.trim(x)))
     has = lambda x: F.array_contains(all_, x)
     return _list(
-        _f(has("noindex") | has("none"), "robots.noindex", "critical"), _f(has("nofollow") | has("none"), "robots.nofollow", "high"),
+        _f(has("noindex"), "robots.noindex", "critical"), _f(has("nofollow"), "robots.nofollow", "high"),
         _f(has("nosnippet"), "robots.nosnippet", "low"), _f(has("noimageindex"), "robots.noimageindex", "low"),
     )
 
@@ -130,7 +125,7 @@ def language() -> Column:
 
 @register("viewport")
 def viewport() -> Column:
-    return _list(_f(~F.exists("metas", lambda m: m["name"] == "viewport"), "viewport.missing", "high"))
+    return _list(_f(~F.exists("metas", lambda m: (m["name"] == "viewport") & (m["content"] != "")), "viewport.missing", "high"))
 
 
 @register("content")
@@ -145,7 +140,7 @@ def metaplace() -> Column:
     return _list(_f(stray, "meta.in_body", "high"))
 
 
-@register("url", lambda: F.col("media_type") == "text/html")
+@register("url", lambda: (F.col("media_type") == "text/html") & F.col("error").isNull())
 def url() -> Column:
     return F.transform(U.shape(F.col("url")), lambda c: F.struct(c.alias("code"), F.lit("low").alias("severity"))).cast(_FINDING)
 
@@ -155,22 +150,22 @@ def security() -> Column:
     lacks = lambda h: ~F.coalesce(F.map_contains_key("headers", h), F.lit(False))
     return _list(
         _f((U.scheme(F.col("url")) == "https") & lacks("strict-transport-security"), "header.hsts_missing", "low"),
-        _f(lacks("content-security-policy"), "header.csp_missing", "low"), _f(lacks("x-content-type-options"), "header.nosniff_missing", "low"),
+        _f(lacks("content-security-policy"), "header.csp_missing", "low"), _f(F.lower(F.coalesce(F.try_element_at(F.col("headers"), F.lit("x-content-type-options")), F.lit(""))) != "nosniff", "header.nosniff_missing", "low"),
     )
 
 
 @register("forms")
 def forms() -> Column:
-    plain = U.scheme(F.col("url")) == "http"
-    found = F.transform("forms", lambda a: F.when(a.rlike("(?i)^http://"), F.struct(F.lit("form.insecure_action").alias("code"), F.lit("critical").alias("severity"))).when(plain, F.struct(F.lit("form.on_http").alias("code"), F.lit("critical").alias("severity"))))
+    finding = lambda code: F.struct(F.lit(code).alias("code"), F.lit("critical").alias("severity"))
+    found = F.transform("forms", lambda a: F.when(U.scheme(U.join(F.col("url"), a)) == "http", finding("form.insecure_action")).when(U.scheme(F.col("url")) != "https", finding("form.on_http")))
     return F.array_compact(found).cast(_FINDING)
 
 
 @register("asai", lambda: html_200() & F.col("rendered_text").isNotNull())
 def asai() -> Column:
-    raw, full = T.word_count(F.col("body_text")), T.word_count(F.col("rendered_text"))
-    a = T.shingles(F.col("body_text"))
-    share = T.bind(T.shingles(F.col("rendered_text")), lambda r: F.round(F.size(F.array_except(r, a)) / F.greatest(F.size(r), F.lit(1)), 3))
+    raw, full = T.word_count(F.col("visible_text")), T.word_count(F.col("rendered_text"))
+    a = T.shingles(F.col("visible_text"))
+    share = T.bind(T.shingles(F.col("rendered_text")), lambda r: F.size(F.array_except(r, a)) / F.greatest(F.size(r), F.lit(1)))
     return _first(
         _f((raw < 20) & (full < 20), "asai.empty", "high"), _f((raw < 50) & (full >= 200), "asai.js_required", "critical"), _f(share >= 0.5, "asai.mostly_js", "critical"),
         _f(share >= 0.2, "asai.partly_js", "high"), _f(share > 0.02, "asai.some_js", "low"), _f(F.lit(True), "asai.server_rendered", "info"),
@@ -183,21 +178,11 @@ _NO_PLACE = "(?i)^(#|mailto:|tel:|javascript:|data:|sms:|ftp:|about:|blob:)"
 
 def resolved_links() -> Column:
     """array<struct(href, url, text, rel, image, internal, nofollow)> of the links that lead to http(s) places."""
-    base = F.coalesce(F.when(F.col("base_href").rlike("(?i)^https?://"), F.col("base_href")), F.col("url"))
-    root = F.concat(U.scheme(base), F.lit("://"), U.netloc(base))
-    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "(://[^/]+/(?:.*/)?)[^/]*$", "$1")
-    folder = F.when(U.path(base) == "", F.concat(root, F.lit("/"))).otherwise(folder)
+    base = F.when(F.col("base_href").isNull(), F.col("url")).otherwise(U.join(F.col("url"), F.col("base_href")))
     own = U.registrable(U.host(base))
-
-    def full(h: Column) -> Column:
-        return (
-            F.when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(U.scheme(base), F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
-            .when(h.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), h)).when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string")).otherwise(F.concat(folder, h))
-        )
-
     kept = F.filter("links", lambda x: (x["href"] != "") & ~x["href"].rlike(_NO_PLACE))
-    out = F.transform(kept, lambda x: F.struct(x["href"].alias("href"), full(x["href"]).alias("url"), x["text"].alias("text"), x["rel"].alias("rel"), x["image"].alias("image")))
-    out = F.filter(out, lambda x: x["url"].isNotNull())
+    out = F.transform(kept, lambda x: F.struct(x["href"].alias("href"), U.join(base, x["href"]).alias("url"), x["text"].alias("text"), x["rel"].alias("rel"), x["image"].alias("image")))
+    out = F.filter(out, lambda x: x["url"].rlike("(?i)^https?:"))
     return F.transform(out, lambda x: F.struct(x["href"], x["url"], x["text"], x["rel"], x["image"], (U.registrable(U.host(x["url"])) == own).alias("internal"), F.contains(x["rel"], F.lit("nofollow")).alias("nofollow")))
 
 
@@ -229,37 +214,46 @@ def links() -> Column:
 def images() -> Column:
     some = lambda f: F.exists("images", f)
     no_size = lambda i: F.coalesce(i["width"], F.lit("")).isin("") | F.coalesce(i["height"], F.lit("")).isin("")
-    robots = F.exists("metas", lambda m: (m["name"] == "robots") & F.contains(F.lower(m["content"]), F.lit("noimageindex")))
+    told = F.concat_ws(" ", F.transform(F.filter("metas", lambda m: m["name"].isin("robots", "googlebot")), lambda m: m["content"]), F.try_element_at(F.col("headers"), F.lit("x-robots-tag")))
+    robots = F.contains(F.lower(told), F.lit("noimageindex"))
     return _list(
         _f(F.col("bare_pictures") > 0, "images.picture_without_img", "high"), _f(some(lambda i: i["alt"].isNull()), "images.no_alt", "high"),
-        _f(some(lambda i: F.length(i["alt"]) > 100), "images.long_alt", "low"), _f(some(no_size), "images.no_dimensions", "low"),
+        _f(some(lambda i: F.length(F.trim(i["alt"])) > 100), "images.long_alt", "low"), _f(some(no_size), "images.no_dimensions", "low"),
         _f(robots & (_n("images") > 0), "images.noimageindex", "high"), _f(some(lambda i: F.lower(F.regexp_replace(i["src"], r"[?#].*$", "")).rlike(r"\.(bmp|tiff?)$")), "images.legacy_format", "low"),
         _f(F.try_element_at(F.col("images"), F.lit(1))["loading"] == "lazy", "images.lazy_first", "low"),
     )
 
 
-_BCP47 = "(?i)^(x-default|[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?)$"
+_BCP47 = "(?i)^[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?$"
 
 
 def same_url(a: Column, b: Column) -> Column:
     """Equality of alternates: scheme and host in any case, port and last slash aside, query kept."""
-    key = lambda u: F.concat(U.scheme(u), F.lit("://"), U.host(u), F.rtrim(F.lit("/"), U.path(u)), U.query(u))
+    key = lambda u: F.concat(U.scheme(u), F.lit("://"), U.host(u), F.rtrim(U.path(u), F.lit("/")), U.query(u))
     return key(a) == key(b)
 
 
-@register("hreflang", lambda: html_200() & (F.size("hreflangs") > 0))
+def alternates() -> Column:
+    """array<struct(lang, href)> of the HTML and of the Link header."""
+    header = F.coalesce(F.try_element_at(F.col("headers"), F.lit("link")), F.lit(""))
+    rx = r"""(?i)<([^>]+)>\s*;\s*rel\s*=\s*"?alternate"?[^,]*?hreflang\s*=\s*"?([^";,]+)"?"""
+    of = lambda k: F.transform(F.regexp_extract_all(header, F.lit(rx), F.lit(k)), lambda x: F.trim(x))
+    return F.concat("hreflangs", F.transform(F.arrays_zip(of(2).alias("lang"), of(1).alias("href")), lambda x: F.struct(x["lang"].alias("lang"), x["href"].alias("href"))))
+
+
+@register("hreflang", lambda: html_200() & (F.size(alternates()) > 0))
 def hreflang() -> Column:
-    tags = F.col("hreflangs")
+    tags = alternates()
     low = F.transform(tags, lambda t: F.lower(t["lang"]))
     some = lambda f: F.exists(tags, f)
-    is_self = lambda t: same_url(t["href"], F.col("url"))
+    is_self = lambda t: (t["href"] != "") & same_url(U.join(F.col("url"), t["href"]), F.col("url"))
     html_lang = F.lower(F.coalesce("lang", F.lit("")))
-    clash = some(lambda t: is_self(t) & ~F.lower(t["lang"]).isin("x-default") & (F.lower(t["lang"]) != html_lang))
+    clash = some(lambda t: is_self(t) & (F.lower(t["lang"]) != "x-default") & (F.lower(t["lang"]) != html_lang))
     found = _list(
         _f(~F.array_contains(low, "x-default"), "hreflang.no_xdefault", "low"), _f(~some(is_self), "hreflang.no_self_reference", "high"),
         _f((html_lang != "") & clash, "hreflang.lang_mismatch", "high"),
-        _f(some(lambda t: (t["href"] != "") & ~t["href"].rlike("(?i)^https?://")), "hreflang.relative_url", "high"),
-        _f(some(lambda t: ~t["lang"].rlike(_BCP47)), "hreflang.malformed_code", "high"), _f(F.size(F.array_distinct(low)) < F.size(low), "hreflang.duplicate_code", "high"),
+        _f(some(lambda t: (t["href"] != "") & ~t["href"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:")), "hreflang.relative_url", "high"),
+        _f(some(lambda t: (F.lower(t["lang"]) != "x-default") & ~t["lang"].rlike(_BCP47)), "hreflang.malformed_code", "high"), _f(F.size(F.array_distinct(low)) < F.size(low), "hreflang.duplicate_code", "high"),
         _f(some(lambda t: t["href"] == ""), "hreflang.missing_href", "high"),
     )
     return F.when(F.size(found) == 0, _list(_f(F.lit(True), "hreflang.ok", "info"))).otherwise(found)
@@ -267,31 +261,38 @@ def hreflang() -> Column:
 
 @register("schema")
 def schema() -> Column:
-    bad = F.size(F.filter("jsonld", lambda j: F.try_parse_json(j).isNull()))
-    per_block = F.transform(F.filter("jsonld", lambda j: F.try_parse_json(j).isNull()), lambda j: F.struct(F.lit("schema.invalid_json").alias("code"), F.lit("high").alias("severity"))).cast(_FINDING)
-    micro = F.coalesce(F.col("html").rlike(r"(?i)\sitemtype\s*="), F.lit(False))
-    good = _n("jsonld") - bad
-    types = F.flatten(F.transform("jsonld", lambda j: F.regexp_extract_all(j, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))))
-    present = lambda p: F.exists("jsonld", lambda j: F.contains(j, F.concat(F.lit('"'), p, F.lit('"'))))
-    rules = F.array(*(F.struct(F.lit(t).alias("t"), F.array(*(F.lit(x) for x in need)).cast("array<string>").alias("need"), F.array(*(F.lit(x) for x in want)).cast("array<string>").alias("want")) for t, (need, want) in SCHEMA_RULES.items()))
-    mine = F.filter(rules, lambda r: F.array_contains(types, r["t"]))
-    lacking = F.exists(mine, lambda r: F.exists(r["need"], lambda p: ~present(p)))
-    thin = F.exists(mine, lambda r: F.exists(r["want"], lambda p: ~present(p)))
-    context = F.exists("jsonld", lambda j: F.contains(j, F.lit('"@context"')))
-    rest = _list(_f(~context, "schema.no_context", "high"), _f(lacking, "schema.missing_required", "high"), _f(thin, "schema.missing_recommended", "low"), _f(F.size(types) > 0, "schema.present", "info"))
-    none = _first(_f(micro, "schema.legacy_only", "low"), _f(F.lit(True), "schema.missing", "low"))
-    return F.concat(per_block, F.when(good <= 0, none).otherwise(rest))
+    finding = lambda code, sev: F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"))
+    invalid = F.transform(F.sequence(F.lit(1), F.greatest(F.col("bad_blocks"), F.lit(1))), lambda _: finding("schema.invalid_json", "high"))
+    per_block = F.when(F.col("bad_blocks") > 0, invalid).otherwise(F.array()).cast(_FINDING)
+    rules = F.create_map(*(x for t, (need, want) in SCHEMA_RULES.items() for x in (F.lit(t), F.struct(F.array(*map(F.lit, need)).cast("array<string>").alias("need"), F.array(*map(F.lit, want)).cast("array<string>").alias("want")))))
+
+    def lacks(key: str, code: str, sev: str) -> Column:
+        """A finding for each node and type of which a property is missing."""
+        each = F.transform("nodes", lambda n: F.transform(F.filter(n["types"], lambda t: F.size(F.array_except(F.try_element_at(rules, t)[key], n["props"])) > 0), lambda _: finding(code, sev)))
+        return F.flatten(each).cast(_FINDING)
+
+    title = F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))
+    names = F.filter(F.transform(F.filter("nodes", lambda n: F.arrays_overlap(n["types"], F.array(*map(F.lit, PAGE_TYPES)))), lambda n: n["name"]), lambda x: F.length(x) > 10)
+    contradicts = (title != "") & (F.size(names) > 0) & ~F.exists(names, lambda x: T.agrees(x, title))
+    none = _first(_f(F.col("legacy"), "schema.legacy_only", "low"), _f(F.lit(True), "schema.missing", "high"))
+    rest = F.concat(
+        per_block, _list(_f((_n("nodes") > 0) & ~F.exists("nodes", lambda n: n["context"]), "schema.no_context", "high")),
+        lacks("need", "schema.missing_required", "high"), lacks("want", "schema.missing_recommended", "low"), _list(_f(contradicts, "schema.contradicts_page", "high")),
+    )
+    done = T.bind(rest, lambda x: F.when(F.exists(x, lambda f: f["severity"] == "high"), x).otherwise(F.concat(x, _list(_f(F.lit(True), "schema.present", "info")))))
+    return F.when((_n("nodes") == 0) & (F.col("bad_blocks") == 0), none).otherwise(done)
 
 
 @register("social")
 def social() -> Column:
-    og = F.transform(F.filter("metas", lambda m: m["property"].startswith("og:") & (m["content"] != "")), lambda m: m["property"])
-    card = F.exists("metas", lambda m: (m["name"].startswith("twitter:") | m["property"].startswith("twitter:")))
-    lacking = F.array_except(F.array(*(F.lit(x) for x in ("og:title", "og:description", "og:image", "og:url"))), og)
+    og = F.filter("metas", lambda m: m["property"].startswith("og:"))
+    card = F.exists("metas", lambda m: (m["name"] == "twitter:card") & (m["content"] != ""))
+    any_card = F.exists("metas", lambda m: m["name"].startswith("twitter:"))
+    lacking = F.size(F.filter(F.array(*map(F.lit, ("og:title", "og:description", "og:image"))), lambda k: ~F.exists(og, lambda m: (m["property"] == k) & (m["content"] != ""))))
     found = _list(
-        _f(F.size(og) == 0, "social.no_opengraph", "low"), _f((F.size(og) > 0) & (F.size(lacking) > 0), "social.incomplete_opengraph", "low"), _f(~card, "social.no_twitter_card", "low"),
+        _f(lacking == 3, "social.no_opengraph", "low"), _f(lacking.between(1, 2), "social.incomplete_opengraph", "low"), _f((F.size(og) > 0) & ~card, "social.no_twitter_card", "low"),
     )
-    return F.when(F.size(found) == 0, _list(_f(F.lit(True), "social.ok", "info"))).otherwise(found)
+    return F.when((F.size(found) == 0) & ((F.size(og) > 0) | any_card), _list(_f(F.lit(True), "social.ok", "info"))).otherwise(found)
 
 
 def lead() -> Column:
@@ -348,7 +349,7 @@ def readability() -> Column:
 def freshness() -> Column:
     names = ("article:published_time", "article:modified_time", "date", "last-modified", "og:updated_time", "datepublished", "datemodified")
     dated = (
-        F.exists("metas", lambda m: m["property"].isin(*names) | m["name"].isin(*names)) | (_n("times") > 0) | F.coalesce(F.map_contains_key("headers", "last-modified"), F.lit(False))
+        F.exists("metas", lambda m: F.when(m["property"] != "", m["property"]).otherwise(m["name"]).isin(*names)) | (_n("times") > 0) | (F.coalesce(F.try_element_at(F.col("headers"), F.lit("last-modified")), F.lit("")) != "")
         | F.exists("jsonld", lambda j: j.rlike(r'"date(Published|Modified)"\s*:\s*"[^"]{4,40}"'))
     )
     return _first(_f(dated, "freshness.dated", "info"), _f(F.lit(True), "freshness.undated", "low"))
@@ -372,18 +373,23 @@ def author() -> Column:
     return _first(_f(named, "author.present", "info"), _f(F.lit(True), "author.missing", "low"))
 
 
+#: Characters of a page's comments that are searched for instructions.
+_COMMENT_CHARS = 20_000
+
+
 @register("injection")
 def injection() -> Column:
     phrases = F.array(*(F.lit(p) for p in INJECTIONS))
     says = lambda t: F.exists(phrases, lambda p: F.contains(F.lower(t), p))
-    secret = F.exists("comments", says) | F.exists("hidden", says)
-    shown = says(F.col("body_text")) & ~secret
-    soft = F.length("body_text") - F.length(F.replace("body_text", F.lit("­"), F.lit("")))
+    commented = says(F.substring(F.array_join("comments", " "), 1, _COMMENT_CHARS))
+    unseen = says(F.array_join(F.transform("hidden", lambda h: h["text"]), " "))
+    most, soft = T.most_of_one_invisible(F.col("html"))
     tags = F.col("html").rlike("[\\x{E0000}-\\x{E007F}]")
-    odd = T.invisible_count(F.col("body_text"))
+    lookalikes = F.regexp_count("body_text", F.lit("[\\p{IsCyrillic}&&\\p{L}&&[\\x{2001}-\\x{10FFFF}]]"))
     found = _list(
-        _f(_n("hidden") > 0, "injection.hidden_text", "high"), _f(tags | (odd - soft >= 20) | (soft >= 50), "injection.invisible_unicode", "high"),
-        _f(secret, "injection.instructions", "high"), _f(shown, "injection.phrasing", "low"),
+        _f(F.exists("hidden", lambda h: h["deceptive"]), "injection.hidden_text", "high"), _f(tags | (most >= 20) | (soft >= 50), "injection.invisible_unicode", "high"),
+        _f(says(F.col("body_text")), "injection.phrasing", "low"), _f(commented, "injection.instructions", "high"), _f(unseen, "injection.instructions", "high"),
+        _f(lookalikes > 20, "injection.confusable_script", "low"),
     )
     return F.when(F.size(found) == 0, _list(_f(F.lit(True), "injection.clean", "info"))).otherwise(found)
 
@@ -399,7 +405,8 @@ def clutter() -> Column:
     calls = T.phrase_total(F.col("body_text"), CALLS)
     ratio = 1 - F.col("article_words") / n
     site = F.flatten(F.transform(F.filter("metas", lambda m: m["property"] == "og:site_name"), lambda m: F.regexp_extract_all(F.lower(m["content"]), F.lit("[a-z]{4,}"), F.lit(0))))
-    brand = F.concat(site, F.filter(F.split(U.host(F.col("url")), r"\."), lambda x: ~x.isin(*_LABELS)))
+    declared = F.flatten(F.transform("jsonld", lambda j: F.regexp_extract_all(F.lower(F.array_join(F.regexp_extract_all(j, F.lit(r'"name"\s*:\s*"([^"]{2,60})"'), F.lit(1)), " ")), F.lit("[a-z]{4,}"), F.lit(0))))
+    brand = F.concat(site, declared, F.filter(F.split(U.host(F.col("url")), r"\."), lambda x: ~x.isin(*_LABELS)))
     terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.try_element_at(F.col("titles"), F.lit(1)), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), lambda t: ~t.isin(*TITLE_WORDS) & ~F.array_contains(brand, t))
     tokens = F.regexp_extract_all(F.lower("body_text"), F.lit("[a-z]{4,}"), F.lit(0))
     often = lambda k: F.exists(F.array_distinct(terms), lambda t: T.bind(F.size(F.filter(k, lambda x: x == t)), lambda c: (c >= 10) & (c / n > 0.035)))
