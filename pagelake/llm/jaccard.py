@@ -42,6 +42,8 @@ SHORT = 6
 LEADERS = 4
 #: Tokens ordered last as frequent: so many at most. Any choice gives the same result.
 FREQUENT = 1 << 18
+#: Tokens that a task holds at once when it looks for repeated ones.
+REPEATS = 2_000_000
 #: Entries of one list that one task takes.
 LIST_ROWS = 20_000
 TILE_ROWS = 4096
@@ -108,7 +110,7 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen.add(c)
             held.append(s)
             size += len(s)
-            if size > 4_000_000:
+            if size > REPEATS:
                 yield flush()
                 held, size = [], 0
     if held:

@@ -21,6 +21,10 @@ DOC_GRAMS = 300
 UNKNOWN = "und"
 #: Bits of a letter within an n-gram's code: room for every code point.
 _BITS = np.uint64(21)
+#: The same for texts whose letters all lie in the first 1,000 code points.
+_NARROW = 10
+#: Codes counted at once, so that a task's memory does not follow the batch.
+_PIECE = 500_000
 _EDGE = 1
 _ALPHA: np.ndarray | None = None
 
@@ -29,33 +33,52 @@ def _letter_table() -> np.ndarray:
     """Code point -> 0 for what is no letter, else the code point + 2."""
     global _ALPHA
     if _ALPHA is None:
-        _ALPHA = np.array([i + 2 if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint64)
+        _ALPHA = np.fromiter((i + 2 if chr(i).isalpha() else 0 for i in range(0x110000)), dtype=np.uint32, count=0x110000)
     return _ALPHA
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of the lower-cased letters, words padded with an edge mark."""
+def _raw_codes(text: str) -> np.ndarray:
+    """All 1-, 2- and 3-grams of the lower-cased letters, words padded with an edge mark, in _NARROW bits a letter if these do, else in _BITS."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     c = _letter_table()[cps]
-    if not c.any():
-        return np.empty(0, dtype=np.uint64)
-    c = np.concatenate(([0], c, [0])).astype(np.uint64)
+    if not (most := c.max(initial=0)):
+        return np.empty(0, dtype=np.uint32)
+    kind, bits = (np.uint32, np.uint32(_NARROW)) if most < 1 << _NARROW else (np.uint64, _BITS)
+    c = np.concatenate(([0], c, [0])).astype(kind)
     keep = (c[1:] != 0) | (c[:-1] != 0)  # one mark for each run of other characters
     c = c[np.concatenate(([True], keep))]
     edge = c == 0
     c[edge] = _EDGE
-    one = c[~edge]
-    pair = (c[:-1] << _BITS) | c[1:]
-    two = pair[~(edge[:-1] & edge[1:])]
-    three = ((c[:-2] << (_BITS + _BITS)) | pair[1:])[~edge[1:-1]]
-    return np.concatenate((one, two, three))
+    pair = (c[:-1] << bits) | c[1:]
+    return np.concatenate((c[~edge], pair[~(edge[:-1] & edge[1:])], ((c[:-2] << (bits + bits)) | pair[1:])[~edge[1:-1]]))
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in _BITS a letter, ascending, and how often each occurs."""
+    g, n = np.unique(codes, return_counts=True)
+    if g.dtype == np.uint32:
+        g, low = g.astype(np.uint64), np.uint64((1 << _NARROW) - 1)
+        a, b = np.uint64(2 * _NARROW), np.uint64(_NARROW)
+        g = ((g >> a) << (_BITS + _BITS)) | (((g >> b) & low) << _BITS) | (g & low)
+    return g, n
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=True):
-            codes, n = np.unique(np.concatenate([gram_codes(t) for t in part["text"]]), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": codes.astype(np.int64), "n": n.astype(np.int64)})
+            held: dict[type, list[np.ndarray]] = {}
+            size, seen = 0, []
+            for t in [*part["text"], None]:
+                if t is not None:
+                    codes = _raw_codes(t)
+                    held.setdefault(codes.dtype.type, []).append(codes)
+                    size += len(codes)
+                if size > _PIECE or t is None:
+                    seen += [_counted(np.concatenate(x)) for x in held.values()]
+                    held, size = {}, 0
+            g, i = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            n = np.bincount(i, np.concatenate([n for _, n in seen]), len(g))
+            yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64), "n": n.astype(np.int64)})
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
@@ -113,10 +136,10 @@ def _guesser(profiles: DataFrame, doc_grams: int, size: int) -> Callable[[str |
         place[row[r["lang"]], at[r["gram"]]] = r["rank"]
 
     def guess(text: str | None) -> tuple[str, float]:
-        codes = gram_codes(text or "")
+        codes = _raw_codes(text or "")
         if not len(codes) or not langs:
             return UNKNOWN, 0.0
-        g, n = np.unique(codes, return_counts=True)
+        g, n = _counted(codes)
         top = g[np.argsort(-n, kind="stable")[:doc_grams]]
         i = np.minimum(np.searchsorted(known, top), len(known) - 1)
         p = place[:, np.where(known[i] == top, i, len(known))]

@@ -30,7 +30,7 @@ PAGE_BYTES = 256 << 10
 #: Bytes of input for one file of tokens.
 FILE_BYTES = 128 << 20
 #: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
-CACHE, KEPT = 500_000, 250_000
+CACHE, KEPT = 400_000, 250_000
 #: Bytes of the unknown chunks that the tokenizer gets as one text.
 JOINED = 1 << 11
 #: Marks a chunk that follows no space; texts that hold it are encoded whole.
@@ -38,7 +38,7 @@ _BARE = "\x00"
 #: Other white space than single spaces and line feeds between two other characters, or the mark itself.
 _ODD = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class _Numbers(dict):
