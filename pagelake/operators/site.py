@@ -10,6 +10,8 @@ from pagelake.sources.tables import cut
 MAX_DEPTH = 4
 CRAWL_DEPTH = 5
 SAMPLE = 12
+LINKERS = 6
+WORST = 5
 DAMPING = 0.85
 ROUNDS = 30
 RANKED = 15
@@ -19,11 +21,20 @@ def indexable(pages: DataFrame) -> Column:
     return (F.col("media_type") == "text/html") & F.col("ok") & ~F.contains(F.lower(F.coalesce("robots", F.lit(""))), F.lit("noindex"))
 
 
-def duplicate_groups(pages: DataFrame, col: str) -> DataFrame:
-    """(value, pages, sample): values that more than one indexable page has."""
+def _first(df: DataFrame, key: str, value: str, most: int, name: str) -> DataFrame:
+    """(key, name): the first `most` distinct values of each key in order; no task holds more of a key than that."""
+    w = Window.partitionBy(key).orderBy(value)
+    top = df.select(key, value).distinct().withColumn("place_", F.row_number().over(w)).where(F.col("place_") <= most)
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def duplicate_groups(pages: DataFrame, col: str, most: int | None = None) -> DataFrame:
+    """(value, pages, sample): values that more than one indexable page has, or the `most` largest groups of them."""
     v = F.trim(F.coalesce(F.col(col), F.lit("")))
     g = pages.where(indexable(pages)).select(v.alias("value"), "url").where("value <> ''")
-    return g.groupBy("value").agg(F.count("*").alias("pages"), F.slice(F.array_sort(F.collect_set("url")), 1, SAMPLE).alias("sample")).where("pages > 1")
+    groups = g.groupBy("value").agg(F.count("*").alias("pages")).where("pages > 1")
+    groups = groups if most is None else groups.orderBy(F.desc("pages"), "value").limit(most)
+    return groups.join(_first(g.join(groups.select("value"), "value", "left_semi"), "value", "url", SAMPLE, "sample"), "value").select("value", "pages", "sample")
 
 
 def orphans(pages: DataFrame, edges: DataFrame, start: str) -> DataFrame:
@@ -69,7 +80,8 @@ def follow_signals(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def broken_links(pages: DataFrame, edges: DataFrame) -> DataFrame:
     bad = pages.where(F.col("status") >= 400).select("url", "status")
-    froms = edges.groupBy(F.col("dst").alias("url")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, 6).alias("linked_from"))
+    to = edges.select(F.col("dst").alias("url"), "src").join(bad.select("url"), "url", "left_semi")
+    froms = _first(to, "url", "src", LINKERS, "linked_from")
     return bad.join(froms, "url", "left").select("url", "status", F.coalesce("linked_from", F.array().cast("array<string>")).alias("linked_from"))
 
 
@@ -117,10 +129,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(node, score): synchronous rounds from a uniform start; the rank of dead ends is spread over all nodes.
 
-    One shuffle by target a round; ranks are cut every fifth round so that the plan stays small.
+    Edges lie by source and nodes by name once and for all, so a round shuffles only what the edges
+    pass on, summed up in each task first. Ranks are cut every other round, as a round reads them twice.
     """
-    edges = cut(graph_edges(edges))
-    nodes = cut(degrees(edges).select("node", "outbound"))
+    edges = cut(graph_edges(edges).repartition("src"))
+    nodes = cut(degrees(edges).select("node", "outbound").repartition("node"))
     n = nodes.count()
     ranks = nodes.select("node", "outbound", F.lit(1.0 / max(1, n)).alias("score"))
     for i in range(rounds):
@@ -128,7 +141,7 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -
         loose = ranks.where("outbound = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
         base = F.lit((1 - damping) / max(1, n)) + F.lit(damping) * F.col("loose") / n
         ranks = nodes.join(gets, F.col("node") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("node", "outbound", (base + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))  # one row
-        if i % 5 == 4:
+        if i % 2:
             ranks = cut(ranks)
     return ranks.select("node", F.round("score", 5).alias("score"))
 
@@ -152,19 +165,47 @@ def dead_ends(links: DataFrame, most: int = RANKED) -> DataFrame:
     return ranked(links).where("outbound = 0").orderBy(F.desc("score"), "node").limit(most)
 
 
-def bfs(edges: DataFrame, start: int, most: int) -> DataFrame:
-    """(node, depth) by levels from start; a node is visited once, at its least depth."""
+def bfs(edges: DataFrame, start: int, most: int, refused: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """(node, depth) by levels from start; a node is visited once, at its least depth.
+
+    refused(node) are left out, as robots files ask for. With a budget no more nodes than that are
+    visited; of the level that exceeds it the first by name are.
+    """
     seen = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    front, left = seen, None if budget is None else budget - 1
     for d in range(1, most + 1):
-        front = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        front = cut(front)
-        if front.isEmpty():
+        front = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        if refused is not None:
+            front = front.join(refused.select("node"), "node", "left_anti")
+        if left is not None:
+            front = front.orderBy("node").limit(left)
+        front = cut(front.withColumn("depth", F.lit(d)))
+        n = front.count()
+        if not n:
             break
         seen = seen.unionAll(front)
+        left = None if left is None else left - n
     return seen
 
 
+def followers(events: DataFrame, key: str, order: list[str], within: Column) -> DataFrame:
+    """(src, dst): the key of each event and of the next one in order, if `within` is the same for both.
+
+    Events are sorted by ranges, so no task holds a whole day; the first event of each range, a row a
+    range, is handed to the one before it.
+    """
+    rows = events.select(key, *order, within.alias("within_")).repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    rows = cut(rows)
+    firsts = rows.groupBy("part_").agg(F.min(F.struct(*order, "within_", key)).alias("first_"))
+    w = Window.orderBy("part_")  # a row a range
+    after = firsts.select("part_", F.lead("first_").over(w).alias("next_"))
+    own = Window.partitionBy("part_").orderBy(*order)
+    nxt = F.lead(F.struct(*order, "within_", key)).over(own)
+    rows = rows.withColumn("near_", nxt).join(F.broadcast(after), "part_")  # a row a range
+    nxt = F.coalesce("near_", "next_")
+    return rows.where(nxt["within_"] == F.col("within_")).select(F.col(key).alias("src"), nxt[key].alias("dst"))
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """files(site, body) -> (site, agent, group_ord, ord, kind, pattern). A run of user-agent lines shares the rules below it."""
     lines = files.select("site", F.posexplode(F.split("body", r"\r?\n", -1)).alias("ord", "line"))
@@ -214,6 +255,18 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     return docs.select("site", kind.alias("kind"), F.explode_outer(found).alias("loc"))
 
 
+def follow_index(entries: DataFrame, files: DataFrame, most: int = 1000) -> DataFrame:
+    """entries(site, kind, loc) with the entries of the maps that an index lists (one level, `most` maps of a site at most) in place of the index.
+
+    files(site, url, body) are the captured maps; (site, kind, loc). A listed map that was not captured gives kind 'missing'.
+    """
+    w = Window.partitionBy("site").orderBy("loc")
+    children = entries.where("kind = 'index'").select("site", "loc").distinct().withColumn("place_", F.row_number().over(w)).where(F.col("place_") <= most).drop("place_")
+    known = sitemap_entries(files.join(children.select("site", F.col("loc").alias("url")), ["site", "url"], "left_semi"))
+    lost = children.join(files.select("site", F.col("url").alias("loc")), ["site", "loc"], "left_anti")
+    return entries.where("kind <> 'index'").unionAll(known.where("kind <> 'index'")).unionAll(lost.select("site", F.lit("missing").alias("kind"), "loc"))
+
+
 def sitemap_diff(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, verdict): in one of sitemap and crawl only, or in both and broken or noindex, or ok."""
     e = entries.where(F.col("loc").isNotNull()).select(F.col("loc").alias("url")).distinct().withColumn("listed", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators import audits as A
@@ -17,9 +17,7 @@ ROUNDS, LEVELS = S.ROUNDS, S.CRAWL_DEPTH
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between users: who acts after whom on the same day."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst IS NOT NULL")
+    return S.followers(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], F.to_date("ts"))
 
 
 _LINKS = "k AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM k WHERE dst IS NOT NULL AND src <> dst)"
@@ -44,6 +42,17 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bfs(e, start, S.CRAWL_DEPTH)
 
 
+BUDGET = 150
+
+
+def crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk of crawl_bfs without the users that every tenth number refuses, and up to a budget of users."""
+    e = cut(S.graph_edges(_links(spark, sf_dir)))
+    start = e.agg(F.min("src")).first()[0] or 0
+    refused = e.select(F.col("dst").alias("node")).distinct().where("node % 10 = 0")
+    return S.bfs(e, start, S.CRAWL_DEPTH, refused, BUDGET)
+
+
 def most_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of the highest rank."""
     return S.most_linked(_links(spark, sf_dir))
@@ -179,7 +188,7 @@ def _over(fixture: Fixture, f):
     return run
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
+QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, crawl_budget, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
 QUERIES |= {
     "canonical_conflicts": _crawl(lambda p, e: S.canonical_conflicts(p)), "hreflang_broken": _crawl(lambda p, e: S.hreflang_broken(p)), "hreflang_return": _crawl(lambda p, e: S.hreflang_return(p)),
     "follow_signals": _crawl(S.follow_signals), "broken_links": _crawl(lambda p, e: S.broken_links(p, e).withColumn("linked_from", F.array_join("linked_from", ","))), "redirect_chains": _crawl(lambda p, e: S.redirect_problems(p)),
@@ -210,7 +219,12 @@ def _ranked_sql(which: str) -> str:
 
 
 _B = ", ".join(f"b{i} AS MATERIALIZED (SELECT DISTINCT e.dst AS node FROM e JOIN b{i - 1} b ON e.src = b.node)" for i in range(1, LEVELS + 1))
+_S = ", ".join(
+    f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT node, {i} AS depth FROM (SELECT DISTINCT e.dst AS node FROM e JOIN s{i - 1} x ON e.src = x.node WHERE x.depth = {i - 1} AND e.dst % 10 <> 0 AND e.dst NOT IN (SELECT node FROM s{i - 1}) ORDER BY 1 LIMIT (SELECT {BUDGET} - count(*) FROM s{i - 1})))"
+    for i in range(1, LEVELS + 1)
+)
 ORACLE_SQL = {
+    "crawl_budget": f"WITH {_LINKS}, s0 AS (SELECT coalesce(min(src), 0) AS node, 0 AS depth FROM e), {_S} SELECT node, CAST(depth AS INTEGER) AS depth FROM s{LEVELS}",
     "graph_edges": f"WITH {_LINKS} SELECT * FROM e",
     "graph_degrees": f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node",
     "most_linked": _ranked_sql("true"), "least_linked": _ranked_sql("inbound = 0"), "dead_ends": _ranked_sql("outbound = 0"),

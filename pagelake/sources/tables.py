@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the folder of spark.checkpoint.dir; tests without one get their own."""
+    """A reliable checkpoint of df in the folder of spark.checkpoint.dir; only a session on one machine may do without that setting."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelake-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="pagelake-"))
     return df.checkpoint()
 
 
@@ -20,6 +24,11 @@ def captured_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """(url, body) of captured sitemaps, a row a file; files that end in .gz are unpacked."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"))
+
+
 def index_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Capture-index lines as JSON; malformed lines are dropped."""
     return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path)
