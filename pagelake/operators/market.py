@@ -50,16 +50,21 @@ def cluster(phrases: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[tuple[set, list[int]]] = []
+        holds: dict[str, set[int]] = {}  # token -> groups that have it: others share nothing
         rows = sorted(zip(pdf["tokens"], pdf["ord"], strict=True), key=lambda r: (-len(r[0]), r[1]))
         for tok, o in rows:
             t = set(tok)
-            for have, members in groups:
+            for g in sorted(set().union(*(holds.get(x, ()) for x in t))) if threshold > 0 else range(len(groups)):
+                have, members = groups[g]
                 if len(t & have) / max(1, len(t | have)) >= threshold:
                     members.append(o)
                     have |= t
                     break
             else:
+                g = len(groups)
                 groups.append((t, [o]))
+            for x in t:
+                holds.setdefault(x, set()).add(g)
         name = {o: min(m) for _, m in groups for o in m}
         return pd.DataFrame({"ord": pdf["ord"], "phrase": pdf["phrase"], "intent": pdf["intent"], "cluster": pdf["ord"].map(name)})
 

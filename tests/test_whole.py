@@ -71,3 +71,39 @@ def test_pages_are_chunked(spark, tmp_path):
         got.setdefault(r.page_id, []).extend(r.text.split())
     assert got[0] == w and got[1] == w[:30]
     assert [x for x in got[2] if x != "Open"] == w[:40]
+
+
+def test_sitemap_index_is_followed(spark, tmp_path):
+    import gzip
+
+    from pagelake.operators import site as S
+    from pagelake.sources.tables import sitemap_files
+
+    (tmp_path / "a.xml").write_text("<urlset><url><loc>https://s.test/1</loc></url></urlset>")
+    with gzip.open(tmp_path / "b.xml.gz", "wt") as f:
+        f.write("<urlset><url><loc>https://s.test/2</loc></url><url><loc>https://s.test/3</loc></url></urlset>")
+    files = sitemap_files(spark, str(tmp_path)).selectExpr("'s' AS site", "concat('https://s.test/', element_at(split(url, '/'), -1)) AS url", "body")
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.test/{n}</loc></sitemap>" for n in ("a.xml", "b.xml.gz", "c.xml")) + "</sitemapindex>"
+    top = spark.createDataFrame([("s", "https://s.test/sitemap.xml", index), ("t", "https://t.test/s", "https://t.test/1")], "site string, url string, body string")
+    got = S.follow_index(S.sitemap_entries(top), files.unionAll(top.select("site", "url", "body"))).collect()
+    assert sorted((r.site, r.kind, r.loc) for r in got) == [("s", "missing", "https://s.test/c.xml"), ("s", "urlset", "https://s.test/1"), ("s", "urlset", "https://s.test/2"), ("s", "urlset", "https://s.test/3"), ("t", "text", "https://t.test/1")]
+
+
+def test_sitemap_reports(spark):
+    from pagelake.operators import reports as R
+
+    pages = spark.createDataFrame([("https://s/1", True, True, True), ("https://s/2", False, False, True)], "url string, ok boolean, indexable boolean, html boolean")
+    run = lambda rows, done: sorted((r.code, r.n) for r in R.sitemap_report(spark.createDataFrame(rows, "site string, kind string, loc string"), pages, done).collect())
+    assert run([], True) == [("sitemap.missing", 0)]
+    assert run([("s", "unknown", None)], True) == [("sitemap.missing", 0)]
+    assert run([("s", "urlset", "https://s/1")], True) == [("sitemap.ok", 1)]
+    assert run([("s", "urlset", "https://s/1"), ("s", "urlset", "https://s/2"), ("s", "urlset", "https://s/9")], False) == [("sitemap.lists_broken_urls", 1), ("sitemap.lists_noindex", 1), ("sitemap.unverified", 1)]
+
+
+def test_comparison_with_an_unknown_side(spark):
+    from pagelake.operators import reports as R
+
+    c = spark.createDataFrame([("a", "x", "u1", None), ("a", "x", "u2", None), ("b", "y", None, "timeout")], "side string, source string, url string, error string")
+    p = spark.createDataFrame([("a", "c1", 9, 4, None), ("b", "c1", None, None, "timeout")], "side string, crawl string, blocks long, urls long, error string")
+    r = R.compare_sides(c, p).first()
+    assert (r.citation_gap, r.block_gap, r.url_gap, r.corpus_withheld, r.sources_lost) == (2, None, None, True, 1)
