@@ -227,3 +227,33 @@ def stable_digest(df: DataFrame, col: str) -> DataFrame:
 
     out = df.mapInPandas(run, f"{_ddl(df)}, stable string")
     return out.withColumn("digest", F.concat(F.lit("sha256:"), F.sha2(F.col("stable").cast("binary"), 256))).drop("stable")
+
+
+#: Characters of a sentence that are shown, and those around an address.
+_SHOWN, _AROUND = 300, 120
+
+
+def mention_evidence(answers: DataFrame, brands: DataFrame) -> DataFrame:
+    """answers(id, brand, text), brands(brand, aliases, host) -> (id, brand, matched, position, context) of the answers that name their brand.
+
+    The first alias in order that stands in the text as whole words, with the sentence around it; failing
+    all, the host's address with what surrounds it. Aliases of one character name nothing. position counts from 0.
+    """
+    j = answers.join(brands, "brand")
+    text = F.col("text")
+    rx = lambda a: F.concat(F.lit(r"(?i)\b\Q"), a, F.lit(r"\E\b"))
+    hits = F.transform(F.filter("aliases", lambda a: F.length(a) >= 2), lambda a: F.struct(a.alias("a"), F.call_function("regexp_instr", text, rx(a)).alias("at")))
+    first = F.try_element_at(F.filter(hits, lambda h: h["at"] > 0), F.lit(1))
+    at = F.coalesce(first["at"] - 1, F.lit(-1))
+    by_host = F.when(F.coalesce("host", F.lit("")) != "", F.instr(F.lower(text), F.lower(F.col("host"))) - 1).otherwise(-1)
+    j = j.withColumn("a_", first["a"]).withColumn("at_", at).withColumn("h_", by_host).where("at_ >= 0 OR h_ >= 0")
+    before, end = F.substring(text, F.lit(1), F.col("at_")), F.col("at_") + F.length("a_")
+    dot = F.instr(F.reverse(before), F.lit("."))
+    start = F.when(dot > 0, F.col("at_") - dot + 1).otherwise(0)
+    stop = F.instr(F.substring(text, end + 1, F.length(text)), F.lit("."))
+    sentence = F.substring(text, start + 1, F.when(stop > 0, end + stop).otherwise(F.length(text)) - start)
+    lo = F.greatest(F.col("h_") - _AROUND, F.lit(0))
+    near = F.substring(text, lo + 1, F.col("h_") + _AROUND - lo)
+    named = F.col("at_") >= 0
+    strip = lambda c: F.regexp_replace(c, r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")
+    return j.select("id", "brand", F.when(named, F.col("a_")).otherwise(F.col("host")).alias("matched"), F.when(named, F.col("at_")).otherwise(F.col("h_")).cast("long").alias("position"), F.when(named, F.substring(strip(sentence), 1, _SHOWN)).otherwise(strip(near)).alias("context"))

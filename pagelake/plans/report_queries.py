@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.functions.constants import WS
+from pagelake.operators import market as M
 from pagelake.operators import reports as R
 from pagelake.operators import site as S
 
@@ -69,6 +70,19 @@ def _sides(spark: SparkSession, sf_dir: str, lost: int | None) -> DataFrame:
     return R.compare_sides(c, p.withColumn("error", F.when(gone, "timeout")))
 
 
+#: Brands, each with the names it goes by, and an address.
+BRANDS = (("a", ("x", "zzz none", "tion be", "the"), "a.test"), ("b", ("That", "of the"), ""), ("c", ("never named",), "And "))
+
+
+def mention_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the answers of all conversations name their brand, a third of them each."""
+    c = _t(spark, sf_dir, "conversations").where("role = 'assistant'")
+    brand = F.element_at(F.array(*(F.lit(b) for b, *_ in BRANDS)), (F.col("conv_id") % len(BRANDS) + 1).cast("int"))
+    brands = spark.createDataFrame([(b, list(a), h) for b, a, h in BRANDS], "brand string, aliases array<string>, host string")
+    out = M.mention_evidence(c.select(F.struct("conv_id", "turn").alias("id"), brand.alias("brand"), "text"), brands)
+    return out.select("id.conv_id", "id.turn", "brand", "matched", "position", F.regexp_replace("context", r"\s+", " ").alias("context"))
+
+
 def links_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(spark, sf_dir, None)
 
@@ -108,7 +122,7 @@ def sitemap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sitemap_report(entries, pages, True)
 
 
-QUERIES = {f.__name__: f for f in (weakest_pages, weakest_scores, worst_groups, links_probed, question_list, question_sources_lost, links_compare, links_compare_withheld, content_audit, content_brief, content_charts, sitemap_report)}
+QUERIES = {f.__name__: f for f in (weakest_pages, weakest_scores, worst_groups, links_probed, question_list, question_sources_lost, mention_evidence, links_compare, links_compare_withheld, content_audit, content_brief, content_charts, sitemap_report)}
 
 _Q = f"""q AS (SELECT 'archive' || conv_id % 3 AS source, substr(text, 1, 6) AS question, 'https://q.test/' || conv_id || '/' || turn AS url, CASE WHEN conv_id % 11 <> 0 THEN length(text) % 50 END AS score, CASE WHEN conv_id % 17 = 0 THEN 'timeout ' || conv_id END AS error FROM conversations WHERE role = 'user' AND text IS NOT NULL),
 k AS (SELECT source, question, url, coalesce(score, 0) AS score, trim(regexp_replace(lower(question), '{WS}', ' ', 'g')) AS key FROM q WHERE error IS NULL AND trim(regexp_replace(question, '{WS}', ' ', 'g')) <> '')"""
@@ -121,6 +135,26 @@ s AS (SELECT side, count(*) FILTER (NOT down) AS c, count(*) FILTER (down) AS lo
 SELECT a.side AS ours, b.side AS theirs, a.c - b.c AS citation_gap, CASE WHEN NOT b.gone THEN a.blocks - b.blocks END AS block_gap, CASE WHEN NOT b.gone THEN a.urls - b.urls END AS url_gap, b.gone AS corpus_withheld, a.lost + b.lost AS sources_lost FROM s a, s b WHERE a.side = 'a.test' AND b.side = 'b.test'"""
 
 
+def _mentions() -> str:
+    def place(alias: str) -> str:
+        rx = f"'(?i)\\b{alias}\\b'"
+        return f"CASE WHEN regexp_matches(text, {rx}) THEN length(string_split_regex(text, {rx})[1]) END"
+
+    parts = []
+    for i, (brand, aliases, host) in enumerate(BRANDS):
+        known = [a for a in aliases if len(a) > 1]
+        matched = "CASE " + " ".join(f"WHEN {place(a)} IS NOT NULL THEN '{a}'" for a in known) + " END"
+        at = f"coalesce({', '.join(map(place, known))}, NULL)"
+        by_host = f"CASE WHEN contains(lower(text), '{host.lower()}') THEN position('{host.lower()}' IN lower(text)) - 1 END" if host else "NULL"
+        parts.append(f"SELECT conv_id, turn, '{brand}' AS brand, text, {matched} AS a, {at} AS p, {by_host} AS h, '{host}' AS host FROM conversations WHERE role = 'assistant' AND conv_id % {len(BRANDS)} = {i}")
+    strip = "regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
+    sentence = "regexp_extract(text[1:p], '[^.]*$') || text[p + 1:p + length(a)] || regexp_extract(text[p + length(a) + 1:], '^[^.]*[.]?')"
+    return (
+        f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT conv_id, turn, brand, coalesce(a, host) AS matched, CAST(coalesce(p, h) AS BIGINT) AS position, "
+        f"CASE WHEN p IS NOT NULL THEN regexp_replace(regexp_replace({sentence}, '^\\s+|\\s+$', '', 'g')[1:300], '\\s+', ' ', 'g') ELSE {strip.format('text[greatest(h - 120, 0) + 1:h + 120]')} END AS context FROM m WHERE p IS NOT NULL OR h IS NOT NULL"
+    )
+
+
 _N = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _KINDS = f"list_transform({_found('text')}, lambda token: {_KIND})"
 _ROW = "'<tr><td>' || {} || '</td><td>' || {} || '</td><td>' || {} || '</td></tr>'"
@@ -132,7 +166,7 @@ ORACLE_SQL = {
     f"SELECT * FROM (SELECT 'links.broken' AS code, 'critical' AS severity, b AS n FROM g UNION ALL SELECT 'links.redirecting', 'low', m FROM g UNION ALL SELECT 'links.truncated', 'info', t - {R.LINKS_PROBED} FROM g UNION ALL SELECT 'links.all_ok', 'info', CASE WHEN b = 0 THEN c ELSE 0 END FROM g) WHERE n > 0",
     "question_list": f"WITH {_Q}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, question DESC, url DESC) AS i FROM k), s AS (SELECT key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM k GROUP BY key) SELECT question, url, score, sources FROM r JOIN s USING (key) WHERE i = 1",
     "question_sources_lost": f"WITH {_Q} SELECT source, min(substr(error, 1, 120)) AS error FROM q WHERE error IS NOT NULL GROUP BY source",
-    "links_compare": _compared(None), "links_compare_withheld": _compared(1997),
+    "mention_evidence": _mentions(), "links_compare": _compared(None), "links_compare_withheld": _compared(1997),
     "content_audit": f"WITH w AS (SELECT doc_id AS id, text, {_W} AS w FROM documents), q AS (SELECT *, array_to_string(w[10:21], ' ') AS q FROM w), r AS (SELECT *, CASE WHEN q <> '' THEN CASE WHEN id % 3 = 0 THEN reverse(q) ELSE q END END AS quote FROM q), "
     f"n AS (SELECT *, {_N.format('coalesce(text, chr(32))')} AS h, {_N.format('coalesce(quote, chr(32))')} AS n FROM r), c AS (SELECT *, len(w) >= {R.LEAST_WORDS} AND quote IS NOT NULL AND n <> '' AND (contains(h, n) OR len(string_split(n, ' ')) > 12 AND contains(h, array_to_string(string_split(n, ' ')[1:12], ' '))) AS held FROM n) "
     f"SELECT id, CAST(len(w) AS BIGINT) AS words, CASE WHEN len(w) < {R.LEAST_WORDS} THEN 'insufficient_content' WHEN held AND id % 2 = 0 THEN 'answered' WHEN quote IS NOT NULL AND NOT held THEN 'quote_discarded' ELSE 'not_answered' END AS verdict, held AND id % 2 = 0 AS answered, CASE WHEN held THEN quote END AS quote FROM c",
