@@ -142,3 +142,28 @@ REMEDIES = (
     ("entity", ("brand_", "author.missing", "links.inbound"), ("links.inbound", "corpus.presence", "ai.brand")),
     ("machine files", ("llms.", "llms_", "ai_discovery", "signals_", "freshness.undated"), ("llms.check", "geo.score")),
 )
+
+# Response headers by which anti-bot services are known, and what they must hold.
+CHALLENGE_HEADERS = (
+    ("Vercel", "x-vercel-mitigated", "challenge"), ("Cloudflare", "cf-mitigated", "challenge"), ("Imperva Incapsula", "x-iinfo", ""), ("DataDome", "x-datadome", ""), ("DataDome", "x-dd-b", ""), ("AWS WAF", "x-amzn-waf-action", ""),
+)
+
+# Texts of their pages, in any case; the last two name no service.
+CHALLENGE_BODIES = (
+    ("Vercel", r"Vercel Security Checkpoint"),
+    ("Cloudflare", r"<title>\s*Just a moment"),
+    ("Cloudflare", r"Attention Required!\s*\|\s*Cloudflare"),
+    ("Cloudflare", r"cf-browser-verification|cf_chl_opt|challenge-platform"),
+    ("Cloudflare", r"Checking your browser before accessing"),
+    ("Imperva Incapsula", r"Incapsula incident ID|_Incapsula_Resource"),
+    ("DataDome", r"datadome|dd_?cookie|geo\.captcha-delivery\.com"),
+    ("PerimeterX / HUMAN", r"px-captcha|_pxhd|perimeterx"),
+    ("Akamai", r"(?s)Access Denied.{0,400}Reference\s*#\d|ak_bmsc|_abck"),
+    ("Sucuri", r"Sucuri WebSite Firewall|sucuri_cloudproxy"),
+    ("AWS WAF", r"Request blocked\.\s*We can't connect to the server"),
+    ("Kasada", r"kpsdk|kasada"),
+    ("Queue-it", r"queue-it\.net"),
+    ("", r"(?:enable javascript|javascript is required)[^<]{0,80}(?:to continue|to view this)"),
+    ("", r"(?:verifying|checking) (?:that )?you(?:r browser)?\s*(?:are|is)?[^<]{0,40}human"),
+)
+CAPTCHA = r"g-recaptcha|hcaptcha|turnstile|recaptcha/api\.js|challenges\.cloudflare\.com"

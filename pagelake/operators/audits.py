@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.functions.constants import PRICES, REMEDIES, SCHEMA_RULES, SEVERITIES
+from pagelake.functions.constants import CAPTCHA, CHALLENGE_BODIES, CHALLENGE_HEADERS, PRICES, REMEDIES, SCHEMA_RULES, SEVERITIES
 
 
 def _lookup(col: Column, at: int, default: int) -> Column:
@@ -127,27 +127,30 @@ def llms_findings(files: DataFrame) -> DataFrame:
     return files.select("site", code.alias("code"))
 
 
+#: Characters of a page that are searched for an anti-bot service, the longest page that may be one's, and the longest good one that names none.
+_SEARCHED, _LONGEST, _LONGEST_GOOD = 20_000, 120_000, 40_000
+_SOME_SERVICE = "an anti-bot service"
+
+
 def challenge(df: DataFrame) -> DataFrame:
-    """(page_id, vendor) of pages of which an anti-bot service was fetched instead; header before body."""
-    h = lambda k: F.try_element_at("headers", F.lit(k))
-    head, long = F.substring(F.coalesce("html", F.lit("")), 1, 20000), F.length(F.coalesce("html", F.lit("")))
-    # Headers and texts by which services are known.
-    vendor = (
-        F.when(F.lower(h("x-vercel-mitigated")).contains("challenge"), "Vercel").when(F.lower(h("cf-mitigated")).contains("challenge"), "Cloudflare").when(h("x-iinfo").isNotNull(), "Imperva Incapsula")
-        .when(h("x-datadome").isNotNull() | h("x-dd-b").isNotNull(), "DataDome").when(h("x-amzn-waf-action").isNotNull(), "AWS WAF")
-    )
-    bodies = (
-        ("Vercel", "Vercel Security Checkpoint"), ("Cloudflare", r"<title>\s*Just a moment"), ("Cloudflare", r"Attention Required!\s*\|\s*Cloudflare"), ("Cloudflare", "cf-browser-verification|cf_chl_opt|challenge-platform"),
-        ("Cloudflare", "Checking your browser before accessing"), ("Imperva Incapsula", "Incapsula incident ID|_Incapsula_Resource"), ("DataDome", r"datadome|dd_?cookie|geo\.captcha-delivery\.com"), ("PerimeterX / HUMAN", "px-captcha|_pxhd|perimeterx"),
-        ("Akamai", r"(?s)Access Denied.{0,400}Reference\s*#\d|ak_bmsc|_abck"), ("Sucuri", "Sucuri WebSite Firewall|sucuri_cloudproxy"), ("AWS WAF", r"Request blocked\.\s*We can't connect to the server"), ("Kasada", "kpsdk|kasada"), ("Queue-it", r"queue-it\.net"),
-    )
-    generic = r"(?i)(enable javascript|javascript is required)[^<]{0,80}(to continue|to view this)|(verifying|checking) (that )?you(r browser)?\s*(are|is)?[^<]{0,40}human"
-    body = F.when(F.lit(False), "")
-    for name, rx in bodies:
-        body = body.when((long <= 120_000) & head.rlike("(?i)" + rx), name)
-    body = body.when((long <= 120_000) & ~(F.col("ok") & (long > 40_000)) & head.rlike(generic), "an anti-bot service")
-    captcha = F.when(~F.col("ok") & head.rlike(r"(?i)g-recaptcha|hcaptcha|turnstile|recaptcha/api\.js|challenges\.cloudflare\.com"), "an anti-bot service")
-    return df.select("page_id", F.coalesce(vendor, body, captcha).alias("vendor"))
+    """(page_id, vendor, evidence, captcha) of pages of which an anti-bot service was fetched instead; header before body, all null if none was.
+
+    evidence is the header, or the text of the page, by which it was known.
+    """
+    html = F.coalesce("html", F.lit(""))
+    head, long = F.substring(html, 1, _SEARCHED), F.length(html)
+    captcha = head.rlike("(?i)" + CAPTCHA)
+    none = F.lit(None).cast("struct<vendor:string,evidence:string,captcha:boolean>")
+    found = lambda vendor, evidence, c: F.struct(F.lit(vendor).alias("vendor"), evidence.alias("evidence"), c.alias("captcha"))
+    by_header, by_body = none, none
+    for vendor, name, needle in reversed(CHALLENGE_HEADERS):
+        value = F.try_element_at("headers", F.lit(name))
+        by_header = F.when(value.isNotNull() & F.contains(F.lower(value), F.lit(needle)), found(vendor, F.lit(name), F.lit(False))).otherwise(by_header)
+    for vendor, rx in reversed(CHALLENGE_BODIES):
+        short = (long <= _LONGEST) if vendor else (long <= _LONGEST) & ~(F.col("ok") & (long > _LONGEST_GOOD))
+        by_body = F.when(short & head.rlike("(?i)" + rx), found(vendor or _SOME_SERVICE, F.substring(F.regexp_extract(head, f"(?i)({rx})", 1), 1, 70), captcha)).otherwise(by_body)
+    by_captcha = F.when(~F.col("ok") & captcha, found(_SOME_SERVICE, F.lit("captcha"), F.lit(True)))
+    return df.select("page_id", F.coalesce(by_header, by_body, by_captcha).alias("c")).select("page_id", "c.vendor", "c.evidence", "c.captcha")
 
 
 def auditable(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pagelake.functions.facts import Element, parse, squeeze, text_of, walk
 
 MAX_WORDS = 220
+# Elements and roles that are no content, and the headings that a passage can stand under.
 _LEFT_OUT = {"script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form", "dialog"}
 _ROLES = {"navigation", "banner", "search", "complementary", "contentinfo"}
 _HEADS = ("h1", "h2", "h3", "h4")

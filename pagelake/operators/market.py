@@ -117,6 +117,7 @@ def competitors(named: DataFrame) -> DataFrame:
     return g.select("name", "times", "prompts")
 
 
+# How answers mark an item of a list.
 _NUMBERED = r"^\s{0,3}\d+[.)]\s+(\S.*)$"
 _BOLD_NUMBERED = r"^\s{0,3}\*\*\s*\d+[.)]\s*([^*]+?)\s*\*\*"
 _HEADING_BOLD = r"^\s{0,3}#{2,4}\s+.*?\*\*([^*]+)\*\*"

@@ -264,7 +264,7 @@ ORACLE_SQL = {
         (1, 0, "One", "First text here. Second bold text.", 0, 34, "block"), (1, 1, "Two", "An item of it", 35, 48, "block"), (2, 0, "", "Plain words without any blocks", 0, 30, "text"), (2, 1, "", "Second part with four words", 31, 58, "text"),
     ]),
     "auditable": expected("page_id long, reason string", [(1, "challenged"), (2, "challenged"), (3, "error status"), (4, "not html"), (5, "not fetched"), (6, None), (7, "challenged")]),
-    "challenge": expected("page_id long, vendor string", [(1, "Cloudflare"), (2, "Cloudflare"), (3, None), (4, None), (5, None), (6, None), (7, "an anti-bot service")]),
+    "challenge": expected("page_id long, vendor string, evidence string, captcha boolean", [(1, "Cloudflare", "cf-mitigated", False), (2, "Cloudflare", "<title>Just a moment", False), *((i, None, None, None) for i in (3, 4, 5, 6)), (7, "an anti-bot service", "captcha", True)]),
     "content_type": expected("id long, media string, charset string", [(1, "text/html", "utf-8"), (2, "application/pdf", None), (3, "", None), (4, "text/html", "latin-1")]),
     "badge": expected("svg string", [('<svg xmlns="http://www.w3.org/2000/svg" width="82" height="20"><text x="10" y="14">score</text><text x="60" y="14">87</text></svg>',)]),
 }
