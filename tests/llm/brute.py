@@ -1,7 +1,9 @@
 """Plain versions of the training-data operators, for small inputs."""
 
 import hashlib
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 
 def words(text):
@@ -69,3 +71,66 @@ def jaccard(docs, percent=80):
         if 100 * n >= percent * (len(s[a]) + len(s[b]) - n):
             u.join(a, b)
     return {d: (len(s[d]), u.find(d)) for d in docs}
+
+
+def leaks(docs, items, question_answer, threshold=0.5, overlap=0.6, n=4, k1=1.2, b=0.75):
+    """{(doc_id, item_id): score} of {doc_id: text} and {item_id: text}: every window against every item."""
+    rx = re.compile(r"\w+")
+    bag = {i: Counter(rx.findall(t.lower())) for i, t in items.items() if t and rx.findall(t.lower())}
+    df = Counter(t for x in bag.values() for t in x)
+    length = {i: sum(x.values()) for i, x in bag.items()}
+    mean = sum(length.values()) / max(1, len(length))
+    idf = {t: math.log(1 + (len(bag) - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    weight = {i: {t: idf[t] * c * (k1 + 1) / (c + k1 * (1 - b + b * length[i] / mean)) for t, c in x.items()} for i, x in bag.items()}
+    own = {i: sum(x.values()) for i, x in weight.items()}
+    step, out = max(16, max(length.values(), default=1)), {}
+    for d, text in docs.items():
+        w = rx.findall((text or "").lower())
+        for lo in range(0, max(1, len(w) - step), step):
+            window = w[lo : lo + 2 * step]
+            have = set(window)
+            for i, x in weight.items():
+                score = sum(v for t, v in x.items() if t in have) / own[i]
+                if score < threshold - 1e-9:
+                    continue
+                shares = []
+                for part in question_answer(items[i]):
+                    m = min(n, len(part))
+                    grams = {tuple(window[j : j + m]) for j in range(len(window) - m + 1)} if m else set()
+                    hit = {j + k for j in range(len(part) - m + 1) if tuple(part[j : j + m]) in grams for k in range(m)} if m else set()
+                    shares.append(len(hit) / len(part) if part else 1.0)
+                if min(shares) >= overlap:
+                    out[d, i] = max(score, out.get((d, i), 0.0))
+    return out
+
+
+def grams(text):
+    """Counter of the 1- to 3-grams of the padded words, as triples that sort like the codes."""
+    out, word = Counter(), []
+    for ch in (text or "").lower() + " ":
+        if ch.isalpha():
+            word.append(ord(ch) + 2)
+            continue
+        if word:
+            p = [1, *word, 1]
+            out.update((0, 0, c) for c in word)
+            out.update((0, x, y) for x, y in zip(p, p[1:], strict=False))
+            out.update(zip(p, p[1:], p[2:], strict=False))
+        word = []
+    return out
+
+
+def languages(learned, docs, size=400, most=300):
+    """{doc_id: (lang, score)} by out-of-place distance, from [(text, lang)] and {doc_id: text}."""
+    by = {}
+    for text, lang in learned:
+        if text is not None and lang is not None:
+            by.setdefault(lang, Counter()).update(grams(text))
+    ranks = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size])} for lang, c in by.items()}
+    out = {}
+    for d, text in docs.items():
+        top = [g for g, _ in sorted(grams(text).items(), key=lambda x: (-x[1], x[0]))[:most]]
+        far = {lang: sum(min(abs(r[g] - i), size) if g in r else size for i, g in enumerate(top)) for lang, r in ranks.items()}
+        best = min(sorted(far), key=far.get) if top and far else None
+        out[d] = (best, 1 - far[best] / (size * len(top))) if best else ("und", 0.0)
+    return out

@@ -130,6 +130,27 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, []), bench).collect() == []
 
 
+def test_decontamination_query_against_brute_force(spark):
+    from .brute import leaks
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r.score for r in QUERIES["op5_decontamination"](spark, SF).collect()}
+    want = leaks(docs, items, decontaminate.question_answer)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and want
+
+
+def test_language_query_against_brute_force(spark):
+    from .brute import languages
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    want = languages(learned, {r.doc_id: r.text for r in rows})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op9_language_id"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d][0] == want[d][0] and got[d][1] == pytest.approx(want[d][1]) for d in want)
+
+
 def test_wand_finds_all_above_the_threshold(monkeypatch):
     import random
 
