@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .classes import class_texts, find_classes, row_key
 from .components import components
 from .hashing import gram_hashes, word_hashes
-from .util import drop_scratch, free, kept_alone, scratch
+from .util import drop_scratch, free, kept_alone, marked, scratch
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -401,22 +401,25 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     key, and of rows with the same id and text any one. Rows without words are groups of their own.
     """
     spark = docs.sparkSession
-    own = F.col("n_shingles") == 0
-
-    def chosen() -> DataFrame:
-        rows = _grouped(docs, threshold)
-        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("best")
-        kept = rows.where(~own).groupBy("group_id").agg(best).select(F.col("best.rk").alias("kept"))
-        copies = rows.where(~own).groupBy("rk").agg(F.count("*").alias("copies"))
-        kept = kept.join(copies, F.col("kept") == F.col("rk")).select("kept", F.col("copies") > 1)
-        return kept.toDF("kept", "repeated").unionAll(rows.where(own).select("rk", F.lit(False)).distinct())
-
-    key, kept_key, repeated = free(docs, "row_key", "kept_key", "repeated")
-    kept = kept_alone(spark, chosen, "kept").toDF(kept_key, repeated)
-    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, F.col(key) == F.col(kept_key))
-    if kept.where(F.col(repeated)).isEmpty():
-        return rows.select(*docs.columns)
-    return rows.where(~F.col(repeated)).select(*docs.columns).unionAll(rows.where(F.col(repeated)).dropDuplicates([key]).select(*docs.columns))
+
+    def decided() -> DataFrame:
+        """(rk, single): keys of the rows that go, and of those of which one stays."""
+        rows = _grouped(docs, threshold).where("n_shingles > 0").select("group_id", "doc_id", "rk")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))["rk"].alias("best")
+        first = rows.groupBy("group_id").agg(best)
+        copies = rows.groupBy("group_id", "rk").agg(F.count("*").alias("copies"))
+        each = copies.join(first, "group_id").select("rk", (F.col("rk") == F.col("best")).alias("single"), "copies")
+        return each.where("NOT single OR copies > 1").select("rk", "single")
+
+    # most rows are in no group: they stay where they lie, only rows that may be decided on meet the decisions
+    key, may, decision, single = free(docs, "row_key", "may_go", "decided_key", "one_stays")
+    gone = kept_alone(spark, decided, "decided").toDF(decision, single)
+    rows = marked(docs.withColumn(key, F.xxhash64("doc_id", "text")), F.col(key), gone.select(decision), may)
+    met = rows.where(F.col(may)).join(gone, F.col(key) == F.col(decision), "left")
+    out = rows.where(~F.col(may)).select(*docs.columns).unionAll(met.where(F.col(decision).isNull()).select(*docs.columns))
+    if gone.where(F.col(single)).isEmpty():
+        return out
+    return out.unionAll(met.where(F.col(single)).dropDuplicates([key]).select(*docs.columns))
 
 
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:

@@ -78,9 +78,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     One row for each row of docs. A null text has size 0 and is never taken; null is a source of
     its own. Repeated rows are separate documents. The order that decides who gets a further copy
-    depends on doc_id alone, so reruns agree; equal ids come in order of size.
+    depends on doc_id alone, so reruns agree; equal ids come in order of size, then of a hash of the text.
     """
-    each = scratch(docs.select("doc_id", "source", sizes(docs).alias("size")), "sizes")
+    taken = (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken")
+    return _mixed(docs, weights, share, most).select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def _order(doc_id: Column) -> Column:
+    return F.md5(doc_id.cast("string").cast("binary"))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """(doc_id, source, size, h, key, source_size, target, whole, more): whole copies, and words of one copy more."""
+    each = scratch(docs.select("doc_id", "source", sizes(docs).alias("size"), F.xxhash64("text").alias("h")), "sizes")
     hist = scratch(each.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
     goal = targets(hist, weights, share, most)
     rate = balance(hist, goal)
@@ -88,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goal = goal.withColumn("whole", F.floor(F.least(F.col("rate"), F.lit(float(most)))).cast("long"))
     goal = scratch(goal.withColumn("further", F.round("target").cast("long") - F.col("whole") * F.col("source_size")), "goal")
 
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    order = _order(F.col("doc_id"))
     head = F.conv(F.substring(F.coalesce(order, F.lit("0")), 1, 8), 16, 10).cast("double") / 2.0**32
     part = F.floor(head * F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("int")
     df = each.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("key", order).withColumn("part", part)
@@ -96,10 +106,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
     df = df.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p")
-    own = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))
     more = F.greatest(F.least(F.col("further") - before, F.col("size")), F.lit(0))
-    return df.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
+    return df.select("doc_id", "source", "size", "h", "key", "source_size", "target", "whole", more.cast("long").alias("more"))
 
 
 def mix_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_RATE, docs: str = "documents") -> str:
@@ -133,25 +143,45 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM c"""
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_RATE) -> DataFrame:
+    """The mix as a row a source: (source, whole, last, ties, words).
+
+    In the fixed order of a source all documents before `last` (its key, doc_id, size and hash) get one copy
+    more than `whole`, those after it do not; the `ties` rows that are `last` share `words` of one.
+    """
+    rows = scratch(_mixed(docs, weights, share, most).select("source", "whole", "more", F.struct("key", "doc_id", "size", "h").alias("place")), "places")
+    per = rows.groupBy("source").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("more") > 0, F.col("place"))).alias("last"))
+    per = scratch(per, "lasts")
+    at = rows.join(per.select(F.col("source").alias("s"), "last"), F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("last")))
+    tied = at.groupBy("s").agg(F.count("*").alias("ties"), F.sum("more").alias("words"))
+    return per.join(tied, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "whole", "last", F.coalesce("ties", F.lit(0)).alias("ties"), F.coalesce("words", F.lit(0)).alias("words"))
+
+
+def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The documents as the mix takes them: whole copies repeated, the last one cut after its words.
 
-    `mixed` is mix(docs). Rows are matched by doc_id; if some share one (or have none), rows of the
-    same doc_id and size are numbered on both sides and matched in turn.
+    `plan` is mix_plan(docs). What a document gets follows from its place in its source's order, so no
+    text is moved; only rows that are repeated just at a source's last place are numbered.
     """
-    m, words, taken, size, turn, at, copy = free(docs, "of_id", "of_words", "words_taken", "words_here", "turn_there", "turn_here", "copy_number")
-    mixed = mixed.select(F.col("doc_id").alias(m), F.col("size").alias(words), F.col("taken").alias(taken))
-    on = F.col("doc_id").eqNullSafe(F.col(m))
-    df = docs
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        df = docs.withColumn(size, sizes(docs))
-        df = df.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", size).orderBy(F.xxhash64("text"))))
-        mixed = mixed.withColumn(turn, F.row_number().over(Window.partitionBy(m, words).orderBy(taken)))
-        on = on & (F.col(size) == F.col(words)) & (F.col(at) == F.col(turn))
-    df = df.join(mixed.where(F.col(taken) > 0), on)
-    df = df.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(words)) - 1).cast("int"))))
-    rest = F.least(F.col(taken) - F.col(copy) * F.col(words), F.col(words))
+    source, whole, last, ties, words, size, copies, rest, tie, copy = free(docs, "of_source", "whole_copies", "last_place", "tied_rows", "tied_words", "words_here", "copies_here", "rest_words", "tie_number", "copy_number")
+    plan = plan.toDF(source, whole, last, ties, words)
+    df = docs.where(F.col("text").rlike(WORD_RX)).join(plan, F.col("source").eqNullSafe(F.col(source)))
+    end = F.col(last)
+    near = F.coalesce(_order(F.col("doc_id")).eqNullSafe(end["key"]) & F.col("doc_id").eqNullSafe(end["doc_id"]), F.lit(False)) & end.isNotNull()
+    df = df.withColumn(size, F.when(near, sizes(docs)))  # only asked for at the last place
+    own = F.struct(_order(F.col("doc_id")).alias("key"), F.col("doc_id").alias("doc_id"))
+    upto = F.struct(end["key"].alias("key"), end["doc_id"].alias("doc_id"))
+    exact, before = F.struct(F.col(size).alias("size"), F.xxhash64("text").alias("h")), F.struct(end["size"].alias("size"), end["h"].alias("h"))
+    more = F.when(end.isNull(), 0).when(near, F.when(exact < before, 1).otherwise(0)).when(own < upto, 1).otherwise(0)
+    tied = near & (exact == before)
+    df = df.withColumn(copies, (F.col(whole) + more).cast("int")).withColumn(rest, F.when(tied & (F.col(ties) == 1), F.col(words)).when(tied, F.lit(-1)).otherwise(0))
+    if not plan.where(F.col(ties) > 1).isEmpty():
+        numbered = df.where(F.col(rest) < 0).withColumn(tie, F.row_number().over(Window.partitionBy(source).orderBy("doc_id")) - 1)
+        share = F.greatest(F.least(F.col(words) - F.col(tie) * F.col(size), F.col(size)), F.lit(0))
+        df = df.where(F.col(rest) >= 0).unionAll(numbered.withColumn(rest, share).drop(tie))
+    some = (F.col(rest) > 0).cast("int")
+    df = df.where(F.col(copies) + some > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies) + some)))
     parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD_RX), F.lit(0))
-    cut = F.when(rest == F.col(words), F.col("text")).otherwise(F.array_join(F.slice(parts, 1, rest.cast("int")), ""))
+    cut = F.when((F.col(copy) <= F.col(copies)) | (F.col(rest) == F.col(size)), F.col("text")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col(rest).cast("int")), ""))
     out = [cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return df.select(*out)

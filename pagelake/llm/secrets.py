@@ -23,11 +23,9 @@ from re import _parser as _p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import scratch
+from .util import marked, scratch
 
 _MAX_SET = 256
-#: Bits of the bitmap of candidates: 16 for each, within these bounds. Beyond the upper one more texts are moved, none is lost.
-_LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
 
 
 @dataclass(frozen=True)
@@ -241,17 +239,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     each is verified on its own text. A null doc_id is an id like others.
     """
     found = scratch(candidates(docs, rules).withColumnRenamed("doc_id", "cand_id"), "candidates")
-    bits = min(max(1 << (16 * found.count()).bit_length(), _LEAST_BITS), _MOST_BITS)
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  buckets begin at 1
-    marks = found.groupBy(F.bitmap_bucket_number(bit("cand_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("cand_id"))).alias("marks"))
-    marks = scratch(marks, "marks")  # _MOST_BITS bits at most
-
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.join(F.broadcast(marks), F.bitmap_bucket_number(bit("doc_id")) == F.col("bucket"), "left")
-    place = F.bitmap_bit_position(bit("doc_id"))
-    byte = F.conv(F.hex(F.substring("marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(F.expr("getbit(byte, cast(place % 8 as int)) = 1"), F.lit(False))
-    base = base.withColumn("byte", byte).withColumn("place", place).withColumn("may", may).select("doc_id", "text", "may")
+    base = marked(base, F.col("doc_id"), found.select("cand_id"), "may")
     moved = base.where("may").drop("may").join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left").drop("cand_id")
     none = F.array().cast("array<string>")
     return _found(moved.withColumn("kinds", F.coalesce("kinds", none)), rules).unionAll(_found(base.where("NOT may").drop("may").withColumn("kinds", none), rules))

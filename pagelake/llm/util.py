@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One or more characters that are neither a space nor one of tab .. carriage return.
 WORD_RX = r"[^\x20\x09-\x0D]+"
@@ -88,6 +89,27 @@ def drop_scratch(df: DataFrame) -> None:
     delete_paths(df.sparkSession, sorted({x.rpartition("/")[0] for x in df.inputFiles() if "/pagelake-" in x}))
 
 
+#: Bits of a mark table: 16 for each key, within these bounds. Beyond the upper one more rows than meant may be marked, none is missed.
+LEAST_MARKS, MOST_MARKS = 1 << 16, 1 << 27
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with a column `name`: false where the key is surely not among keys(key), true where it may be.
+
+    A bitmap of the keys' hashes, MOST_MARKS bits at most, is broadcast; all of it is DataFrame functions.
+    """
+    own = keys.columns[0]
+    bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_MARKS), MOST_MARKS)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  buckets begin at 1
+    bucket, marks, place = free(df, "mark_bucket", "mark_bits", "mark_place")
+    table = keys.groupBy(F.bitmap_bucket_number(bit(own)).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(own))).alias(marks))
+    table = scratch(table, "marks")
+    rows = df.withColumn(place, F.bitmap_bit_position(bit(key))).join(F.broadcast(table), F.bitmap_bucket_number(bit(key)) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(marks, (F.floor(F.col(place) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("getbit", byte, (F.col(place) % 8).cast("int")) == 1
+    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, marks, place)
+
+
 def free(docs: DataFrame, *names: str) -> list[str]:
     """Each name, with as many underscores after it as docs has columns of that name."""
     have, out = {c.lower() for c in docs.columns}, []

@@ -90,8 +90,17 @@ def test_applied_mix_has_the_words_taken(spark):
     data = [(i, " ".join(f"d{i}w{k}" for k in range(i + 1)), f"s{i % 3}", "en") for i in range(20)] + [(3, "same id", "s1", "en"), (None, "no id", "s0", "en")]
     docs = frame(spark, data)
     mixed = mixing.mix(docs)
-    out = mixing.apply_mix(docs, mixed).collect()
+    out = mixing.apply_mix(docs, mixing.mix_plan(docs)).collect()
     assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in mixed.collect())
+    want, have = {}, {}
+    for r in mixed.collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in out:
+        have[r.doc_id] = have.get(r.doc_id, 0) + len(r.text.split())
+    assert have == {d: n for d, n in want.items() if n}
+    same = frame(spark, [(i // 9, "five words are in here", f"s{i % 2}", "en") for i in range(40)] + [(None, "no id", "s0", "en")] * 5)
+    again = mixing.apply_mix(same, mixing.mix_plan(same)).collect()
+    assert sum(len(r.text.split()) for r in again) == sum(r.taken for r in mixing.mix(same).collect())
     assert all(any(t is not None and t.startswith(r.text) for _, t, _, _ in data) for r in out)
 
 
