@@ -51,7 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null source is one like others; null and empty texts are never taken.
     """
     ship(spark)
-    return mixing.apply_mix(docs, kept_alone(spark, lambda: mixing.mix(docs), "mix"))
+    return mixing.apply_mix(docs, kept_alone(spark, lambda: mixing.mix_plan(docs), "mix"))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
