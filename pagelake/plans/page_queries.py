@@ -268,6 +268,18 @@ _GEO = (
 _G = f"g AS (SELECT page_id, url, netloc, CAST({_GEO} AS BIGINT) AS score FROM (SELECT *, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&', 'g') AS h1 FROM f))"
 _DEFECTS = " UNION ALL ".join(f"SELECT page_id, '{code}' AS code, '{sev}' AS severity FROM pages WHERE page_id % {m} = {r}" for m, r, _, _, found in DEFECTS for code, sev in found)
 _SEEN = "len(list_filter(string_split(title, ' '), lambda x: x <> '')) + words"
+_TOPIC = "trim(lower(regexp_extract(title, '([^|\\-–—]*)$', 1))) <> '' AND len(list_intersect(regexp_extract_all(lower(h1), '[a-z]{5,}'), regexp_extract_all(lower(title), '[a-z]{5,}'))) > 0"
+# signals that the pages can have, and the others with the points they miss
+_EARNED = {
+    "meta_title": "title <> ''", "content_h1": "true", "content_numbers": "len(stats) > 0", "content_word_count": "words >= 300", "content_lists_or_tables": "true", "content_front_loading": "words > 0", "signals_lang": "contains(html, '<html lang=\"')", "brand_topic_authority": _TOPIC,
+}
+_POINTS = {
+    "schema": {"schema_any_valid": 2, "schema_richness": 3, "schema_faq": 3, "schema_article": 3, "schema_organization": 3, "schema_website": 2}, "meta": {"meta_title": 5, "meta_description": 2, "meta_canonical": 3, "meta_og": 4},
+    "content": {"content_h1": 2, "content_numbers": 1, "content_links": 1, "content_word_count": 2, "content_heading_hierarchy": 2, "content_lists_or_tables": 2, "content_front_loading": 2}, "signals": {"signals_lang": 3, "signals_rss": 2, "signals_freshness": 1},
+    "brand": {"brand_entity_coherence": 3, "brand_kg_readiness": 3, "brand_about_contact": 2, "brand_geo_identity": 1, "brand_topic_authority": 1},
+}
+_SIGNALS = " UNION ALL ".join(f"SELECT '{c}' AS category, '{k}' AS key, CAST(sum(CASE WHEN {_EARNED.get(k, 'false')} THEN {n} ELSE 0 END) AS BIGINT) AS earned, {n} * count(*) AS possible FROM x" for c, keys in _POINTS.items() for k, n in keys.items())
+_X = "x AS (SELECT *, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&', 'g') AS h1 FROM f)"
 _FILES = """
 q AS (SELECT page_id, scheme || '://' || netloc AS site, path FROM u),
 z AS (SELECT page_id, path, length(site) AS n FROM q),
@@ -291,6 +303,8 @@ ORACLE_SQL = {
     "defect_findings": _DEFECTS,
     "asai_findings": f"WITH {_F} SELECT page_id, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'asai.empty' ELSE 'asai.server_rendered' END WHEN {_SEEN} < 50 THEN 'asai.js_required' ELSE 'asai.mostly_js' END AS code, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'high' ELSE 'info' END ELSE 'critical' END AS severity FROM f",
     "geo_score": f"WITH {_F}, {_G} SELECT page_id, score, CAST(58 AS BIGINT) AS possible, CASE WHEN score >= 86 THEN 'excellent' WHEN score >= 68 THEN 'good' WHEN score >= 36 THEN 'foundation' ELSE 'critical' END AS band FROM g",
+    "geo_signals": f"WITH {_F}, {_X} {_SIGNALS}",
+    "fix_order": f"WITH {_F}, {_X}, s AS ({_SIGNALS}) SELECT category, key, possible - earned AS missing, (possible - earned) / CASE WHEN key IN ('content_numbers', 'content_links', 'content_word_count', 'content_lists_or_tables', 'content_front_loading', 'brand_about_contact', 'brand_topic_authority') THEN 4 ELSE 2 END AS gain FROM s ORDER BY gain DESC, key LIMIT 10",
     "geo_score_site": f"WITH {_F}, {_G}, {_FILES} SELECT page_id, score + robots + llms + well + summary + faq + service AS score, CAST(100 AS BIGINT) AS possible, CASE WHEN score + robots + llms + well + summary + faq + service >= 86 THEN 'excellent' WHEN score + robots + llms + well + summary + faq + service >= 68 THEN 'good' WHEN score + robots + llms + well + summary + faq + service >= 36 THEN 'foundation' ELSE 'critical' END AS band FROM g JOIN v USING (page_id)",
     "site_file_points": f"WITH {_F}, {_FILES} SELECT page_id, 'robots.txt' AS category, CAST(robots AS BIGINT) AS earned, CAST(18 AS BIGINT) AS possible FROM v UNION ALL SELECT page_id, 'llms.txt', llms, 18 FROM v UNION ALL SELECT page_id, 'ai_discovery', well + summary + faq + service, 6 FROM v",
     "readiness_pages": f"WITH {_F}, {_FILES} SELECT page_id, CASE WHEN well > 0 AND summary > 0 AND faq > 0 THEN 'ready' WHEN well > 0 OR summary > 0 THEN 'basic' ELSE 'none' END AS level FROM v",
