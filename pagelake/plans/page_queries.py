@@ -70,7 +70,8 @@ def dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _check(*prefixes: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return C.findings(_prepared(spark, sf_dir), *prefixes).select("page_id", "code", "severity")
+        pages = DAMAGED.get(prefixes[0], lambda p: p)(_pages(spark, sf_dir))
+        return C.findings(C.prepared(C.captured(pages)), *prefixes).select("page_id", "code", "severity")
 
     return run
 
@@ -115,6 +116,25 @@ def damaged(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", html)
 
 
+def _behind(tag: str, piece: str, m: int, r: int):
+    return lambda p: p.withColumn("html", F.when(F.col("page_id") % m == r, F.replace("html", F.lit(tag), F.lit(tag + piece))).otherwise(F.col("html")))
+
+
+def _odd_languages(p: DataFrame) -> DataFrame:
+    n = F.col("page_id") % 8
+    return p.withColumn("html", F.when(n == 3, F.replace("html", F.lit('<html lang="'), F.lit('<html lang="!'))).when(n == 5, F.replace("html", F.lit('<html lang="'), F.lit('<html data-lang="'))).otherwise(F.col("html")))
+
+
+def _odd_addresses(p: DataFrame) -> DataFrame:
+    return p.withColumn("url", F.when(F.col("page_id") % 9 == 4, F.concat(F.lit("https://d.test/a_b//c d/"), F.col("page_id").cast("string"))).otherwise(F.col("url")))
+
+
+#: Checks that find nothing in the pages as they are run over damaged ones.
+DAMAGED = dict.fromkeys(("indexability", "images", "multimodal", "metaplace", "forms", "hreflang", "headings"), damaged) | {
+    "language": _odd_languages, "url": _odd_addresses, "links": _behind("<body>", DEFECTS[-1][3], *DEFECTS[-1][:2]), "clutter": _behind("<body>", '<div class="modal"></div>' * 3, 10, 1),
+}
+
+
 def defect_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings that the defects put into the pages must give, and no others of their codes."""
     codes = sorted({code for *_, found in DEFECTS for code, _ in found})
@@ -183,8 +203,8 @@ def site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("site").agg(F.round(F.avg("score"), 1).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (scan_pages, url_normalise, registrable, url_shape, page_facts, links_extract, links_dedup, link_degrees, dup_titles, findings_all, finding_summary, defect_findings, asai_findings, geo_score, geo_score_site, site_file_points, readiness_pages, geo_signals, fix_order, site_score)}
-QUERIES |= {f"check_{p}": _check(p) for p in C.CHECKS}
+QUERIES = {f.__name__: f for f in (scan_pages, url_normalise, registrable, url_shape, page_facts, links_extract, links_dedup, link_degrees, dup_titles, findings_all, finding_summary, defect_findings, geo_score, geo_score_site, site_file_points, readiness_pages, geo_signals, fix_order, site_score)}
+QUERIES |= {f"check_{p}": _check(p) for p in C.CHECKS} | {"check_asai": asai_findings}
 
 _BLOCKS = "html|head|body|nav|ul|li|div|article|h1|p|footer|br|b0"
 _F = f"""
@@ -301,7 +321,7 @@ ORACLE_SQL = {
     "dup_titles": f"WITH {_F} SELECT title, count(*) AS pages, min(page_id) AS first_page FROM f WHERE title <> '' GROUP BY title HAVING count(*) > 1",
     "finding_summary": f"WITH {_F}, c AS ({_union(*_CODES)}) SELECT page_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity <> 'info') AS faults FROM c GROUP BY page_id",
     "defect_findings": _DEFECTS,
-    "asai_findings": f"WITH {_F} SELECT page_id, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'asai.empty' ELSE 'asai.server_rendered' END WHEN {_SEEN} < 50 THEN 'asai.js_required' ELSE 'asai.mostly_js' END AS code, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'high' ELSE 'info' END ELSE 'critical' END AS severity FROM f",
+    "check_asai": f"WITH {_F} SELECT page_id, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'asai.empty' ELSE 'asai.server_rendered' END WHEN {_SEEN} < 50 THEN 'asai.js_required' ELSE 'asai.mostly_js' END AS code, CASE WHEN page_id % {_SCRIPTED[0]} <> {_SCRIPTED[1]} THEN CASE WHEN {_SEEN} < 20 THEN 'high' ELSE 'info' END ELSE 'critical' END AS severity FROM f",
     "geo_score": f"WITH {_F}, {_G} SELECT page_id, score, CAST(58 AS BIGINT) AS possible, CASE WHEN score >= 86 THEN 'excellent' WHEN score >= 68 THEN 'good' WHEN score >= 36 THEN 'foundation' ELSE 'critical' END AS band FROM g",
     "geo_signals": f"WITH {_F}, {_X} {_SIGNALS}",
     "fix_order": f"WITH {_F}, {_X}, s AS ({_SIGNALS}) SELECT category, key, possible - earned AS missing, (possible - earned) / CASE WHEN key IN ('content_numbers', 'content_links', 'content_word_count', 'content_lists_or_tables', 'content_front_loading', 'brand_about_contact', 'brand_topic_authority') THEN 4 ELSE 2 END AS gain FROM s ORDER BY gain DESC, key LIMIT 10",
@@ -311,4 +331,14 @@ ORACLE_SQL = {
     "site_score": f"WITH {_F}, {_G} SELECT {_HOST} AS site, round(avg(score), 1) AS mean, min(score) AS least, max(score) AS most FROM g GROUP BY 1",
 }
 ORACLE_SQL["findings_all"] = f"WITH {_F} " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS \"check\", code, severity FROM ({_union(p)})" for p in _CODES)
-ORACLE_SQL |= {f"check_{p}": f"WITH {_F} {_union(p)}" for p in _CODES}
+# what the damage alone gives, by check
+_DONE = {
+    "indexability": "robots.", "images": "images.", "multimodal": "multimodal.", "metaplace": "meta.", "forms": "form.", "hreflang": "hreflang.", "headings": ("h1.", "headings."),
+}
+_EXTRA = {
+    "language": [("page_id % 8 = 3", "lang.invalid", "low"), ("page_id % 8 = 5", "lang.missing", "low")], "url": [("page_id % 9 = 4", c, "low") for c in ("url.underscore", "url.space", "url.double_slash")],
+    "links": [("page_id % 7 = 2", c, sev) for c, sev in (("links.localhost", "high"), ("links.empty_anchor", "low"), ("links.internal_nofollow", "low"), ("links.external_dofollow", "info"))], "clutter": [("words >= 80 AND page_id % 10 = 1", "clutter.interstitials", "low")],
+}
+ORACLE_SQL |= {f"check_{p}": f"WITH {_F} {_union(p)}" for p in _CODES if p not in (*DAMAGED, "asai")}
+ORACLE_SQL |= {f"check_{p}": " UNION ALL ".join(f"SELECT page_id, '{code}' AS code, '{sev}' AS severity FROM pages WHERE page_id % {m} = {r}" for m, r, _, _, found in DEFECTS for code, sev in found if code.startswith(at)) for p, at in _DONE.items()}
+ORACLE_SQL |= {f"check_{p}": f"WITH {_F} {_union(p)} UNION ALL " + " UNION ALL ".join(f"SELECT page_id, '{code}', '{sev}' FROM f WHERE {when}" for when, code, sev in more) for p, more in _EXTRA.items()}

@@ -58,12 +58,20 @@ def most_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.most_linked(_links(spark, sf_dir))
 
 
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from parts, which nothing links to, to their suppliers, which lead nowhere."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+
+
+_TRADE = "e AS MATERIALIZED (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem)"
+
+
 def least_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.least_linked(_links(spark, sf_dir))
+    return S.least_linked(_trade(spark, sf_dir))
 
 
 def dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dead_ends(_links(spark, sf_dir))
+    return S.dead_ends(_trade(spark, sf_dir))
 
 
 def pages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +80,9 @@ def pages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that no order points to."""
+    """Customers that no order of 1996 points to."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("url"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("o").alias("src"), F.col("o_custkey").cast("string").alias("dst"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.year("o_orderdate") == 1996).select(F.lit("o").alias("src"), F.col("o_custkey").cast("string").alias("dst"))
     return S.orphans(c, o, "0").select(F.col("url").cast("long").alias("custkey"))
 
 
@@ -201,21 +209,21 @@ QUERIES |= {
 }
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(links: str = _LINKS) -> str:
     rounds = ", ".join(
         f"r{i} AS MATERIALIZED (SELECT n.node, n.outbound, (1 - {S.DAMPING}) / t.n + {S.DAMPING} * (SELECT coalesce(sum(score) FILTER (outbound = 0), 0) FROM r{i - 1}) / t.n + {S.DAMPING} * coalesce(g.got, 0) AS score "
         f"FROM n CROSS JOIN t LEFT JOIN (SELECT e.dst, sum(r.score / r.outbound) AS got FROM e JOIN r{i - 1} r ON e.src = r.node GROUP BY e.dst) g ON g.dst = n.node)"
         for i in range(1, ROUNDS + 1)
     )
     return (
-        f"WITH {_LINKS}, n AS MATERIALIZED (SELECT node, count(DISTINCT o) AS outbound FROM (SELECT src AS node, dst AS o FROM e UNION ALL SELECT dst, NULL FROM e) GROUP BY node), t AS (SELECT count(*)::DOUBLE AS n FROM n), "
+        f"WITH {links}, n AS MATERIALIZED (SELECT node, count(DISTINCT o) AS outbound FROM (SELECT src AS node, dst AS o FROM e UNION ALL SELECT dst, NULL FROM e) GROUP BY node), t AS (SELECT count(*)::DOUBLE AS n FROM n), "
         f"r0 AS (SELECT node, outbound, 1 / t.n AS score FROM n, t), {rounds} SELECT node, round(score, 5) AS score FROM r{ROUNDS}"
     )
 
 
-def _ranked_sql(which: str) -> str:
-    degrees = f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node"
-    return f"SELECT d.node, inbound, outbound, score FROM ({degrees}) d JOIN ({_pagerank_sql()}) p ON d.node = p.node WHERE {which} ORDER BY score DESC, node LIMIT {S.RANKED}"
+def _ranked_sql(which: str, links: str = _LINKS) -> str:
+    degrees = f"WITH {links} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node"
+    return f"SELECT d.node, inbound, outbound, score FROM ({degrees}) d JOIN ({_pagerank_sql(links)}) p ON d.node = p.node WHERE {which} ORDER BY score DESC, node LIMIT {S.RANKED}"
 
 
 _B = ", ".join(f"b{i} AS MATERIALIZED (SELECT DISTINCT e.dst AS node FROM e JOIN b{i - 1} b ON e.src = b.node)" for i in range(1, LEVELS + 1))
@@ -227,10 +235,10 @@ ORACLE_SQL = {
     "crawl_budget": f"WITH {_LINKS}, s0 AS (SELECT coalesce(min(src), 0) AS node, 0 AS depth FROM e), {_S} SELECT node, CAST(depth AS INTEGER) AS depth FROM s{LEVELS}",
     "graph_edges": f"WITH {_LINKS} SELECT * FROM e",
     "graph_degrees": f"WITH {_LINKS} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node",
-    "most_linked": _ranked_sql("true"), "least_linked": _ranked_sql("inbound = 0"), "dead_ends": _ranked_sql("outbound = 0"),
+    "most_linked": _ranked_sql("true"), "least_linked": _ranked_sql("inbound = 0", _TRADE), "dead_ends": _ranked_sql("outbound = 0", _TRADE),
     "pagerank": _pagerank_sql(),
     "crawl_bfs": f"WITH {_LINKS}, b0 AS (SELECT coalesce(min(src), 0) AS node FROM e), {_B} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (" + " UNION ALL ".join(f"SELECT node, {i} AS depth FROM b{i}" for i in range(LEVELS + 1)) + ") GROUP BY node",
-    "orphan_pages": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_pages": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996)",
     "audit_diff": f"WITH b AS (SELECT code, max(w) AS b FROM ({_audit_sql(1996)}) GROUP BY code), a AS (SELECT code, max(w) AS a FROM ({_audit_sql(1998)}) GROUP BY code) SELECT coalesce(b.code, a.code) AS code, CASE WHEN a IS NULL THEN 'fixed' WHEN b IS NULL THEN 'introduced' ELSE 'remaining' END AS change, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM b FULL JOIN a ON b.code = a.code",
     "compete_compare": f"WITH o AS (SELECT DISTINCT code FROM ({_audit_sql(1995)})), t AS (SELECT DISTINCT code FROM ({_audit_sql(1997)})) SELECT coalesce(o.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'ours' WHEN o.code IS NULL THEN 'theirs' ELSE 'both' END AS where_found FROM o FULL JOIN t ON o.code = t.code",
     "fault_weight": " UNION ALL ".join(f"SELECT '{y}' AS audit, CAST((SELECT sum(w) FROM ({_audit_sql(y)})) AS BIGINT) AS all_findings, CAST((SELECT sum(w) FROM (SELECT code, max(w) AS w FROM ({_audit_sql(y)}) GROUP BY code)) AS BIGINT) AS by_code" for y in (1995, 1997)),
