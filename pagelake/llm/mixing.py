@@ -100,7 +100,12 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: int) -
 
     order = _order(F.col("doc_id"))
     head = F.conv(F.substring(F.coalesce(order, F.lit("0")), 1, 8), 16, 10).cast("double") / 2.0**32
-    part = F.floor(head * F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("int")
+    # rows without an id come first; they are dealt out by their size, which is their order
+    lost = each.where("doc_id IS NULL")
+    many = math.ceil(lost.count() / BUCKET_ROWS)
+    cuts = sorted(set(lost.approxQuantile("size", [i / many for i in range(1, many)], 0.001))) if many > 1 else []
+    rank = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("size"))) if cuts else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), rank - len(cuts) - 1).otherwise(F.floor(head * F.ceil(F.col("n_docs") / BUCKET_ROWS))).cast("int")
     df = each.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("key", order).withColumn("part", part)
     parts = df.groupBy("source", "part").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket

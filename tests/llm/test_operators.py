@@ -73,11 +73,16 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abcd|xyz)q?") == [["abc", "bcd"], ["xyz"]]
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     data = [(i, "w " * (i % 17 + 1), f"s{i % 5}" if i % 7 else None, "en") for i in range(300)] + [(900, None, "s1", "en"), (901, "", "zero", "en"), (902, "big " * 4000, "s9", "en"), (903, "two words", "s0", "en")]
     got = mixing.mix(frame(spark, data)).select("doc_id", "size", "source_size", "target", "taken")
     cols, want = in_duckdb(data, mixing.mix_sql())
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(cols, want)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    lost = data + [(None, "w " * (i % 23), f"s{i % 3}", "en") for i in range(80)]
+    got = mixing.mix(frame(spark, lost)).select("doc_id", "size", "source_size", "target", "taken")
+    cols, want = in_duckdb(lost, mixing.mix_sql())
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(cols, want)
     per = {}
     for r in mixing.mix(frame(spark, data)).collect():
         assert 0 <= r.taken <= 2 * r.size
