@@ -12,7 +12,7 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.RandomState(20240229).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text hashed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 

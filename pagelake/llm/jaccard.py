@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .classes import class_texts, find_classes, row_key
 from .components import components
 from .hashing import gram_hashes, word_hashes
-from .util import drop_scratch, free, kept_alone, marked, scratch
+from .util import drop_caches, drop_scratch, free, kept_alone, marked, scratch
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -43,7 +43,7 @@ LEADERS = 4
 #: Tokens ordered last as frequent: so many at most. Any choice gives the same result.
 FREQUENT = 1 << 18
 #: Tokens that a task holds at once when it looks for repeated ones.
-REPEATS = 2_000_000
+REPEATS = 1_500_000
 #: Entries of one list that one task takes.
 LIST_ROWS = 20_000
 TILE_ROWS = 4096
@@ -97,6 +97,7 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens that occur in two or more sets of this task. One in more sets than there are tasks is always among some task's."""
+    drop_caches()
     held, size, seen = [], 0, set()
 
     def flush() -> pd.DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import drop_caches
+
 PROFILE_SIZE = 400
 DOC_GRAMS = 300
 UNKNOWN = "und"
@@ -64,6 +66,7 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    drop_caches()
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=True):
             held: dict[type, list[np.ndarray]] = {}

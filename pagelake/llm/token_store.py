@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import scratch_path
+from .util import keep_between_tasks, scratch_path
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 END_ID = 2
@@ -151,10 +151,11 @@ def _slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+keep_between_tasks(_encoders.clear)
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for that file; its cache lives as long as the worker."""
+    """The worker's encoder for that file; its cache lives until the worker is put to other work."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,22 @@ from pyspark.sql import functions as F
 WORD_RX = r"[^\x20\x09-\x0D]+"
 
 
+#: What a Python worker keeps between tasks: a call of each lets it go.
+_caches: list[Callable[[], None]] = []
+
+
+def keep_between_tasks(let_go: Callable[[], None]) -> None:
+    """Notes a cache of this worker, for drop_caches."""
+    _caches.append(let_go)
+
+
+def drop_caches() -> None:
+    """Lets go of what other operators keep in this worker; called where an operator needs the memory itself."""
+    for let_go in _caches:
+        let_go()
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words by WORD_RX, as UTF-8. bytes.split() splits at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
