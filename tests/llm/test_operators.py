@@ -233,6 +233,9 @@ def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGES["article"], "x"), (2, "u", None, "x"), (3, None, "", "x"), (4, "u", "plain text only", "x"), (4, "u", "plain text only", "x"), (5, "u", "<div>" * 3000 + "deep" + "</div>" * 3000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(df).collect()}
     assert got == {1: (WANT, len(WANT)), 2: ("", 0), 3: ("", 0), 4: ("plain text only", 15), 5: ("deep", 4)}
+    assert html_extract.extract(df.limit(0)).collect() == []
+    clash = spark.createDataFrame([(1, "u", PAGES["main"], 9, "t"), (None, None, "long " * 200_000, 9, "t")], "page_id long, url string, html string, n_chars int, text string")
+    assert {r.page_id: r.n_chars for r in html_extract.extract(clash).collect()} == {1: len(WANT), None: 999_999}
 
 
 def test_pages_of_the_test_data(spark):
