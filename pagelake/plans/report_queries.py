@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
-from pagelake.functions.constants import WS
+from pagelake.functions import urls as U
+from pagelake.functions.constants import INTENTS, WS
 from pagelake.operators import market as M
+from pagelake.operators import page_checks as C
 from pagelake.operators import reports as R
+from pagelake.operators import services as V
 from pagelake.operators import site as S
 
-from .page_queries import _F, _G, _LINK, _pages, _prepared, geo_score, links_extract, page_facts
+from .fixtures import literal
+from .page_queries import _F, _G, _LINK, _pages, _prepared, damaged, geo_score, links_extract, page_facts, site_files
 from .text_queries import _KIND, _ORDER_TEXT, _W, NOT_CHARTABLE, _figures, _found, _t
 
 
@@ -122,7 +126,41 @@ def sitemap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sitemap_report(entries, pages, True)
 
 
-QUERIES = {f.__name__: f for f in (weakest_pages, weakest_scores, worst_groups, links_probed, question_list, question_sources_lost, mention_evidence, links_compare, links_compare_withheld, content_audit, content_brief, content_charts, sitemap_report)}
+_PHRASES = ("buy shoes", "best crm", "how to mend", "login page", "red paint", "price of oil", "review of it", "what is it", "Docs for x", "HIRE a man", "versus", "")
+
+
+def intent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the intent of phrases that stand for them."""
+    n = (F.col("o_orderkey") % len(_PHRASES) + 1).cast("int")
+    p = F.concat(F.element_at(F.array(*(F.lit(x) for x in _PHRASES)), n), F.lit(" "), F.lower(F.substring("o_orderpriority", 3, 20)))
+    return _t(spark, sf_dir, "orders").groupBy(M.intent(p).alias("intent")).agg(F.count("*").alias("n"), F.count_distinct(p).alias("phrases"))
+
+
+def suggestions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions of engines that fail now and then: the type of an event is the engine, the user the phrase."""
+    e = _t(spark, sf_dir, "events")
+    phrase = F.concat(F.when(F.col("user_id") % 2 == 0, "CRM  for ").otherwise("crm  for "), (F.col("user_id") % 25).cast("string"))
+    s = e.select(F.col("event_type").alias("engine"), F.lit("crm").alias("variation"), phrase.alias("phrase"), F.when(F.col("event_id") % 13 == 0, "timeout").alias("error"))
+    return M.merge_suggestions(s, "crm").select("phrase", F.array_join("sources", ",").alias("sources"), "seen")
+
+
+def images_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.images(C.prepared(C.captured(damaged(_pages(spark, sf_dir)))))
+
+
+def hreflangs_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.hreflangs(C.prepared(C.captured(damaged(_pages(spark, sf_dir)))))
+
+
+def robots_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two agents may read each page, by the robots file of its site."""
+    url = F.col("url")
+    site = F.concat(U.scheme(url), F.lit("://"), U.netloc(url))
+    asked = _pages(spark, sf_dir).select(site.alias("site"), F.when(U.path(url) == "", "/").otherwise(U.path(url)).alias("path")).distinct().withColumn("agent", F.explode(F.array(F.lit("ClaudeBot"), F.lit("GPTBot"))))
+    return S.robots_verdict(S.robots_rules(site_files(spark, sf_dir).where("kind = 'robots'").select("site", "body")), asked)
+
+
+QUERIES = {f.__name__: f for f in (weakest_pages, weakest_scores, worst_groups, links_probed, question_list, question_sources_lost, mention_evidence, links_compare, links_compare_withheld, content_audit, content_brief, content_charts, sitemap_report, intent_orders, suggestions_merged, images_of_pages, hreflangs_of_pages, robots_of_pages)}
 
 _Q = f"""q AS (SELECT 'archive' || conv_id % 3 AS source, substr(text, 1, 6) AS question, 'https://q.test/' || conv_id || '/' || turn AS url, CASE WHEN conv_id % 11 <> 0 THEN length(text) % 50 END AS score, CASE WHEN conv_id % 17 = 0 THEN 'timeout ' || conv_id END AS error FROM conversations WHERE role = 'user' AND text IS NOT NULL),
 k AS (SELECT source, question, url, coalesce(score, 0) AS score, trim(regexp_replace(lower(question), '{WS}', ' ', 'g')) AS key FROM q WHERE error IS NULL AND trim(regexp_replace(question, '{WS}', ' ', 'g')) <> '')"""
@@ -158,7 +196,13 @@ def _mentions() -> str:
 _N = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _KINDS = f"list_transform({_found('text')}, lambda token: {_KIND})"
 _ROW = "'<tr><td>' || {} || '</td><td>' || {} || '</td><td>' || {} || '</td></tr>'"
+_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(p, {literal(rx)}) THEN {literal(k)}" for k, rx in INTENTS) + " ELSE 'informational' END"
 ORACLE_SQL = {
+    "intent_orders": f"WITH t AS (SELECT {literal(list(_PHRASES))}[o_orderkey % {len(_PHRASES)} + 1] || ' ' || lower(substr(o_orderpriority, 3, 20)) AS p FROM orders) SELECT {_INTENT} AS intent, count(*) AS n, count(DISTINCT p) AS phrases FROM t GROUP BY 1",
+    "suggestions_merged": "SELECT 'crm for ' || user_id % 25 AS phrase, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, count(*) AS seen FROM events WHERE event_id % 13 <> 0 GROUP BY 1",
+    "images_of_pages": "SELECT page_id, 0 AS pos, 'a.bmp' AS src, NULL AS alt, false AS has_size FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 0, 'b.png', '', true FROM pages WHERE page_id % 4 = 2",
+    "hreflangs_of_pages": "SELECT page_id, 'en_US' AS lang, '/x' AS href, 'html' AS source FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'fr', '', 'html' FROM pages WHERE page_id % 5 = 0",
+    "robots_of_pages": f"WITH {_F}, q AS (SELECT DISTINCT scheme || '://' || netloc AS site, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM u), a AS (SELECT *, unnest(['ClaudeBot', 'GPTBot']) AS agent FROM q) SELECT site, agent, path, CASE length(site) % 5 WHEN 2 THEN agent <> 'ClaudeBot' WHEN 3 THEN false WHEN 4 THEN NOT starts_with(path, '/en/') ELSE true END AS allowed FROM a",
     "weakest_pages": f"WITH {_F} SELECT page_id, CAST(words AS BIGINT) AS words, (SELECT CAST(greatest(count(*) - {R.WEAKEST}, 0) AS BIGINT) FROM f) AS skipped FROM f ORDER BY words, page_id LIMIT {R.WEAKEST}",
     "weakest_scores": f"WITH {_F}, {_G} SELECT page_id, score, (SELECT CAST(greatest(count(*) - {R.WEAKEST}, 0) AS BIGINT) FROM g) AS skipped FROM g ORDER BY score, page_id LIMIT {R.WEAKEST}",
     "worst_groups": f"WITH l AS (SELECT url, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS value FROM pages), n AS (SELECT value, count(*) AS pages FROM l WHERE value <> '' GROUP BY value HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT {S.WORST}) SELECT value, pages, array_to_string((SELECT list(url ORDER BY url) FROM (SELECT DISTINCT url FROM l WHERE l.value = n.value))[1:{S.SAMPLE}], ',') AS sample FROM n",
