@@ -9,11 +9,12 @@ so a range of doc_id, or the metadata columns alone, can be read without the res
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,19 @@ from pyspark.sql import functions as F
 
 from .util import keep_between_tasks, scratch_path
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of input for one file of tokens.
 FILE_BYTES = 128 << 20
-#: Entries of a worker's cache from a chunk of text to its ids; beyond that only the first KEPT stay, the most frequent being among them.
-CACHE, KEPT = 400_000, 250_000
+#: Entries of a worker's cache from a chunk of text to its ids; beyond that only the KEPT most used ones stay.
+CACHE, KEPT = 400_000, 200_000
+#: Words that the tokenizer itself remembers.
+WORDS_CACHED = 1000
 #: Bytes of the unknown chunks that the tokenizer gets as one text.
 JOINED = 1 << 11
 #: Marks a chunk that follows no space; texts that hold it are encoded whole.
@@ -54,6 +60,17 @@ class _Numbers(dict):
         return i
 
 
+def _lean(tok: Tokenizer) -> Tokenizer:
+    """The tokenizer with a small word cache of its own, as it gets new words only; its ids stay the same."""
+    from tokenizers import models
+
+    spec = json.loads(tok.to_str())["model"]
+    if spec.pop("type", None) == "BPE":
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec.pop("merges")]
+        tok.model = models.BPE(vocab=spec.pop("vocab"), merges=merges, cache_capacity=WORDS_CACHED, **{k: v for k, v in spec.items() if v is not None})
+    return tok
+
+
 class ChunkEncoder:
     """Encodes whole texts through a cache of chunks, giving exactly the tokenizer's ids.
 
@@ -67,18 +84,27 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = _lean(Tokenizer.from_file(path))
         self.odd = "|".join([_ODD, *(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())])
         vocab = self.tok.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each token: its name has a character for each
         self.bytes[list(vocab.values())] = [len(t) for t in vocab]
         self.at = _Numbers()
-        self.flat, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.flat, self.start, self.length, self.uses = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0  # of flat
 
     def _shrink(self) -> None:
-        self.at = _Numbers(itertools.islice(self.at.items(), KEPT))
-        self.used = int(self.start[len(self.at) - 1] + self.length[len(self.at) - 1])
+        n = len(self.at)
+        stay = np.sort(np.argpartition(-self.uses[:n], KEPT)[:KEPT]) if n > KEPT else np.arange(n)
+        keys = list(self.at)
+        self.at = _Numbers((keys[i], k) for k, i in enumerate(stay.tolist()))
+        start, length = self.start[stay], self.length[stay]
+        ends = np.cumsum(length)
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(start - ends + length, length)]
+        self.used = len(flat)
+        self.flat[: self.used] = flat
+        self.start[: len(stay)], self.length[: len(stay)] = ends - length, length
+        self.uses[: len(stay)], self.uses[len(stay) :] = (self.uses[stay] + 1) // 2, 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,7 +129,7 @@ class ChunkEncoder:
         flat = flat[keep]
         lo, hi, end = len(self.at) - len(new), len(self.at), self.used + len(flat)
         if hi > len(self.start):
-            self.start, self.length = (np.concatenate((x, np.empty(max(hi - len(x), len(x)), np.int64))) for x in (self.start, self.length))
+            self.start, self.length, self.uses = (np.concatenate((x, np.zeros(max(hi - len(x), len(x)), np.int64))) for x in (self.start, self.length, self.uses))
         if end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(end - len(self.flat), len(self.flat)), np.int32)))
         self.start[lo:hi], self.length[lo:hi] = self.used + np.cumsum(n) - n, n
@@ -125,7 +151,9 @@ class ChunkEncoder:
         k = np.fromiter(map(self.at.__getitem__, chunks.dictionary.to_pylist()), dtype=np.int64, count=len(chunks.dictionary))
         if self.at.new:
             self._learn()
-        k = k[chunks.indices.to_numpy()]
+        at = chunks.indices.to_numpy()
+        self.uses[k] += np.bincount(at, minlength=len(k))
+        k = k[at]
         n = self.length[k]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)] if len(k) else np.empty(0, np.int32)
