@@ -10,6 +10,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ lang string, base_href string, canonicals array<string>, headings array<struct<l
 links array<struct<href:string,text:string,rel:string,image:boolean>>,
 images array<struct<src:string,alt:string,width:string,height:string,loading:string>>, bare_pictures int,
 hreflangs array<struct<lang:string,href:string>>, jsonld array<string>, elements int,
-body_text string, visible_text string, content_words int, paragraphs array<string>, long_paragraphs int,
+body_text string, n_words int, reading struct<n_words:long,sentences:long,syllables:long,words_per_sentence:double,flesch:double>, visible_text string, content_words int, paragraphs array<string>, long_paragraphs int,
 lists int, tables int, quotes int, forms array<string>, embeds int, tracks int, figures int, captions int,
 times array<string>, popups int, article_words int, comments array<string>, hidden array<struct<deceptive:boolean,text:string>>, nodes array<struct<types:array<string>,props:array<string>,name:string,context:boolean>>, bad_blocks int, legacy boolean, author_rel string
 """
@@ -202,6 +204,32 @@ def linked_data(blocks: list[str]) -> tuple[list[dict], int]:
     return nodes, bad
 
 
+@lru_cache(maxsize=50_000)
+def _syllables(word: str) -> int:
+    w = re.sub("[^a-z]", "", word.lower())
+    n = len(re.findall("[aeiouy]+", w))
+    n -= w.endswith("e") and not w.endswith(("le", "ee", "ye")) and n > 1
+    return max(n, 1) if w else 0
+
+
+def _one_place(x: float) -> float:
+    """Rounded half up as it is written, like Spark's round."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+
+def reading(text: str) -> dict:
+    """The measures of text.readability, for a text without other white space than single spaces."""
+    words = re.findall("[A-Za-z']+", text)
+    sentences = sum(bool(x.strip()) for x in re.split(r"[.!?]+(?=\s|$)", text))
+    n, syl = len(words), sum(map(_syllables, words))
+    ok = n and sentences
+    wps = n / sentences if ok else 0.0
+    return {
+        "n_words": n, "sentences": sentences, "syllables": syl, "words_per_sentence": _one_place(wps) if ok else None,
+        "flesch": _one_place(206.835 - 1.015 * wps - 84.6 * (syl / n)) if ok else None,
+    }
+
+
 def facts(html: str | None) -> dict:
     root, comments = parse(html or "")
     every = [e for e in walk(root) if e is not root]
@@ -240,7 +268,7 @@ def facts(html: str | None) -> dict:
         "hreflangs": [{"lang": e.attrs["hreflang"].strip(), "href": e.attrs.get("href", "").strip()} for e in get("link") if "alternate" in rel(e) and e.attrs.get("hreflang", "").strip()],
         "jsonld": scripts, "nodes": nodes, "bad_blocks": bad, "legacy": any("itemtype" in e.attrs or "typeof" in e.attrs for e in every),
         "elements": len(every),
-        "body_text": body_text, "visible_text": squeeze(text_of(root, " ", _SILENT)),
+        "body_text": body_text, "n_words": len(body_text.split()), "reading": reading(body_text), "visible_text": squeeze(text_of(root, " ", _SILENT)),
         "content_words": len(prose.split()),
         "paragraphs": paragraphs,
         "long_paragraphs": sum(len(text_of(e, " ").split()) > 150 for e in walk(body) if e.tag == "p"),

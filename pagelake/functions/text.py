@@ -83,16 +83,21 @@ def readability(text: Column) -> Column:
 
 def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:
     """How many of the phrases occur."""
-    return F.size(F.filter(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(F.lower(text), p))).cast("long")
+    return bind(F.lower(text), lambda low: F.size(F.filter(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(low, p)))).cast("long")
+
+
+def any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether one of the phrases occurs."""
+    return bind(F.lower(text), lambda low: F.exists(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(low, p)))
 
 
 def phrase_total(text: Column, phrases: tuple[str, ...]) -> Column:
     """Occurrences of all phrases, each counted without overlap."""
-    low = F.lower(text)
-    total = F.lit(0)
-    for p in phrases:
-        total = total + ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long")
-    return total
+    def count(low: Column) -> Column:
+        each = F.transform(F.array(*(F.lit(p) for p in phrases)), lambda p: ((F.length(low) - F.length(F.replace(low, p, F.lit("")))) / F.length(p)).cast("long"))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return bind(F.lower(text), count)
 
 
 def invisible_count(text: Column) -> Column:

@@ -34,7 +34,7 @@ def signals() -> list[tuple[str, str, int, Column]]:
     desc = F.coalesce(F.try_element_at(F.col("descriptions"), F.lit(1)), F.lit(""))
     og = lambda p: F.exists("metas", lambda m: m["property"] == p)
     w = T.words(F.col("body_text"))
-    n = F.size(w)
+    n = F.col("n_words")
     head = F.array_join(F.slice(w, 1, F.greatest(F.lit(1), F.floor(n * 3 / 10).cast("int"))), " ")
     structured = (F.col("lists") > 0) | (F.col("tables") > 0)
     away = F.exists("links", lambda x: x["href"].rlike("^https?://") & (U.netloc(x["href"]) != U.netloc(F.col("url"))))
@@ -53,7 +53,7 @@ def signals() -> list[tuple[str, str, int, Column]]:
         ("schema", "schema_organization", 3, has_type("Organization", "LocalBusiness", "Corporation")), ("schema", "schema_website", 2, has_type("WebSite")),
         ("meta", "meta_title", 5, title != ""), ("meta", "meta_description", 2, desc != ""), ("meta", "meta_canonical", 3, F.size("canonicals") > 0),
         ("meta", "meta_og", 4, og("og:title") & og("og:description")),
-        ("content", "content_h1", 2, level(1)), ("content", "content_numbers", 1, F.size(T.statistics(F.col("body_text"))) > 0), ("content", "content_links", 1, away),
+        ("content", "content_h1", 2, level(1)), ("content", "content_numbers", 1, F.col("n_statistics") > 0), ("content", "content_links", 1, away),
         ("content", "content_word_count", 2, n >= 300), ("content", "content_heading_hierarchy", 2, level(2) & level(3)),
         ("content", "content_lists_or_tables", 2, structured), ("content", "content_front_loading", 2, (n > 0) & (structured | (F.size(T.statistics(head)) > 0))),
         ("signals", "signals_lang", 3, F.coalesce("lang", F.lit("")) != ""), ("signals", "signals_rss", 2, F.col("html").rlike(r'(?i)<link[^>]*type="?[^">]*(rss|atom)')), ("signals", "signals_freshness", 1, fresh),

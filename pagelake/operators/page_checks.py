@@ -53,7 +53,7 @@ def _n(col: str) -> Column:
 
 
 def _prose_words() -> Column:
-    return F.size(T.words(F.col("body_text")))
+    return F.col("n_words")
 
 
 @register("status", None)
@@ -317,8 +317,8 @@ def aeo() -> Column:
 
 @register("evidence", lambda: html_200() & (_prose_words() >= 100))
 def evidence() -> Column:
-    n = F.size(T.statistics(F.col("body_text")))
-    source = F.exists("links", lambda x: x["href"].rlike("(?i)^https?://") & F.exists(F.array(*(F.lit(a) for a in AUTHORITIES)), lambda a: F.contains(F.lower(x["href"]), a)))
+    n = F.col("n_statistics")
+    source = F.exists("links", lambda x: x["href"].rlike("(?i)^https?://") & T.any_phrase(x["href"], AUTHORITIES))
     return _list(
         _f(n == 0, "evidence.no_statistics", "high"), _f((n > 0) & (n / (_prose_words() / 100) < 0.5), "evidence.few_statistics", "low"),
         _f(~source, "evidence.no_sources", "low"), _f(source, "evidence.sources_present", "info"), _f(F.col("quotes") > 0, "evidence.quotes_present", "info"),
@@ -379,8 +379,7 @@ _COMMENT_CHARS = 20_000
 
 @register("injection")
 def injection() -> Column:
-    phrases = F.array(*(F.lit(p) for p in INJECTIONS))
-    says = lambda t: F.exists(phrases, lambda p: F.contains(F.lower(t), p))
+    says = lambda t: T.any_phrase(t, INJECTIONS)
     commented = says(F.substring(F.array_join("comments", " "), 1, _COMMENT_CHARS))
     unseen = says(F.array_join(F.transform("hidden", lambda h: h["text"]), " "))
     most, soft = T.most_of_one_invisible(F.col("html"))
@@ -427,8 +426,8 @@ def captured(pages: DataFrame) -> DataFrame:
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Captured pages with facts, resolved links and reading measures."""
-    return with_facts(pages).withColumn("page_links", resolved_links()).withColumn("reading", T.readability(F.col("body_text")))
+    """Captured pages with facts, resolved links and the number of figures, which several checks ask for."""
+    return with_facts(pages).withColumn("page_links", resolved_links()).withColumn("n_statistics", F.size(T.statistics(F.col("body_text"))))
 
 
 def findings(facts: DataFrame, *prefixes: str) -> DataFrame:
