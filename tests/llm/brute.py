@@ -134,3 +134,15 @@ def languages(learned, docs, size=400, most=300):
         best = min(sorted(far), key=far.get) if top and far else None
         out[d] = (best, 1 - far[best] / (size * len(top))) if best else ("und", 0.0)
     return out
+
+
+def byte_values():
+    """Character -> byte of a byte-level BPE's names."""
+    out, extra = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[chr(b)] = b
+        else:
+            out[chr(256 + extra)] = b
+            extra += 1
+    return out
