@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, decontaminate, divergence, embed_dedup, html_extract, jaccard, langid, line_dedup, mixing, secrets, substring_dedup, token_store
+from . import align, decontaminate, divergence, embed_dedup, html_extract, jaccard, langid, licenses, line_dedup, mixing, secrets, substring_dedup, token_store
 from .util import table
 
 
@@ -58,10 +58,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
@@ -70,5 +78,5 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_token_ids, op4_mixing, op5_decontamination, op6_secret_scan, op7_line_dedup, op8_embedding_near_dedup, op9_language_id, op10_html_extraction, op12_token_alignment, op13_source_divergence)}
-ORACLE_SQL = {"op4_mixing": mixing.mix_sql(), "op6_secret_scan": secrets.scan_sql(), "op7_line_dedup": line_dedup.dedup_sql(), "op13_source_divergence": divergence.audit_sql()}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_token_ids, op4_mixing, op5_decontamination, op6_secret_scan, op7_line_dedup, op8_embedding_near_dedup, op9_language_id, op10_html_extraction, op11_license_scan, op12_token_alignment, op13_source_divergence)}
+ORACLE_SQL = {"op4_mixing": mixing.mix_sql(), "op6_secret_scan": secrets.scan_sql(), "op7_line_dedup": line_dedup.dedup_sql(), "op11_license_scan": licenses.scan_sql(), "op13_source_divergence": divergence.audit_sql()}
