@@ -430,15 +430,19 @@ def prepared(pages: DataFrame) -> DataFrame:
     return with_facts(pages).withColumn("page_links", resolved_links()).withColumn("n_statistics", F.size(T.statistics(F.col("body_text"))))
 
 
-def findings(facts: DataFrame, *prefixes: str) -> DataFrame:
-    """(page_id, check, code, severity, rank) of the named checks, or of all."""
+def found_rows(*prefixes: str) -> Column:
+    """Array of (check, found) of the named checks, or of all, over the facts of a page."""
     none = F.array().cast(_FINDING)
     parts = []
     for p in prefixes or CHECKS:
         f, applies = CHECKS[p]
         own = f() if applies is None else F.when(applies(), f()).otherwise(none)
         parts.append(F.coalesce(own, none))
-    rows = F.array(*(F.struct(F.lit(p).alias("check"), a.alias("found")) for p, a in zip(prefixes or CHECKS, parts, strict=True)))
-    df = facts.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.check", F.explode("r.found").alias("x"))
+    return F.array(*(F.struct(F.lit(p).alias("check"), a.alias("found")) for p, a in zip(prefixes or CHECKS, parts, strict=True)))
+
+
+def findings(facts: DataFrame, *prefixes: str) -> DataFrame:
+    """(page_id, check, code, severity, rank) of the named checks, or of all."""
+    df = facts.select("page_id", F.explode(found_rows(*prefixes)).alias("r")).select("page_id", "r.check", F.explode("r.found").alias("x"))
     rank = F.try_element_at(F.create_map(*(F.lit(v) for s, (r, _) in SEVERITIES.items() for v in (s, r))), F.col("severity"))
     return df.select("page_id", "check", "x.code", "x.severity").withColumn("rank", rank)
