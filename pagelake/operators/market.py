@@ -153,10 +153,6 @@ def rank_of(items: Column, name: Column) -> Column:
     return F.when((F.size(items) >= 3) & (at > 0), at.cast("int"))
 
 
-def strip_reasoning(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(answer, r"(?is)<(think|thinking|reasoning)\b[^>]*>.*?(?:</\1>|\z)", ""))
-
-
 def json_tolerant(raw: Column) -> Column:
     """The JSON inside an answer: as it is, without fences, or the outermost braces or brackets; null if none parses."""
     bare = F.trim(F.regexp_replace(raw, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
@@ -164,47 +160,10 @@ def json_tolerant(raw: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(t) != "", F.to_json(F.try_parse_json(t))) for t in tries))
 
 
-def salvage(raw: str | None) -> str | None:
-    """What is complete of a truncated JSON array: its whole elements, as an array; None if there is none."""
-    if not raw or "[" not in raw:
-        return None
-    start = raw.index("[")
-    depth, in_string, skip, last = 0, False, False, None
-    for i in range(start, len(raw)):
-        c = raw[i]
-        if skip:
-            skip = False
-        elif in_string:
-            if c == "\\":
-                skip = True
-            in_string = c != '"'
-            if not in_string and depth == 1:
-                last = i
-        elif c == '"':
-            in_string = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if depth == 0:
-                return raw[start : i + 1]
-            if depth == 1:
-                last = i
-    return raw[start : last + 1] + "]" if last is not None else None
-
-
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-def json_salvage(df: DataFrame, col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(salvaged=[salvage(x) for x in pdf[col]])
-
-    return df.mapInPandas(run, f"{_ddl(df)}, salvaged string")
-
-
 # Keys whose values change from run to run.
 VOLATILE = ("ttfb_ms", "total_ms", "duration_ms", "elapsed_ms", "elapsed_seconds", "fetched_at", "measured_at")
 

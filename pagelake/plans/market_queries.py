@@ -30,9 +30,7 @@ ANSWERS = Fixture("a", "id int, name string, answer string", [
     (1, "Jira", "**1. Notion** - best\n**2. Jira** - good\n**3. Asana** - fine"), (2, "Asana", "1. Notion\n2. Jira\n3) Asana"), (3, "Notion", "## Top picks:\n## Notion\n## Jira\n## Asana"), (4, "Jira", "- **Notion** for docs\n- **Jira** for work\n- **Asana** for tasks"), (5, "Notion", "Notion is good in prose."),
     (6, "Jira", "| Tool | Use |\n|---|---|\n| Notion | docs |\n| Jira | work |\n| Asana | x |"), (7, "Reach", "1. Reached\n2. Reach\n3. Other"), (8, "Jira", "1. Notion\n2. Jira"), (9, "Jira", None), (10, "Jira", "**🥇 Notion** - best\n**🥈 Jira** - next\n**🥉 Asana** - last"),
 ])
-REASON = Fixture("r", "id int, answer string", [(1, "<think>hm</think>Yes."), (2, "<thinking a=1>never ends"), (3, "plain"), (4, "A <reasoning>x\ny</reasoning> B")])
 JSONS = Fixture("j", "id int, raw string", [(1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Sure: {"a": 3} done'), (4, "[1, 2]"), (5, "none"), (6, "Here [1, 2] ok")])
-CUT = Fixture("j", "id int, raw string", [(1, '[{"a": 1}, {"a": 2}, {"a"'), (2, '["x", "y", "z'), (3, "[1"), (4, '[{"s": "]"}, {"s": "a\\"b"}, '), (5, '[{"a": 1}]'), (6, "text")])
 DIGESTS = Fixture("d", "id int, json string", [(1, '{"b": 1, "a": {"ttfb_ms": 5, "x": [1, 2]}}'), (2, '{"a": {"x": [1, 2], "ttfb_ms": 9}, "b": 1, "fetched_at": "now"}'), (3, '{"a": {"x": [2, 1]}, "b": 1}')])
 QUOTES = Fixture("q", "id int, source string, quote string", [(1, "It works, very well!", "it WORKS very well"), (2, "one two three", "two four"), (3, "a b c d e f g h i j k l m n", "a b c d e f g h i j k l zz yy"), (4, "x", "")])
 LANGS = Fixture("l", "id int, lang string", [(1, "en"), (2, "en-US"), (3, "english"), (4, "zh-Hans"), (5, "e"), (6, "en_US"), (7, "")])
@@ -97,8 +95,8 @@ QUERIES = {
     "recognition_rate": _over(RATES, M.rates), "competitors": _over(NAMED, M.competitors),
     "rank_items": _over(ANSWERS, lambda d: d.select("id", F.array_join(M.ranked_items(F.col("answer")), "|").alias("items"))),
     "rank_of": _over(ANSWERS, lambda d: d.select("id", M.rank_of(M.ranked_items(F.col("answer")), F.col("name")).alias("rank"))),
-    "strip_reasoning": _over(REASON, lambda d: d.select("id", M.strip_reasoning(F.col("answer")).alias("answer"))), "json_tolerant": _over(JSONS, lambda d: d.select("id", M.json_tolerant(F.col("raw")).alias("json"))),
-    "json_salvage": _over(CUT, lambda d: M.json_salvage(d, "raw").select("id", "salvaged")), "stable_digest": _over(DIGESTS, lambda d: M.stable_digest(d, "json").select("id", "digest")),
+    "json_tolerant": _over(JSONS, lambda d: d.select("id", M.json_tolerant(F.col("raw")).alias("json"))),
+    "stable_digest": _over(DIGESTS, lambda d: M.stable_digest(d, "json").select("id", "digest")),
     "contains_norm": _over(QUOTES, lambda d: d.select("id", T.contains_norm(F.col("source"), F.col("quote")).alias("found"))),
     "lang_valid": _over(LANGS, lambda d: d.select("id", F.col("lang").rlike("^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$").alias("valid"))),
     "schema_contradiction": _over(PAIRS, title_agreement), "heading_skips": _over(HEADS, heading_skips), "guard_static": _over(GUARD, guard_static), "brand_aliases": _over(ALIASES, brand_aliases),
@@ -120,8 +118,7 @@ ORACLE_SQL = {
     "competitors": _X(NAMED, "SELECT arg_min(name, ord) AS name, count(*) AS times, count(DISTINCT prompt) AS prompts FROM n GROUP BY lower(name)"),
     "rank_items": expected("id int, items string", [(1, "Notion|Jira|Asana"), (2, "Notion|Jira|Asana"), (3, "Notion|Jira|Asana"), (4, "Notion|Jira|Asana"), (5, ""), (6, "Notion|Jira|Asana"), (7, "Reached|Reach|Other"), (8, "Notion|Jira"), (9, ""), (10, "Notion|Jira|Asana")]),
     "rank_of": expected("id int, rank int", [(1, 2), (2, 3), (3, 1), (4, 2), (5, None), (6, 2), (7, 2), (8, None), (9, None), (10, 2)]),
-    "strip_reasoning": expected("id int, answer string", [(1, "Yes."), (2, ""), (3, "plain"), (4, "A  B")]), "json_tolerant": expected("id int, json string", [(1, '{"a":1}'), (2, '{"a":2}'), (3, '{"a":3}'), (4, "[1,2]"), (5, None), (6, "[1,2]")]),
-    "json_salvage": expected("id int, salvaged string", [(1, '[{"a": 1}, {"a": 2}]'), (2, '["x", "y"]'), (3, None), (4, '[{"s": "]"}, {"s": "a\\"b"}]'), (5, '[{"a": 1}]'), (6, None)]),
+    "json_tolerant": expected("id int, json string", [(1, '{"a":1}'), (2, '{"a":2}'), (3, '{"a":3}'), (4, "[1,2]"), (5, None), (6, "[1,2]")]),
     "stable_digest": "SELECT CAST(id AS INTEGER) AS id, 'sha256:' || sha256(j) AS digest FROM (VALUES (1, '{\"a\":{\"x\":[1,2]},\"b\":1}'), (2, '{\"a\":{\"x\":[1,2]},\"b\":1}'), (3, '{\"a\":{\"x\":[2,1]},\"b\":1}')) AS t(id, j)",
     "contains_norm": expected("id int, found boolean", [(1, True), (2, False), (3, True), (4, False)]), "lang_valid": expected("id int, valid boolean", [(1, True), (2, True), (3, False), (4, True), (5, False), (6, False), (7, False)]),
     "schema_contradiction": expected("id int, contradicts boolean", [(1, False), (2, True), (3, False)]), "heading_skips": _X(HEADS, "SELECT * FROM (SELECT page_id, lag(level) OVER (PARTITION BY page_id ORDER BY pos) AS from_level, level AS to_level FROM h) WHERE to_level > from_level + 1"),
