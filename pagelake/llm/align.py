@@ -29,9 +29,11 @@ from .token_store import _lean, _slices
 from .util import drop_caches, keep_between_tasks, scratch
 
 #: Chunks that a worker keeps aligned; beyond CACHE only the KEPT most used ones stay, none longer than KEPT_CHARS.
-CACHE, KEPT, KEPT_CHARS = 150_000, 75_000, 64
+CACHE, KEPT, KEPT_CHARS = 100_000, 60_000, 64
 #: Bytes of chunks tokenized as one text.
 JOINED = 1 << 11
+#: Such texts that are tokenized at once.
+TOGETHER = 32
 #: Pairs whose counts are sent to all tasks, at most: 17 bytes each.
 MOST_KNOWN = 1 << 18
 #: Salts of the first stage of counting.
@@ -105,17 +107,17 @@ class Aligner:
         alone = np.array([c != c.strip() for c in chunks])
         cuts = np.flatnonzero((np.diff(np.cumsum(sizes) // JOINED, prepend=-1) != 0) | alone | np.concatenate(([False], alone[:-1]))).tolist()
         bounds = list(zip(cuts, [*cuts[1:], len(chunks)], strict=True))
-        a, b = [], []
-        for (lo, hi), (x, y, same) in zip(bounds, self._of([" ".join(chunks[lo:hi]) for lo, hi in bounds]), strict=True):
-            each = [(x, y, True)] if same else self._of(chunks[lo:hi])
-            for i, (p, q, good) in enumerate(each):
-                if good:
-                    a.append(p)
-                    b.append(q)
-                else:
-                    sizes[lo + i] = 0
-        flat = [np.concatenate([np.empty(0, np.int64), *(np.array(t, np.int64) for t in side)]) for side in (a, b)]
-        return *flat, sizes
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(bounds), TOGETHER):  # what the libraries return is several times the ids, so not all at once
+            some = bounds[at : at + TOGETHER]
+            for (lo, hi), (x, y, same) in zip(some, self._of([" ".join(chunks[lo:hi]) for lo, hi in some]), strict=True):
+                for i, (p, q, good) in enumerate([(x, y, True)] if same else self._of(chunks[lo:hi])):
+                    if good:
+                        a.append(np.array(p, np.int64))
+                        b.append(np.array(q, np.int64))
+                    else:
+                        sizes[lo + i] = 0
+        return np.concatenate(a), np.concatenate(b), sizes
 
     def learn(self, chunks: list[str]) -> None:
         """Tokenize and align chunks, all in one."""
