@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.constants import INTENTS, KEYWORD_STOP, PREPOSITIONS, QUESTION_WORDS
 from pagelake.functions.text import collapse
+from pagelake.operators import reports as R
 
 
 def intent(phrase: Column) -> Column:
@@ -117,6 +118,11 @@ def competitors(named: DataFrame) -> DataFrame:
     return g.select("name", "times", "prompts")
 
 
+def competitors_ranked(named: DataFrame, most: int = R.COMPETITORS) -> DataFrame:
+    """The competitors named most often, ties by prompts and name, with how many are left out."""
+    return R.capped(competitors(named), most, F.desc("times"), F.desc("prompts"), F.asc("name"))
+
+
 # How answers mark an item of a list.
 _NUMBERED = r"^\s{0,3}\d+[.)]\s+(\S.*)$"
 _BOLD_NUMBERED = r"^\s{0,3}\*\*\s*\d+[.)]\s*([^*]+?)\s*\*\*"
@@ -199,9 +205,13 @@ def mention_evidence(answers: DataFrame, brands: DataFrame) -> DataFrame:
     The first alias in order that stands in the text as whole words, with the sentence around it; failing
     all, the host's address with what surrounds it. Aliases of one character name nothing. position counts from 0.
     """
-    j = answers.join(brands, "brand")
+    return evidence(answers.join(brands, "brand"), "(?i)")
+
+
+def evidence(j: DataFrame, flags: str) -> DataFrame:
+    """mention_evidence of rows that hold an answer and a brand; flags: those of the regex."""
     text = F.col("text")
-    rx = lambda a: F.concat(F.lit(r"(?i)\b\Q"), a, F.lit(r"\E\b"))
+    rx = lambda a: F.concat(F.lit(rf"{flags}\b\Q"), a, F.lit(r"\E\b"))
     hits = F.transform(F.filter("aliases", lambda a: F.length(a) >= 2), lambda a: F.struct(a.alias("a"), F.call_function("regexp_instr", text, rx(a)).alias("at")))
     first = F.try_element_at(F.filter(hits, lambda h: h["at"] > 0), F.lit(1))
     at = F.coalesce(first["at"] - 1, F.lit(-1))

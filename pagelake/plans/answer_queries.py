@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import model_json as J
+from pagelake.functions import urls as U
+from pagelake.operators import brands as B
+from pagelake.operators import market as M
+from pagelake.operators import page_checks as C
+from pagelake.operators import reports as R
+
+from .page_queries import _F, _pages
+from .report_queries import literal
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +45,89 @@ def json_as_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", J.as_object(asked, "figures").alias("object"))
 
 
-QUERIES = {f.__name__: f for f in (json_salvage, strip_reasoning, json_as_object)}
+def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, some of which state the name of their site: in the head, in structured data, behind the title."""
+    p, n = _pages(spark, sf_dir), F.col("page_id")
+    put = lambda when, at, piece: F.when(when, F.replace("html", F.lit(at), piece)).otherwise(F.col("html"))
+    p = p.withColumn("html", put(n % 3 == 0, "<head>", F.concat(F.lit('<head><meta property="og:site_name" content=" Site '), n.cast("string"), F.lit(' ">'))))
+    p = p.withColumn("html", put(n % 4 == 1, "<head>", F.concat(F.lit('<head><script type="application/ld+json">{"@type":"Organization","name":"Org '), (n % 10).cast("string"), F.lit('","brand":{"name" : "site '), n.cast("string"), F.lit('"},"x":{"name":"x"}}</script>'))))
+    return p.withColumn("html", put(n % 5 == 2, "</title>", F.concat(F.lit(" • Tail "), (n % 7).cast("string"), F.lit("</title>"))))
+
+
+def brand_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's site calls itself."""
+    n = B.brand_names(C.prepared(C.captured(_branded(spark, sf_dir))))
+    return n.select("page_id", "brand", F.array_join("aliases", "|").alias("aliases"), "host")
+
+
+def _title_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand for each page: two words of its title together, the second alone, the host's label; and the host."""
+    words = F.regexp_extract_all(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(r"[\p{L}]+"), F.lit(0))
+    host = U.host(F.col("url"))
+    second = F.try_element_at("words", F.lit(2))
+    p = _pages(spark, sf_dir).select("page_id", words.alias("words"), host.alias("host"))
+    names = F.array_compact(F.array(F.concat(F.try_element_at("words", F.lit(1)), F.lit(" "), second), second, B.brand_label(F.col("host"))))
+    return p.select(F.col("page_id").alias("brand"), names.alias("aliases"), "host")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers; every seventh conversation's end with the address of a page."""
+    hosts = _pages(spark, sf_dir).select((F.col("page_id") * 7).alias("of"), U.host(F.col("url")).alias("cited"))
+    c = _turns(spark, sf_dir).where("role = 'assistant'").join(hosts, F.col("conv_id") == F.col("of"), "left")
+    return c.select(F.struct("conv_id", "turn").alias("id"), F.concat("text", F.coalesce(F.concat(F.lit(" See http://WWW."), F.upper("cited"), F.lit("/x")), F.lit(""))).alias("text"))
+
+
+def alias_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand of the pages in every answer of the conversations."""
+    m = B.mentions(_answers(spark, sf_dir), _title_brands(spark, sf_dir))
+    return m.select("id.conv_id", "id.turn", "brand", "matched", "position", F.regexp_replace("context", r"\s+", " ").alias("context"))
+
+
+def brand_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the answers name each brand; the answers of every fifth conversation were not given."""
+    a = _answers(spark, sf_dir).withColumn("asked", F.col("id.conv_id") % 5 != 0)
+    return B.visibility(a, _title_brands(spark, sf_dir)).drop("best_rank")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose sentences are a list, in one of the ways in which answers write lists."""
+    lines = F.filter(F.split("text", r"[.\n]+"), lambda x: F.trim(x) != "")
+    kind = F.col("conv_id") % 5
+    number = lambda i: (i + 1).cast("string")
+    marked = F.transform(lines, lambda x, i: F.concat(
+        F.when(kind == 0, F.concat(number(i), F.lit(". "))).when(kind == 1, F.concat(F.lit("**"), number(i), F.lit(") "))).when(kind == 2, F.lit("### ")).when(kind == 3, F.lit("- **")).otherwise(""),
+        F.trim(x), F.when(kind.isin(1, 3), F.lit("**")).otherwise("")))
+    return _turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", F.array_join(marked, "\n").alias("answer"), lines.alias("lines"))
+
+
+def rank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommendations of each answer in order."""
+    return _listed(spark, sf_dir).select("conv_id", "turn", F.array_join(M.ranked_items(F.col("answer")), "|").alias("items"))
+
+
+def rank_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place among an answer's recommendations of the first that has the last word of its second sentence."""
+    word = F.regexp_extract(F.try_element_at("lines", F.lit(2)), r"([a-z]+)[^a-z]*$", 1)
+    return _listed(spark, sf_dir).where(F.size("lines") >= 2).withColumn("word", word).where("word <> ''").select("conv_id", "turn", M.rank_of(M.ranked_items(F.col("answer")), F.col("word")).alias("rank"))
+
+
+def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that answers recommend, by the first words of their recommendations: the most named ones, and how many are left out."""
+    items = _listed(spark, sf_dir).select("conv_id", "turn", F.posexplode(M.ranked_items(F.col("answer"))).alias("pos", "item"))
+    name = F.regexp_extract("item", r"^([^\s,;:]+)", 1)
+    named = items.select((F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("pos")).alias("ord"), F.col("conv_id").alias("prompt"), name.alias("name")).where("name <> ''")
+    return M.competitors_ranked(named)
+
+
+def recognition_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By conversation: answers given, and those that do not say that they know nothing; some are made to."""
+    said = F.element_at(F.array(*map(F.lit, ("I don't have that.", "There is NO information.", "As of my last update, none.", "I know it well.", "I do not knowingly"))), (F.col("turn") % 5 + 1).cast("int"))
+    a = _turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", F.when(F.col("conv_id") % 9 != 4, F.concat("text", F.lit(" "), said)).alias("answer"))
+    given, known = F.col("answer").isNotNull(), F.coalesce(B.recognised(F.col("answer")), F.lit(False))
+    return a.groupBy("conv_id").agg(F.count_if(given).alias("measured"), F.count_if(known).alias("recognised")).withColumn("rate", F.round(F.try_divide("recognised", "measured"), 3))
+
+
+QUERIES = {f.__name__: f for f in (json_salvage, strip_reasoning, json_as_object, brand_aliases, alias_mentions, brand_visibility, rank_items, rank_of, competitors, recognition_rate)}
 ORACLE_SQL = {
     "json_salvage": """
     WITH t AS (SELECT conv_id, turn, role, list_transform(string_split(text, chr(10)), lambda x: CAST(to_json(x) AS VARCHAR)) AS l FROM conversations WHERE text IS NOT NULL),
@@ -52,3 +142,34 @@ ORACLE_SQL = {
     "strip_reasoning": "WITH t AS (SELECT *, string_split(text, chr(10))[1] AS first, string_split(text, chr(10))[-1] AS rest FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '' ELSE trim(rest || '  ' || rest, ' ') END AS answer FROM t",
     "json_as_object": """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '{"figures": [{"conv_id":' || conv_id || ',"turn":' || turn || '}]}' WHEN conv_id % 3 = 1 THEN ' {"figures":[{"conv_id":' || conv_id || ',"turn":' || turn || '}]}' ELSE '{}' END AS object FROM conversations WHERE text IS NOT NULL""",
 }
+
+_HOSTS = "regexp_replace(netloc, ':\\d*$', '')"
+_LABEL = f"coalesce(list_filter(string_split({_HOSTS}, '.'), lambda x: NOT list_contains({literal(list(B.NOT_BRANDS))}, x))[1], {_HOSTS})"
+_TITLED = "CASE WHEN page_id % 5 = 2 THEN title || ' • Tail ' || page_id % 7 ELSE title END"
+_NAMES = f"""n AS (SELECT page_id, {_HOSTS} AS host, {_LABEL} AS label, list_filter([CASE WHEN page_id % 3 = 0 THEN 'Site ' || page_id END, CASE WHEN page_id % 4 = 1 THEN 'Org ' || page_id % 10 END, CASE WHEN page_id % 4 = 1 THEN 'site ' || page_id END,
+  CASE WHEN len(string_split_regex({_TITLED}, '{B.SEPARATORS}')) > 1 THEN trim(string_split_regex({_TITLED}, '{B.SEPARATORS}')[-1]) END], lambda x: x IS NOT NULL AND x <> '') AS stated FROM f)"""
+# whole words in Unicode's sense, which this regex engine has no mark for
+_EDGE = r"[^\p{L}\p{N}_]"
+_BRANDS = r"""names AS (SELECT page_id AS brand, list_filter([w[1] || ' ' || w[2], w[2], label], lambda x: x IS NOT NULL) AS aliases, host FROM (SELECT page_id, label, host, regexp_extract_all(regexp_extract(html, '<title>([^<]*)</title>', 1), '\p{L}+') AS w FROM l))"""
+_MENTIONED = f"""l AS (SELECT page_id, html, {_LABEL} AS label, {_HOSTS} AS host FROM u), {_BRANDS},
+a AS (SELECT conv_id, turn, text || coalesce(' See http://WWW.' || upper(l.host) || '/x', '') AS text FROM conversations c LEFT JOIN l ON c.conv_id = l.page_id * 7 WHERE role = 'assistant' AND text IS NOT NULL),
+x AS (SELECT conv_id, turn, text, brand, host, list_filter(list_transform(aliases, lambda z: {{'a': z, 'p': CASE WHEN length(z) > 1 AND contains(lower(text), lower(z)) AND regexp_matches(text, '(?i)(^|{_EDGE})' || z || '($|{_EDGE})') THEN length(regexp_extract(text, '(?is)^(.*?(?:^|{_EDGE}))' || z || '(?:$|{_EDGE})', 1)) END}}), lambda z: z.p IS NOT NULL)[1] AS m FROM a, names),
+y AS (SELECT conv_id, turn, text, brand, host, m.a AS a, m.p AS p, CASE WHEN contains(lower(text), lower(host)) THEN position(lower(host) IN lower(text)) - 1 END AS h FROM x)"""
+_SENTENCE = "regexp_extract(text[1:p], '[^.]*$') || text[p + 1:p + length(a)] || regexp_extract(text[p + length(a) + 1:], '^[^.]*[.]?')"
+_LINES = "list_filter(string_split_regex(text, '[.\\n]+'), lambda x: trim(x) <> '')"
+# what is left of an item once its marks are gone, where two make a list
+_ITEM = r"trim(regexp_replace(regexp_replace(trim(x), '^[^\p{L}\p{N}_\p{M}\p{Pc}(]+', ''), '^[*_ ]+|[*_ ]+$', '', 'g'))"
+_LISTED = f"""g AS (SELECT conv_id, turn, {_LINES} AS lines FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+i AS (SELECT conv_id, turn, lines, CASE WHEN conv_id % 5 <> 4 THEN list_filter(list_transform(lines, lambda x: {_ITEM}), lambda x: x <> '' AND x NOT LIKE '%:' AND NOT regexp_matches(x, '(?i)^(tool|name|option|---)')) ELSE [] END AS found FROM g),
+r AS (SELECT conv_id, turn, lines, CASE WHEN len(found) >= 2 THEN found ELSE [] END AS items FROM i)"""
+ORACLE_SQL |= {
+    "brand_aliases": f"WITH {_F}, {_NAMES}, o AS (SELECT page_id, host, coalesce(stated[1], label) AS brand, list_filter([coalesce(stated[1], label)] || stated || [label, host], lambda x: x <> '') AS names FROM n) SELECT page_id, brand, array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), '|') AS aliases, host FROM o",
+    "alias_mentions": f"WITH {_F}, {_MENTIONED} SELECT conv_id, turn, brand, coalesce(a, host) AS matched, CAST(coalesce(p, h) AS BIGINT) AS position, "
+    f"CASE WHEN p IS NOT NULL THEN regexp_replace(regexp_replace({_SENTENCE}, '^\\s+|\\s+$', '', 'g')[1:300], '\\s+', ' ', 'g') ELSE regexp_replace(regexp_replace(text[greatest(h - 120, 0) + 1:h + 120], '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') END AS context FROM y WHERE p IS NOT NULL OR h IS NOT NULL",
+    "brand_visibility": f"WITH {_F}, {_MENTIONED}, k AS (SELECT brand, count(*) AS mentioned FROM y WHERE (p IS NOT NULL OR h IS NOT NULL) AND conv_id % 5 <> 0 GROUP BY brand), s AS (SELECT count(*) AS asked FROM a WHERE conv_id % 5 <> 0) SELECT names.brand, asked, coalesce(mentioned, 0) AS mentioned, round(coalesce(mentioned, 0) / asked, 3) AS rate FROM names LEFT JOIN k USING (brand), s",
+    "rank_items": f"WITH {_LISTED} SELECT conv_id, turn, array_to_string(items, '|') AS items FROM r",
+    "rank_of": f"WITH {_LISTED}, w AS (SELECT *, regexp_extract(lines[2], '([a-z]+)[^a-z]*$', 1) AS word FROM r WHERE len(lines) >= 2) SELECT conv_id, turn, CASE WHEN len(items) >= 3 THEN list_position(list_transform(items, lambda x: regexp_matches(x, '(?i)(^|{_EDGE})' || word || '($|{_EDGE})')), true) END AS rank FROM w WHERE word <> ''",
+    "competitors": f"WITH {_LISTED}, e AS (SELECT conv_id, turn, unnest(items) AS item, unnest(range(len(items))) AS pos FROM r), z AS (SELECT conv_id, conv_id * 1000000 + turn * 1000 + pos AS ord, regexp_extract(item, '^([^\\s,;:]+)', 1) AS name FROM e), q AS (SELECT arg_min(name, ord) AS name, count(*) AS times, count(DISTINCT conv_id) AS prompts FROM z WHERE name <> '' GROUP BY lower(name)) "
+    f"SELECT name, times, prompts, (SELECT CAST(greatest(count(*) - {R.COMPETITORS}, 0) AS BIGINT) FROM q) AS skipped FROM q ORDER BY times DESC, prompts DESC, name LIMIT {R.COMPETITORS}",
+    "recognition_rate": "WITH a AS (SELECT conv_id, conv_id % 9 <> 4 AS given, turn % 5 IN (3, 4) AS known FROM conversations WHERE role = 'assistant' AND text IS NOT NULL) SELECT conv_id, count(*) FILTER (given) AS measured, count(*) FILTER (given AND known) AS recognised, round(count(*) FILTER (given AND known) / nullif(count(*) FILTER (given), 0), 3) AS rate FROM a GROUP BY conv_id",
+}

@@ -24,12 +24,6 @@ CAPTURES = Fixture("c", "domain string, crawl string, url string, status string,
     ("a", "2024-1", "https://a/1", "200", "text/html", False), ("a", "2024-1", "https://a/2", "404", "text/html", False), ("a", "2024-2", "https://a/1", "200", "application/pdf", False), ("b", "2024-1", None, None, None, False), ("b", "2024-2", None, None, None, True), ("c", "2024-1", None, None, None, True), ("d", "2024-1", None, None, None, False),
 ])
 CHAIN = Fixture("a", "prompt string, position int, model string, answer string", [("p", 1, "m1", None), ("p", 2, "m2", "yes"), ("p", 3, "m3", "no"), ("q", 1, "m1", None)])
-RATES = Fixture("a", "brand string, prompt string, asked boolean, mentioned boolean, rank int", [("x", "p", True, True, 2), ("x", "q", True, False, None), ("x", "r", False, None, None), ("y", "p", False, None, None), ("z", "p", True, True, None), ("z", "q", True, True, 1)])
-NAMED = Fixture("n", "ord int, prompt string, name string", [(1, "p", "Notion"), (2, "p", "Jira"), (3, "q", "notion"), (4, "r", "NOTION"), (5, "q", "Asana")])
-ANSWERS = Fixture("a", "id int, name string, answer string", [
-    (1, "Jira", "**1. Notion** - best\n**2. Jira** - good\n**3. Asana** - fine"), (2, "Asana", "1. Notion\n2. Jira\n3) Asana"), (3, "Notion", "## Top picks:\n## Notion\n## Jira\n## Asana"), (4, "Jira", "- **Notion** for docs\n- **Jira** for work\n- **Asana** for tasks"), (5, "Notion", "Notion is good in prose."),
-    (6, "Jira", "| Tool | Use |\n|---|---|\n| Notion | docs |\n| Jira | work |\n| Asana | x |"), (7, "Reach", "1. Reached\n2. Reach\n3. Other"), (8, "Jira", "1. Notion\n2. Jira"), (9, "Jira", None), (10, "Jira", "**🥇 Notion** - best\n**🥈 Jira** - next\n**🥉 Asana** - last"),
-])
 JSONS = Fixture("j", "id int, raw string", [(1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Sure: {"a": 3} done'), (4, "[1, 2]"), (5, "none"), (6, "Here [1, 2] ok")])
 DIGESTS = Fixture("d", "id int, json string", [(1, '{"b": 1, "a": {"ttfb_ms": 5, "x": [1, 2]}}'), (2, '{"a": {"x": [1, 2], "ttfb_ms": 9}, "b": 1, "fetched_at": "now"}'), (3, '{"a": {"x": [2, 1]}, "b": 1}')])
 QUOTES = Fixture("q", "id int, source string, quote string", [(1, "It works, very well!", "it WORKS very well"), (2, "one two three", "two four"), (3, "a b c d e f g h i j k l m n", "a b c d e f g h i j k l zz yy"), (4, "x", "")])
@@ -37,7 +31,6 @@ LANGS = Fixture("l", "id int, lang string", [(1, "en"), (2, "en-US"), (3, "engli
 PAIRS = Fixture("p", "id int, title string, headline string", [(1, "Ten best tools for teams", "Best tools"), (2, "Cooking rice", "Rocket science basics"), (3, "Guide to green tea brewing", "Brewing green tea at home")])
 HEADS = Fixture("h", "page_id int, pos int, level int", [(1, 1, 1), (1, 2, 2), (1, 3, 4), (2, 1, 1), (2, 2, 2), (2, 3, 3), (2, 4, 2), (3, 1, 3)])
 GUARD = Fixture("g", "id int, url string", [(1, "https://a.example/x"), (2, "ftp://a.example"), (3, "http://127.0.0.1/"), (4, "http://a.example:8080/"), (5, "http://10.1.2.3/"), (6, "http://localhost/"), (7, "http://192.168.1.4:80/")])
-ALIASES = Fixture("b", "id int, site_name string, title string, host string", [(1, "Acme", "Home | Acme Inc", "www.acme.com"), (2, None, "Docs - Foo Bar", "foobar.io"), (3, "", "Plain", "x.dev")])
 
 
 def _over(fixture: Fixture, f):
@@ -75,13 +68,6 @@ def guard_static(d: DataFrame) -> DataFrame:
     return d.select("id", (F.col("url").rlike("^https?://") & port.isin("", "80", "443") & ~private).alias("allowed"))
 
 
-def brand_aliases(d: DataFrame) -> DataFrame:
-    tail = F.trim(F.try_element_at(F.split("title", r"\s[|\-–—]\s"), F.lit(-1)))
-    label = F.try_element_at(F.split(F.regexp_replace("host", r"^www\.", ""), r"\."), F.lit(1))
-    parts = F.array(F.nullif(F.col("site_name"), F.lit("")), F.when(F.col("title").rlike(r"\s[|\-–—]\s"), tail), label)
-    return d.select("id", F.array_join(F.array_distinct(F.transform(F.array_compact(parts), lambda x: F.lower(x))), "|").alias("aliases"))
-
-
 _X = lambda f, sql: f"WITH {f.cte()} {sql}"
 _INTENT = "CASE WHEN regexp_matches(phrase, '(?i)\\b(buy|price|pricing|cost|cheap|discount|coupon|deal|order|subscription|trial|quote|hire|book)\\b') THEN 'transactional' WHEN regexp_matches(phrase, '(?i)\\b(best|top|review|reviews|compare|comparison|vs|versus|alternative|alternatives)\\b') THEN 'commercial' WHEN regexp_matches(phrase, '(?i)\\b(login|log in|sign in|download|app|dashboard|portal|documentation|docs|support)\\b') THEN 'navigational' ELSE 'informational' END"
 
@@ -92,14 +78,11 @@ QUERIES = {
     "kw_cluster": _over(PHRASES, M.cluster), "kw_variations": kw_variations,
     "kw_merge": _over(SUGGESTIONS, lambda d: M.merge_suggestions(d, "crm").withColumn("sources", F.array_join("sources", ","))), "kw_failures": _over(SUGGESTIONS, M.engine_failures),
     "demand_index": _over(COMPONENTS, M.demand_index), "interest_series": _over(MONTHS, M.interest), "corpus_presence": _over(CAPTURES, M.corpus_presence), "model_chain": _over(CHAIN, M.model_chain),
-    "recognition_rate": _over(RATES, M.rates), "competitors": _over(NAMED, M.competitors),
-    "rank_items": _over(ANSWERS, lambda d: d.select("id", F.array_join(M.ranked_items(F.col("answer")), "|").alias("items"))),
-    "rank_of": _over(ANSWERS, lambda d: d.select("id", M.rank_of(M.ranked_items(F.col("answer")), F.col("name")).alias("rank"))),
     "json_tolerant": _over(JSONS, lambda d: d.select("id", M.json_tolerant(F.col("raw")).alias("json"))),
     "stable_digest": _over(DIGESTS, lambda d: M.stable_digest(d, "json").select("id", "digest")),
     "contains_norm": _over(QUOTES, lambda d: d.select("id", T.contains_norm(F.col("source"), F.col("quote")).alias("found"))),
     "lang_valid": _over(LANGS, lambda d: d.select("id", F.col("lang").rlike("^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$").alias("valid"))),
-    "schema_contradiction": _over(PAIRS, title_agreement), "heading_skips": _over(HEADS, heading_skips), "guard_static": _over(GUARD, guard_static), "brand_aliases": _over(ALIASES, brand_aliases),
+    "schema_contradiction": _over(PAIRS, title_agreement), "heading_skips": _over(HEADS, heading_skips), "guard_static": _over(GUARD, guard_static),
 }
 ORACLE_SQL = {
     "intent": _X(PHRASES, f"SELECT ord, {_INTENT} AS intent FROM phrases"), "intent_counts": _X(PHRASES, f"SELECT {_INTENT} AS intent, count(*) AS n FROM phrases GROUP BY 1"),
@@ -114,13 +97,9 @@ ORACLE_SQL = {
     "interest_series": expected("topic string, months long, average long, trend string", [("up", 5, 16, "rising"), ("flat", 5, 10, "steady"), ("few", 3, 10, None), ("down", 4, 20, "falling")]),
     "corpus_presence": expected("domain string, checked long, unreachable long, present long, captures long, status_2xx long, html long, urls long, verdict string", [("a", 2, 0, 2, 3, 2, 2, 2, "present"), ("b", 2, 1, 0, 0, 0, 0, 0, "partly known"), ("c", 1, 1, 0, 0, 0, 0, 0, "not measured"), ("d", 1, 0, 0, 0, 0, 0, 0, "absent")]),
     "model_chain": _X(CHAIN, "SELECT prompt, arg_min(model, position) AS model, arg_min(answer, position) AS answer FROM a WHERE answer IS NOT NULL GROUP BY prompt"),
-    "recognition_rate": _X(RATES, "SELECT brand, count(*) FILTER (asked) AS asked, count(*) FILTER (asked AND mentioned) AS mentioned, round(count(*) FILTER (asked AND mentioned) / nullif(count(*) FILTER (asked), 0), 3) AS rate, min(rank) AS best_rank FROM a GROUP BY brand"),
-    "competitors": _X(NAMED, "SELECT arg_min(name, ord) AS name, count(*) AS times, count(DISTINCT prompt) AS prompts FROM n GROUP BY lower(name)"),
-    "rank_items": expected("id int, items string", [(1, "Notion|Jira|Asana"), (2, "Notion|Jira|Asana"), (3, "Notion|Jira|Asana"), (4, "Notion|Jira|Asana"), (5, ""), (6, "Notion|Jira|Asana"), (7, "Reached|Reach|Other"), (8, "Notion|Jira"), (9, ""), (10, "Notion|Jira|Asana")]),
-    "rank_of": expected("id int, rank int", [(1, 2), (2, 3), (3, 1), (4, 2), (5, None), (6, 2), (7, 2), (8, None), (9, None), (10, 2)]),
     "json_tolerant": expected("id int, json string", [(1, '{"a":1}'), (2, '{"a":2}'), (3, '{"a":3}'), (4, "[1,2]"), (5, None), (6, "[1,2]")]),
     "stable_digest": "SELECT CAST(id AS INTEGER) AS id, 'sha256:' || sha256(j) AS digest FROM (VALUES (1, '{\"a\":{\"x\":[1,2]},\"b\":1}'), (2, '{\"a\":{\"x\":[1,2]},\"b\":1}'), (3, '{\"a\":{\"x\":[2,1]},\"b\":1}')) AS t(id, j)",
     "contains_norm": expected("id int, found boolean", [(1, True), (2, False), (3, True), (4, False)]), "lang_valid": expected("id int, valid boolean", [(1, True), (2, True), (3, False), (4, True), (5, False), (6, False), (7, False)]),
     "schema_contradiction": expected("id int, contradicts boolean", [(1, False), (2, True), (3, False)]), "heading_skips": _X(HEADS, "SELECT * FROM (SELECT page_id, lag(level) OVER (PARTITION BY page_id ORDER BY pos) AS from_level, level AS to_level FROM h) WHERE to_level > from_level + 1"),
-    "guard_static": expected("id int, allowed boolean", [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, False)]), "brand_aliases": expected("id int, aliases string", [(1, "acme|acme inc"), (2, "foo bar|foobar"), (3, "x")]),
+    "guard_static": expected("id int, allowed boolean", [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, False)]),
 }
