@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.functions.constants import CITATION_BOTS
 
-# Characters kept around a figure, in all, and figures taken at most.
-MARGIN, BUDGET, FIGURES = 220, 6000, 40
 #: Bodies up to this size are kept inline.
 INLINE = 256 << 10
 
@@ -42,40 +36,6 @@ def first_paragraph(facts: DataFrame) -> DataFrame:
     return facts.select("page_id", p.alias("lead"), T.word_count(p).alias("words"))
 
 
-def excerpt(text: str, margin: int = MARGIN, budget: int = BUDGET, most: int = FIGURES) -> tuple[str, bool]:
-    """The text around its figures, within a budget, and whether all figures are in it."""
-    places = [m.span() for m in re.finditer(T.STATISTIC, text)]
-    if not places:
-        return "", True
-    runs: list[list[int]] = []
-    for a, b in places[:most]:
-        a, b = max(0, a - margin), min(len(text), b + margin)
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(b, runs[-1][1])
-        else:
-            runs.append([a, b])
-    left, taken = budget, []
-    for a, b in runs:
-        if b - a > left:
-            break
-        taken.append(text[a:b])
-        left -= b - a
-    if not taken:
-        return text[runs[0][0] : runs[0][0] + budget], False
-    return "\n[…]\n".join(taken), len(taken) == len(runs) and len(places) <= most
-
-
-def figure_excerpts(df: DataFrame, margin: int = MARGIN, budget: int = BUDGET) -> DataFrame:
-    """df(id, text) -> (id, excerpt, covered)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [excerpt(t or "", margin, budget) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "excerpt": [a for a, _ in got], "covered": [b for _, b in got]})
-
-    return df.select("id", "text").mapInPandas(run, "id long, excerpt string, covered boolean")
-
-
 def artifacts(df: DataFrame, key: str, body: str) -> DataFrame:
     """Content-addressed bodies: digest, size in bytes, and the body itself if it is small; equal bodies are one."""
     raw = F.col(body).cast("binary")

@@ -19,7 +19,6 @@ _HTML = (
     '<body><img src="a.png" alt="x" width="1" height="2"><img data-src="b.png"><img srcset="c.png 1x, d.png 2x" alt=""></body></html>'
 )
 PAGES = Fixture("pages", "page_id long, url string, html string, headers map<string,string>", [(1, "https://a/en", _HTML, {"link": '<https://a/de>; rel="alternate"; hreflang="de", <https://a/z>; rel="next"'}), (2, "https://a/n", None, {})])
-TEXTS = Fixture("t", "id long, text string", [(1, "no figures here"), (2, "a" * 30 + " 43% " + "b" * 30), (3, "x 5% " + "y" * 60 + " $7 z"), (4, None)])
 SIGNALS = Fixture("s", "page_id long, key string, earned int", [(1, "ai_discovery_well_known", 2), (1, "ai_discovery_summary", 2), (1, "ai_discovery_faq", 1), (1, "llms_depth", 2), (1, "schema_richness", 3), (2, "ai_discovery_summary", 1), (3, "meta_title", 5), (4, "ai_discovery_well_known", 2), (4, "ai_discovery_summary", 2), (4, "ai_discovery_faq", 1)])
 RUNS = Fixture("r", "service string, ok boolean, settled boolean, price double", [("a", True, True, 0.01), ("b", False, True, 0.005), ("c", True, False, 0.1)])
 ENVELOPES = Fixture("e", "tool string, url string, score int", [("geo.score", "https://a/", 42)])
@@ -77,7 +76,7 @@ def links_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (first_paragraph, artifacts, score_invariants, robots_findings, robots_points, sitemap_findings, graph_findings, links_inbound)}
 QUERIES |= {
     "images_extract": lambda spark, sf_dir: V.images(_facts(spark)), "hreflang_extract": lambda spark, sf_dir: V.hreflangs(_facts(spark)), "hreflang_dups": lambda spark, sf_dir: V.duplicate_langs(V.hreflangs(_facts(spark))),
-    "figure_excerpt": _over(TEXTS, lambda d: V.figure_excerpts(d, margin=3)), "readiness_level": _over(SIGNALS, G.readiness_level), "evidence_runs": _over(RUNS, V.evidence), "envelope_json": _over(ENVELOPES, V.envelope),
+    "readiness_level": _over(SIGNALS, G.readiness_level), "evidence_runs": _over(RUNS, V.evidence), "envelope_json": _over(ENVELOPES, V.envelope),
     "figures_table": _over(FIGURES, V.figures_table), "ai_prompts": _over(QUESTIONS, V.questions_without_brand),
 }
 ORACLE_SQL = {
@@ -91,7 +90,6 @@ ORACLE_SQL = {
     "images_extract": expected("page_id long, pos int, src string, alt string, has_size boolean", [(1, 0, "a.png", "x", True), (1, 1, "b.png", None, False), (1, 2, "c.png", "", False)]),
     "hreflang_extract": expected("page_id long, lang string, href string, source string", [(1, "en", "https://a/en", "html"), (1, "EN", "https://a/x", "html"), (1, "fr", "https://a/fr", "html"), (1, "de", "https://a/de", "header")]),
     "hreflang_dups": expected("page_id long, lang string, n long", [(1, "en", 2)]),
-    "figure_excerpt": expected("id long, excerpt string, covered boolean", [(1, "", True), (2, "aa 43% bb", True), (3, "x 5% yy\n[…]\nyy $7 z", True), (4, "", True)]),
     "readiness_level": expected("page_id long, level string", [(1, "advanced"), (2, "basic"), (3, "none"), (4, "ready")]),
     "evidence_runs": expected("runs long, passed long, settled long, price double", [(3, 2, 2, 0.115)]),
     "envelope_json": "SELECT 'https://a/' AS url, '{\"tool\":{\"name\":\"geo.score\",\"version\":\"1\"},\"output_hash\":\"sha256:' || sha256('{\"score\":42,\"url\":\"https://a/\"}') || '\",\"result\":{\"score\":42,\"url\":\"https://a/\"}}' AS envelope",

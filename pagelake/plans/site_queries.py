@@ -155,10 +155,6 @@ def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.robots_verdict(S.robots_rules(ROBOTS.df(spark)), ASKED.df(spark))
 
 
-def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sitemap_entries(SITEMAPS.df(spark))
-
-
 def sitemap_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sitemap_diff(S.sitemap_entries(SITEMAPS.df(spark).where("site = 's'")), CRAWL.df(spark))
 
@@ -179,14 +175,6 @@ CAPTURED = Fixture("captured", "page_id long, status int, ok boolean, media_type
     (1, 403, False, "text/html", "<html></html>", {"cf-mitigated": "challenge"}), (2, 200, True, "text/html", "<title>Just a moment...</title>", {}), (3, 404, False, "text/html", "gone", {}), (4, 200, True, "application/pdf", "", {}), (5, 0, False, None, None, {}), (6, 200, True, "text/html", "<p>fine</p>", {}), (7, 403, False, "text/html", "<div class=h-captcha>hcaptcha</div>", {}),
 ])
 HEADERS = Fixture("headers", "id long, header string", [(1, "text/html; charset=UTF-8"), (2, "Application/PDF"), (3, None), (4, "text/html;charset='latin-1'; x=y")])
-BYTES = Fixture("raw", "id long, hex string, charset string", [(1, "636166C3A9", "utf-8"), (2, "636166E9", "iso-8859-1"), (3, "FEFF0041", "utf-16")])
-
-
-def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A body by its charset: byte order mark first, else the named one."""
-    raw = F.unhex("hex")
-    text = F.when(F.col("hex").startswith("FEFF"), F.decode(raw, "UTF-16")).when(F.col("charset") == "iso-8859-1", F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "UTF-8"))
-    return BYTES.df(spark).select("id", text.alias("text"))
 
 
 def _over(fixture: Fixture, f):
@@ -196,7 +184,7 @@ def _over(fixture: Fixture, f):
     return run
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, crawl_budget, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_parse, sitemap_diff, decode_bytes)}
+QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, crawl_budget, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_diff)}
 QUERIES |= {
     "canonical_conflicts": _crawl(lambda p, e: S.canonical_conflicts(p)), "hreflang_broken": _crawl(lambda p, e: S.hreflang_broken(p)), "hreflang_return": _crawl(lambda p, e: S.hreflang_return(p)),
     "follow_signals": _crawl(S.follow_signals), "broken_links": _crawl(lambda p, e: S.broken_links(p, e).withColumn("linked_from", F.array_join("linked_from", ","))), "redirect_chains": _crawl(lambda p, e: S.redirect_problems(p)),
@@ -258,9 +246,7 @@ ORACLE_SQL = {
     "robots_verdict": expected("site string, agent string, path string, allowed boolean", [
         ("s", "Other", "/private/x", False), ("s", "Other", "/private/open", True), ("s", "GPTBot", "/x", False), ("s", "GPTBot", "/x.html", True), ("s", "CCBot", "/x.htmlx", False), ("s", "Other", "/", True), ("t", "GPTBot", "/a", True), ("u", "X", "/a", True), ("none", "X", "/a", True),
     ]),
-    "sitemap_parse": expected("site string, kind string, loc string", [("s", "urlset", f"{_H}/a"), ("s", "urlset", f"{_H}/gone"), ("s", "urlset", f"{_H}/a?x=1&y=2"), ("t", "index", "https://t/1.xml"), ("u", "text", "https://u/1"), ("u", "text", "https://u/2"), ("v", "unknown", None)]),
     "sitemap_diff": f"{_W}, m AS (SELECT * FROM (VALUES ('{_H}/a'), ('{_H}/gone'), ('{_H}/a?x=1&y=2')) AS t(loc)) SELECT * FROM (SELECT coalesce(loc, url) AS url, CASE WHEN url IS NULL THEN 'not_crawled' WHEN loc IS NULL THEN CASE WHEN {_FINE} THEN 'not_listed' END WHEN status >= 400 THEN 'broken' WHEN NOT {_FINE} THEN 'noindex' ELSE 'ok' END AS verdict FROM m FULL JOIN crawl ON loc = url) WHERE verdict IS NOT NULL",
-    "decode_bytes": expected("id long, text string", [(1, "café"), (2, "café"), (3, "A")]),
     "crawler_probe": f"WITH {PROBES.cte()} SELECT p.url, p.agent, CASE WHEN b.status >= 500 OR b.status IN (401, 403, 429) OR b.challenged OR b.status IS NULL THEN 'baseline_unavailable' WHEN p.status IS NULL THEN 'untested' WHEN p.status >= 500 OR p.status IN (401, 403, 429) OR p.challenged THEN 'blocked' WHEN b.words >= 50 AND p.words < b.words / 2 THEN 'degraded' ELSE 'allowed' END AS verdict FROM probes p LEFT JOIN probes b ON p.url = b.url AND b.agent = 'browser' WHERE p.agent <> 'browser'",
     "link_status": f"WITH {LINK_PROBES.cte()} SELECT url, CASE WHEN error IS NOT NULL THEN 'blocked' WHEN status >= 400 OR status = 0 THEN 'broken' WHEN status BETWEEN 300 AND 399 OR final_url <> url THEN 'redirecting' ELSE 'ok' END AS class FROM probes",
     "image_weights": f"WITH {IMAGES.cte()} SELECT CASE WHEN status >= 400 OR status = 0 THEN 'image.broken' ELSE 'image.too_large' END AS code, count(*) AS n FROM probes WHERE bytes > 500000 OR status >= 400 OR status = 0 GROUP BY 1",

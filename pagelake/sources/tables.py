@@ -46,11 +46,6 @@ def captured_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """(url, body) of captured sitemaps, a row a file; files that end in .gz are unpacked."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"))
-
-
 def index_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Capture-index lines as JSON; malformed lines are dropped."""
     return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path)

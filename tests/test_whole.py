@@ -76,13 +76,15 @@ def test_pages_are_chunked(spark, tmp_path):
 def test_sitemap_index_is_followed(spark, tmp_path):
     import gzip
 
+    from pyspark.sql import functions as F
+
     from pagelake.operators import site as S
-    from pagelake.sources.tables import sitemap_files
+    from pagelake.sources.sitemaps import decoded, sitemap_files
 
     (tmp_path / "a.xml").write_text("<urlset><url><loc>https://s.test/1</loc></url></urlset>")
     with gzip.open(tmp_path / "b.xml.gz", "wt") as f:
         f.write("<urlset><url><loc>https://s.test/2</loc></url><url><loc>https://s.test/3</loc></url></urlset>")
-    files = sitemap_files(spark, str(tmp_path)).selectExpr("'s' AS site", "concat('https://s.test/', element_at(split(url, '/'), -1)) AS url", "body")
+    files = sitemap_files(spark, str(tmp_path)).selectExpr("'s' AS site", "concat('https://s.test/', element_at(split(url, '/'), -1)) AS url", "content").withColumn("body", decoded(F.col("content"))).drop("content")
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.test/{n}</loc></sitemap>" for n in ("a.xml", "b.xml.gz", "c.xml")) + "</sitemapindex>"
     top = spark.createDataFrame([("s", "https://s.test/sitemap.xml", index), ("t", "https://t.test/s", "https://t.test/1")], "site string, url string, body string")
     got = S.follow_index(S.sitemap_entries(top), files.unionAll(top.select("site", "url", "body"))).collect()
