@@ -135,7 +135,7 @@ _MARGIN, _BUDGET = 60, 900
 def figure_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts around the figures of all documents; every other one states a figure after each sentence, some one at each word."""
     n = F.col("doc_id") % 4
-    text = F.when(n == 0, F.replace("text", F.lit(". "), F.lit(". 43% of "))).when(n == 2, F.replace("text", F.lit(" "), F.lit(" $5 "))).otherwise(F.col("text"))
+    text = F.when(n == 0, F.replace("text", F.lit(". "), F.lit(". 43% of "))).when(n == 2, F.replace("text", F.lit(" "), F.lit(" $5, "))).otherwise(F.col("text"))
     d = _t(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return d.select("doc_id", X.figure_excerpt(F.col("text"), _MARGIN, _BUDGET).alias("x")).select("doc_id", "x.*")
 
@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "minor_units": "SELECT o_orderkey, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 1000000) AS BIGINT) AS minor FROM orders",
 }
 ORACLE_SQL["figure_excerpt"] = f"""
-WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, '. ', '. 43% of ') WHEN 2 THEN replace(text, ' ', ' $5 ') ELSE coalesce(text, '') END AS text FROM documents),
+WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, '. ', '. 43% of ') WHEN 2 THEN replace(text, ' ', ' $5, ') ELSE coalesce(text, '') END AS text FROM documents),
 m AS (SELECT *, regexp_extract_all(text, {_STAT}, 0) AS whole, {_found('text')} AS own, string_split_regex(text, {_STAT}) AS gaps FROM d),
 k AS (SELECT *, len(own) AS n, unnest(range(1, least(len(own), {X.FIGURES}) + 1)) AS i FROM m),
 p AS (SELECT doc_id, text, n, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) + length(whole[i]) - length(own[i]) AS lo, length(own[i]) AS w FROM k),
@@ -209,5 +209,5 @@ g AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY i ROW
 h AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
 r AS (SELECT doc_id, run, any_value(text) AS text, any_value(n) AS n, min(lo) AS lo, max(hi) AS hi FROM h GROUP BY doc_id, run),
 b AS (SELECT *, sum(hi - lo) OVER (PARTITION BY doc_id ORDER BY run) AS spent FROM r),
-e AS (SELECT doc_id, string_agg(substr(text, lo + 1, hi - lo), '{X.GAP}' ORDER BY run) FILTER (spent <= {_BUDGET}) AS excerpt, substr(arg_min(text, run), min(lo) + 1, {_BUDGET}) AS first, count(*) FILTER (spent <= {_BUDGET}) = count(*) AND any_value(n) <= {X.FIGURES} AS covered FROM b GROUP BY doc_id)
+e AS (SELECT doc_id, string_agg(substr(text, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)), '{X.GAP}' ORDER BY run) FILTER (spent <= {_BUDGET}) AS excerpt, substr(arg_min(text, run), CAST(min(lo) + 1 AS BIGINT), {_BUDGET}) AS first, count(*) FILTER (spent <= {_BUDGET}) = count(*) AND any_value(n) <= {X.FIGURES} AS covered FROM b GROUP BY doc_id)
 SELECT d.doc_id, coalesce(excerpt, first, '') AS excerpt, coalesce(covered, true) AS covered FROM d LEFT JOIN e USING (doc_id)"""
