@@ -45,16 +45,6 @@ def artifacts(df: DataFrame, key: str, body: str) -> DataFrame:
     return g.select("digest", "first", "uses", size.cast("long").alias("size"), F.when(size <= INLINE, F.replace(F.base64("raw"), F.lit("\r\n"), F.lit(""))).alias("inline"))
 
 
-def write_artifacts(df: DataFrame, path: str) -> None:
-    """Artifacts as Parquet, partitioned by the digest's first byte."""
-    df.withColumn("prefix", F.substring("digest", 1, 2)).write.partitionBy("prefix").mode("append").parquet(path)
-
-
-def live(df: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """Rows whose created_at is not older than the time to live."""
-    return df.where(F.unix_timestamp(now) - F.unix_timestamp("created_at") <= ttl_seconds)
-
-
 def envelope(df: DataFrame) -> DataFrame:
     """df(tool, url, score) -> one JSON envelope a row, with the digest of its result."""
     result = F.to_json(F.struct(F.col("score"), F.col("url")))

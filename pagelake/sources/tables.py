@@ -32,6 +32,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return goes_with_driver(spark, f"{shared_folder(spark)}/pagelake-{name}-{uuid.uuid4().hex}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df, which keeps its partitioning; the files go with the driver."""
     spark = df.sparkSession
