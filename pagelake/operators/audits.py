@@ -66,34 +66,6 @@ def schema_rules(nodes: DataFrame) -> DataFrame:
     return j.select("page_id", "type", F.array_join(F.array_except("need", "props"), ",").alias("missing"), F.array_join(F.array_except("want", "props"), ",").alias("lacking"))
 
 
-def jsonld_nodes(blocks: DataFrame) -> DataFrame:
-    """blocks(page_id, block, json) -> (page_id, block, type): every typed node at any depth of the blocks that parse."""
-    import json
-
-    def types(x: object) -> list[str]:
-        if isinstance(x, list):
-            return [t for v in x for t in types(v)]
-        if not isinstance(x, dict):
-            return []
-        own = x.get("@type")
-        own = [own] if isinstance(own, str) else [t for t in own or [] if isinstance(t, str)]
-        return own + [t for k, v in x.items() if k != "@type" for t in types(v)]
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for p, b, raw in zip(pdf["page_id"], pdf["block"], pdf["json"], strict=True):
-                try:
-                    out += [(p, b, t) for t in types(json.loads(raw))]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(out, columns=["page_id", "block", "type"])
-
-    return blocks.mapInPandas(run, "page_id long, block int, type string")
-
-
 def crawler_probe(probes: DataFrame) -> DataFrame:
     """probes(url, agent, status, words, challenged), agent 'browser' is the baseline -> (url, agent, verdict)."""
     base = probes.where("agent = 'browser'").select("url", F.col("status").alias("b_status"), F.col("words").alias("b_words"), F.col("challenged").alias("b_challenged"))

@@ -166,11 +166,7 @@ LINK_PROBES = Fixture("probes", "url string, status int, final_url string, error
 IMAGES = Fixture("probes", "url string, status int, bytes long", [("a", 200, 500000), ("b", 200, 500001), ("c", 404, 10), ("d", 200, 900000)])
 LLMS = Fixture("files", "site string, body string", [("a", "# Name\n> about"), ("b", "no heading"), ("c", None), ("d", "  ")])
 NODES = Fixture("nodes", "page_id long, type string, props array<string>", [(1, "Product", ["name", "image"]), (2, "Article", ["author"]), (3, "Person", ["name", "url", "sameAs", "jobTitle"]), (4, "Unknown", ["x"])])
-BLOCKS = Fixture("blocks", "page_id long, block int, json string", [(1, 0, '{"@graph": [{"@type": "Product"}, {"@type": ["Article", "NewsArticle"], "author": {"@type": "Person"}}]}'), (1, 1, '{"@type": "Thing",}'), (2, 0, '[{"@type": "FAQPage"}]')])
 REMEDY = Fixture("found", "code string, severity string", [("site.orphan_pages", "high"), ("graph.unlinked", "low"), ("schema.missing", "low"), ("robots.disallowed", "critical"), ("title.short", "info"), ("unknown.code", "high")])
-CHUNKS = Fixture("pages", "page_id long, html string", [
-    (1, "<body><nav><p>Skip this menu</p></nav><h1>One</h1><p>First text here.</p><p>Second <b>bold</b> text.</p><h2>Two</h2><li>An item of it</li></body>"), (2, "<body>Plain words without any blocks\n\nSecond part with four words</body>"), (3, "<body><nav><p>only menu</p></nav></body>"), (4, None),
-])
 CAPTURED = Fixture("captured", "page_id long, status int, ok boolean, media_type string, html string, headers map<string,string>", [
     (1, 403, False, "text/html", "<html></html>", {"cf-mitigated": "challenge"}), (2, 200, True, "text/html", "<title>Just a moment...</title>", {}), (3, 404, False, "text/html", "gone", {}), (4, 200, True, "application/pdf", "", {}), (5, 0, False, None, None, {}), (6, 200, True, "text/html", "<p>fine</p>", {}), (7, 403, False, "text/html", "<div class=h-captcha>hcaptcha</div>", {}),
 ])
@@ -191,7 +187,7 @@ QUERIES |= {
     "crawl_summary": _crawl(lambda p, e: S.crawl_summary(p)), "crosspage_findings": _crawl(lambda p, e: S.crosspage_findings(p, e, _H + "/")),
     "dup_groups": _crawl(lambda p, e: S.duplicate_groups(p, "body_hash").withColumn("sample", F.array_join("sample", ","))),
     "crawler_probe": _over(PROBES, A.crawler_probe), "link_status": _over(LINK_PROBES, A.link_status), "image_weights": _over(IMAGES, A.image_weights), "llms_check": _over(LLMS, A.llms_findings),
-    "schema_rules": _over(NODES, A.schema_rules), "jsonld_nodes": _over(BLOCKS, A.jsonld_nodes), "remedy_phases": _over(REMEDY, A.remedy_phases), "page_chunks": _over(CHUNKS, K.page_chunks),
+    "schema_rules": _over(NODES, A.schema_rules), "remedy_phases": _over(REMEDY, A.remedy_phases),
     "auditable": _over(CAPTURED, A.auditable), "challenge": _over(CAPTURED, A.challenge), "content_type": _over(HEADERS, lambda d: d.select("id", A.content_type(F.col("header")).alias("c")).select("id", "c.*")),
     "badge": _over(HEADERS, lambda d: d.where("id = 2").select(A.badge(F.lit("score"), F.lit("87")).alias("svg"))),
 }
@@ -252,11 +248,7 @@ ORACLE_SQL = {
     "image_weights": f"WITH {IMAGES.cte()} SELECT CASE WHEN status >= 400 OR status = 0 THEN 'image.broken' ELSE 'image.too_large' END AS code, count(*) AS n FROM probes WHERE bytes > 500000 OR status >= 400 OR status = 0 GROUP BY 1",
     "llms_check": expected("site string, code string", [("a", "llms.present"), ("b", "llms.malformed"), ("c", "llms.missing"), ("d", "llms.missing")]),
     "schema_rules": expected("page_id long, type string, missing string, lacking string", [(1, "Product", "", "description,offers,aggregateRating,brand"), (2, "Article", "headline", "datePublished,image,dateModified"), (3, "Person", "", "")]),
-    "jsonld_nodes": expected("page_id long, block int, type string", [(1, 0, "Product"), (1, 0, "Article"), (1, 0, "NewsArticle"), (1, 0, "Person"), (2, 0, "FAQPage")]),
     "remedy_phases": expected("phase int, remedy string, codes string, severity string, cost double", [(1, "crawler access", "robots.disallowed", "critical", 0.015), (2, "structure", "graph.unlinked,site.orphan_pages", "high", 0.22), (3, "structured data", "schema.missing", "low", 0.055), (4, "metadata", "title.short", "info", 0.11)]),
-    "page_chunks": expected("page_id long, ord int, heading string, text string, start int, stop int, source string", [
-        (1, 0, "One", "First text here. Second bold text.", 0, 34, "block"), (1, 1, "Two", "An item of it", 35, 48, "block"), (2, 0, "", "Plain words without any blocks", 0, 30, "text"), (2, 1, "", "Second part with four words", 31, 58, "text"),
-    ]),
     "auditable": expected("page_id long, reason string", [(1, "challenged"), (2, "challenged"), (3, "error status"), (4, "not html"), (5, "not fetched"), (6, None), (7, "challenged")]),
     "challenge": expected("page_id long, vendor string, evidence string, captcha boolean", [(1, "Cloudflare", "cf-mitigated", False), (2, "Cloudflare", "<title>Just a moment", False), *((i, None, None, None) for i in (3, 4, 5, 6)), (7, "an anti-bot service", "captcha", True)]),
     "content_type": expected("id long, media string, charset string", [(1, "text/html", "utf-8"), (2, "application/pdf", None), (3, "", None), (4, "text/html", "latin-1")]),
