@@ -86,7 +86,7 @@ def headings() -> Column:
     levels = F.transform("headings", lambda h: h["level"])
     top = F.filter("headings", lambda h: h["level"] == 1)
     told = F.exists(top, lambda h: h["text"] != "")
-    skips = F.exists(F.arrays_zip(levels.alias("a"), F.slice(levels, 2, 100000).alias("b")), lambda x: F.coalesce(x["b"] > x["a"] + 1, F.lit(False)))
+    skips = F.exists(F.arrays_zip(levels.alias("a"), F.slice(levels, F.lit(2), F.size(levels)).alias("b")), lambda x: F.coalesce(x["b"] > x["a"] + 1, F.lit(False)))
     return _list(_f(~told, "h1.missing", "high"), _f(told & (F.size(top) > 1), "h1.multiple", "low"), _f(skips, "headings.order", "low"))
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,8 +48,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def captured_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def index_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Capture-index lines as JSON; malformed lines are dropped."""
-    return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path)
