@@ -27,7 +27,7 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SKIP = {"nav", "footer", "aside", "head", "button", "select", "svg", "canvas", "object", "audio", "video", "math", "dialog", "menu", "input", "label", "fieldset"} | _RAW
+_SKIP = {"nav", "footer", "aside", "head", "button", "select", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "input", "fieldset"} | _RAW
 _SKIP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 #: Words of class and id that mark boilerplate, matched as whole words of the attribute.
 _BAD = re.compile(
@@ -39,6 +39,10 @@ _BAD = re.compile(
 )
 #: Names that a part of the text may have too: it stays inside an article if it reads like prose.
 _EITHER = {"side", "discussion", "legal", "overlay", "skip"}
+#: Names of lists of links and of small print, which a section of the text may have too: it stays inside an article if it is prose, and some of it.
+_PROSE = re.compile(r"(?:related|recommend\w*|tags?|alerts?|toc|disclaimer|share|sharing|widgets?)", re.I)
+#: Characters outside links that such sections need, and the share of their text.
+_EITHER_CHARS, _PROSE_CHARS, _PLAIN = 25, 80, 0.75
 #: A name that says how a wrapper is laid out, not what it holds.
 _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|page|post|story|text|hentry|blog)(?=$|[\s_-])", re.I)
@@ -56,8 +60,8 @@ class _Node:
 
 
 def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int, int]:
-    """Whether the element is boilerplate, the weight its names give it, and whether it may be boilerplate (2: by its kind or name; 1: by a name of _EITHER)."""
-    doubt = 2 if tag == "form" else 0
+    """Whether the element is boilerplate, the weight its names give it, and whether it may be boilerplate (3: by its kind or name; 1, 2: by names of _EITHER, of _PROSE too)."""
+    doubt = 3 if tag == "form" else 0
     bad = tag in _SKIP or (tag == "header" and not article)
     if not attrs or attrs.isspace() or tag in ("html", "body"):
         return bad, 0, doubt
@@ -72,7 +76,7 @@ def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, int, int]:
             bad = True
     if named and tag not in ("article", "main") and tag not in _HEADINGS:
         marks = {m[0].strip(" \t\r\n\f_-").lower() for m in _BAD.finditer(_LAYOUT.sub(" ", named))}
-        doubt = max(doubt, 0 if not marks else 1 if marks <= _EITHER else 2)
+        doubt = max([doubt, *(1 if x in _EITHER else 2 if _PROSE.fullmatch(x) else 3 for x in marks)])
     if named and _GOOD.search(named):
         good = 25
     return bad, good, doubt
@@ -242,7 +246,7 @@ def _settle(root: _Node) -> None:
             x, inside = stack.pop()
             if x.bad:
                 continue
-            if x.doubt == 1 and inside and plain[id(x)] >= max(25, 0.75 * size[id(x)]):
+            if x.doubt in (1, 2) and inside and plain[id(x)] >= max(_EITHER_CHARS if x.doubt == 1 else _PROSE_CHARS, _PLAIN * size[id(x)]):
                 x.doubt = 0
             if x.doubt:
                 outer.append(x)
