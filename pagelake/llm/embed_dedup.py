@@ -77,20 +77,24 @@ def collisions_asked(x: np.ndarray, threshold: float, enough: float = ENOUGH) ->
 def plan_tables(x: np.ndarray, n: int, threshold: float, cell_rows: int = CELL_ROWS, together: float = TOGETHER) -> list[tuple[np.ndarray, np.ndarray]]:
     """(directions, medians) of each table for n vectors of which x is a sample of unit vectors.
 
-    Tables are added until the share `together` of the sample's pairs at the threshold shares a cell of one.
+    Tables are added until the share `together` of the sample's pairs at the threshold shares a cell of one. Where
+    TABLES do not reach it, the cells are made larger by leaving out a cut, down to one cell for all: the share holds at any n.
     """
     dim = x.shape[1]
     cuts = min(max(math.ceil(math.log2(max(n / cell_rows, 1))), 0), CUTS)
-    if not cuts or dim == 1:
-        return [(np.empty((dim, 0)), np.empty(0))]
-    y, met, tables = partners(x, threshold), np.zeros(len(x), bool), []
-    while len(tables) < TABLES and met.mean() < together:
-        a = directions(dim, cuts, _SEED + 100 + len(tables))
-        p = x @ a
-        at = np.median(p, axis=0)
-        met |= ((p >= at) == (y @ a >= at)).all(axis=1)
-        tables.append((a, at))
-    return tables
+    y = partners(x, threshold)
+    while cuts and dim > 1:
+        met, tables = np.zeros(len(x), bool), []
+        while len(tables) < TABLES and met.mean() < together:
+            a = directions(dim, cuts, _SEED + 100 + len(tables))
+            p = x @ a
+            at = np.median(p, axis=0)
+            met |= ((p >= at) == (y @ a >= at)).all(axis=1)
+            tables.append((a, at))
+        if met.mean() >= together:
+            return tables
+        cuts -= 1  # so many tables do not do with cells as small as these
+    return [(np.empty((dim, 0)), np.empty(0))]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
