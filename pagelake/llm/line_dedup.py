@@ -1,6 +1,6 @@
 """Removal of boilerplate lines that many distinct sites share.
 
-Per line hash a HyperLogLog sketch of the sites that carry the line is built with partial
+Per line, told apart by 128 bits, a HyperLogLog sketch of the sites that carry the line is built with partial
 aggregation and merged. Where the estimate is clearly under or over the threshold it decides; lines
 near the threshold get an exact distinct count. DataFrame functions only.
 """
@@ -17,29 +17,30 @@ MARGIN = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
 def line_hashes(text: Column) -> Column:
-    """Hashes of the trimmed lines of a text, in order; null for a blank line."""
+    """The trimmed lines of a text, in order, as 128 bits: two hashes of different seeds; null for a blank line."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
-    return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x)))
+    return F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))))
 
 
 def _lines(docs: DataFrame, *cols: Column) -> DataFrame:
-    return docs.select(*cols, F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h")).where(F.col("h").isNotNull())
+    """A row a line; a line that a document repeats is there as often, which neither sketches nor distinct counts mind."""
+    return docs.select(*cols, F.explode(line_hashes(F.col("text"))).alias("x")).where(F.col("x").isNotNull()).select("*", "x.h", "x.g").drop("x")
 
 
 def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """(h): hashes of the lines on at least `min_sites` distinct non-null sites."""
+    """(h, g): hashes of the lines on at least `min_sites` distinct non-null sites."""
     lines = _lines(docs.where(F.col(site).isNotNull()), F.col(site).alias("site"))
     spread = (
-        lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-        .select("h", F.hll_sketch_estimate("sketch").alias("sites"))
+        lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+        .select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"))
         .where(F.col("sites") >= min_sites * (1 - MARGIN) - 1)
     )
     near = F.col("sites") <= min_sites * (1 + MARGIN) + 1
     exact = (
-        lines.join(spread.where(near).select("h"), "h", "left_semi")
-        .groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+        lines.join(spread.where(near).select("h", "g"), ["h", "g"], "left_semi")
+        .groupBy("h", "g").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     )
-    return spread.where(~near).select("h").unionAll(exact.select("h"))
+    return spread.where(~near).select("h", "g").unionAll(exact.select("h", "g"))
 
 
 def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -51,10 +52,10 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) ->
     bad = boilerplate_lines(docs, site, min_sites)
     # only the few lines found are gathered: a document's list is as long as its own lines at most
     marks = (
-        _lines(docs, F.col("doc_id").alias("mark_id")).join(bad, "h").groupBy("mark_id").agg(F.collect_set("h").alias("gone"))
+        _lines(docs, F.col("doc_id").alias("mark_id")).join(bad, ["h", "g"]).groupBy("mark_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
     )
     df = docs.select("doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
-    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+    gone = F.coalesce("gone", F.array().cast("array<struct<h:bigint,g:bigint>>"))
     df = df.withColumn("hashes", line_hashes(F.col("text")))
     removed = F.transform("hashes", lambda h: F.coalesce(F.array_contains(gone, h), F.lit(False)))
     df = df.withColumn("removed", F.when(F.size(gone) > 0, removed))
