@@ -426,15 +426,15 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, class_id, group_id): group_id names a component whatever its rows' ids."""
     spark = docs.sparkSession
-    frequent, counts = frequent_tokens(docs)
+    frequent, _ = frequent_tokens(docs)
     whole = scratch(_index(docs, frequent, threshold), "index")
     index, reps, clashes = find_classes(whole, "n > 0")
     sigs = scratch(index.where(F.col("sig").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     entries = index.where(F.col("prefix").isNotNull()).select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    hot = [(int(t), int(-(-c // LIST_ROWS))) for t, c in zip(frequent.view(np.int64), counts, strict=True) if c > LIST_ROWS]
-    if hot:
-        salts = spark.createDataFrame(hot, "hot long, salts long")  # part of the frequent tokens
-        entries = entries.join(F.broadcast(salts), F.col("token") == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod("cls", "salts") + 1, F.lit(0)))
+    long = scratch(entries.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).select(F.col("token").alias("hot"), F.ceil(F.col("n") / LIST_ROWS).alias("salts")), "long-lists")
+    if many := long.count():
+        salts = F.broadcast(long) if many <= FREQUENT else long
+        entries = entries.join(salts, F.col("token") == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod("cls", "salts") + 1, F.lit(0)))
     else:
         entries = entries.withColumn("salt", F.lit(0).cast("long"))
     entries = entries.select("token", "salt", "cls", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
