@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.functions import text as T
+from pagelake.functions import urls as U
 from pagelake.sources.tables import cut
 
 MAX_DEPTH = 4
@@ -59,20 +61,20 @@ def hreflang_targets(pages: DataFrame) -> DataFrame:
 def hreflang_broken(pages: DataFrame) -> DataFrame:
     t = pages.select(F.col("url").alias("dst"), "status", indexable(pages).alias("fine"))
     j = hreflang_targets(pages).join(t, "dst")
-    return j.select("src", "dst", F.when(F.col("status") >= 400, "error").when(~F.col("fine"), "nonindexable").alias("problem")).where("problem IS NOT NULL")
+    return j.select("src", "dst", F.when((F.col("status") >= 400) | (F.col("status") == 0), "error").when(~F.col("fine"), "nonindexable").alias("problem")).where("problem IS NOT NULL")
 
 
 def hreflang_return(pages: DataFrame) -> DataFrame:
-    """Alternates that were crawled and do not link back."""
+    """Alternates that were fetched well and do not link back."""
     h = hreflang_targets(pages).select("src", "dst").distinct()
-    known = h.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")
+    known = h.join(pages.where("ok").select(F.col("url").alias("dst")), "dst", "left_semi")
     back = h.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return known.join(back, ["src", "dst"], "left_anti").select("src", "dst")
 
 
 def follow_signals(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """(dst, signal): indexable targets of nofollow links only, or of both kinds."""
-    good = pages.where(indexable(pages)).select(F.col("url").alias("dst"))
+    good = pages.where(F.col("ok") & ~F.contains(F.lower(F.coalesce("robots", F.lit(""))), F.lit("noindex"))).select(F.col("url").alias("dst"))
     g = edges.groupBy("dst").agg(F.bool_and("nofollow").alias("only"), F.bool_or("nofollow").alias("some"))
     only = g.where("only").join(good, "dst", "left_semi").select("dst", F.lit("nofollow_only").alias("signal"))
     return only.unionAll(g.where("some AND NOT only").select("dst", F.lit("mixed").alias("signal")))
@@ -80,6 +82,7 @@ def follow_signals(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def broken_links(pages: DataFrame, edges: DataFrame) -> DataFrame:
     bad = pages.where(F.col("status") >= 400).select("url", "status")
+    edges = edges.where("inbound") if "inbound" in edges.columns else edges
     to = edges.select(F.col("dst").alias("url"), "src").join(bad.select("url"), "url", "left_semi")
     froms = _first(to, "url", "src", LINKERS, "linked_from")
     return bad.join(froms, "url", "left").select("url", "status", F.coalesce("linked_from", F.array().cast("array<string>")).alias("linked_from"))
@@ -96,24 +99,84 @@ def crawl_summary(pages: DataFrame) -> DataFrame:
     )
 
 
+def crawl_pages(facts: DataFrame) -> DataFrame:
+    """Facts of captured pages with a depth -> the rows of a crawl, a page each: addresses resolved and normalised, without their fragments."""
+    own = U.normalise(F.col("url"))
+    named = lambda n: F.array_join(F.transform(F.filter("metas", lambda m: m["name"] == n), lambda m: m["content"]), ",")
+    header = F.coalesce(F.try_element_at(F.col("headers"), F.lit("x-robots-tag")), F.lit(""))
+    canonical = F.try_element_at(F.filter("canonicals", lambda c: c != ""), F.lit(1))
+    here = lambda h: U.normalise(U.join(F.col("url"), h))
+    return facts.select(
+        own.alias("url"), "status", "depth", "ok", F.coalesce("media_type", F.lit("")).alias("media_type"), F.trim(F.try_element_at("titles", F.lit(1))).alias("title"), F.trim(F.try_element_at("descriptions", F.lit(1))).alias("description"),
+        F.when(canonical.isNotNull(), here(canonical)).alias("canonical"), F.concat_ws(",", named("robots"), F.nullif(header, F.lit(""))).alias("robots"), F.when(F.col("body_text") != "", F.sha2(F.col("body_text").cast("binary"), 256)).alias("body_hash"),
+        F.size(T.words(F.col("body_text"))).alias("words"), F.transform("hops", lambda h: h["url"]).alias("redirect_chain"),
+        F.transform(F.filter("hreflangs", lambda h: h["href"] != ""), lambda h: F.struct(h["lang"].alias("lang"), here(h["href"]).alias("url"))).alias("hreflangs"),
+    )
+
+
+def link_edges(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, nofollow, inbound): a page's internal targets once each; nofollow if one of its links to it says so.
+
+    Pages at max_depth were not followed any further, so their links do not count as `inbound`.
+    """
+    own = U.normalise(F.col("url"))
+    counts = F.lit(True) if max_depth is None else F.col("depth") < max_depth
+    links = facts.where("ok").select(own.alias("src"), counts.alias("inbound"), F.explode("page_links").alias("x")).where("x.internal")
+    return links.groupBy("src", U.normalise(F.col("x.url")).alias("dst"), "inbound").agg(F.bool_or("x.nofollow").alias("nofollow"))
+
+
+#: Codes of a crawl with their severities.
+CROSSPAGE = {
+    "site.duplicate_title": "high", "site.duplicate_description": "low", "site.duplicate_content": "high", "site.orphan_pages": "high", "site.too_deep": "low", "site.redirect_chains": "high", "site.redirect_loops": "critical",
+    "site.canonical_to_error": "critical", "site.canonical_to_redirect": "high", "site.canonical_to_noncanonical": "high", "site.canonical_to_nonindexable": "critical", "site.nofollow_to_indexable": "high", "site.mixed_follow_signals": "low",
+    "site.hreflang_no_return_link": "high", "site.hreflang_to_error": "high", "site.hreflang_to_nonindexable": "high", "site.broken_internal_links": "critical",
+}
+
+
 def crosspage_findings(pages: DataFrame, edges: DataFrame, start: str) -> DataFrame:
-    """(code, severity, n): all cross-page codes with the uncapped number of cases; one 'clean' row if there are none."""
-    can, fol, red = canonical_conflicts(pages), follow_signals(pages, edges), redirect_problems(pages)
-    hb = hreflang_broken(pages)
-    parts = [
-        ("site.duplicate_title", "high", duplicate_groups(pages, "title")), ("site.duplicate_description", "low", duplicate_groups(pages, "description")),
-        ("site.duplicate_content", "high", duplicate_groups(pages, "body_hash")), ("site.orphan_pages", "high", orphans(pages, edges, start)),
-        ("site.too_deep", "low", pages.where(F.col("depth") > MAX_DEPTH)), ("site.redirect_chains", "high", red.where("problem = 'chain'")), ("site.redirect_loops", "critical", red.where("problem = 'loop'")),
-        *((f"site.canonical_to_{k}", s, can.where(F.col("conflict") == c)) for k, c, s in (("error", "error", "critical"), ("redirect", "redirect", "high"), ("noncanonical", "noncanonical", "high"), ("nonindexable", "nonindexable", "critical"))),
-        ("site.nofollow_to_indexable", "high", fol.where("signal = 'nofollow_only'")), ("site.mixed_follow_signals", "low", fol.where("signal = 'mixed'")),
-        ("site.hreflang_no_return_link", "high", hreflang_return(pages)), ("site.hreflang_to_error", "high", hb.where("problem = 'error'")), ("site.hreflang_to_nonindexable", "high", hb.where("problem = 'nonindexable'")),
-        ("site.broken_internal_links", "critical", broken_links(pages, edges).where(F.size("linked_from") > 0)),
-    ]
-    out = None
-    for code, sev, df in parts:
-        row = df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(code).alias("code"), F.lit(sev).alias("severity"), "n")
-        out = row if out is None else out.unionAll(row)
-    return out
+    """(code, severity, n): all cross-page codes with the number of cases; one 'site.crosspage_clean' row if there are none.
+
+    Each row of the crawl is read three times: for what it says of itself and shares with others, for what its
+    targets say, and for who links to it. Duplicates count values, alternates count pairs, all else pages. The pages' addresses are
+    distinct; edges may have an `inbound` column, without which all count.
+    """
+    pages = cut(pages)
+    fine = indexable(pages)
+    url, chain = F.col("url"), F.size("redirect_chain")
+    one = lambda when, code: F.when(when, F.lit(code))
+    lost = ((F.col("status") >= 400) | (F.col("status") == 0)) & ~F.col("ok") & ~((F.coalesce("media_type", F.lit("")) == "") & (F.coalesce("status", F.lit(0)) == 0))
+    own = F.array_compact(F.array(one(fine & (F.col("depth") > MAX_DEPTH), "site.too_deep"), one(chain > 2, "site.redirect_chains"), one(F.size(F.array_distinct("redirect_chain")) != chain, "site.redirect_loops"), one(lost, "site.broken_internal_links")))
+    shared = F.when(fine, F.array(*(F.struct(F.lit(f"site.duplicate_{k}").alias("code"), F.trim(F.coalesce(c, F.lit(""))).alias("value")) for k, c in (("title", "title"), ("description", "description"), ("content", "body_hash"))))).otherwise(F.array())
+    says = F.concat(F.transform(own, lambda c: F.struct(c.alias("code"), F.lit(None).cast("string").alias("value"))), F.filter(shared, lambda x: x["value"] != ""))
+    said = pages.select(F.inline(says)).groupBy("code", "value").agg(F.count("*").alias("n"))
+    first = said.groupBy("code").agg(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise((F.col("n") > 1).cast("long"))).alias("n"))
+    # what the targets of canonicals and alternates say
+    points = F.concat(
+        F.when(F.coalesce("canonical", F.lit("")).isin("") | (F.col("canonical") == url), F.array()).otherwise(F.array(F.struct(F.lit("canonical").alias("kind"), F.col("canonical").alias("dst")))),
+        F.transform("hreflangs", lambda h: F.struct(F.lit("alternate").alias("kind"), h["url"].alias("dst"))),
+    )
+    noindex = F.contains(F.lower(F.coalesce("robots", F.lit(""))), F.lit("noindex"))
+    goals = pages.select(url.alias("dst"), F.col("ok").alias("t_ok"), (chain > 1).alias("t_moved"), (F.coalesce("canonical", F.lit("")) != "").alias("t_named"), (F.col("canonical") != url).alias("t_other"), noindex.alias("t_noindex"))
+    met = pages.select(url.alias("src"), F.inline(points)).join(goals, "dst")
+    conflict = F.when(~F.col("t_ok"), "error").when(F.col("t_moved"), "redirect").when(F.col("t_named") & F.col("t_other"), "noncanonical").when(F.col("t_noindex"), "nonindexable")
+    named = F.when(F.col("kind") == "canonical", F.concat(F.lit("site.canonical_to_"), conflict)).when(~F.col("t_ok"), "site.hreflang_to_error").when(F.col("t_noindex"), "site.hreflang_to_nonindexable")
+    second = met.select(named.alias("code")).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"))
+    # a pair of pages meets itself the other way round in one group; what is named once only has no return
+    pairs = met.where("kind = 'alternate'").groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(
+        F.count_if((F.col("src") <= F.col("dst")) & F.col("t_ok")).alias("there"), F.count_if((F.col("src") > F.col("dst")) & F.col("t_ok")).alias("back"), F.count_if(F.col("src") <= F.col("dst")).alias("any_there"), F.count_if(F.col("src") > F.col("dst")).alias("any_back"))
+    alone = F.when(F.col("x") == F.col("y"), 0).otherwise(F.when(F.col("any_back") == 0, F.col("there")).otherwise(0) + F.when(F.col("any_there") == 0, F.col("back")).otherwise(0))
+    third = pairs.select(F.lit("site.hreflang_no_return_link").alias("code"), alone.cast("long").alias("n")).groupBy("code").agg(F.sum("n").alias("n"))
+    # who links to a page
+    counted = F.bool_or("inbound") if "inbound" in edges.columns else F.lit(True)
+    into = edges.groupBy("dst").agg(F.bool_and("nofollow").alias("only"), F.bool_or("nofollow").alias("some"), counted.alias("linked"))
+    both = pages.select(url.alias("dst"), F.lit(True).alias("crawled"), (F.col("ok") & ~noindex).alias("open"), (fine & (url != start)).alias("owed")).join(into, "dst", "full_outer")
+    links = F.array_compact(F.array(one(F.col("owed") & ~F.coalesce("linked", F.lit(False)), "site.orphan_pages"), one(F.col("only") & F.col("open"), "site.nofollow_to_indexable"), one(F.col("some") & ~F.col("only"), "site.mixed_follow_signals")))
+    fourth = both.select(F.explode(links).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    found = first.unionAll(second).unionAll(third).unionAll(fourth).where("n > 0")
+    severity = F.try_element_at(F.create_map(*(F.lit(x) for k, v in CROSSPAGE.items() for x in (k, v))), F.col("code"))
+    found = cut(found.select("code", severity.alias("severity"), F.col("n").cast("long").alias("n")))  # a row a code
+    clean = found.agg(F.count("*").alias("k")).where("k = 0").select(F.lit("site.crosspage_clean").alias("code"), F.lit("info").alias("severity"), F.lit(0).cast("long").alias("n"))
+    return found.unionAll(clean)
 
 
 def graph_edges(links: DataFrame) -> DataFrame:

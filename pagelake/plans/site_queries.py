@@ -126,19 +126,10 @@ CRAWL = Fixture("crawl", _PAGE, [
 ])
 _E = [("/", "/a", False), ("/", "/b", True), ("/", "/c", True), ("/a", "/c", False), ("/", "/gone", False), ("/a", "/gone", False), ("/b", "/n", True), ("/c", "/d", False), ("/d", "/e", True), ("/e", "/f", False), ("/f", "/g", False)]
 EDGES = Fixture("edges", "src string, dst string, nofollow boolean", [(_H + a, _H + b, n) for a, b, n in _E])
-_TARGET = "SELECT p.url, t.url AS target, CASE WHEN t.status >= 400 THEN 'error' WHEN len(t.redirect_chain) > 1 THEN 'redirect' WHEN t.canonical IS NOT NULL AND t.canonical <> t.url THEN 'noncanonical' WHEN t.robots LIKE '%noindex%' THEN 'nonindexable' END AS conflict FROM crawl p JOIN crawl t ON p.canonical = t.url WHERE p.canonical <> p.url"
 _FINE = "(media_type = 'text/html' AND ok AND coalesce(robots, '') NOT LIKE '%noindex%')"
-_ALT = "h AS (SELECT src, x.url AS dst FROM (SELECT url AS src, unnest(hreflangs) AS x FROM crawl) WHERE src <> x.url)"
 _W = f"WITH {CRAWL.cte()}, {EDGES.cte()}"
 
 
-def _crawl(f):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(CRAWL.df(spark), EDGES.df(spark))
-
-    return run
-
-
 ROBOTS = Fixture("robots", "site string, body string", [
     ("s", "# all\nUser-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nAllow: /*.html$\n"), ("t", "User-agent: *\nDisallow:\nSitemap: https://t/s.xml"), ("u", "User-agent: *\nDisallow: /a\nAllow: /a"),
 ])
@@ -182,10 +173,6 @@ def _over(fixture: Fixture, f):
 
 QUERIES = {f.__name__: f for f in (graph_edges, graph_degrees, pagerank, crawl_bfs, crawl_budget, most_linked, least_linked, dead_ends, pages_chunked, orphan_pages, audit_diff, compete_compare, fault_weight, robots_verdict, sitemap_diff)}
 QUERIES |= {
-    "canonical_conflicts": _crawl(lambda p, e: S.canonical_conflicts(p)), "hreflang_broken": _crawl(lambda p, e: S.hreflang_broken(p)), "hreflang_return": _crawl(lambda p, e: S.hreflang_return(p)),
-    "follow_signals": _crawl(S.follow_signals), "broken_links": _crawl(lambda p, e: S.broken_links(p, e).withColumn("linked_from", F.array_join("linked_from", ","))), "redirect_chains": _crawl(lambda p, e: S.redirect_problems(p)),
-    "crawl_summary": _crawl(lambda p, e: S.crawl_summary(p)), "crosspage_findings": _crawl(lambda p, e: S.crosspage_findings(p, e, _H + "/")),
-    "dup_groups": _crawl(lambda p, e: S.duplicate_groups(p, "body_hash").withColumn("sample", F.array_join("sample", ","))),
     "crawler_probe": _over(PROBES, A.crawler_probe), "link_status": _over(LINK_PROBES, A.link_status), "image_weights": _over(IMAGES, A.image_weights), "llms_check": _over(LLMS, A.llms_findings),
     "schema_rules": _over(NODES, A.schema_rules), "remedy_phases": _over(REMEDY, A.remedy_phases),
     "auditable": _over(CAPTURED, A.auditable), "challenge": _over(CAPTURED, A.challenge), "content_type": _over(HEADERS, lambda d: d.select("id", A.content_type(F.col("header")).alias("c")).select("id", "c.*")),
@@ -226,19 +213,6 @@ ORACLE_SQL = {
     "audit_diff": f"WITH b AS (SELECT code, max(w) AS b FROM ({_audit_sql(1996)}) GROUP BY code), a AS (SELECT code, max(w) AS a FROM ({_audit_sql(1998)}) GROUP BY code) SELECT coalesce(b.code, a.code) AS code, CASE WHEN a IS NULL THEN 'fixed' WHEN b IS NULL THEN 'introduced' ELSE 'remaining' END AS change, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM b FULL JOIN a ON b.code = a.code",
     "compete_compare": f"WITH o AS (SELECT DISTINCT code FROM ({_audit_sql(1995)})), t AS (SELECT DISTINCT code FROM ({_audit_sql(1997)})) SELECT coalesce(o.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'ours' WHEN o.code IS NULL THEN 'theirs' ELSE 'both' END AS where_found FROM o FULL JOIN t ON o.code = t.code",
     "fault_weight": " UNION ALL ".join(f"SELECT '{y}' AS audit, CAST((SELECT sum(w) FROM ({_audit_sql(y)})) AS BIGINT) AS all_findings, CAST((SELECT sum(w) FROM (SELECT code, max(w) AS w FROM ({_audit_sql(y)}) GROUP BY code)) AS BIGINT) AS by_code" for y in (1995, 1997)),
-    "canonical_conflicts": f"{_W} SELECT * FROM ({_TARGET}) WHERE conflict IS NOT NULL",
-    "hreflang_broken": f"{_W}, {_ALT} SELECT * FROM (SELECT src, dst, CASE WHEN status >= 400 THEN 'error' WHEN NOT {_FINE} THEN 'nonindexable' END AS problem FROM h JOIN crawl ON dst = url) WHERE problem IS NOT NULL",
-    "hreflang_return": f"{_W}, {_ALT} SELECT DISTINCT src, dst FROM h WHERE dst IN (SELECT url FROM crawl) AND NOT EXISTS (SELECT 1 FROM h b WHERE b.src = h.dst AND b.dst = h.src)",
-    "follow_signals": f"{_W}, g AS (SELECT dst, bool_and(nofollow) AS a, bool_or(nofollow) AS s FROM edges GROUP BY dst) SELECT dst, 'nofollow_only' AS signal FROM g WHERE a AND dst IN (SELECT url FROM crawl WHERE {_FINE}) UNION ALL SELECT dst, 'mixed' FROM g WHERE s AND NOT a",
-    "broken_links": f"{_W} SELECT url, status, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM edges WHERE dst = url), '') AS linked_from FROM crawl WHERE status >= 400",
-    "redirect_chains": f"{_W} SELECT url, CASE WHEN len(list_distinct(redirect_chain)) < len(redirect_chain) THEN 'loop' ELSE 'chain' END AS problem FROM crawl WHERE len(redirect_chain) > 2 OR len(list_distinct(redirect_chain)) < len(redirect_chain)",
-    "crawl_summary": f"{_W} SELECT count(*) AS pages, count(*) FILTER (ok) AS ok, count(*) FILTER (status >= 400) AS errors, count(*) FILTER {f'({_FINE})'} AS indexable, max(depth) AS max_depth FROM crawl",
-    "dup_groups": f"{_W} SELECT body_hash AS value, count(*) AS pages, string_agg(url, ',' ORDER BY url) AS sample FROM crawl WHERE {_FINE} GROUP BY body_hash HAVING count(*) > 1",
-    "crosspage_findings": expected("code string, severity string, n long", [
-        ("site.duplicate_title", "high", 1), ("site.duplicate_description", "low", 1), ("site.duplicate_content", "high", 1), ("site.orphan_pages", "high", 1), ("site.too_deep", "low", 1), ("site.redirect_chains", "high", 1), ("site.redirect_loops", "critical", 1),
-        ("site.canonical_to_error", "critical", 1), ("site.canonical_to_redirect", "high", 1), ("site.canonical_to_noncanonical", "high", 1), ("site.canonical_to_nonindexable", "critical", 1), ("site.nofollow_to_indexable", "high", 2), ("site.mixed_follow_signals", "low", 1),
-        ("site.hreflang_no_return_link", "high", 3), ("site.hreflang_to_error", "high", 1), ("site.hreflang_to_nonindexable", "high", 1), ("site.broken_internal_links", "critical", 1),
-    ]),
     "robots_verdict": expected("site string, agent string, path string, allowed boolean", [
         ("s", "Other", "/private/x", False), ("s", "Other", "/private/open", True), ("s", "GPTBot", "/x", False), ("s", "GPTBot", "/x.html", True), ("s", "CCBot", "/x.htmlx", False), ("s", "Other", "/", True), ("t", "GPTBot", "/a", True), ("u", "X", "/a", True), ("none", "X", "/a", True),
     ]),
