@@ -13,7 +13,7 @@ from pagelake.functions import text as T
 from pagelake.functions import urls as U
 from pagelake.functions.constants import CITATION_BOTS, OTHER_BOTS
 
-from .site import robots_rules, robots_verdict
+from .site import agent_rules, path_allowed, robots_rules
 
 # Hosts that describe known entities; bands of the total.
 KNOWLEDGE = ("wikipedia.org", "wikidata.org", "linkedin.com", "crunchbase.com", "github.com", "twitter.com", "x.com", "facebook.com")
@@ -87,10 +87,12 @@ def site_signals(pages: DataFrame, files: DataFrame) -> DataFrame:
     per = files.groupBy("site").agg(*(body(k).alias(k) for k in ("robots", "llms", "llms_full", "well_known", "summary", "faq", "service")))
     bots = F.array(*(F.struct(F.lit(b).alias("agent"), F.lit(b in CITATION_BOTS).alias("cites")) for b in (*CITATION_BOTS, *OTHER_BOTS)))
     robots = files.where("kind = 'robots'")
-    asked = p.join(robots.select("site").distinct(), "site", "left_semi").select("site", "path").distinct().withColumn("b", F.explode(bots)).select("site", "path", "b.agent", "b.cites")
-    verdict = robots_verdict(robots_rules(robots), asked).join(asked, ["site", "agent", "path"])
-    allowed = verdict.groupBy("site", "path").agg(F.count_if(F.col("allowed") & F.col("cites")).alias("citing"), F.count_if(F.col("allowed")).alias("in_all"))
-    df = p.join(per, "site", "left").join(allowed, ["site", "path"], "left")
+    asked = robots.select("site").distinct().withColumn("b", F.explode(bots)).select("site", "b.agent", "b.cites")
+    # a row a site with the rules of each agent; pages meet it by their site
+    own = agent_rules(robots_rules(robots), asked).join(asked, ["site", "agent"]).groupBy("site").agg(F.collect_list(F.struct("cites", "patterns")).alias("agents"))
+    let_in = lambda a: path_allowed(a["patterns"], F.col("path"))
+    df = p.join(per, "site", "left").join(own, "site", "left")
+    df = df.withColumn("in_", F.filter("agents", let_in)).withColumn("in_all", F.size("in_")).withColumn("citing", F.size(F.filter("in_", lambda a: a["cites"]))).drop("in_", "agents")
     has = lambda k: F.coalesce(F.col(k), F.lit("")) != ""
     llms = F.coalesce("llms", F.lit(""))
     rx = lambda r: llms.rlike(r)
@@ -125,7 +127,7 @@ def geo_score(signals_: DataFrame) -> DataFrame:
 
 def readiness_level(signals_: DataFrame) -> DataFrame:
     """none, basic, ready or advanced, from the keys that earned points."""
-    got = signals_.where("earned > 0").groupBy("page_id").agg(F.collect_set("key").alias("k"))
+    got = signals_.groupBy("page_id").agg(F.collect_set(F.when(F.col("earned") > 0, F.col("key"))).alias("k"))
     has = lambda x: F.array_contains("k", x)
     all_ = has("ai_discovery_well_known") & has("ai_discovery_summary") & has("ai_discovery_faq")
     level = F.when(all_ & has("llms_depth") & has("schema_richness"), "advanced").when(all_, "ready").when(has("ai_discovery_well_known") | has("ai_discovery_summary"), "basic").otherwise("none")

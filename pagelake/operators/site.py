@@ -284,28 +284,42 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return agents.join(rules, ["site", "block"], "left").select("site", "agent", "group_ord", "ord", "kind", "pattern")
 
 
-def robots_verdict(rules: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(site, agent, path) -> (site, agent, path, allowed). The longest matching rule wins, allow on ties.
+def agent_rules(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(site, agent) -> (site, agent, patterns), a row for each distinct pair: the rules that hold for an agent on a site, longest first.
 
-    An agent takes the first group whose name contains it or is contained in it, else *; a site
-    without rules allows all. Rules are joined by site, so nothing is broadcast.
+    An agent takes the first group whose name contains it or is contained in it, else *; all rules of that name count,
+    wherever they stand in the file. A site without rules for it has an empty list. A file's rules are few, whatever
+    the number of its pages, so an agent's are one list.
     """
-    a = asked.select("site", F.col("agent").alias("bot"), "path")
-    j = a.join(rules, "site", "left")
-    low = F.lower("bot")
-    named = (F.col("agent") != "") & (F.col("agent") != "*") & (F.contains(low, F.col("agent")) | F.contains(F.col("agent"), low))
-    key = F.when(named, F.col("group_ord")).when(F.col("agent") == "*", F.lit(1 << 30))
-    best = Window.partitionBy("site", "bot", "path")
-    j = j.withColumn("key", key).withColumn("first", F.min("key").over(best))
-    first_agent = F.min(F.when(F.col("key") == F.col("first"), F.struct("group_ord", "agent"))).over(best)["agent"]
-    j = j.withColumn("taken", F.col("agent") == F.coalesce(first_agent, F.lit("")))
     p = F.col("pattern")
     quoted = F.regexp_replace(p, r"([\\^.|?+()\[\]{}])", r"\\$1")
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\$(?=.)", r"\\\$"), r"\*", ".*"))
-    hit = F.col("taken") & p.isNotNull() & (p != "") & F.expr("rlike(path, rx)")
-    j = j.withColumn("rx", rx)
-    win = F.max(F.when(hit, F.struct(F.length(p).alias("n"), (F.col("kind") == "allow").alias("allow"))))
-    return j.groupBy("site", "bot", "path").agg(win.alias("w")).select("site", F.col("bot").alias("agent"), "path", F.coalesce(F.col("w.allow"), F.lit(True)).alias("allowed"))
+    plain = ~F.contains(p, F.lit("*")) & ~F.contains(p, F.lit("$"))
+    rule = F.when(F.coalesce(p, F.lit("")) != "", F.struct(F.length(p).alias("n"), (F.col("kind") == "allow").alias("allow"), p.alias("start"), F.when(~plain, rx).alias("rx")))
+    sets = rules.groupBy("site", F.col("agent").alias("name")).agg(F.min("group_ord").alias("first"), F.reverse(F.array_sort(F.collect_set(rule))).alias("patterns"))
+    low = F.lower("agent")
+    named = (F.col("name") != "") & (F.col("name") != "*") & (F.contains(low, F.col("name")) | F.contains(F.col("name"), low))
+    rank = F.when(named, F.struct(F.lit(0), F.col("first"), F.col("name"))).when(F.col("name") == "*", F.struct(F.lit(1), F.col("first"), F.col("name")))
+    j = asked.select("site", "agent").distinct().join(sets, "site", "left")
+    best = j.groupBy("site", "agent").agg(F.min_by("patterns", rank).alias("patterns"))
+    return best.select("site", "agent", F.coalesce("patterns", F.array()).cast("array<struct<n:int,allow:boolean,start:string,rx:string>>").alias("patterns"))
+
+
+def path_allowed(patterns: Column, path: Column) -> Column:
+    """The verdict of an agent's rules on a path: the longest that matches wins, allow on ties; without one all is allowed."""
+    met = F.filter(patterns, lambda x: F.when(x["rx"].isNull(), F.startswith(path, x["start"])).otherwise(F.regexp_like(path, x["rx"])))
+    return F.coalesce(F.try_element_at(met, F.lit(1))["allow"], F.lit(True))
+
+
+def robots_verdict(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(site, agent, path) -> (site, agent, path, allowed), a row for each row. The longest matching rule wins, allow on ties.
+
+    The group is chosen once for a site and agent; a path meets one row with that group's rules, so a site of many pages is
+    not multiplied by its rules.
+    """
+    own = agent_rules(rules, asked)
+    j = asked.select("site", "agent", "path").join(own, ["site", "agent"], "left")
+    return j.select("site", "agent", "path", path_allowed(F.col("patterns"), F.col("path")).alias("allowed"))
 
 
 def sitemap_entries(docs: DataFrame) -> DataFrame:
