@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.constants import CAPTCHA, CHALLENGE_BODIES, CHALLENGE_HEADERS, PRICES, REMEDIES, SCHEMA_RULES, SEVERITIES
 
+from pagelake.operators import reports as R
+
+#: Bytes beyond which an image is heavy.
+HEAVY_BYTES = 500_000
+
 
 def _lookup(col: Column, at: int, default: int) -> Column:
     m = F.create_map(*(F.lit(v) for s, x in SEVERITIES.items() for v in (s, x[at])))
@@ -89,10 +94,22 @@ def link_status(probes: DataFrame) -> DataFrame:
 
 def image_weights(probes: DataFrame) -> DataFrame:
     """probes(url, status, bytes) -> (code, n): over 500,000 bytes, and broken."""
-    code = F.when((F.col("status") >= 400) | (F.col("status") == 0), "image.broken").when(F.col("bytes") > 500_000, "image.too_large")
+    code = F.when((F.col("status") >= 400) | (F.col("status") == 0), "image.broken").when(F.col("bytes") > HEAVY_BYTES, "image.too_large")
     return probes.select(code.alias("code")).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"))
 
 
+def heaviest(probes: DataFrame, most: int = R.HEAVY) -> DataFrame:
+    """probes(page_id, url, status, bytes) -> (page_id, url, bytes, skipped): each page's heaviest images over the limit, and how many more there are.
+
+    Each task hands on `most` of a page at most.
+    """
+    fine = probes.where((F.col("status") < 400) & (F.col("status") != 0) & (F.col("bytes") > HEAVY_BYTES))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("bytes"), "url"))
+    top = fine.withColumn("place_", place).where(F.col("place_") <= most)
+    counts = fine.groupBy("page_id").agg(F.count("*").alias("all_"))
+    return top.join(counts, "page_id").select("page_id", "url", "bytes", F.greatest(F.col("all_") - most, F.lit(0)).cast("long").alias("skipped"))
+
+
 def llms_findings(files: DataFrame) -> DataFrame:
     """files(site, body) -> (site, code): a missing, malformed or present llms.txt."""
     code = F.when(F.col("body").isNull() | (F.trim("body") == ""), "llms.missing").when(~F.col("body").rlike(r"(?m)^#\s+\S"), "llms.malformed").otherwise("llms.present")

@@ -6,7 +6,7 @@ the other 42; they are left out unless such files were captured: what was not lo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
@@ -132,3 +132,14 @@ def readiness_level(signals_: DataFrame) -> DataFrame:
     all_ = has("ai_discovery_well_known") & has("ai_discovery_summary") & has("ai_discovery_faq")
     level = F.when(all_ & has("llms_depth") & has("schema_richness"), "advanced").when(all_, "ready").when(has("ai_discovery_well_known") | has("ai_discovery_summary"), "basic").otherwise("none")
     return got.select("page_id", level.alias("level"))
+
+
+#: Lengths of the lists of a site's categories and of its strongest pages.
+WEAKEST, STRONGEST = 3, 5
+
+
+def weakest_categories(signals_: DataFrame, most: int = WEAKEST) -> DataFrame:
+    """signals(site, category, points, earned) -> (site, category, share, place): the categories in which a site earns the least share of its points, ties by name."""
+    g = signals_.groupBy("site", "category").agg(F.round(F.sum("earned") / F.sum("points"), 3).alias("share"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("share", "category"))
+    return g.withColumn("place", place).where(F.col("place") <= most)

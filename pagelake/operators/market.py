@@ -31,6 +31,24 @@ def variations(seed: str) -> list[str]:
     return [seed, *(f"{seed} {chr(c)}" for c in range(97, 123)), *(f"{q} {seed}" for q in QUESTION_WORDS), *(f"{seed} {p}" for p in PREPOSITIONS)]
 
 
+def variations_of(seed: Column) -> Column:
+    """variations() of a column."""
+    letters = F.array(*(F.lit(chr(c)) for c in range(97, 123)))
+    behind = lambda words: F.transform(words, lambda w: F.concat(seed, F.lit(" "), w))
+    before = F.transform(F.array(*map(F.lit, QUESTION_WORDS)), lambda w: F.concat(w, F.lit(" "), seed))
+    return F.concat(F.array(seed), behind(letters), before, behind(F.array(*map(F.lit, PREPOSITIONS))))
+
+
+def suggestions_ranked(s: DataFrame, seed: str, most: int = R.KEYWORDS) -> DataFrame:
+    """The suggestions seen most often, ties by the phrase, with how many are left out."""
+    return R.capped(merge_suggestions(s, seed), most, F.desc("seen"), F.asc("phrase"))
+
+
+def language_tag(lang: Column) -> Column:
+    """Whether it is a language tag: two or three letters, then parts of two to eight letters or digits."""
+    return lang.rlike("^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$")
+
+
 def merge_suggestions(s: DataFrame, seed: str) -> DataFrame:
     """suggestions(engine, variation, phrase, error) -> (phrase, sources, seen, intent), most seen first."""
     p = collapse(F.lower("phrase"))
@@ -227,3 +245,25 @@ def evidence(j: DataFrame, flags: str) -> DataFrame:
     named = F.col("at_") >= 0
     strip = lambda c: F.regexp_replace(c, r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")
     return j.select("id", "brand", F.when(named, F.col("a_")).otherwise(F.col("host")).alias("matched"), F.when(named, F.col("at_")).otherwise(F.col("h_")).cast("long").alias("position"), F.when(named, F.substring(strip(sentence), 1, _SHOWN)).otherwise(strip(near)).alias("context"))
+
+
+def title_agreement(d: DataFrame) -> DataFrame:
+    """Whether a headline contradicts the title: no containment, and under a third of the shorter one's words shared."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    t, h = words(F.col("title")), words(F.col("headline"))
+    inside = F.contains(F.lower("title"), F.lower("headline")) | F.contains(F.lower("headline"), F.lower("title"))
+    need = F.greatest(F.lit(1), F.floor(F.least(F.size(t), F.size(h)) / 3).cast("int"))
+    return d.select("id", (~inside & (F.size(F.array_intersect(t, h)) < need)).alias("contradicts"))
+
+
+def heading_skips(d: DataFrame) -> DataFrame:
+    prev = F.lag("level").over(Window.partitionBy("page_id").orderBy("pos"))
+    return d.withColumn("prev", prev).where("level > prev + 1").select("page_id", F.col("prev").alias("from_level"), F.col("level").alias("to_level"))
+
+
+def guard_static(d: DataFrame) -> DataFrame:
+    """Whether a URL may be fetched, as far as its text tells: http(s), usual port, no private or local host."""
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
+    port = F.regexp_extract("url", r"^[a-z]+://[^/:?#]+:(\d+)", 1)
+    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)")
+    return d.select("id", (F.col("url").rlike("^https?://") & port.isin("", "80", "443") & ~private).alias("allowed"))

@@ -153,7 +153,8 @@ _EDGE = r"[^\p{L}\p{N}_]"
 _BRANDS = r"""names AS (SELECT page_id AS brand, list_filter([w[1] || ' ' || w[2], w[2], label], lambda x: x IS NOT NULL) AS aliases, host FROM (SELECT page_id, label, host, regexp_extract_all(regexp_extract(html, '<title>([^<]*)</title>', 1), '\p{L}+') AS w FROM l))"""
 _MENTIONED = f"""l AS (SELECT page_id, html, {_LABEL} AS label, {_HOSTS} AS host FROM u), {_BRANDS},
 a AS (SELECT conv_id, turn, text || coalesce(' See http://WWW.' || upper(l.host) || '/x', '') AS text FROM conversations c LEFT JOIN l ON c.conv_id = l.page_id * 7 WHERE role = 'assistant' AND text IS NOT NULL),
-x AS (SELECT conv_id, turn, text, brand, host, list_filter(list_transform(aliases, lambda z: {{'a': z, 'p': CASE WHEN length(z) > 1 AND contains(lower(text), lower(z)) AND regexp_matches(text, '(?i)(^|{_EDGE})' || z || '($|{_EDGE})') THEN length(regexp_extract(text, '(?is)^(.*?(?:^|{_EDGE}))' || z || '(?:$|{_EDGE})', 1)) END}}), lambda z: z.p IS NOT NULL)[1] AS m FROM a, names),
+n AS (SELECT *, lower(text) AS low, regexp_replace(text, '{_EDGE[:-1]} -]', '|', 'g') AS plain FROM a),
+x AS (SELECT conv_id, turn, text, brand, host, list_filter(list_transform(aliases, lambda z: {{'a': z, 'p': CASE WHEN length(z) > 1 AND contains(low, lower(z)) AND regexp_matches(plain, '(?i)(^|[ |-])' || z || '($|[ |-])') THEN length(regexp_extract(plain, '(?i)^(.*?(?:^|[ |-]))' || z || '(?:$|[ |-])', 1)) END}}), lambda z: z.p IS NOT NULL)[1] AS m FROM n, names),
 y AS (SELECT conv_id, turn, text, brand, host, m.a AS a, m.p AS p, CASE WHEN contains(lower(text), lower(host)) THEN position(lower(host) IN lower(text)) - 1 END AS h FROM x)"""
 _SENTENCE = "regexp_extract(text[1:p], '[^.]*$') || text[p + 1:p + length(a)] || regexp_extract(text[p + length(a) + 1:], '^[^.]*[.]?')"
 _LINES = "list_filter(string_split_regex(text, '[.\\n]+'), lambda x: trim(x) <> '')"

@@ -1,4 +1,4 @@
-"""Keywords, demand, captures and model answers over small recorded tables."""
+"""Small recorded tables of keywords, demand, captures and answers, and what the operators make of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import text as T
 from pagelake.operators import market as M
 
-from .fixtures import Fixture, expected
+from pagelake.plans.fixtures import Fixture, expected
 
 PHRASES = Fixture("phrases", "ord int, phrase string", [
     (1, "buy crm software"), (2, "crm pricing"), (3, "best crm software"), (4, "notion vs jira"), (5, "crm login"), (6, "what is crm"), (7, "crm meaning"), (8, "best price crm"), (9, "crm tools"), (10, "crm software pricing"),
@@ -44,30 +44,6 @@ def kw_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, v) for i, v in enumerate(M.variations("crm"))], "ord int, variation string")
 
 
-def title_agreement(d: DataFrame) -> DataFrame:
-    """Whether a headline contradicts the title: no containment, and under a third of the shorter one's words shared."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    t, h = words(F.col("title")), words(F.col("headline"))
-    inside = F.contains(F.lower("title"), F.lower("headline")) | F.contains(F.lower("headline"), F.lower("title"))
-    need = F.greatest(F.lit(1), F.floor(F.least(F.size(t), F.size(h)) / 3).cast("int"))
-    return d.select("id", (~inside & (F.size(F.array_intersect(t, h)) < need)).alias("contradicts"))
-
-
-def heading_skips(d: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    prev = F.lag("level").over(Window.partitionBy("page_id").orderBy("pos"))
-    return d.withColumn("prev", prev).where("level > prev + 1").select("page_id", F.col("prev").alias("from_level"), F.col("level").alias("to_level"))
-
-
-def guard_static(d: DataFrame) -> DataFrame:
-    """Whether a URL may be fetched, as far as its text tells: http(s), usual port, no private or local host."""
-    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
-    port = F.regexp_extract("url", r"^[a-z]+://[^/:?#]+:(\d+)", 1)
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)")
-    return d.select("id", (F.col("url").rlike("^https?://") & port.isin("", "80", "443") & ~private).alias("allowed"))
-
-
 _X = lambda f, sql: f"WITH {f.cte()} {sql}"
 _INTENT = "CASE WHEN regexp_matches(phrase, '(?i)\\b(buy|price|pricing|cost|cheap|discount|coupon|deal|order|subscription|trial|quote|hire|book)\\b') THEN 'transactional' WHEN regexp_matches(phrase, '(?i)\\b(best|top|review|reviews|compare|comparison|vs|versus|alternative|alternatives)\\b') THEN 'commercial' WHEN regexp_matches(phrase, '(?i)\\b(login|log in|sign in|download|app|dashboard|portal|documentation|docs|support)\\b') THEN 'navigational' ELSE 'informational' END"
 
@@ -82,7 +58,7 @@ QUERIES = {
     "stable_digest": _over(DIGESTS, lambda d: M.stable_digest(d, "json").select("id", "digest")),
     "contains_norm": _over(QUOTES, lambda d: d.select("id", T.contains_norm(F.col("source"), F.col("quote")).alias("found"))),
     "lang_valid": _over(LANGS, lambda d: d.select("id", F.col("lang").rlike("^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$").alias("valid"))),
-    "schema_contradiction": _over(PAIRS, title_agreement), "heading_skips": _over(HEADS, heading_skips), "guard_static": _over(GUARD, guard_static),
+    "schema_contradiction": _over(PAIRS, M.title_agreement), "heading_skips": _over(HEADS, M.heading_skips), "guard_static": _over(GUARD, M.guard_static),
 }
 ORACLE_SQL = {
     "intent": _X(PHRASES, f"SELECT ord, {_INTENT} AS intent FROM phrases"), "intent_counts": _X(PHRASES, f"SELECT {_INTENT} AS intent, count(*) AS n FROM phrases GROUP BY 1"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import page_checks as C
 from pagelake.operators import site as S
-from pagelake.plans.site_queries import CRAWL, EDGES
+from .literal_site import CRAWL, EDGES
 
 H = "https://s.test"
 
