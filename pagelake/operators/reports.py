@@ -5,7 +5,7 @@ Answers of language models come as recorded rows; what they claim is checked aga
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
@@ -26,22 +26,29 @@ def capped(df: DataFrame, most: int, *order: Column) -> DataFrame:
     return out.withColumn("skipped", F.greatest(F.col("found_") - most, F.lit(0)).cast("long")).drop("found_")
 
 
-def probe_findings(probes: DataFrame, found: int, most: int = LINKS_PROBED) -> DataFrame:
-    """probes(url, internal, status, final_url, error) of a page's first `most` distinct links, of `found` -> (code, severity, n).
+def probe_findings(probes: DataFrame, most: int = LINKS_PROBED) -> DataFrame:
+    """probes(page_id, pos, url, internal, status, final_url, error) of pages' links -> (page_id, code, severity, n).
 
-    Refused ones count as neither broken nor fine; links that fail inside the site are worse.
+    Links that differ in their fragment alone are one, the first. The first `most` of a page count, and how many more there
+    are is a finding; each task hands on `most` of a page at most. Refused ones count as neither broken nor fine;
+    links that fail inside the site are worse.
     """
     bare = lambda c: F.regexp_replace(c, "#.*$", "")
+    own = probes.withColumn("bare_", bare(F.col("url")))
+    first = own.groupBy("page_id", "bare_").agg(F.min_by(F.struct("internal", "status", "final_url", "error"), "pos").alias("p"), F.min("pos").alias("pos")).select("page_id", "bare_", "pos", "p.*")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     tried = F.col("error").isNull()
     broken = tried & ((F.col("status") >= 400) | (F.col("status") == 0))
-    moved = tried & ~broken & (F.col("status").between(300, 399) | (F.col("final_url").isNotNull() & (bare(F.col("final_url")) != bare(F.col("url")))))
-    g = probes.agg(F.count_if(broken).alias("b"), F.count_if(broken & F.col("internal")).alias("own"), F.count_if(moved).alias("m"), F.count("*").alias("checked"))
+    moved = tried & ~broken & (F.col("status").between(300, 399) | (F.col("final_url").isNotNull() & (bare(F.col("final_url")) != F.col("bare_"))))
+    taken = first.withColumn("place_", place).where(F.col("place_") <= most)
+    g = taken.groupBy("page_id").agg(F.count_if(broken).alias("b"), F.count_if(broken & F.col("internal")).alias("own"), F.count_if(moved).alias("m"), F.count("*").alias("checked"))
+    g = g.join(first.groupBy("page_id").agg(F.count("*").alias("found")), "page_id")
     row = lambda when, code, sev, n: F.when(when, F.struct(F.lit(code).alias("code"), sev.alias("severity"), n.cast("long").alias("n")))
     rows = F.array_compact(F.array(
         row(F.col("b") > 0, "links.broken", F.when(F.col("own") > 0, "critical").otherwise("high"), F.col("b")), row(F.col("m") > 0, "links.redirecting", F.lit("low"), F.col("m")),
-        row(F.lit(found > most), "links.truncated", F.lit("info"), F.lit(found - most)), row((F.col("b") == 0) & (F.col("checked") > 0), "links.all_ok", F.lit("info"), F.col("checked")),
+        row(F.col("found") > most, "links.truncated", F.lit("info"), F.col("found") - most), row(F.col("b") == 0, "links.all_ok", F.lit("info"), F.col("checked")),
     ))
-    return g.select(F.explode(rows).alias("r")).select("r.*")
+    return g.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
 
 
 def questions(rows: DataFrame) -> DataFrame:

@@ -33,24 +33,32 @@ def worst_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.duplicate_groups(p, "lang", S.WORST).withColumn("sample", F.array_join("sample", ","))
 
 
-def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every link target of the pages as if probed: what came back follows from the length of its address."""
-    u = links_extract(spark, sf_dir).select("url").distinct()
+def _answered(links: DataFrame) -> DataFrame:
+    """Links as if probed: what came back follows from the length of the address."""
     n = F.length("url") % 7
     status = F.when(n == 0, 404).when(n == 1, 301).otherwise(200)
-    return u.select("url", F.lit(True).alias("internal"), status.alias("status"), F.when(n == 3, F.concat("url", F.lit("/x"))).otherwise(F.concat("url", F.lit("#x"))).alias("final_url"), F.when(n == 2, "refused").alias("error"))
+    return links.withColumns({"status": status, "final_url": F.when(n == 3, F.concat("url", F.lit("/x"))).otherwise(F.concat("url", F.lit("#x"))), "error": F.when(n == 2, "refused")})
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link target of the pages, probed."""
+    return _answered(links_extract(spark, sf_dir).select("url").distinct().withColumn("internal", F.lit(True)))
+
+
+#: Links of a page that are probed in the test.
+_FEW = 4
 
 
 def links_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _probed(spark, sf_dir)
-    return R.probe_findings(p.orderBy("url").limit(R.LINKS_PROBED), p.count())
+    """What became of the first links of each page, and how many were left out."""
+    return R.probe_findings(_answered(links_extract(spark, sf_dir).select("page_id", "pos", "url", "internal")), _FEW)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings of conversations as questions of three archives, one of which fails now and then."""
+    """What users ask in conversations, as questions of three archives, one of which fails now and then."""
     c = _t(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
     return c.select(
-        F.concat(F.lit("archive"), (F.col("conv_id") % 3).cast("string")).alias("source"), F.substring("text", 1, 6).alias("question"), F.concat(F.lit("https://q.test/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("url"),
+        F.concat(F.lit("archive"), (F.col("conv_id") % 3).cast("string")).alias("source"), F.col("text").alias("question"), F.concat(F.lit("https://q.test/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("url"),
         F.when(F.col("conv_id") % 11 != 0, F.length("text") % 50).cast("long").alias("score"), F.when(F.col("conv_id") % 17 == 0, F.concat(F.lit("timeout "), F.col("conv_id").cast("string"))).alias("error"),
     )
 
@@ -162,7 +170,7 @@ def robots_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (weakest_pages, weakest_scores, worst_groups, links_probed, question_list, question_sources_lost, mention_evidence, links_compare, links_compare_withheld, content_audit, content_brief, content_charts, sitemap_report, intent_orders, suggestions_merged, images_of_pages, hreflangs_of_pages, robots_of_pages)}
 
-_Q = f"""q AS (SELECT 'archive' || conv_id % 3 AS source, substr(text, 1, 6) AS question, 'https://q.test/' || conv_id || '/' || turn AS url, CASE WHEN conv_id % 11 <> 0 THEN length(text) % 50 END AS score, CASE WHEN conv_id % 17 = 0 THEN 'timeout ' || conv_id END AS error FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+_Q = f"""q AS (SELECT 'archive' || conv_id % 3 AS source, text AS question, 'https://q.test/' || conv_id || '/' || turn AS url, CASE WHEN conv_id % 11 <> 0 THEN length(text) % 50 END AS score, CASE WHEN conv_id % 17 = 0 THEN 'timeout ' || conv_id END AS error FROM conversations WHERE role = 'user' AND text IS NOT NULL),
 k AS (SELECT source, question, url, coalesce(score, 0) AS score, trim(regexp_replace(lower(question), '{WS}', ' ', 'g')) AS key FROM q WHERE error IS NULL AND trim(regexp_replace(question, '{WS}', ' ', 'g')) <> '')"""
 
 
@@ -206,8 +214,8 @@ ORACLE_SQL = {
     "weakest_pages": f"WITH {_F} SELECT page_id, CAST(words AS BIGINT) AS words, (SELECT CAST(greatest(count(*) - {R.WEAKEST}, 0) AS BIGINT) FROM f) AS skipped FROM f ORDER BY words, page_id LIMIT {R.WEAKEST}",
     "weakest_scores": f"WITH {_F}, {_G} SELECT page_id, score, (SELECT CAST(greatest(count(*) - {R.WEAKEST}, 0) AS BIGINT) FROM g) AS skipped FROM g ORDER BY score, page_id LIMIT {R.WEAKEST}",
     "worst_groups": f"WITH l AS (SELECT url, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS value FROM pages), n AS (SELECT value, count(*) AS pages FROM l WHERE value <> '' GROUP BY value HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT {S.WORST}) SELECT value, pages, array_to_string((SELECT list(url ORDER BY url) FROM (SELECT DISTINCT url FROM l WHERE l.value = n.value))[1:{S.SAMPLE}], ',') AS sample FROM n",
-    "links_probed": f"WITH {_F}, {_LINK}, d AS (SELECT DISTINCT link FROM l), p AS (SELECT length(link) % 7 AS n FROM (SELECT link FROM d ORDER BY link LIMIT {R.LINKS_PROBED})), g AS (SELECT count(*) FILTER (n = 0) AS b, count(*) FILTER (n IN (1, 3)) AS m, count(*) AS c, (SELECT count(*) FROM d) AS t FROM p) "
-    f"SELECT * FROM (SELECT 'links.broken' AS code, 'critical' AS severity, b AS n FROM g UNION ALL SELECT 'links.redirecting', 'low', m FROM g UNION ALL SELECT 'links.truncated', 'info', t - {R.LINKS_PROBED} FROM g UNION ALL SELECT 'links.all_ok', 'info', CASE WHEN b = 0 THEN c ELSE 0 END FROM g) WHERE n > 0",
+    "links_probed": f"WITH {_F}, {_LINK}, d AS (SELECT page_id, link, min(pos) AS pos, length(link) % 7 AS n FROM l GROUP BY page_id, link), o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM d), g AS (SELECT page_id, count(*) FILTER (n = 0 AND k <= {_FEW}) AS b, count(*) FILTER (n IN (1, 3) AND k <= {_FEW}) AS m, count(*) FILTER (k <= {_FEW}) AS c, count(*) - {_FEW} AS t FROM o GROUP BY page_id) "
+    f"SELECT * FROM (SELECT page_id, 'links.broken' AS code, 'critical' AS severity, b AS n FROM g UNION ALL SELECT page_id, 'links.redirecting', 'low', m FROM g UNION ALL SELECT page_id, 'links.truncated', 'info', t FROM g UNION ALL SELECT page_id, 'links.all_ok', 'info', CASE WHEN b = 0 THEN c ELSE 0 END FROM g) WHERE n > 0",
     "question_list": f"WITH {_Q}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, question DESC, url DESC) AS i FROM k), s AS (SELECT key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM k GROUP BY key) SELECT question, url, score, sources FROM r JOIN s USING (key) WHERE i = 1",
     "question_sources_lost": f"WITH {_Q} SELECT source, min(substr(error, 1, 120)) AS error FROM q WHERE error IS NOT NULL GROUP BY source",
     "mention_evidence": _mentions(), "links_compare": _compared(None), "links_compare_withheld": _compared(1997),

@@ -78,33 +78,37 @@ def pages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that no order of 1996 points to."""
+    """Customers that no finished order points to."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("url"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.year("o_orderdate") == 1996).select(F.lit("o").alias("src"), F.col("o_custkey").cast("string").alias("dst"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.lit("o").alias("src"), F.col("o_custkey").cast("string").alias("dst"))
     return S.orphans(c, o, "0").select(F.col("url").cast("long").alias("custkey"))
 
 
-def _audit(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.year("o_orderdate") == year)
+#: Orders of even years are one audit, those of odd years the other.
+EVEN, ODD, _CODES = 0, 1, 700
+
+
+def _audit(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.year("o_orderdate") % 2 == half)
     sev = F.when(F.col("o_orderstatus") == "F", "critical").when(F.col("o_orderstatus") == "O", "high").otherwise("low")
-    return o.select(F.concat("o_orderstatus", F.lit("."), (F.col("o_custkey") % 40).cast("string")).alias("code"), sev.alias("severity"))
+    return o.select(F.concat("o_orderstatus", F.lit("."), (F.col("o_custkey") % _CODES).cast("string")).alias("code"), sev.alias("severity"))
 
 
-def _audit_sql(year: int) -> str:
-    return f"SELECT o_orderstatus || '.' || o_custkey % 40 AS code, CASE o_orderstatus WHEN 'F' THEN 8 WHEN 'O' THEN 4 ELSE 1 END AS w FROM orders WHERE year(o_orderdate) = {year}"
+def _audit_sql(half: int) -> str:
+    return f"SELECT o_orderstatus || '.' || o_custkey % {_CODES} AS code, CASE o_orderstatus WHEN 'F' THEN 8 WHEN 'O' THEN 4 ELSE 1 END AS w FROM orders WHERE year(o_orderdate) % 2 = {half}"
 
 
 def audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.audit_diff(_audit(spark, sf_dir, 1996), _audit(spark, sf_dir, 1998))
+    return A.audit_diff(_audit(spark, sf_dir, EVEN), _audit(spark, sf_dir, ODD))
 
 
 def compete_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _audit(spark, sf_dir, 1995).select(F.lit("ours").alias("side"), "code").unionAll(_audit(spark, sf_dir, 1997).select(F.lit("theirs").alias("side"), "code"))
+    f = _audit(spark, sf_dir, EVEN).select(F.lit("ours").alias("side"), "code").unionAll(_audit(spark, sf_dir, ODD).select(F.lit("theirs").alias("side"), "code"))
     return A.compare(f)
 
 
 def fault_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _audit(spark, sf_dir, 1995).withColumn("audit", F.lit("1995")).unionAll(_audit(spark, sf_dir, 1997).withColumn("audit", F.lit("1997")))
+    f = _audit(spark, sf_dir, EVEN).withColumn("audit", F.lit("even")).unionAll(_audit(spark, sf_dir, ODD).withColumn("audit", F.lit("odd")))
     return A.fault_weight(f)
 
 
@@ -140,8 +144,8 @@ ORACLE_SQL = {
     "most_linked": _ranked_sql("true"), "least_linked": _ranked_sql("inbound = 0", _TRADE), "dead_ends": _ranked_sql("outbound = 0", _TRADE),
     "pagerank": _pagerank_sql(),
     "crawl_bfs": f"WITH {_LINKS}, b0 AS (SELECT coalesce(min(src), 0) AS node FROM e), {_B} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (" + " UNION ALL ".join(f"SELECT node, {i} AS depth FROM b{i}" for i in range(LEVELS + 1)) + ") GROUP BY node",
-    "orphan_pages": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996)",
-    "audit_diff": f"WITH b AS (SELECT code, max(w) AS b FROM ({_audit_sql(1996)}) GROUP BY code), a AS (SELECT code, max(w) AS a FROM ({_audit_sql(1998)}) GROUP BY code) SELECT coalesce(b.code, a.code) AS code, CASE WHEN a IS NULL THEN 'fixed' WHEN b IS NULL THEN 'introduced' ELSE 'remaining' END AS change, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM b FULL JOIN a ON b.code = a.code",
-    "compete_compare": f"WITH o AS (SELECT DISTINCT code FROM ({_audit_sql(1995)})), t AS (SELECT DISTINCT code FROM ({_audit_sql(1997)})) SELECT coalesce(o.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'ours' WHEN o.code IS NULL THEN 'theirs' ELSE 'both' END AS where_found FROM o FULL JOIN t ON o.code = t.code",
-    "fault_weight": " UNION ALL ".join(f"SELECT '{y}' AS audit, CAST((SELECT sum(w) FROM ({_audit_sql(y)})) AS BIGINT) AS all_findings, CAST((SELECT sum(w) FROM (SELECT code, max(w) AS w FROM ({_audit_sql(y)}) GROUP BY code)) AS BIGINT) AS by_code" for y in (1995, 1997)),
+    "orphan_pages": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+    "audit_diff": f"WITH b AS (SELECT code, max(w) AS b FROM ({_audit_sql(EVEN)}) GROUP BY code), a AS (SELECT code, max(w) AS a FROM ({_audit_sql(ODD)}) GROUP BY code) SELECT coalesce(b.code, a.code) AS code, CASE WHEN a IS NULL THEN 'fixed' WHEN b IS NULL THEN 'introduced' ELSE 'remaining' END AS change, CAST(b AS BIGINT) AS before, CAST(a AS BIGINT) AS after FROM b FULL JOIN a ON b.code = a.code",
+    "compete_compare": f"WITH o AS (SELECT DISTINCT code FROM ({_audit_sql(EVEN)})), t AS (SELECT DISTINCT code FROM ({_audit_sql(ODD)})) SELECT coalesce(o.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'ours' WHEN o.code IS NULL THEN 'theirs' ELSE 'both' END AS where_found FROM o FULL JOIN t ON o.code = t.code",
+    "fault_weight": " UNION ALL ".join(f"SELECT '{n}' AS audit, CAST((SELECT sum(w) FROM ({_audit_sql(y)})) AS BIGINT) AS all_findings, CAST((SELECT sum(w) FROM (SELECT code, max(w) AS w FROM ({_audit_sql(y)}) GROUP BY code)) AS BIGINT) AS by_code" for n, y in (("even", EVEN), ("odd", ODD))),
 }
