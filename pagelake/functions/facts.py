@@ -9,9 +9,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from decimal import ROUND_HALF_UP, Decimal
-from functools import lru_cache
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -230,72 +230,82 @@ def reading(text: str) -> dict:
     }
 
 
-def facts(html: str | None) -> dict:
+def facts(html: str | None, wanted: Collection[str] | None = None) -> dict:
+    """The facts of a page, or the wanted ones; what nobody wants is not computed."""
     root, comments = parse(html or "")
     every = [e for e in walk(root) if e is not root]
     body = next((e for e in every if e.tag == "body"), root)
     head = next((e for e in every if e.tag == "head"), None)
     in_head = {id(e) for e in walk(head)} if head is not None else set()
-    in_body = {id(e) for e in walk(body)} if body is not root else set()
+    in_body = cache(lambda: {id(e) for e in walk(body)} if body is not root else set())
     by: dict[str, list[Element]] = {}
     for e in every:
         by.setdefault(e.tag, []).append(e)
     get = lambda *tags: [e for e in every if e.tag in tags] if len(tags) > 1 else by.get(tags[0], [])
-    metas = [{"name": e.attrs.get("name", "").lower(), "property": e.attrs.get("property", "").lower(), "content": e.attrs.get("content", "").strip(), "body": id(e) in in_body} for e in get("meta")]
-    body_text = squeeze(text_of(body, "", _SILENT, True))
-    prose = text_of(body, " ", _SILENT | {"a"})
-    prose = "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in prose)
+    metas = cache(lambda: [{"name": e.attrs.get("name", "").lower(), "property": e.attrs.get("property", "").lower(), "content": e.attrs.get("content", "").strip(), "body": id(e) in in_body()} for e in get("meta")])
+    body_text = cache(lambda: squeeze(text_of(body, "", _SILENT, True)))
+    prose = cache(lambda: "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in text_of(body, " ", _SILENT | {"a"})))
     region = next((e for e in every if e.tag in ("article", "main")), None)
     rel = lambda e: e.attrs.get("rel", "").lower().split()
-    videos = [e for e in get("video", "iframe") if e.tag == "video" or any(v in e.attrs.get("src", "").lower() for v in _VIDEO)]
-    hidden = concealed([e for e in walk(body) if e is not body])
-    pictured, captioned = holders(get("img", "svg", "picture", "video")), holders(get("figcaption"))
-    with_img = holders(get("img"))
-    scripts = [text_of(e) for e in get("script") if "ld+json" in e.attrs.get("type", "").lower()]
-    nodes, bad = linked_data(scripts)
-    paragraphs = [squeeze(text_of(e, " ")) for e in walk(body) if e.tag in ("p", "li")]
-    return {
-        "titles": [text_of(e).strip() for e in get("title") if not in_head or id(e) in in_head],
-        "descriptions": [m["content"] for m in metas if m["name"] == "description"],
-        "metas": metas,
-        "lang": next((e.attrs.get("lang", "").strip() for e in get("html")), ""),
-        "base_href": next((e.attrs["href"].strip() for e in get("base") if "href" in e.attrs), None),
-        "canonicals": [e.attrs.get("href", "").strip() for e in get("link") if "canonical" in rel(e)],
-        "headings": [{"level": int(e.tag[1]), "text": squeeze(text_of(e, " "))} for e in get("h1", "h2", "h3", "h4", "h5", "h6")],
-        "links": [{"href": e.attrs["href"].strip(), "text": text_of(e).strip(), "rel": e.attrs.get("rel", "").lower(), "image": id(e) in pictured} for e in get("a") if "href" in e.attrs],
-        "images": [{"src": next((e.attrs[k].strip() for k in ("src", "data-src", "data-lazy-src") if e.attrs.get(k, "").strip()), (e.attrs.get("srcset", "").strip() or e.attrs.get("data-srcset", "").strip()).split(",")[0].strip().split(" ")[0]), "alt": e.attrs.get("alt"), "width": e.attrs.get("width"), "height": e.attrs.get("height"), "loading": e.attrs.get("loading", "").lower()} for e in get("img")],
-        "bare_pictures": sum(id(e) not in with_img for e in get("picture")),
-        "hreflangs": [{"lang": e.attrs["hreflang"].strip(), "href": e.attrs.get("href", "").strip()} for e in get("link") if "alternate" in rel(e) and e.attrs.get("hreflang", "").strip()],
-        "jsonld": scripts, "nodes": nodes, "bad_blocks": bad, "legacy": any("itemtype" in e.attrs or "typeof" in e.attrs for e in every),
-        "elements": len(every),
-        "body_text": body_text, "n_words": len(body_text.split()), "reading": reading(body_text), "visible_text": squeeze(text_of(root, " ", _SILENT)),
-        "content_words": len(prose.split()),
-        "paragraphs": paragraphs,
-        "long_paragraphs": sum(len(text_of(e, " ").split()) > 150 for e in walk(body) if e.tag == "p"),
-        "lists": len(get("ul", "ol")), "tables": len(get("table")), "quotes": len(get("blockquote", "q", "cite")),
-        "forms": [e.attrs.get("action", "").strip() for e in get("form")],
-        "embeds": len(videos), "tracks": len(get("track")), "figures": len(get("figure")),
-        "captions": sum(id(e) in captioned for e in get("figure")),
-        "times": [e.attrs["datetime"] for e in get("time") if e.attrs.get("datetime")],
-        "popups": sum(bool(_POPUP.search(e.attrs.get("class", "") + " " + e.attrs.get("id", ""))) for e in get("div", "section", "dialog")),
-        "article_words": len(text_of(region, " ").split()) if region is not None else None,
-        "comments": comments, "hidden": hidden,
-        "author_rel": next((e.attrs.get("href") or text_of(e).strip() for e in every if "author" in rel(e)), None),
+    videos = cache(lambda: [e for e in get("video", "iframe") if e.tag == "video" or any(v in e.attrs.get("src", "").lower() for v in _VIDEO)])
+    hidden = cache(lambda: concealed([e for e in walk(body) if e is not body]))
+    pictured, captioned, with_img = (cache(lambda tags=tags: holders(get(*tags))) for tags in (("img", "svg", "picture", "video"), ("figcaption",), ("img",)))
+    scripts = cache(lambda: [text_of(e) for e in get("script") if "ld+json" in e.attrs.get("type", "").lower()])
+    nodes = cache(lambda: linked_data(scripts()))
+    found = {
+        "titles": lambda: [text_of(e).strip() for e in get("title") if not in_head or id(e) in in_head],
+        "descriptions": lambda: [m["content"] for m in metas() if m["name"] == "description"],
+        "metas": lambda: metas(),
+        "lang": lambda: next((e.attrs.get("lang", "").strip() for e in get("html")), ""),
+        "base_href": lambda: next((e.attrs["href"].strip() for e in get("base") if "href" in e.attrs), None),
+        "canonicals": lambda: [e.attrs.get("href", "").strip() for e in get("link") if "canonical" in rel(e)],
+        "headings": lambda: [{"level": int(e.tag[1]), "text": squeeze(text_of(e, " "))} for e in get("h1", "h2", "h3", "h4", "h5", "h6")],
+        "links": lambda: [{"href": e.attrs["href"].strip(), "text": text_of(e).strip(), "rel": e.attrs.get("rel", "").lower(), "image": id(e) in pictured()} for e in get("a") if "href" in e.attrs],
+        "images": lambda: [{"src": next((e.attrs[k].strip() for k in ("src", "data-src", "data-lazy-src") if e.attrs.get(k, "").strip()), (e.attrs.get("srcset", "").strip() or e.attrs.get("data-srcset", "").strip()).split(",")[0].strip().split(" ")[0]), "alt": e.attrs.get("alt"), "width": e.attrs.get("width"), "height": e.attrs.get("height"), "loading": e.attrs.get("loading", "").lower()} for e in get("img")],
+        "bare_pictures": lambda: sum(id(e) not in with_img() for e in get("picture")),
+        "hreflangs": lambda: [{"lang": e.attrs["hreflang"].strip(), "href": e.attrs.get("href", "").strip()} for e in get("link") if "alternate" in rel(e) and e.attrs.get("hreflang", "").strip()],
+        "jsonld": lambda: scripts(),
+        "nodes": lambda: nodes()[0],
+        "bad_blocks": lambda: nodes()[1],
+        "legacy": lambda: any("itemtype" in e.attrs or "typeof" in e.attrs for e in every),
+        "elements": lambda: len(every),
+        "body_text": lambda: body_text(),
+        "n_words": lambda: len(body_text().split()),
+        "reading": lambda: reading(body_text()),
+        "visible_text": lambda: squeeze(text_of(root, " ", _SILENT)),
+        "content_words": lambda: len(prose().split()),
+        "paragraphs": lambda: [squeeze(text_of(e, " ")) for e in walk(body) if e.tag in ("p", "li")],
+        "long_paragraphs": lambda: sum(len(text_of(e, " ").split()) > 150 for e in walk(body) if e.tag == "p"),
+        "lists": lambda: len(get("ul", "ol")),
+        "tables": lambda: len(get("table")),
+        "quotes": lambda: len(get("blockquote", "q", "cite")),
+        "forms": lambda: [e.attrs.get("action", "").strip() for e in get("form")],
+        "embeds": lambda: len(videos()),
+        "tracks": lambda: len(get("track")),
+        "figures": lambda: len(get("figure")),
+        "captions": lambda: sum(id(e) in captioned() for e in get("figure")),
+        "times": lambda: [e.attrs["datetime"] for e in get("time") if e.attrs.get("datetime")],
+        "popups": lambda: sum(bool(_POPUP.search(e.attrs.get("class", "") + " " + e.attrs.get("id", ""))) for e in get("div", "section", "dialog")),
+        "article_words": lambda: len(text_of(region, " ").split()) if region is not None else None,
+        "comments": lambda: comments,
+        "hidden": lambda: hidden(),
+        "author_rel": lambda: next((e.attrs.get("href") or text_of(e).strip() for e in every if "author" in rel(e)), None),
     }
+    return {k: f() for k, f in found.items() if wanted is None or k in wanted}
 
 
-def with_facts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages with the facts of their html added; each page is parsed once. A null html is an empty page."""
-    from pyspark.sql.types import StructType
-
-    added = StructType.fromDDL(SCHEMA)
+def with_facts(pages: DataFrame, html: str = "html", only: Collection[str] | None = None) -> DataFrame:
+    """Pages with the facts of their html added, all or only some; each page is parsed once. A null html is an empty page."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    added = StructType([f for f in StructType.fromDDL(SCHEMA).fields if only is None or f.name in only])
     names, kinds, at = added.fieldNames(), [f.type for f in to_arrow_schema(added)], pages.columns.index(html)
+    wanted = frozenset(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [facts(x) for x in rows.column(at).to_pylist()]
+            found = [facts(x, wanted) for x in rows.column(at).to_pylist()]
             cols = [pa.array([f[n] for f in found], type=k) for n, k in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*rows.schema.names, *names])
 

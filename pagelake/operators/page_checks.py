@@ -6,7 +6,7 @@ unless it says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -425,9 +425,12 @@ def captured(pages: DataFrame) -> DataFrame:
     )
 
 
-def prepared(pages: DataFrame) -> DataFrame:
-    """Captured pages with facts, resolved links and the number of figures, which several checks ask for."""
-    return with_facts(pages).withColumn("page_links", resolved_links()).withColumn("n_statistics", F.size(T.statistics(F.col("body_text"))))
+def prepared(pages: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Captured pages with facts, resolved links and the number of figures, which several checks ask for; or with some facts only, and `page_links` among them if links are."""
+    df = with_facts(pages, only=None if only is None else {*only, "base_href"} if "links" in only else only)
+    if only is None or "links" in only:
+        df = df.withColumn("page_links", resolved_links())
+    return df if only is not None else df.withColumn("n_statistics", F.size(T.statistics(F.col("body_text"))))
 
 
 def found_rows(*prefixes: str) -> Column:

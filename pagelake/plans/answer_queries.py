@@ -56,7 +56,7 @@ def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page's site calls itself."""
-    n = B.brand_names(C.prepared(C.captured(_branded(spark, sf_dir))))
+    n = B.brand_names(C.prepared(C.captured(_branded(spark, sf_dir)), ("metas", "jsonld", "titles")))
     return n.select("page_id", "brand", F.array_join("aliases", "|").alias("aliases"), "host")
 
 

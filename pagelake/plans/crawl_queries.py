@@ -34,7 +34,7 @@ def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.when(F.expr(_BARE), F.concat(F.lit("<html><head><title>Bare "), n.cast("string"), F.lit("</title></head><body><p>Same body.</p></body></html>"))).otherwise(html)
     own = F.concat(F.lit(SITE), n.cast("string"))
     p = _pages(spark, sf_dir).select("page_id", F.col("page_id").alias("n"), "html").withColumn("html", html).withColumn("url", own)
-    facts = C.prepared(C.captured(p))
+    facts = C.prepared(C.captured(p), ("metas", "canonicals", "titles", "descriptions", "hreflangs", "links", "body_text"))
     hop = lambda *urls: F.array(*(F.struct(u.alias("url")) for u in urls))
     n, url = F.col("page_id"), F.col("url")
     old = F.concat(url, F.lit("/old"))

@@ -18,8 +18,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prepared(C.captured(_pages(spark, sf_dir)))
+def _prepared(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """Pages with all facts, or with those named."""
+    return C.prepared(C.captured(_pages(spark, sf_dir)), only or None)
 
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def url_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _prepared(spark, sf_dir)
+    df = _prepared(spark, sf_dir, "titles", "lang", "headings", "links", "body_text", "content_words")
     return df.select(
         "page_id", F.try_element_at(F.col("titles"), F.lit(1)).alias("title"), "lang", F.size("headings").cast("long").alias("headings"), F.size("links").cast("long").alias("links"),
         word_count(F.col("body_text")).alias("words"), F.col("content_words").cast("long").alias("content_words"), F.sha2(F.col("body_text").cast("binary"), 256).alias("body_hash"),
@@ -47,7 +48,7 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _prepared(spark, sf_dir).select("page_id", F.posexplode("page_links").alias("pos", "x"))
+    df = _prepared(spark, sf_dir, "links").select("page_id", F.posexplode("page_links").alias("pos", "x"))
     return df.select("page_id", F.col("pos").cast("long").alias("pos"), "x.href", "x.url", "x.internal", "x.nofollow")
 
 
@@ -64,7 +65,7 @@ def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _prepared(spark, sf_dir).select("page_id", F.trim(F.try_element_at(F.col("titles"), F.lit(1))).alias("title")).where("title <> ''")
+    df = _prepared(spark, sf_dir, "titles").select("page_id", F.trim(F.try_element_at(F.col("titles"), F.lit(1))).alias("title")).where("title <> ''")
     return df.groupBy("title").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
 
 

@@ -143,7 +143,7 @@ def schema_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the damaged pages that leave out a level."""
-    f = C.prepared(C.captured(damaged(_pages(spark, sf_dir))))
+    f = C.prepared(C.captured(damaged(_pages(spark, sf_dir))), ("headings",))
     return M.heading_skips(f.select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.level"))
 
 
@@ -219,7 +219,7 @@ def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of the damaged pages as if they had been fetched."""
-    f = V.images(C.prepared(C.captured(damaged(_pages(spark, sf_dir)))))
+    f = V.images(C.prepared(C.captured(damaged(_pages(spark, sf_dir))), ("images",)))
     n = F.col("page_id")
     return f.select("page_id", F.concat("src", F.lit("?"), n.cast("string")).alias("url"), F.when(n % 5 == 0, 404).otherwise(200).alias("status"), (n * 99_991 % 1_000_000).cast("long").alias("bytes"))
 
@@ -242,7 +242,7 @@ def llms_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the nodes of the damaged pages' structured data lack."""
-    f = C.prepared(C.captured(damaged(_pages(spark, sf_dir))))
+    f = C.prepared(C.captured(damaged(_pages(spark, sf_dir))), ("nodes",))
     return A.schema_rules(f.select("page_id", F.explode("nodes").alias("n")).select("page_id", F.explode("n.types").alias("type"), F.col("n.props").alias("props")))
 
 
@@ -291,7 +291,7 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     html = F.when(n % 3 == 0, F.replace(F.replace("html", F.lit("<head>"), F.lit("<head>" + _TAGGED)), F.lit("<body>"), F.lit("<body>" + _PICTURED))).otherwise(F.col("html"))
     link = F.create_map(F.lit("link"), F.concat(F.lit('</de/'), n.cast("string"), F.lit('>; rel="alternate"; hreflang="de", </z>; rel="next"')))
-    return C.prepared(C.captured(_pages(spark, sf_dir).withColumn("html", html)).withColumn("headers", F.when(n % 4 == 0, link).otherwise(F.col("headers"))))
+    return C.prepared(C.captured(_pages(spark, sf_dir).withColumn("html", html)).withColumn("headers", F.when(n % 4 == 0, link).otherwise(F.col("headers"))), ("images", "hreflangs"))
 
 
 def images_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

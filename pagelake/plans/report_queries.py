@@ -29,7 +29,7 @@ def weakest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worst_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest groups of pages that share a language, with the first of their addresses."""
-    p = _prepared(spark, sf_dir).select("url", "lang", "media_type", "ok", F.lit(None).cast("string").alias("robots"))
+    p = _prepared(spark, sf_dir, "lang").select("url", "lang", "media_type", "ok", F.lit(None).cast("string").alias("robots"))
     return S.duplicate_groups(p, "lang", S.WORST).withColumn("sample", F.array_join("sample", ","))
 
 
@@ -153,11 +153,11 @@ def suggestions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.images(C.prepared(C.captured(damaged(_pages(spark, sf_dir)))))
+    return V.images(C.prepared(C.captured(damaged(_pages(spark, sf_dir))), ("images",)))
 
 
 def hreflangs_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.hreflangs(C.prepared(C.captured(damaged(_pages(spark, sf_dir)))))
+    return V.hreflangs(C.prepared(C.captured(damaged(_pages(spark, sf_dir))), ("hreflangs",)))
 
 
 def robots_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

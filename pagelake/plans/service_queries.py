@@ -16,7 +16,7 @@ from .page_queries import geo_score as _score
 
 
 def first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.first_paragraph(_prepared(spark, sf_dir)).where("lead IS NOT NULL")
+    return V.first_paragraph(_prepared(spark, sf_dir, "paragraphs")).where("lead IS NOT NULL")
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
