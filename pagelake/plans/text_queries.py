@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import excerpts as X
 from pagelake.functions import text as T
 from pagelake.functions.constants import CALLS, FIGURE_KINDS, FILLER, HEDGES, INVISIBLE, NOT_CHARTABLE, STATISTIC_BODY, WS
+from pagelake.operators import text_difference as D
 
 from .fixtures import literal
 
@@ -21,7 +22,7 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("shingles"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(D.runs(F.col("text")))).cast("long").alias("shingles"))
 
 
 def shingle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
