@@ -104,3 +104,12 @@ def test_long_broken_markup():
         facts(piece * 4000)
     assert time.time() - began < 20
     assert [x["text"] for x in facts("<a href=1>one<a href=2>two")["links"]] == ["one", "two"]
+
+
+def test_references_without_their_semicolon_stay_as_written():
+    from pagelake.functions.facts import facts
+
+    html = '<title>A&amp;&amp</title><script type="application/ld+json">{"a":"b&amp c"}</script><!-- x &amp y --><a href="/q?a=1&copy=2&lt;3">R&D &ampx; &nosuch; &#38; &eacute;</a>'
+    f = facts(html, {"titles", "jsonld", "comments", "links"})
+    assert f["titles"] == ["A&&amp"] and f["jsonld"] == ['{"a":"b&amp c"}'] and f["comments"] == [" x &amp y "]
+    assert [(x["href"], x["text"]) for x in f["links"]] == [("/q?a=1&copy=2<3", "R&D &ampx; &nosuch; & é")]

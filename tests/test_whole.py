@@ -4,7 +4,9 @@ import datetime
 from collections import Counter
 
 from pagelake.plans import page_queries, site_queries
-from pagelake.plans.registry import QUERIES
+from pagelake.plans.registry import ORACLE_SQL, QUERIES
+
+from .oracle import check
 
 
 def pages_dir(spark, path, pages):
@@ -109,3 +111,10 @@ def test_comparison_with_an_unknown_side(spark):
     p = spark.createDataFrame([("a", "c1", 9, 4, None), ("b", "c1", None, None, "timeout")], "side string, crawl string, blocks long, urls long, error string")
     r = R.compare_sides(c, p).first()
     assert (r.citation_gap, r.block_gap, r.url_gap, r.corpus_withheld, r.sources_lost) == (2, None, None, True, 1)
+
+
+def test_titles_with_unterminated_references_group_as_written(spark, tmp_path):
+    html = "<html lang=\"en\"><head><title>A&amp;&amp</title></head><body><h1>A</h1><p>x &amp y</p></body></html>"
+    sf = pages_dir(spark, tmp_path / "sf", [html] * 40)
+    for name in ("dup_titles", "dup_groups"):
+        check(spark, QUERIES[name], ORACLE_SQL[name], sf)
