@@ -34,7 +34,7 @@ def jsonld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def service_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of five services' results over the tables, seen while they are made; a row a flag."""
     facts, links = _prepared(spark, sf_dir), _links(spark, sf_dir)
-    rows = O.settled(O.ordered_findings(facts), "page.audit", O.page_audit()) + O.settled(G.geo_score(G.geo_signals(facts)), "geo.score", O.geo_score()) + O.settled(S.ranked(links), "site.graph", O.site_graph())
+    rows = O.settled(O.ordered_findings(facts), "page.audit", O.page_audit()) + O.settled(G.geo_score(G.geo_signals(facts)), "geo.score", O.geo_score()) + O.settled(S.ranked_exactly(links), "site.graph", O.site_graph())
     rows += O.settled(audit_diff(spark, sf_dir), "audit.diff", O.audit_diff()) + O.settled(content_charts(spark, sf_dir), "content.charts", O.content_charts())
     return spark.createDataFrame(rows, "service string, check string, passed boolean, rows long")
 

@@ -11,6 +11,7 @@ from pagelake.operators import geo_score as G
 from pagelake.operators import index_lists as I
 from pagelake.operators import observed as O
 from pagelake.operators import page_checks as C
+from pagelake.operators import site as S
 from pagelake.operators import text_difference as D
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +117,11 @@ def test_index_lines(spark, tmp_path):
     (r,) = I.capture_summary(I.index_lines_of(spark, str(tmp_path))).collect()
     assert (r.captures, r.status_2xx, r.html, r.urls, r.malformed) == (3, 1, 1, 1, 2)
     assert I.capture_summary(spark.createDataFrame([], "key string, line string")).isEmpty()
+
+
+def test_invariants_hold_of_many_small_ranks(spark):
+    """Ranks of so many nodes that five places do not show them."""
+    ring = spark.range(30_000).selectExpr("id AS src", "(id + 1) % 30000 AS dst")
+    rows = O.settled(S.ranked_exactly(ring), "site.graph", O.site_graph())
+    assert all(ok and n == 30_000 for *_, ok, n in rows)
+    assert not flags(O.settled(S.pagerank(ring).selectExpr("*", "1 AS inbound", "1 AS outbound"), "site.graph", O.site_graph()))["ranks_sum_to_one"]
