@@ -51,3 +51,16 @@ def test_reasoning_and_shape(spark):
     rows = [('[{"a": 1}]', '{"figures": [{"a": 1}]}'), ('{"figures": [1]}', '{"figures": [1]}'), ("not json", "{}"), (None, "{}"), ("", "{}"), (" []", '{"figures":  []}')]
     df = spark.createDataFrame(rows, "x string, want string")
     assert all(r.got == r.want for r in df.select(J.as_object(F.col("x"), "figures").alias("got"), "want").collect())
+
+
+def test_all_cuts_in_one_walk(spark):
+    """The same as each cut by itself, and no row for each length of a long document."""
+    texts = ['{"a":[1,"two",{"b":null,"c":[true,2.5,"x,]}\\\\\\""]}],"g":"é"} rest', '[[1,2],[3', '{"a": 1]', '{"a" 1, "b": 2}', "", "none", 'so: {"a":[1,2]}', '{"x":["a<thinker","b"],"y":1}', '{"x":["a``","b"],"y":1}', '{"a":1,}', "{]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, doc string")
+    got = {}
+    for r in J.salvaged_cuts(df, "doc").collect():
+        got.update({(r.id, c): r.salvaged for c in range(r.first_cut, r.first_cut + r.cuts)})
+    each = df.select("id", F.expr("explode(transform(sequence(0, length(doc)), i -> struct(i, substring(doc, 1, i) AS x)))").alias("c")).select("id", "c.i", J.salvaged(F.col("c.x")).alias("y"))
+    assert got == {(r.id, r.i): r.y for r in each.collect()}
+    long = spark.createDataFrame([("[" + '"' + "x" * 100_000 + '",1]',)], "doc string")
+    assert J.salvaged_cuts(long, "doc").count() == 3
