@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .classes import class_texts, find_classes, row_key
@@ -383,6 +383,16 @@ def _links(answers: DataFrame, threshold: int) -> DataFrame:
     return answers.where(F.expr(f"sure AND {100 + threshold} * both >= {threshold} * (na + nb)")).select("a", "b")
 
 
+def _spanning(links: DataFrame) -> DataFrame:
+    """Fewer links(a, b) that connect the same sets: each b to its least a, and that one to b's other ones, once.
+
+    Sets of one group mostly meet the same others, so of the links between those few are distinct.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    between = links.withColumn("m", least).where("a <> m").select("a", F.col("m").alias("b")).distinct()
+    return links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(between)
+
+
 def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, class_id), one row for each row of docs.
 
@@ -443,7 +453,7 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     index = scratch(index.select("doc_id", "rk", "n", "cls"), "documents")
     drop_scratch(whole)
     answers = _answers(found.where("kind = 0").select("a", "b"), sigs, docs, reps, clashes, threshold)
-    first = scratch(components(_links(answers, threshold)), "first")
+    first = scratch(components(_spanning(_links(answers, threshold))), "first")
 
     # what is left: long lists that hold several components
     rows = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos", "leads")
@@ -465,7 +475,7 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
     more = scratch(rows.mapInPandas(_across(threshold), "a long, b long"), "across")
     if not more.isEmpty():
-        late = _links(_answers(more, sigs, docs, reps, clashes, threshold), threshold)
+        late = _spanning(_links(_answers(more, sigs, docs, reps, clashes, threshold), threshold))
         links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)
         first = scratch(components(links), "both")
 

@@ -176,3 +176,15 @@ def test_embeddings_of_repeated_and_null_ids(spark):
 
 def test_no_embeddings(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_links_between_leaders_are_few(spark):
+    """Of the links of a group only those stay that connect it: not each set with each of its leaders."""
+    from pagelake.llm.components import components
+    from pagelake.llm.jaccard import _spanning
+
+    dense = [(a, b) for a in range(20) for b in range(20, 400)] + [(500, 501), (501, 502), (7, 503), (503, 504)]
+    links = spark.createDataFrame(dense, "a long, b long")
+    few = _spanning(links).collect()
+    assert len(few) < 450
+    assert sorted(components(_spanning(links)).collect()) == sorted(components(links).collect())
