@@ -12,8 +12,10 @@ Skipping of answers: sets that are equal are one class. In a long list every set
 with a few leaders of like size only. A set found highly similar takes over its leader's component, and
 of the list only pairs between different components are still open. Their answers are derived from the
 leaders' computed ones: a set m meets x in at most as many tokens as its leader does, and |m - leader|
-more. What these bounds leave open is bounded by signatures, and what is left is verified by the whole
-sets. Components, sizes and membership are exact.
+more. What these bounds leave open is bounded by signatures. Of what is left each set first asks for its
+nearest few, which are verified by the whole sets; as they mostly make one component of a group, few of
+its other pairs are still open in the next round, which asks for more, until none was left out.
+Components, sizes and membership are exact.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ _GRAIN = 1024
 SIGNATURE = (512, 1 << 17)
 #: Bits that the signatures of a list's entries are folded to.
 FOLDED = 512
+#: Pairs that a set of a long list asks for at first, the nearest by signature, and how many times more from round to round.
+NEAREST, FURTHER = 2, 16
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -275,11 +279,22 @@ def _bounds(leads: list[np.ndarray], known: list[np.ndarray], sure: list[np.ndar
     return list(out.values())
 
 
-def _across(threshold: int):
+def _nearest(owner: np.ndarray, far: np.ndarray, most: int, cut: np.ndarray) -> np.ndarray:
+    """Places of the `most` pairs of each owner that are least far; marks in cut the owners that have more."""
+    order = np.lexsort((far, owner))
+    own = owner[order]
+    head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate((head, [len(own)])))
+    cut[own[head[size > most]]] = True
+    return order[np.arange(len(own)) - np.repeat(head, size) < most]
+
+
+def _across(threshold: int, most: int):
     """Entries of long lists with their components -> pairs between different components, block by block.
 
     Left out are pairs that the leaders' answers rule out, and those whose signatures differ in more
-    bits than the threshold allows tokens.
+    bits than the threshold allows tokens. Each set gives its `most` nearest sets that come before it by size; `more`
+    says that it has others.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +308,8 @@ def _across(threshold: int):
                 bounds = _bounds(g["leads"].tolist(), g["known"].tolist(), g["sure"].tolist(), n)
                 sig = np.frombuffer(b"".join(fold(x, FOLDED // 8) for x in g["sig"]), np.uint64).reshape(len(g), -1)
                 blocks = [slice(i, min(i + _GRAIN, len(n))) for i in range(0, len(n), _GRAIN)]
-                a, b = [], []
+                cut = np.zeros(len(n), bool)
+                a, b, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
                 for i, x in enumerate(blocks):
                     for y in blocks[i:]:
                         # sizes rise from block to block; past the range, and where no position leaves enough, skip the block
@@ -308,19 +324,22 @@ def _across(threshold: int):
                             ok = np.triu(ok, 1)
                         i1, i2 = np.nonzero(ok)
                         total = n[x][i1] + n[y][i2]
-                        for most, lack in bounds:
-                            both = np.minimum(most[x][i1] + lack[y][i2], lack[x][i1] + most[y][i2])
+                        for shared, lack in bounds:
+                            both = np.minimum(shared[x][i1] + lack[y][i2], lack[x][i1] + shared[y][i2])
                             near = (100 + threshold) * both >= threshold * total
                             i1, i2, total = i1[near], i2[near], total[near]
                         bits = np.zeros(len(i1), np.int64)
                         for k in range(sig.shape[1]):
                             bits += np.bitwise_count(sig[x, k][i1] ^ sig[y, k][i2])
-                        near = (100 + threshold) * bits <= (100 - threshold) * total
-                        a.append(cls[x][i1[near]])
-                        b.append(cls[y][i2[near]])
-                first, second = _unique_pairs(a, b)
-                if len(first):
-                    yield pd.DataFrame({"a": first, "b": second})
+                        near = np.flatnonzero((100 + threshold) * bits <= (100 - threshold) * total)
+                        near = near[_nearest(i2[near] + y.start, bits[near] / total[near], most, cut)]
+                        a.append(i1[near] + x.start)
+                        b.append(i2[near] + y.start)
+                        far.append(bits[near] / total[near])
+                first, second = np.concatenate(a), np.concatenate(b)
+                kept = _nearest(second, np.concatenate(far), most, cut)
+                if len(kept):
+                    yield pd.DataFrame({"a": cls[first[kept]], "b": cls[second[kept]], "more": cut[second[kept]]})
 
     return run
 
@@ -433,6 +452,24 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.unionAll(met.where(F.col(single)).dropDuplicates([key]).select(*docs.columns))
 
 
+def _tiles(lists: DataFrame, comps: DataFrame, answers: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Entries of the lists(token, cls, n, pos, leads) that hold several components, dealt out to tiles, with what is told of them."""
+    rows = lists.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", "leads", F.coalesce("component", "cls").alias("comp"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(mixed, F.col("token") == F.col("k")).drop("k")
+    # the leaders' answers about each entry, LEADERS at most; a leader shares all its tokens with itself
+    told = rows.withColumn("lead", F.explode("leads")).drop("leads").join(answers.select("a", "b", "both", "sure"), (F.col("lead") == F.col("a")) & (F.col("cls") == F.col("b")), "left")
+    itself = F.col("lead") == F.col("cls")
+    told = told.withColumn("known", F.when(itself, F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))).withColumn("sure", itself | F.coalesce("sure", F.lit(False)))
+    rows = told.groupBy("token", "cls", "n", "pos", "comp", "blocks").agg(F.collect_list(F.struct("lead", "known", "sure")).alias("told"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", F.col("told.lead").alias("leads"), F.col("told.known").alias("known"), F.col("told.sure").alias("sure"), (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
+    rows = rows.join(sigs.select(F.col("cls").alias("k"), "sig"), F.col("cls") == F.col("k")).drop("k")
+    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
+
+
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, class_id, group_id): group_id names a component whatever its rows' ids."""
     spark = docs.sparkSession
@@ -456,28 +493,23 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     first = scratch(components(_spanning(_links(answers, threshold))), "first")
 
     # what is left: long lists that hold several components
-    rows = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos", "leads")
-    rows = rows.join(first, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", "leads", F.coalesce("component", "cls").alias("comp"))
-    rows = scratch(rows, "lists")
+    lists = scratch(found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos", "leads"), "lists")
     drop_scratch(found)
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(mixed, F.col("token") == F.col("k")).drop("k")
-    # the leaders' answers about each entry, LEADERS at most; a leader shares all its tokens with itself
-    told = rows.withColumn("lead", F.explode("leads")).drop("leads").join(answers.select("a", "b", "both", "sure"), (F.col("lead") == F.col("a")) & (F.col("cls") == F.col("b")), "left")
-    itself = F.col("lead") == F.col("cls")
-    told = told.withColumn("known", F.when(itself, F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))).withColumn("sure", itself | F.coalesce("sure", F.lit(False)))
-    rows = told.groupBy("token", "cls", "n", "pos", "comp", "blocks").agg(F.collect_list(F.struct("lead", "known", "sure")).alias("told"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", F.col("told.lead").alias("leads"), F.col("told.known").alias("known"), F.col("told.sure").alias("sure"), (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
-    rows = rows.join(sigs.select(F.col("cls").alias("k"), "sig"), F.col("cls") == F.col("k")).drop("k")
-    rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
-    more = scratch(rows.mapInPandas(_across(threshold), "a long, b long"), "across")
-    if not more.isEmpty():
-        late = _spanning(_links(_answers(more, sigs, docs, reps, clashes, threshold), threshold))
-        links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)
-        first = scratch(components(links), "both")
+    most, tried = NEAREST, None
+    while True:
+        more = scratch(_tiles(lists, first, answers, sigs).mapInPandas(_across(threshold, most), "a long, b long, more boolean"), "across")
+        pairs = more.select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch(pairs, "pairs")
+        if not pairs.isEmpty():
+            got = _answers(pairs, sigs, docs, reps, clashes, threshold)
+            links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_spanning(_links(got, threshold)))
+            first = scratch(components(links), "both")
+            tried = pairs if tried is None else tried.unionAll(pairs)
+        if more.where("more").isEmpty():
+            break
+        most *= FURTHER
 
     ids = first.join(reps, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = first.join(ids, "component").select(F.col("node").alias("named"), "component", "component_id")

@@ -65,3 +65,21 @@ def test_lines_are_told_apart_by_two_hashes(spark, monkeypatch):
     rows = [(i, f"s{i}", "shared line\n" + f"own {i}") for i in range(12)]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     assert {(r.n_lines, r.n_removed, r.text) for r in got} == {(2, 1, f"own {i}") for i in range(12)}
+
+
+def test_a_group_around_the_threshold_is_verified_by_few_pairs(spark, monkeypatch):
+    """Copies of which some of the pairs link: components are exact, and the pairs verified grow with the copies, not with their square."""
+    rng = np.random.RandomState(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(14, 3, replace=False) * 14:
+            words[at] = f"x{rng.randint(10**9)}"
+        docs.append((i, " ".join(words)))
+    asked = []
+    answers = jaccard._answers
+    monkeypatch.setattr(jaccard, "_answers", lambda pairs, *a: asked.append(pairs.distinct().count()) or answers(pairs, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute(dict(docs)).items()}
+    assert len(asked) > 1 and sum(asked[1:]) < 3 * len(docs), asked
