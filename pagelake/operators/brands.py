@@ -1,9 +1,9 @@
 """Brands in recorded answers: the names a site goes by, where answers name them, and how often.
 
 Any number of brands meets any number of answers through an index: an alias can only stand in a text that
-has its first word as a whole word, a host only in one that has the characters around its first dot. Answers
+has its first two words next to each other as whole words, or its only one, a host only in one that has the characters around its first dot. Answers
 and names meet by these keys, dealt out to several tasks each, and only the pairs that share a key are
-looked at with a regex.
+looked at with a regex. A name that many brands go by is looked for once in an answer; brands meet what was found.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import urls as U
 from pagelake.operators import market as M
+from pagelake.sources.tables import scratch_folder
 
 # Labels of a host that name no brand.
 NOT_BRANDS = ("www", "com", "org", "net", "io", "dev", "app", "co", "ai", "xyz")
@@ -72,28 +73,64 @@ def _dots(low: Column, before: int) -> Column:
     return F.transform(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{before}}}\..))"), F.lit(1)), lambda x: F.concat(F.lit("."), x))
 
 
-def answer_keys(text: Column) -> Column:
-    """All keys that a name standing in the text could have."""
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
+
+
+def answer_keys(text: Column, words: Column) -> Column:
+    """All keys that a name standing in the text could have; words: those of the text, folded."""
     low = F.lower(text)
     dots = F.when(F.contains(text, F.lit(".")), F.concat(*(_dots(low, n) for n in (1, 2, 3)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.transform(_words(text), _fold), dots))
+    pairs = F.array_compact(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), _pair))
+    return F.array_distinct(F.concat(words, pairs, dots))
+
+
+def _alias_key(alias: Column) -> Column:
+    words = F.transform(_words(alias), _fold)
+    first, second = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2))
+    return F.coalesce(_pair(first, second), first)
 
 
-def name_keys(aliases: Column, host: Column) -> Column:
-    """The key of each alias, and the host's."""
-    of = F.transform(F.filter(aliases, lambda a: F.length(a) >= 2), lambda a: _fold(F.try_element_at(_words(a), F.lit(1))))
+def _host_key(host: Column) -> Column:
     label = F.least(F.instr(host, ".") - 1, F.lit(3))
-    by_host = F.when((label > 0) & (F.length(host) > F.instr(host, ".")), F.concat(F.lit("."), F.substring(F.lower(host), F.instr(host, ".") - label, label + 2)))
-    return F.array_distinct(F.array_compact(F.concat(of, F.array(by_host))))
+    return F.when((label > 0) & (F.length(host) > F.instr(host, ".")), F.concat(F.lit("."), F.substring(F.lower(host), F.instr(host, ".") - label, label + 2)))
 
 
-def candidates(answers: DataFrame, brands: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(id, brand) that share a key, once each; a superset of the mentions."""
-    seen = answers.select("id", F.explode(answer_keys(F.col("text"))).alias("key"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+def _names(brands: DataFrame) -> DataFrame:
+    """brands(brand, aliases, host) -> (brand, ord, name, is_host): the names that can be found, in order, the host last."""
+    of = F.transform(F.filter("aliases", lambda a: (F.length(a) >= 2) & (F.size(_words(a)) > 0)), lambda a: F.struct(a.alias("name"), F.lit(False).alias("is_host")))
+    host = F.when(F.instr("host", ".") > 1, F.struct(F.col("host").alias("name"), F.lit(True).alias("is_host")))
+    return brands.select("brand", F.posexplode(F.array_compact(F.concat(of, F.array(host)))).alias("ord", "x")).select("brand", "ord", "x.name", "x.is_host")
+
+
+def candidates(answers: DataFrame, names: DataFrame, salts: int = SALTS) -> DataFrame:
+    """answers(no, text), names(name, is_host) -> (no, name, is_host) that share a key, once each; a superset of what stands there."""
+    worded = answers.select("no", "text", F.transform(_words(F.col("text")), _fold).alias("words"))
+    seen = worded.select("no", F.explode(answer_keys(F.col("text"), F.col("words"))).alias("key"), F.pmod(F.xxhash64("no"), F.lit(salts)).cast("int").alias("salt"))
     # the names are few beside the answers' words, so each key is there for all tasks that its answers are dealt out to
-    index = brands.select("brand", F.explode(name_keys(F.col("aliases"), F.coalesce("host", F.lit("")))).alias("key")).distinct()
+    key = F.when(F.col("is_host"), _host_key(F.col("name"))).otherwise(_alias_key(F.col("name")))
+    index = names.select("name", "is_host", key.alias("key")).where("key IS NOT NULL").distinct()
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return seen.join(index, ["key", "salt"]).select("id", "brand").distinct()
+    return seen.join(index, ["key", "salt"]).select("no", "name", "is_host")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _numbered(answers: DataFrame) -> DataFrame:
+    """The answers that were given, each with a number of its own, which stays as it is written."""
+    return _kept(answers.where(F.col("text").isNotNull()).withColumn("no", F.monotonically_increasing_id()), "answers")
+
+
+def _hits(answers: DataFrame, names: DataFrame) -> DataFrame:
+    """answers(no, text) x names(name, is_host) -> (no, name, is_host, position, context) of the names that stand in an answer."""
+    met = candidates(answers, names).join(answers.select("no", "text"), "no")
+    alias = F.when(~F.col("is_host"), F.col("name"))
+    met = met.select(F.col("no").alias("id"), "text", F.struct("name", "is_host").alias("brand"), F.array_compact(F.array(alias)).alias("aliases"), F.when(F.col("is_host"), F.col("name")).alias("host"))
+    return M.evidence(met, "(?iU)").select(F.col("id").alias("no"), "brand.name", "brand.is_host", "position", "context")
 
 
 def mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
@@ -104,11 +141,11 @@ def mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
     digit, name nothing, and so does a host without a dot. position counts from 0. brand identifies a row of brands;
     null texts name nothing. Rows of answers that share an id are searched each by its own text.
     """
-    known = answers.where(F.col("text").isNotNull())
-    pairs = candidates(known, brands)
-    both = known.join(pairs, "id").join(brands.select("brand", "aliases", F.when(F.instr("host", ".") > 1, F.col("host")).alias("host")), "brand")
-    wordy = F.filter("aliases", lambda a: F.size(_words(a)) > 0)
-    return M.evidence(both.withColumn("aliases", wordy), "(?iU)")
+    known, names = _numbered(answers.select("id", "text")), _names(brands)
+    hits = _kept(_hits(known, names), "mentions")
+    first = hits.select("no", "name", "is_host").join(names, ["name", "is_host"]).groupBy("no", "brand").agg(F.min("ord").alias("ord"))
+    found = first.join(names, ["brand", "ord"]).join(hits, ["no", "name", "is_host"]).join(known.select("no", "id"), "no")
+    return found.select("id", "brand", F.col("name").alias("matched"), "position", "context")
 
 
 def recognised(answer: Column) -> Column:
@@ -116,16 +153,26 @@ def recognised(answer: Column) -> Column:
     return ~answer.rlike(DISCLAIMS)
 
 
-def visibility(answers: DataFrame, brands: DataFrame) -> DataFrame:
+def visibility(answers: DataFrame, brands: DataFrame, ranks: bool = True) -> DataFrame:
     """answers(id, text, asked) x brands -> (brand, asked, mentioned, rate, best_rank), for every brand.
 
-    asked counts the answers that were given; one that was not says nothing. best_rank is the best place among an answer's recommendations.
+    asked counts the answers that were given; one that was not says nothing. best_rank is the best place among an answer's
+    recommendations, and only there if `ranks` are asked for.
+
+    The answers that have a name are a bitmap, and a brand's are the union of its names': no row is made for a brand and an answer.
     """
     given = answers.where("asked AND text IS NOT NULL")
-    found = mentions(given.select("id", "text"), brands)
-    ranked = found.join(given.select("id", "text"), "id").select("brand", M.rank_of(M.ranked_items(F.col("text")), F.col("matched")).alias("rank"))
-    counts = ranked.groupBy("brand").agg(F.count("*").alias("mentioned"), F.min("rank").alias("best_rank"))
+    known, names = _numbered(given.select("id", "text")), _names(brands)
+    bits = _hits(known, names).groupBy("name", "is_host", F.bitmap_bucket_number("no").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits"))
+    each = names.join(bits, ["name", "is_host"]).groupBy("brand", "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    counts = each.groupBy("brand").agg(F.sum("n").alias("mentioned"))
     total = given.agg(F.count("*").alias("asked"))  # one row
     out = brands.select("brand").distinct().join(counts, "brand", "left").join(F.broadcast(total))
     n = F.coalesce("mentioned", F.lit(0).cast("long"))
-    return out.select("brand", "asked", n.alias("mentioned"), F.round(F.try_divide(n, F.col("asked")), 3).alias("rate"), "best_rank")
+    out = out.select("brand", "asked", n.alias("mentioned"), F.round(F.try_divide(n, F.col("asked")), 3).alias("rate"))
+    if not ranks:
+        return out
+    # only answers that recommend several things rank them
+    listed = known.select(F.col("no").alias("id"), "text", M.ranked_items(F.col("text")).alias("items")).where(F.size("items") > 0)
+    ranked = mentions(listed.select("id", "text"), brands).join(listed, "id").groupBy("brand").agg(F.min(M.rank_of(F.col("items"), F.col("matched"))).alias("best_rank"))
+    return out.join(ranked, "brand", "left").select("brand", "asked", "mentioned", "rate", "best_rank")
