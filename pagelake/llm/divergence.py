@@ -43,12 +43,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     aggregation, so nothing is sorted or gathered by document.
     """
     found = _read(docs).select("lang", "source", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM_RX), F.lit(0)).alias("terms"))
-    both = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))),
-    )
-    rows = found.select("lang", "source", F.explode(both).alias("x")).select("lang", "source", "x.term", "x.d")
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("d")).alias("n"), F.sum("d").alias("in_docs"))
+    # the places behind a document's occurrences are those of its distinct terms
+    rows = found.select("lang", "source", F.size("terms").alias("k"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    d = (F.col("at") >= F.col("k")).cast("int")
+    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - d).alias("n"), F.sum(d).alias("in_docs"))
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:

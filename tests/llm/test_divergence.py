@@ -79,3 +79,11 @@ def test_counts_beyond_a_long_product(spark):
 
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
+
+
+def test_occurrences_are_counted_without_a_structure_each(spark):
+    """Occurrences and documents by the place of a term alone; texts without terms give no rows."""
+    docs = spark.createDataFrame([(0, "A b a", "en", "x"), (1, "a", "en", "x"), (2, "", "en", "x"), (3, None, None, None), (4, "b b", "en", "y")], "doc_id long, text string, lang string, source string")
+    got = divergence.term_counts(docs)
+    assert {(r.lang, r.source, r.term): (r.n, r.in_docs) for r in got.collect()} == {("en", "x", "a"): (3, 2), ("en", "x", "b"): (1, 1), ("en", "y", "b"): (2, 1)}
+    assert "struct(" not in got._jdf.queryExecution().optimizedPlan().toString()
