@@ -13,7 +13,8 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -47,19 +48,6 @@ _ODD = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{20
 SLICE_BYTES = 2 << 20
 
 
-class _Numbers(dict):
-    """Chunk -> number; a chunk not seen before gets the next one and is noted in `new`."""
-
-    def __init__(self, *known: Iterable[tuple[str, int]]) -> None:
-        super().__init__(*known)
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        i = self[chunk] = len(self)
-        self.new.append(chunk)
-        return i
-
-
 def _lean(tok: Tokenizer) -> Tokenizer:
     """The tokenizer with a small word cache of its own, as it gets new words only; its ids stay the same."""
     from tokenizers import models
@@ -89,7 +77,7 @@ class ChunkEncoder:
         vocab = self.tok.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each token: its name has a character for each
         self.bytes[list(vocab.values())] = [len(t) for t in vocab]
-        self.at = _Numbers()
+        self.at: dict[str, int] = {}  # chunk -> its number
         self.flat, self.start, self.length, self.uses = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0  # of flat
 
@@ -97,7 +85,7 @@ class ChunkEncoder:
         n = len(self.at)
         stay = np.sort(np.argpartition(-self.uses[:n], KEPT)[:KEPT]) if n > KEPT else np.arange(n)
         keys = list(self.at)
-        self.at = _Numbers((keys[i], k) for k, i in enumerate(stay.tolist()))
+        self.at = dict(zip(map(keys.__getitem__, stay.tolist()), range(len(stay)), strict=True))
         start, length = self.start[stay], self.length[stay]
         ends = np.cumsum(length)
         flat = self.flat[np.arange(ends[-1]) + np.repeat(start - ends + length, length)]
@@ -109,32 +97,36 @@ class ChunkEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Encode the chunks that were numbered since the last time.
+    def _learn(self, new: pa.StringArray) -> None:
+        """Encode these chunks and give them the next numbers; their strings are noted by the caller.
 
         They are put together to texts, a line feed before each chunk that follows no space, as chunks
         do not touch each other; the tokens' bytes tell where each chunk ends.
         """
-        new = self.at.new
-        lead = np.array([c[0] == _BARE for c in new])
-        parts = ["\n" + c[1:] if c[0] == _BARE else c if c == "\n" else " " + c for c in new]
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in parts])
+        bare = pc.starts_with(new, _BARE)  # the mark is nowhere else
+        lead = bare.to_numpy(zero_copy_only=False)
+        parts = pc.replace_substring(pc.binary_join_element_wise(pc.if_else(pc.or_(bare, pc.equal(new, "\n")), "", " "), new, ""), _BARE, "\n").cast(pa.large_string())
+        _, offsets, data = parts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        ends = bounds[1:] - bounds[0]
         cuts = np.flatnonzero(np.diff(ends // JOINED, prepend=-1, append=-1))
-        flat = np.concatenate(self._whole(["".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+        joined = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(bounds[cuts]), data)
+        flat = np.concatenate(self._whole(joined.to_pylist()))
         last = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
         first = np.concatenate(([0], last[:-1])) + lead  # without the line feed put before it
         n = last - first
         keep = np.ones(len(flat), bool)
         keep[first[lead] - 1] = False
         flat = flat[keep]
-        lo, hi, end = len(self.at) - len(new), len(self.at), self.used + len(flat)
+        lo, end = len(self.at), self.used + len(flat)
+        hi = lo + len(new)
         if hi > len(self.start):
             self.start, self.length, self.uses = (np.concatenate((x, np.zeros(max(hi - len(x), len(x)), np.int64))) for x in (self.start, self.length, self.uses))
         if end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(end - len(self.flat), len(self.flat)), np.int32)))
         self.start[lo:hi], self.length[lo:hi] = self.used + np.cumsum(n) - n, n
         self.flat[self.used : end] = flat
-        self.used, self.at.new = end, []
+        self.used = end
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many are of each). A null text is an empty one."""
@@ -148,9 +140,13 @@ class ChunkEncoder:
         many, chunks = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
         if len(self.at) > CACHE:
             self._shrink()
-        k = np.fromiter(map(self.at.__getitem__, chunks.dictionary.to_pylist()), dtype=np.int64, count=len(chunks.dictionary))
-        if self.at.new:
-            self._learn()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        k = np.fromiter(map(self.at.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            k[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self._learn(chunks.dictionary.take(pa.array(new)))
+            self.at.update(zip(map(names.__getitem__, new.tolist()), k[new].tolist(), strict=True))
         at = chunks.indices.to_numpy()
         self.uses[k] += np.bincount(at, minlength=len(k))
         k = k[at]

@@ -1,10 +1,14 @@
 """Where a bound once cut something off: many vectors, named sections, long lists, lines that share a hash."""
 
+import sys
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagelake.llm import embed_dedup, jaccard, line_dedup
+from pagelake.llm import embed_dedup, jaccard, line_dedup, token_store
 from pagelake.llm.html_extract import main_text
+from pagelake.llm.queries import tokenizer_path
 
 from .brute import jaccard as brute
 
@@ -83,3 +87,26 @@ def test_a_group_around_the_threshold_is_verified_by_few_pairs(spark, monkeypatc
     got = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: c for i, (_, c) in brute(dict(docs)).items()}
     assert len(asked) > 1 and sum(asked[1:]) < 3 * len(docs), asked
+
+
+def test_unknown_chunks_take_no_python_call_each(monkeypatch):
+    """op3: chunks are looked up and learned a batch at a time, also when the cache lets chunks go; the ids stay the library's."""
+    monkeypatch.setattr(token_store, "CACHE", 3000)
+    monkeypatch.setattr(token_store, "KEPT", 1000)
+    enc = token_store.ChunkEncoder(tokenizer_path())
+    texts = [" ".join(f"w{i * 37 % 911}é{j}\nB{j % 97}a.\nthe" for j in range(150)) for i in range(30)]
+    calls, ids = 0, []
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        for lo in range(0, 30, 10):
+            ids.append(enc.encode(pa.array(texts[lo : lo + 10])))
+    finally:
+        sys.setprofile(None)
+    assert [n for _, size in ids for n in size.tolist()] == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert np.concatenate([x for x, _ in ids]).tolist() == [i for t in texts for i in enc.tok.encode(t, add_special_tokens=False).ids]
+    assert len(enc.at) < 4500 and calls < 1500
