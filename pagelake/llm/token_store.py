@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import keep_between_tasks, scratch_path
+from .util import drop_caches, keep_between_tasks, scratch_path
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -181,6 +181,7 @@ keep_between_tasks(_encoders.clear)
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for that file; its cache lives until the worker is put to other work."""
     if path not in _encoders:
+        drop_caches()
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
 
@@ -244,6 +245,7 @@ def _bases(df: DataFrame) -> DataFrame:
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()  # the encoder, which has written the files
     for b in batches:
         ids = b.column(3)
         flat, offs = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()

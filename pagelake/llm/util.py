@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +32,9 @@ def drop_caches() -> None:
     for let_go in _caches:
         let_go()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)  # what was freed goes back to the system; else the worker keeps most of it
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -1,12 +1,14 @@
 """Where a bound once cut something off: many vectors, named sections, long lists, lines that share a hash."""
 
+import os
+import subprocess
 import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagelake.llm import embed_dedup, jaccard, line_dedup, token_store
+from pagelake.llm import embed_dedup, jaccard, line_dedup, token_store, util
 from pagelake.llm.html_extract import main_text
 from pagelake.llm.queries import tokenizer_path
 
@@ -110,3 +112,32 @@ def test_unknown_chunks_take_no_python_call_each(monkeypatch):
     assert [n for _, size in ids for n in size.tolist()] == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
     assert np.concatenate([x for x, _ in ids]).tolist() == [i for t in texts for i in enc.tok.encode(t, add_special_tokens=False).ids]
     assert len(enc.at) < 4500 and calls < 1500
+
+
+def test_workers_let_go_of_what_the_token_stage_does_not_need(monkeypatch):
+    """pipeline: other operators' caches go before the encoder is made, and the encoder before its files are read back."""
+    other = {"cache": 1}
+    monkeypatch.setattr(util, "_caches", [*util._caches, other.clear])
+    monkeypatch.setattr(token_store, "ChunkEncoder", lambda path: path)
+    token_store.encoder("a")
+    assert not other and token_store._encoders == {"a": "a"}
+    list(token_store._crc(iter([])))
+    assert not token_store._encoders
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_dropped_caches_return_their_memory():
+    """Small pieces freed among others that stay go back to the system."""
+    code = """if True:
+        from pagelake.llm import util
+        mb = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096 >> 20
+        kept = [bytes(1000) for _ in range(200_000)]
+        held = kept[::20]
+        before = mb()
+        del kept
+        util.drop_caches()
+        print(before - mb())
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout) > 50
