@@ -99,9 +99,9 @@ def test_unknown_chunks_take_no_python_call_each(monkeypatch):
     texts = [" ".join(f"w{i * 37 % 911}é{j}\nB{j % 97}a.\nthe" for j in range(150)) for i in range(30)]
     calls, ids = 0, []
 
-    def count(_frame, event, _arg):
+    def count(frame, event, _arg):  # of the module's own functions; a session's finalizers may run meanwhile
         nonlocal calls
-        calls += event == "call"
+        calls += event == "call" and frame.f_code.co_filename == token_store.__file__
 
     sys.setprofile(count)
     try:
@@ -111,7 +111,8 @@ def test_unknown_chunks_take_no_python_call_each(monkeypatch):
         sys.setprofile(None)
     assert [n for _, size in ids for n in size.tolist()] == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
     assert np.concatenate([x for x, _ in ids]).tolist() == [i for t in texts for i in enc.tok.encode(t, add_special_tokens=False).ids]
-    assert len(enc.at) < 4500 and calls < 1500
+    assert len(enc.at) < 4500
+    assert calls < 1500
 
 
 def test_workers_let_go_of_what_the_token_stage_does_not_need(monkeypatch):
