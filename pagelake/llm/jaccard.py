@@ -14,7 +14,7 @@ of the list only pairs between different components are still open. Their answer
 leaders' computed ones: a set m meets x in at most as many tokens as its leader does, and |m - leader|
 more. What these bounds leave open is bounded by signatures. Of what is left each set first asks for its
 nearest few, which are verified by the whole sets; as they mostly make one component of a group, few of
-its other pairs are still open in the next round, which asks for more, until none was left out.
+its other pairs are still open in the next round, which asks for more in the lists that had others, until none was left out.
 Components, sizes and membership are exact.
 """
 
@@ -294,19 +294,19 @@ def _across(threshold: int, most: int):
 
     Left out are pairs that the leaders' answers rule out, and those whose signatures differ in more
     bits than the threshold allows tokens. Each set gives its `most` nearest sets that come before it by size; `more`
-    says that it has others.
+    says that it has others in the list of this token.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _runs(batches, ["token", "tile"]):
-            for _, g in pdf.groupby(["token", "tile"], sort=False):
+            for (token, _), g in pdf.groupby(["token", "tile"], sort=False):
                 g = g.sort_values(["n", "cls"])
                 cls, n, pos, comp, left, right = (g[c].to_numpy() for c in ("cls", "n", "pos", "comp", "left", "right"))
                 if (comp == comp[0]).all():
                     continue
                 rest = n - pos
                 bounds = _bounds(g["leads"].tolist(), g["known"].tolist(), g["sure"].tolist(), n)
-                sig = np.frombuffer(b"".join(fold(x, FOLDED // 8) for x in g["sig"]), np.uint64).reshape(len(g), -1)
+                sig = np.frombuffer(b"".join(g["sig"]), np.uint64).reshape(len(g), -1)
                 blocks = [slice(i, min(i + _GRAIN, len(n))) for i in range(0, len(n), _GRAIN)]
                 cut = np.zeros(len(n), bool)
                 a, b, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
@@ -339,7 +339,7 @@ def _across(threshold: int, most: int):
                 first, second = np.concatenate(a), np.concatenate(b)
                 kept = _nearest(second, np.concatenate(far), most, cut)
                 if len(kept):
-                    yield pd.DataFrame({"a": cls[first[kept]], "b": cls[second[kept]], "more": cut[second[kept]]})
+                    yield pd.DataFrame({"a": cls[first[kept]], "b": cls[second[kept]], "token": token, "more": cut[second[kept]]})
 
     return run
 
@@ -452,21 +452,42 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.unionAll(met.where(F.col(single)).dropDuplicates([key]).select(*docs.columns))
 
 
-def _tiles(lists: DataFrame, comps: DataFrame, answers: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Entries of the lists(token, cls, n, pos, leads) that hold several components, dealt out to tiles, with what is told of them."""
-    rows = lists.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", "leads", F.coalesce("component", "cls").alias("comp"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(mixed, F.col("token") == F.col("k")).drop("k")
+def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, c): of the lists of rows(token, cls, ...) those that hold several components, and their lengths."""
+    rows = rows.join(comps, F.col("cls") == F.col("node"), "left").select("token", F.coalesce("component", "cls").alias("comp"))
+    return rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", "c")
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([fold(x, FOLDED // 8) for x in rows.column(1).to_pylist()], pa.binary())], names=["k", "sig"])
+
+
+def _told(lists: DataFrame, comps: DataFrame, answers: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Entries of the lists(token, cls, n, pos, leads) that hold several components, with what all rounds are told of them."""
+    mixed = _mixed(lists, comps).select(F.col("token").alias("k"), F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks"))
+    rows = lists.join(mixed, F.col("token") == F.col("k")).drop("k")
     # the leaders' answers about each entry, LEADERS at most; a leader shares all its tokens with itself
     told = rows.withColumn("lead", F.explode("leads")).drop("leads").join(answers.select("a", "b", "both", "sure"), (F.col("lead") == F.col("a")) & (F.col("cls") == F.col("b")), "left")
     itself = F.col("lead") == F.col("cls")
     told = told.withColumn("known", F.when(itself, F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))).withColumn("sure", itself | F.coalesce("sure", F.lit(False)))
-    rows = told.groupBy("token", "cls", "n", "pos", "comp", "blocks").agg(F.collect_list(F.struct("lead", "known", "sure")).alias("told"))
+    rows = told.groupBy("token", "cls", "n", "pos", "blocks").agg(F.collect_list(F.struct("lead", "known", "sure")).alias("told"))
+    rows = rows.select("token", "cls", "n", "pos", "blocks", F.col("told.lead").alias("leads"), F.col("told.known").alias("known"), F.col("told.sure").alias("sure"))
+    near = sigs.select("cls", "sig").mapInArrow(_folded, "k long, sig binary")
+    return rows.join(near, F.col("cls") == F.col("k")).drop("k")
+
+
+def _tiles(told: DataFrame, comps: DataFrame, left_open: DataFrame | None) -> DataFrame:
+    """The told entries with their components, dealt out to tiles; of the lists left_open(token) only, if given, that hold several components."""
+    rows = told
+    if left_open is not None:
+        lists = _mixed(told.select("token", "cls").join(left_open, "token", "left_semi"), comps).select("token")
+        rows = marked(rows, F.col("token"), scratch(lists, "mixed"), "is_open").where("is_open").drop("is_open")
+    rows = rows.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", F.col("told.lead").alias("leads"), F.col("told.known").alias("known"), F.col("told.sure").alias("sure"), (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"))
-    rows = rows.join(sigs.select(F.col("cls").alias("k"), "sig"), F.col("cls") == F.col("k")).drop("k")
+    rows = rows.select("token", (lo.cast("long") * F.col("blocks") + hi).alias("tile"), "cls", "n", "pos", "comp", "leads", "known", "sure", (F.col("own") == lo).alias("left"), (F.col("own") == hi).alias("right"), "sig")
     return rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
 
 
@@ -495,9 +516,12 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     # what is left: long lists that hold several components
     lists = scratch(found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos", "leads"), "lists")
     drop_scratch(found)
-    most, tried = NEAREST, None
+    told = scratch(_told(lists, first, answers, sigs), "told")
+    for x in (lists, answers):
+        drop_scratch(x)
+    most, tried, left_open = NEAREST, None, None
     while True:
-        more = scratch(_tiles(lists, first, answers, sigs).mapInPandas(_across(threshold, most), "a long, b long, more boolean"), "across")
+        more = scratch(_tiles(told, first, left_open).mapInPandas(_across(threshold, most), "a long, b long, token long, more boolean"), "across")
         pairs = more.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -507,7 +531,8 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
             links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_spanning(_links(got, threshold)))
             first = scratch(components(links), "both")
             tried = pairs if tried is None else tried.unionAll(pairs)
-        if more.where("more").isEmpty():
+        left_open = more.where("more").select("token").distinct()  # in the other lists all pairs were asked for or ruled out
+        if left_open.isEmpty():
             break
         most *= FURTHER
 

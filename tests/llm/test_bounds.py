@@ -91,6 +91,33 @@ def test_a_group_around_the_threshold_is_verified_by_few_pairs(spark, monkeypatc
     assert len(asked) > 1 and sum(asked[1:]) < 3 * len(docs), asked
 
 
+def test_later_rounds_go_through_open_lists_only(spark, monkeypatch):
+    """Lists in which no set has others left are settled by the first round; only the rest is dealt out again."""
+    rng = np.random.RandomState(5)
+    docs = {}
+    for i in range(300):  # some of the pairs link: a set has more near ones than it asks for at first
+        words = [f"w{k}" for k in range(200)]
+        for at in rng.choice(14, 3, replace=False) * 14:
+            words[at] = f"x{rng.randint(10**9)}"
+        docs[i] = " ".join(words)
+    for i in range(12):  # sets that share most tokens, but too few for a link
+        docs[1000 + i] = " ".join([f"s{k}" for k in range(38)] + [f"u{i}x{k}" for k in range(6)])
+    dealt = []
+    tiles = jaccard._tiles
+
+    def count(*args):
+        out = tiles(*args)
+        dealt.append({r.token for r in out.select("token").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "_tiles", count)
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute(docs).items()}
+    assert len(dealt) > 1
+    settled = set(next(jaccard._sets([docs[1000]])).view(np.int64).tolist())
+    assert dealt[0] & settled and not any(x & settled for x in dealt[1:])
+
+
 def test_unknown_chunks_take_no_python_call_each(monkeypatch):
     """op3: chunks are looked up and learned a batch at a time, also when the cache lets chunks go; the ids stay the library's."""
     monkeypatch.setattr(token_store, "CACHE", 3000)
