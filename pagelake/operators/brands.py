@@ -8,6 +8,8 @@ looked at with a regex. A name that many brands go by is looked for once in an a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ _NAMES = 4
 DISCLAIMS = r"(?i)\b(?:i (?:do not|don't) (?:have|know)|no information|not familiar|unable to find|cannot find|as of my (?:last )?(?:knowledge|training|update))\b"
 #: Tasks that a key's answers are dealt out to.
 SALTS = 16
+#: Brands whose names are sent to all tasks at a time.
+BRANDS = 100_000
 _STRIP = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$"
 
 
@@ -126,26 +130,66 @@ def _numbered(answers: DataFrame) -> DataFrame:
 
 
 def _hits(answers: DataFrame, names: DataFrame) -> DataFrame:
-    """answers(no, text) x names(name, is_host) -> (no, name, is_host, position, context) of the names that stand in an answer."""
+    """answers(no, text) x names(name, is_host) -> (no, name, is_host, position) of the names that stand in an answer."""
     met = candidates(answers, names).join(answers.select("no", "text"), "no")
     alias = F.when(~F.col("is_host"), F.col("name"))
     met = met.select(F.col("no").alias("id"), "text", F.struct("name", "is_host").alias("brand"), F.array_compact(F.array(alias)).alias("aliases"), F.when(F.col("is_host"), F.col("name")).alias("host"))
-    return M.evidence(met, "(?iU)").select(F.col("id").alias("no"), "brand.name", "brand.is_host", "position", "context")
+    return M.places(met, "(?iU)").select(F.col("id").alias("no"), "brand.name", "brand.is_host", F.when(F.col("brand.is_host"), F.col("h_")).otherwise(F.col("at_")).alias("position"))
+
+
+def _earlier(names: DataFrame) -> DataFrame:
+    """names(brand, ord, key) -> (brand, key, earlier): each of a brand's names once, with those that come before it."""
+    keys = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]))
+    own = names.groupBy("brand").agg(keys.alias("keys"))
+    return own.select("brand", "keys", F.posexplode("keys").alias("i", "key")).select("brand", "key", F.slice("keys", F.lit(1), F.col("i")).alias("earlier"))
+
 
+def _overruled(seen: DataFrame, each: DataFrame) -> DataFrame:
+    """seen(no, key), each(brand, key, earlier) -> (no, key, overruled): the names that stand in an answer beside key and come before it in some brand.
 
-def mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
+    Two names meet once, whatever the number of their brands, and in the answers of the rarer one.
+    """
+    often = seen.groupBy("key").agg(F.count("*").alias("n"))
+    pairs = each.select("key", F.explode("earlier").alias("before")).distinct()
+    pairs = pairs.join(often, "key").join(often.select(F.col("key").alias("before"), F.col("n").alias("n_before")), "before")
+    rarer, other = (F.when(F.col("n") <= F.col("n_before"), x).otherwise(y) for x, y in ((F.col("key"), F.col("before")), (F.col("before"), F.col("key"))))
+    met = pairs.select("key", "before", rarer.alias("rarer"), other.alias("other")).join(seen.select("no", F.col("key").alias("rarer")), "rarer")
+    met = met.join(seen.select("no", F.col("key").alias("other")), ["no", "other"], "left_semi")
+    return met.groupBy("no", "key").agg(F.collect_list("before").alias("overruled"))
+
+
+def mentions(answers: DataFrame, brands: DataFrame, one_line: bool = False) -> DataFrame:
     """answers(id, text) x brands(brand, aliases, host) -> (id, brand, matched, position, context) of the answers that name a brand.
 
     The first alias in order that stands in the text as whole words, in either case, with the sentence around
     it; failing all, the host's address with what surrounds it. Aliases of one character, and such as have no letter or
     digit, name nothing, and so does a host without a dot. position counts from 0. brand identifies a row of brands;
-    null texts name nothing. Rows of answers that share an id are searched each by its own text.
+    null texts name nothing. Rows of answers that share an id are searched each by its own text. With `one_line`, white space
+    within a context is one space.
+
+    The result has a row for each brand and answer that name each other, so it is made by the last join and never
+    shuffled, and neither are the contexts: the names found in an answer are brought to it, and brands are sent to all
+    tasks, BRANDS at a time.
     """
     known, names = _numbered(answers.select("id", "text")), _names(brands)
-    hits = _kept(_hits(known, names), "mentions")
-    first = hits.select("no", "name", "is_host").join(names, ["name", "is_host"]).groupBy("no", "brand").agg(F.min("ord").alias("ord"))
-    found = first.join(names, ["brand", "ord"]).join(hits, ["no", "name", "is_host"]).join(known.select("no", "id"), "no")
-    return found.select("id", "brand", F.col("name").alias("matched"), "position", "context")
+    keys = _kept(names.select("name", "is_host").distinct().withColumn("key", F.monotonically_increasing_id()), "names")
+    hits = _kept(_hits(known, names).join(keys, ["name", "is_host"]).select("no", "key", "position"), "mentions")
+    each = _kept(_earlier(names.join(keys, ["name", "is_host"]).select("brand", "ord", "key")), "earlier")
+    found = hits.join(_overruled(hits.select("no", "key"), each), ["no", "key"], "left").join(keys, "key")
+    # few bytes make many rows here, so the number of tasks does not follow the bytes
+    tasks = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(tasks, "no").join(known.repartition(tasks, "no"), "no")
+    at = lambda is_host: F.when(F.col("is_host") == is_host, F.col("position")).otherwise(-1)
+    found = found.select("id", "key", "overruled", "text", F.col("name").alias("host"), F.col("name").alias("a_"), at(False).alias("at_"), at(True).alias("h_"))
+    found = M.contexts(found, "id", "key", "overruled")
+    if one_line:
+        found = found.withColumn("context", F.regexp_replace("context", r"\s+", " "))
+    # made by a generator, a context is made before the join, not for each of its rows
+    found = found.select("id", "key", "overruled", F.inline(F.array(F.struct("matched", "position", "context"))))
+    slices = -(-each.agg(F.count_distinct("brand")).first()[0] // BRANDS)
+    sliced = [each.where(F.pmod(F.xxhash64("brand"), F.lit(slices)) == i) for i in range(slices)] or [each]
+    both = functools.reduce(DataFrame.unionAll, [found.join(F.broadcast(e), "key") for e in sliced])
+    return both.where("overruled IS NULL OR NOT arrays_overlap(earlier, overruled)").select("id", "brand", "matched", "position", "context")
 
 
 def recognised(answer: Column) -> Column:

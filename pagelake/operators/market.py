@@ -223,18 +223,24 @@ def mention_evidence(answers: DataFrame, brands: DataFrame) -> DataFrame:
     The first alias in order that stands in the text as whole words, with the sentence around it; failing
     all, the host's address with what surrounds it. Aliases of one character name nothing. position counts from 0.
     """
-    return evidence(answers.join(brands, "brand"), "(?i)")
+    return contexts(places(answers.join(brands, "brand"), "(?i)"), "id", "brand")
 
 
-def evidence(j: DataFrame, flags: str) -> DataFrame:
-    """mention_evidence of rows that hold an answer and a brand; flags: those of the regex."""
+def places(j: DataFrame, flags: str) -> DataFrame:
+    """Rows that hold an answer and a brand -> (id, brand, text, host, a_, at_, h_) of those that name it; flags: those of the regex."""
     text = F.col("text")
     rx = lambda a: F.concat(F.lit(rf"{flags}\b\Q"), a, F.lit(r"\E\b"))
     hits = F.transform(F.filter("aliases", lambda a: F.length(a) >= 2), lambda a: F.struct(a.alias("a"), F.call_function("regexp_instr", text, rx(a)).alias("at")))
     first = F.try_element_at(F.filter(hits, lambda h: h["at"] > 0), F.lit(1))
-    at = F.coalesce(first["at"] - 1, F.lit(-1))
     by_host = F.when(F.coalesce("host", F.lit("")) != "", F.instr(F.lower(text), F.lower(F.col("host"))) - 1).otherwise(-1)
-    j = j.withColumn("a_", first["a"]).withColumn("at_", at).withColumn("h_", by_host).where("at_ >= 0 OR h_ >= 0")
+    # made by a generator, a place is looked for once; a filter on a projection would repeat the regexes
+    place = F.transform(F.array(first), lambda f: F.struct(f["a"].alias("a_"), F.coalesce(f["at"] - 1, F.lit(-1)).alias("at_"), by_host.alias("h_")))
+    return j.select("id", "brand", "text", "host", F.inline(place)).where("at_ >= 0 OR h_ >= 0")
+
+
+def contexts(found: DataFrame, *kept: str) -> DataFrame:
+    """places() -> what is kept of them, matched, position and context."""
+    text = F.col("text")
     before, end = F.substring(text, F.lit(1), F.col("at_")), F.col("at_") + F.length("a_")
     dot = F.instr(F.reverse(before), F.lit("."))
     start = F.when(dot > 0, F.col("at_") - dot + 1).otherwise(0)
@@ -244,7 +250,7 @@ def evidence(j: DataFrame, flags: str) -> DataFrame:
     near = F.substring(text, lo + 1, F.col("h_") + _AROUND - lo)
     named = F.col("at_") >= 0
     strip = lambda c: F.regexp_replace(c, r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")
-    return j.select("id", "brand", F.when(named, F.col("a_")).otherwise(F.col("host")).alias("matched"), F.when(named, F.col("at_")).otherwise(F.col("h_")).cast("long").alias("position"), F.when(named, F.substring(strip(sentence), 1, _SHOWN)).otherwise(strip(near)).alias("context"))
+    return found.select(*kept, F.when(named, F.col("a_")).otherwise(F.col("host")).alias("matched"), F.when(named, F.col("at_")).otherwise(F.col("h_")).cast("long").alias("position"), F.when(named, F.substring(strip(sentence), 1, _SHOWN)).otherwise(strip(near)).alias("context"))
 
 
 def title_agreement(d: DataFrame) -> DataFrame:
